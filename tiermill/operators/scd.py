@@ -32,7 +32,7 @@ def build(
     key: str,
     at: str = "effective_from",
     digest: str = "hash_diff",
-    chunk: str = "day",
+    chunk: str = "month",
     first_version: str | None = None,
 ) -> DataFrame:
     """Version rows of every key.
@@ -46,7 +46,12 @@ def build(
     across = Window.partitionBy(key).orderBy("_chunk")
     until_now = across.rowsBetween(Window.unboundedPreceding, -1)
 
-    single = _one_row_per_instant(rows, key, at, digest, first_version).withColumn("_chunk", F.date_trunc(chunk, at))
+    # One exchange by (key, chunk) serves the windows and both summaries.
+    single = (
+        _one_row_per_instant(rows, key, at, digest, first_version)
+        .withColumn("_chunk", F.date_trunc(chunk, at))
+        .repartition(key, "_chunk")
+    )
 
     tails = (
         single.groupBy(key, "_chunk")
@@ -96,7 +101,7 @@ def apply(
     key: str,
     at: str = "effective_from",
     digest: str = "hash_diff",
-    chunk: str = "day",
+    chunk: str = "month",
 ) -> DataFrame:
     """New snapshot of ``versions`` after ``batch``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,20 @@ def dot(left: Column, right: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
 
-def cosine(left: Column, right: Column) -> Column:
-    size = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
-    return F.when(size > 0, dot(left, right) / size)
-
-
-def top_k(vectors: DataFrame, query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def top_k(
+    vectors: DataFrame, query: list[float], k: int = 10, id_column: str = "vec_id", column: str = "embedding"
+) -> DataFrame:
     """The ``k`` stored vectors closest to ``query``; ties by id.
 
-    The query is one array (a literal or a scalar subquery). Every task keeps
-    its own best ``k``, and only those meet at the end.
+    The query is a literal, so its own length is computed once, here. Every
+    task keeps its best ``k``, and only those meet at the end.
     """
-    scored = vectors.withColumn("_query", query).withColumn("similarity", cosine(F.col(column), F.col("_query")))
-    return scored.drop("_query").where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), id_column).limit(k)
+    wanted = F.lit([float(x) for x in query])
+    size = math.sqrt(sum(float(x) ** 2 for x in query))
+    stored = F.col(column)
+    length = F.sqrt(dot(stored, stored)) * F.lit(size)
+    scored = vectors.withColumn("similarity", F.when(length > 0, dot(stored, wanted) / length))
+    return scored.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), id_column).limit(k)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, keep: list[str]) -> DataFrame:

@@ -224,7 +224,7 @@ def upsert_vectors(b: Bronze) -> DataFrame:
 )
 def vector_topk(b: Bronze) -> DataFrame:
     stored = b.embeddings()
-    query = stored.agg(F.min_by("embedding", "vec_id")).scalar()
+    query = stored.agg(F.min_by("embedding", "vec_id").alias("v")).first()["v"]  # one vector
     best = vectors.top_k(stored, query, 10)
     return best.select("vec_id", "label", F.round("similarity", 4).alias("similarity"))
 

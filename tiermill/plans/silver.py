@@ -10,7 +10,9 @@ from tiermill.functions.keys import attributes_text, hash_diff, hash_key
 from tiermill.operators import gold, mapping, scd, silver
 from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
+from tiermill.session import shared_dir
 from tiermill.sources.bridge import Bronze
+from tiermill.sources.tables import Snapshots
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -203,8 +205,10 @@ def scd2_build(b: Bronze) -> DataFrame:
 
 @plan("scd2_apply", VERSIONS_SQL)
 def scd2_apply(b: Bronze) -> DataFrame:
-    first = scd.build(customer_load(b, 1).unionByName(customer_load(b, 2)), "customer_hk")
-    return version_report(scd.apply(first, customer_load(b, 3), "customer_hk"))
+    """Two loads stored as a snapshot, the third applied to it."""
+    table = Snapshots(b.spark, shared_dir(b.spark, "customer-versions"))
+    table.write(scd.build(customer_load(b, 1).unionByName(customer_load(b, 2)), "customer_hk"), 2)
+    return version_report(scd.apply(table.read(), customer_load(b, 3), "customer_hk"))
 
 
 # -- configured mapping -----------------------------------------------------------

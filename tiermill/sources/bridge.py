@@ -10,6 +10,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tiermill.reference import SOURCE_REGION
 
@@ -48,6 +49,11 @@ STAGE_SQL = (
 )
 
 
+# Schemas already read, by path: naming the schema spares a footer-reading job
+# each time a table is opened.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Bronze:
     """Landing tables over one driver folder. Every method is lazy."""
 
@@ -56,7 +62,10 @@ class Bronze:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def _geography(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
