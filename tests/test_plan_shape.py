@@ -23,6 +23,7 @@ def test_no_cross_join_and_no_row_python(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = physical(contract.queries()["scan"](spark, SMALL))
     assert "GreaterThanOrEqual(o_orderdate" in text and "LessThanOrEqual(o_orderdate" in text
     assert "o_custkey" not in text.split("ReadSchema")[1]

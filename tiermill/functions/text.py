@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def split_tags(tags: Column) -> Column:
     """Comma list to an array, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(tags, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def leading_percent(sla: Column, default: float = 99.5) -> Column:
