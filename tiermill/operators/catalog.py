@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,6 +244,19 @@ def check_contract(view: DataFrame, product_id: str, contract: list[Field]) -> D
 # -- access requests ----------------------------------------------------------------------
 
 
+def access_request(
+    spark: SparkSession, product_id: str, name: str, email: str, reason: str, at: datetime
+) -> DataFrame:
+    """One pending request, in the layout of the append-only request log."""
+    ticket = f"REQ-{int(at.replace(tzinfo=timezone.utc).timestamp())}"
+    return inline_table(
+        spark,
+        [(ticket, product_id, name, email, reason, "PENDING", at, None, None, None)],
+        "ticket_id string; product_id string; requester_name string; requester_email string; justification string; "
+        "status string; requested_at timestamp; resolved_at timestamp; resolved_by string; notes string",
+    )
+
+
 def access_summary(requests: DataFrame) -> DataFrame:
     state = F.coalesce("status", F.lit("PENDING"))
     return requests.groupBy("product_id").agg(

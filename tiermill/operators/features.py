@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tiermill.functions.dates import days_before
 from tiermill.operators.gold import revenue_band
+from tiermill.session import stored
 
 # Thresholds of the churn bands and weights of the churn score.
 HIGH_ABOVE, MEDIUM_ABOVE = 0.7, 0.4
@@ -118,6 +119,11 @@ def product_mix(lines: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def with_product_mix(features: DataFrame, mix: DataFrame) -> DataFrame:
+    """Feature rows completed by the concentration; no purchase gives NULL."""
+    return features.join(mix.select("customer_hk", "product_mix_hhi"), "customer_hk", "left")
+
+
 def _joint_counter(width: int = 1024):
     """Task function: customers owning both families, per batch of baskets.
 
@@ -185,8 +191,11 @@ def product_affinity(lines: DataFrame, as_of: date) -> DataFrame:
     basket = purchases.groupBy("customer_hk").agg(
         F.sum("revenue").alias("total"), F.collect_list("product_family").alias("owned")
     )
-    chances = family_affinity(purchases).groupBy("family").agg(
-        F.map_from_entries(F.collect_list(F.struct("other", "likelihood"))).alias("chance")
+    chances = stored(
+        family_affinity(purchases).groupBy("family").agg(
+            F.map_from_entries(F.collect_list(F.struct("other", "likelihood"))).alias("chance")
+        ),
+        "family-chances",
     )
     family = F.col("product_family")
     others = F.filter("owned", lambda g: g != family)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tiermill.functions.dates import boundaries
 from tiermill.functions.exact import percent
 from tiermill.reference import DATE_FLOOR, EUROPE_CURRENCIES, VALID_CURRENCIES
+from tiermill.session import stored
 
 MIN_ROWS_FOR_SIGMA = 30
 RESULT = [
@@ -101,9 +102,9 @@ def consistency() -> list[Check]:
 def _with_limits(df: DataFrame, by: list[str], amount: str) -> DataFrame:
     """Attach mean, spread and row count of the group to every row.
 
-    The statistics have one row per group. No hint is given: AQE sees their
-    real size and broadcasts them when small, so a group holding a third of
-    the rows is not moved to one task.
+    The statistics have one row per group and are stored first: their size is
+    then known, and as long as they are small the rows of a group stay where
+    they are, even when one group holds a third of them.
     """
     spread = F.stddev_samp(amount)
     stats = df.groupBy(*by).agg(
@@ -112,7 +113,7 @@ def _with_limits(df: DataFrame, by: list[str], amount: str) -> DataFrame:
         F.count("*").alias("_rows"),
     )
     if by:
-        return df.join(stats, by)
+        return df.join(stored(stats, "sigma-limits"), by)
     single = stats.select(F.struct("_mu", "_sigma", "_rows").alias("s")).scalar()
     return df.withColumn("_s", single).select("*", "_s._mu", "_s._sigma", "_s._rows").drop("_s")
 

@@ -95,6 +95,19 @@ def product_hhi(b: Bronze) -> DataFrame:
     return features.product_mix(lines_before(b), AS_OF).withColumn("product_mix_hhi", F.round("product_mix_hhi", 6))
 
 
+q.RELATIONS["mix_rows"] = """
+SELECT customer_hk, round(sum(CAST(revenue AS DOUBLE) * CAST(revenue AS DOUBLE)) / pow(CAST(sum(revenue) AS DOUBLE), 2), 6) AS product_mix_hhi
+FROM family_rows GROUP BY customer_hk"""
+
+
+@plan("customer_feature_rows", money_sql("SELECT p.*, m.product_mix_hhi FROM pit_rows p LEFT JOIN mix_rows m USING (customer_hk)"))
+def customer_feature_rows(b: Bronze) -> DataFrame:
+    """The full feature row: revenue windows, scores and product concentration."""
+    mix = features.product_mix(lines_before(b), AS_OF)
+    rows = features.with_product_mix(features_at(b, AS_OF), mix)
+    return report(rows).withColumn("product_mix_hhi", F.round("product_mix_hhi", 6))
+
+
 def lines_before(b: Bronze) -> DataFrame:
     """Order lines of orders before the as-of date; the bound reaches the header scan."""
     from tiermill.operators import silver as conform

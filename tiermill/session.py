@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every transform assumes. UTC makes date truncation
 # repeatable; forceOptimizeSkewedJoin lets AQE split a hot join key even when
@@ -58,3 +58,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = os.path.join(tempfile.gettempdir(), "tiermill")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    The size of the files is known when the reading plan is made, so Spark
+    broadcasts a small table and shuffles a large one, without a hint and
+    without moving the other side first. The lineage ends at the files.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

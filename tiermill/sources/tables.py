@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str] | None = None) -> None:
     """Append rows under date folders, sorted inside each file for range pruning.
 
-    Rows are spread over tasks by partition value and a coarse random salt is
-    left to AQE: ``rebalance`` splits a date that holds most of the rows.
+    ``rebalance`` gathers the rows of a date to write few files, and lets AQE
+    split a date that holds most of the rows over several tasks.
     """
     laid_out = df.hint("rebalance", *partition_by)
     if sort_by:
