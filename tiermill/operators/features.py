@@ -187,7 +187,7 @@ def product_affinity(lines: DataFrame, as_of: date) -> DataFrame:
     The score is the best chance of owning the family among owners of another
     family the customer has; a single-family customer scores zero.
     """
-    purchases = family_revenue(lines, as_of)
+    purchases = stored(family_revenue(lines, as_of), "family-purchases")  # read three times below
     basket = purchases.groupBy("customer_hk").agg(
         F.sum("revenue").alias("total"), F.collect_list("product_family").alias("owned")
     )

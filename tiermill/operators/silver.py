@@ -163,14 +163,19 @@ def customers(bronze: DataFrame) -> DataFrame:
 
 
 def order_lines(items: DataFrame, silver_orders: DataFrame, rates: DataFrame | None = None) -> DataFrame:
-    """Silver lines. Source, customer, date and currency come from the header."""
-    head = silver_orders.select(
+    """Silver lines of current orders.
+
+    Source, customer, date and currency come from the header. Items that name
+    their source are matched within it, as two sources may share an order id.
+    """
+    match = ["order_id"] + [c for c in ("source_system",) if c in items.columns]
+    head = silver_orders.where(F.col("is_current")).select(
         F.col("original_id").alias("order_id"), "source_system", "order_hk", "customer_hk",
         "order_date", "currency_code", "is_quarantined", "source_batch_id", "effective_from",
     )
     src = F.col("source_system")
     line_id = F.concat_ws("-", "order_id", F.col("line_item").cast("string"))
-    return with_fx(items.join(head, "order_id"), rates).select(
+    return with_fx(items.join(head, match), rates).select(
         hash_key(src, line_id).alias("line_hk"),
         "source_system",
         F.col("order_id").alias("original_order_id"),
