@@ -81,3 +81,8 @@ def test_snapshots_ignore_unfinished_versions(spark, tmp_path):
     (tmp_path / "t" / "version=000000000009").mkdir()
     assert table.versions() == [0, 4]
     assert table.read().count() == 5 and table.read(before=4).count() == 3
+    table.write(spark.range(7), 11)
+    table.expire(2)
+    assert table.versions() == [4, 11]
+    table.expire(0)
+    assert table.versions() == [4, 11]

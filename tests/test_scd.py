@@ -84,3 +84,16 @@ def test_new_key_and_untouched_key(spark):
     stored = scd.build(spark.createDataFrame([("old", START, "A", "")], SCHEMA), "k")
     batch = spark.createDataFrame([("new", START, "Z", "")], SCHEMA)
     assert [(r[0], r[5]) for r in result(scd.apply(stored, batch, "k"))] == [("new", 1), ("old", 1)]
+
+
+def test_changes_hold_exactly_the_altered_rows(spark):
+    day = lambda n: START + timedelta(days=n)
+    stored = scd.build(spark.createDataFrame([(k, day(0), "A", "") for k in "abc"], SCHEMA), "k")
+    batch = spark.createDataFrame([("a", day(1), "B", ""), ("b", day(1), "A", ""), ("d", day(1), "A", "")], SCHEMA)
+    before, after = result(stored), result(scd.apply(stored, batch, "k"))
+    assert result(scd.changes(stored, batch, "k")) == sorted(set(after) - set(before))
+
+
+def test_one_key_holding_most_rows(spark):
+    rows = [("hot", START + timedelta(hours=i), "ABCA"[i % 4], "") for i in range(3000)] + history(7, rows=100, hot=0)
+    assert result(scd.build(spark.createDataFrame(rows, SCHEMA), "k")) == expected(rows)

@@ -95,6 +95,24 @@ def build(
     ).drop(*dropped)
 
 
+def _split(
+    versions: DataFrame, batch: DataFrame, key: str, at: str, digest: str, chunk: str
+) -> tuple[DataFrame, DataFrame]:
+    """Versions the batch cannot affect, and the rebuilt remainder."""
+    touched = batch.groupBy(key).agg(F.min(at).alias("_batch_start"))
+    marked = versions.join(touched, key, "left")
+    closed = F.col("_batch_start").isNull() | (F.col("effective_to") < F.col("_batch_start"))
+    settled = marked.where(closed).drop("_batch_start")
+
+    body = [c for c in versions.columns if c not in VERSION_COLUMNS]
+    reopened = marked.where(~closed).select(*body, F.col("record_version").alias("stored_version"))
+    fresh = batch.select(*body, F.lit(None).cast("int").alias("stored_version"))
+    rebuilt = build(
+        reopened.unionByName(fresh), key, at, digest, chunk, first_version="stored_version"
+    )
+    return settled, rebuilt.select(settled.columns)
+
+
 def apply(
     versions: DataFrame,
     batch: DataFrame,
@@ -111,15 +129,23 @@ def apply(
     when batch rows of a key are not older than rows already applied; older
     ones are placed among the stored versions.
     """
-    touched = batch.groupBy(key).agg(F.min(at).alias("_batch_start"))
-    marked = versions.join(touched, key, "left")
-    closed = F.col("_batch_start").isNull() | (F.col("effective_to") < F.col("_batch_start"))
-    settled = marked.where(closed).drop("_batch_start")
+    settled, rebuilt = _split(versions, batch, key, at, digest, chunk)
+    return settled.unionByName(rebuilt)
 
-    body = [c for c in versions.columns if c not in VERSION_COLUMNS]
-    reopened = marked.where(~closed).select(*body, F.col("record_version").alias("stored_version"))
-    fresh = batch.select(*body, F.lit(None).cast("int").alias("stored_version"))
-    rebuilt = build(
-        reopened.unionByName(fresh), key, at, digest, chunk, first_version="stored_version"
-    )
-    return settled.unionByName(rebuilt.select(settled.columns))
+
+def changes(
+    versions: DataFrame,
+    batch: DataFrame,
+    key: str,
+    at: str = "effective_from",
+    digest: str = "hash_diff",
+    chunk: str = "month",
+) -> DataFrame:
+    """Only the version rows that ``apply`` would add or alter.
+
+    This is the input for a table format with MERGE, matched on key and start
+    time: its size follows the batch, not the table.
+    """
+    _, rebuilt = _split(versions, batch, key, at, digest, chunk)
+    same = [key, at, digest, "effective_to", "record_version"]
+    return rebuilt.join(versions.select(same), same, "left_anti")

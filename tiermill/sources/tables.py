@@ -32,17 +32,21 @@ class Snapshots:
     def path(self, version: int) -> str:
         return f"{self.root}/version={version:012d}"
 
+    def _files(self):
+        """The storage behind the root, whatever it is, and its path type."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def versions(self) -> list[int]:
         """Complete versions, oldest first; file names only, no data is read."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, path = self._files()
+        root = path(self.root)
         if not fs.exists(root):
             return []
         found = []
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            done = path(status.getPath(), "_SUCCESS")
             if name.startswith("version=") and fs.exists(done):
                 found.append(int(name.split("=")[1]))
         return sorted(found)
@@ -55,3 +59,9 @@ class Snapshots:
     def write(self, df: DataFrame, version: int, partition_by: list[str] | None = None) -> None:
         """Write a version; doing it again replaces that version only."""
         df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(self.path(version))
+
+    def expire(self, keep: int) -> None:
+        """Drop all but the newest ``keep`` complete versions (at least two)."""
+        fs, path = self._files()
+        for version in self.versions()[: -max(keep, 2)]:
+            fs.delete(path(self.path(version)), True)

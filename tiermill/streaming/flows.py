@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -73,19 +74,27 @@ def refresh_versions(
     key: str,
     checkpoint: str,
     every: str | None = "5 minutes",
+    keep: int = 10,
 ) -> StreamingQuery:
     """Keep a versioned Silver table fresh.
 
     Each micro-batch is conformed, applied to the newest version below its own
     number, and written as the version of that number. A replay rebuilds the
-    same version from the same inputs.
+    same version from the same inputs. ``table`` and ``checkpoint`` belong
+    together; start a new table when starting a new checkpoint. The last
+    ``keep`` versions stay readable.
     """
 
     def apply_batch(batch: DataFrame, number: int) -> None:
-        rows = conform(batch).drop(*scd.VERSION_COLUMNS)
-        current = table.read(before=number)
-        result = scd.build(rows, key) if current is None else scd.apply(current, rows, key)
-        table.write(result, number)
+        # The plan reads the batch several times; a lost block is computed again.
+        rows = conform(batch).drop(*scd.VERSION_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            current = table.read(before=number)
+            result = scd.build(rows, key) if current is None else scd.apply(current, rows, key)
+            table.write(result, number)
+            table.expire(keep)
+        finally:
+            rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
