@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def percent(part: Column, total: Column, when_empty: int) -> Column:
+def percent(part: Column, total: Column, when_empty: int | Column) -> Column:
     """``part / total * 100`` rounded half up to two decimals, from integers."""
     hundredths = F.call_function("div", part * 20000 + total, total * 2)
-    return F.when(total == 0, F.lit(when_empty).cast("decimal(5,2)")).otherwise(
+    empty = when_empty if isinstance(when_empty, Column) else F.lit(when_empty)
+    return F.when(total == 0, empty.cast("decimal(5,2)")).otherwise(
         (hundredths.cast("decimal(12,0)") / 100).cast("decimal(5,2)")
     )
 

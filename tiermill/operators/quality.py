@@ -19,10 +19,6 @@ from tiermill.reference import DATE_FLOOR, EUROPE_CURRENCIES, VALID_CURRENCIES
 from tiermill.session import stored
 
 MIN_ROWS_FOR_SIGMA = 30
-RESULT = [
-    "target_table", "dama_dimension", "rule_name", "records_checked", "records_passed",
-    "records_failed", "records_quarantined", "pass_rate",
-]
 
 
 @dataclass(frozen=True)
@@ -36,38 +32,33 @@ class Check:
     empty_rate: int = 100
 
 
-def _quarantined(policy: str, failed: Column, total: Column) -> Column:
-    if policy == "failed":
-        return failed
-    if policy == "failed_below_99":
-        return F.when((total - failed) * 100 < total * 99, failed).otherwise(F.lit(0))
-    return F.lit(0)
-
-
-def _result_columns(table: str, check: Check, total: Column, failed: Column) -> list[Column]:
-    return [
+def _outcome(counted: DataFrame, by: list[str], table: str) -> DataFrame:
+    """Result rows from one row per check with its total and failures."""
+    total, failed, policy = F.col("_total"), F.col("_failed"), F.col("_policy")
+    many = (policy == "failed") | ((policy == "failed_below_99") & ((total - failed) * 100 < total * 99))
+    return counted.select(
+        *by,
         F.lit(table).alias("target_table"),
-        F.lit(check.dimension).alias("dama_dimension"),
-        F.lit(check.rule).alias("rule_name"),
+        "dama_dimension",
+        "rule_name",
         total.alias("records_checked"),
         (total - failed).alias("records_passed"),
         failed.alias("records_failed"),
-        _quarantined(check.quarantine, failed, total).cast("bigint").alias("records_quarantined"),
-        percent(total - failed, total, check.empty_rate).alias("pass_rate"),
-    ]
+        F.when(many, failed).otherwise(F.lit(0)).cast("bigint").alias("records_quarantined"),
+        percent(total - failed, total, F.col("_empty_rate")).alias("pass_rate"),
+    )
 
 
 def evaluate(df: DataFrame, by: list[str], table: str, checks: list[Check]) -> DataFrame:
     """Result rows of row-level checks, per group of ``by``, in one pass."""
     counters = [F.count_if(c.failed).alias(f"_failed_{i}") for i, c in enumerate(checks)]
     wide = df.groupBy(*by).agg(F.count("*").alias("_total"), *counters)
-    rows = F.array(
-        *[
-            F.struct(*_result_columns(table, c, F.col("_total"), F.col(f"_failed_{i}")))
-            for i, c in enumerate(checks)
-        ]
+    rows = ", ".join(
+        f"named_struct('dama_dimension', '{c.dimension}', 'rule_name', '{c.rule}', '_policy', '{c.quarantine}', "
+        f"'_empty_rate', {c.empty_rate}, '_failed', _failed_{i})"
+        for i, c in enumerate(checks)
     )
-    return wide.select(*by, F.inline(rows)).select(*by, *RESULT)
+    return _outcome(wide.select(*by, "_total", F.expr(f"inline(array({rows}))")), by, table)
 
 
 # -- the dimensions ------------------------------------------------------------
@@ -139,8 +130,13 @@ def uniqueness(df: DataFrame, by: list[str], table: str, key: list[str]) -> Data
         F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"),
         F.count_if(F.col("_n") > 1).alias("_failed"),
     )
-    check = Check("UNIQUENESS", f"PK_UNIQUE({'_'.join(k.upper() for k in key)})", F.lit(False), "failed")
-    return wide.select(*by, *_result_columns(table, check, F.col("_total"), F.col("_failed")))
+    labels = {
+        "dama_dimension": F.lit("UNIQUENESS"),
+        "rule_name": F.lit(f"PK_UNIQUE({'_'.join(k.upper() for k in key)})"),
+        "_policy": F.lit("failed"),
+        "_empty_rate": F.lit(100),
+    }
+    return _outcome(wide.withColumns(labels), by, table)
 
 
 ORDER_COLUMNS = ["order_hk", "original_id", "customer_hk", "order_date", "net_amount_usd"]
