@@ -19,7 +19,18 @@ def test_no_cross_join_and_no_row_python(spark, name):
     text = physical(contract.queries()[name](spark, SMALL))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert operator not in text
-    assert ("MapInPandas" in text) == (name == "product_affinity")
+    assert "MapInPandas" not in text
+
+
+def test_the_only_python_step_counts_families_in_batches(spark, bronze):
+    """Affinity stores its counts first, so the step shows in that plan only."""
+    from tiermill.operators.features import family_affinity, family_revenue
+    from tiermill.plans.features import AS_OF, lines_before
+
+    text = physical(family_affinity(family_revenue(lines_before(bronze), AS_OF)))
+    assert "MapInPandas" in text
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert operator not in text
 
 
 def test_filters_and_columns_reach_the_scan(spark):
