@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermill.llm import html_blocks, language_mixture, line_frequency, mixing_flow, packing_bm25, simhash_pivots, url_rules
+from tiermill.llm import (
+    html_blocks,
+    language_mixture,
+    license_scan,
+    line_frequency,
+    mixing_flow,
+    packing_bm25,
+    passage_chains,
+    simhash_pivots,
+    spotsigs,
+    url_rules,
+)
 from tiermill.llm.common import read
 
 # The rules that the URL query applies.
@@ -27,6 +38,11 @@ def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.assess(read(spark, folder, "documents"))
 
 
+def op3_passage_chains(spark: SparkSession, folder: str) -> DataFrame:
+    found = passage_chains.passages(read(spark, folder, "documents"))
+    return found.withColumnRenamed("partner", "partner_id")
+
+
 def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages").select("page_id", "url")
     judged = url_rules.judge(pages, url_rules.rule_table(spark, URL_RULES))
@@ -37,6 +53,10 @@ def op5_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_pivots.near_duplicates(read(spark, folder, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(read(spark, folder, "documents")).drop("matches")
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing_flow.mix(read(spark, folder, "documents"))
     return mixed.select(
@@ -62,16 +82,23 @@ def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return language_mixture.identify(asked, names, table).select("doc_id", "held_out", "lang_pred", "score", "lang_mix")
 
 
+def op10_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.compare(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction,
         op2_line_frequency,
+        op3_passage_chains,
         op4_url_rules,
         op5_simhash_pivots,
+        op6_license_scan,
         op7_source_mixing,
         op8_lexical_packing,
         op9_language_mixture,
+        op10_spot_signatures,
     )
 }
-CHECKS: dict[str, str] = {}
+CHECKS = {"op6_license_scan": license_scan.check_sql()}

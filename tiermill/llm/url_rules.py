@@ -5,7 +5,7 @@ cut into ranges of that order, every rule goes to each range that its interval m
 keeps the rules whose interval is open on a stack, outer hosts below inner ones. A URL looks for the longest path that fits
 it among the open rules.
 
-The ranges are cut at quantiles of a bounded sample of URLs (``SAMPLE_PER_RANGE`` for each range). The sample shapes the
+The ranges are cut at quantiles of a bounded sample of URLs (``SAMPLE_PER_RANGE`` expected for each range, drawn by hash). The sample shapes the
 layout only, never the result. URLs are ordered by host, path and a hash of the row, so a host or a single URL that holds a
 large share of the rows is spread over several ranges.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tiermill.llm.common import tasks
 
-SAMPLE_PER_RANGE = 64
+SAMPLE_PER_RANGE = 16
 RANGES_PER_TASK = 4
 END = "\U0010ffff"
 
@@ -50,9 +50,10 @@ def reversed_host(host: Column) -> Column:
 
 
 def _bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """Lower bounds of all ranges but the first, from a sample whose size depends on ``ranges`` alone."""
-    lowest = keys.select("_key", F.xxhash64("_key").alias("_draw")).orderBy("_draw").limit(SAMPLE_PER_RANGE * ranges)
-    sample = sorted(row[0] for row in lowest.select("_key").collect())
+    """Lower bounds of all ranges but the first, from a sample whose expected size depends on ``ranges`` alone."""
+    share = SAMPLE_PER_RANGE * ranges / max(keys.count(), 1)
+    drawn = keys.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(1 << 32)) < share * (1 << 32))
+    sample = sorted(row[0] for row in drawn.collect())
     if not sample:
         return []
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)} - {sample[0]})
