@@ -12,7 +12,7 @@ Counts are made in two steps, by (host, line, sketch) and then by (host, line);
 line that stands in a large share of all documents does not gather its documents in one task.
 
 Defined cases: a null text is an empty one, has no words and fails; a null host is a host of its own; lines without a word
-are not counted and never removed; repeated rows count as one document; empty tables give no rows. Result columns replace
+are never removed; repeated rows count as one document; empty tables give no rows. Result columns replace
 columns of the same names.
 """
 
@@ -46,6 +46,7 @@ class Limits:
     max_repeat: int = 20
     window: int = 5
     line_docs: int = 20
+    line_words: int = 3
     max_lost: float = 0.5
     min_left: int = 10
 
@@ -97,8 +98,9 @@ def facts(text: bytes, limits: Limits) -> tuple:
         if own:
             copies += line in seen
             seen.add(line)
-            hashes.append(line_hash(own))
-            sizes.append(len(own))
+            if len(own) >= limits.line_words:
+                hashes.append(line_hash(own))
+                sizes.append(len(own))
     # The three smallest distinct hashes, so that two are left when the line in question is one of them.
     lowest = sorted(set(hashes))[:3]
     characters = len(b"".join(words).decode("utf-8", "replace"))
@@ -188,7 +190,7 @@ def assess(
 
 
 def without_lines(text: str, removed: set[int]) -> str:
-    return "\n".join(x for x in text.split("\n") if not (w := x.encode().split()) or line_hash(w) not in removed)
+    return "\n".join(x for x in text.split("\n") if line_hash(x.encode().split()) not in removed)
 
 
 @F.pandas_udf(StringType())

@@ -58,15 +58,15 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed long) of every row."""
+    """``id``, ``fp`` (the fingerprint as a signed long) and ``h`` (the text's hash) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), _signed(values)], names=["id", "fp"])
+            yield pa.record_batch([batch.column(0), _signed(values), batch.column(2)], names=["id", "fp", "h"])
 
-    rows = docs.select(F.col(id).alias("id"), as_bytes(text).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id).alias("id"), as_bytes(text).alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, h long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -206,17 +206,22 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
-) -> DataFrame:
-    """``id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable over links) of every row."""
-    prints = keep(fingerprints(docs, id, text, width), "simhash")
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """``fp``, ``root``, ``lowest``: each fingerprint's component, named by one of its fingerprints, and its smallest id."""
     # One row for each fingerprint: copies are collapsed before anything is compared.
     distinct = keep(prints.groupBy("fp").agg(F.min("id").alias("lowest")), "simhash-distinct")
     roots = components(links(distinct, distance))
-    named = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select(
+    return distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "lowest", F.coalesce("root", "fp").alias("root")
     )
+
+
+def near_duplicates(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
+) -> DataFrame:
+    """``id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable over links) of every row."""
+    prints = keep(fingerprints(docs, id, text, width), "simhash")
+    named = _classes(prints, distance)
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     classes = keep(named.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
     return prints.join(classes, "fp").select(
@@ -224,3 +229,22 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def representatives(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
+) -> DataFrame:
+    """The rows of ``docs`` with one of each component: the one with the smallest id (null ids last, then by text hash), and
+    one row of equal ones."""
+    prints = keep(fingerprints(docs, id, text, width), "simhash")
+    roots = keep(_classes(prints, distance).select("fp", "root"), "simhash-classes")
+    keys = prints.groupBy("id", "h", "fp").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
+    chosen = keep(
+        keys.join(roots, "fp").groupBy("root").agg(F.min_by(F.struct("id", "h", "n"), order).alias("x")).select("x.*"),
+        "simhash-chosen",
+    ).withColumnsRenamed({"id": "_id", "h": "_h", "n": "_n"})
+    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_h"))
+    single = docs.join(chosen.where("_n = 1"), same, "left_semi")
+    several = docs.join(chosen.where("_n > 1"), same).dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    return single.unionByName(several)
