@@ -40,7 +40,7 @@ def test_planted_passages(spark):
     assert touched == {0, 3, 7, 11, 12, 60, *range(20, 60)}
     # All but one of the documents with the common passage are linked to another, with at most a few links each.
     linked = [r for r in got if r.doc_id in range(20, 60)]
-    assert len({r.doc_id for r in linked}) == 39 and len(linked) == 39
+    assert len({r.doc_id for r in linked}) == 39 and len(linked) <= 4 * 39
     for r in got:
         a, b = (texts[r.doc_id].split()[r.start : r.stop], texts[r.partner].split()[r.other_start : r.other_stop])
         assert len(a) >= 50 and a[0] == b[0] and a[-1] == b[-1] and r.equal >= 0.8 * r.columns

@@ -4,9 +4,9 @@ Seeds are the minimizers of all word k-mers: the smallest hash in every window o
 longer than a k-mer, neighbouring seeds overlap or touch, so a run of seeds on one diagonal is an exact match, and every
 exact match of ``k + window - 1`` words holds a seed.
 
-A seed's documents are not paired with each other. Each is linked to the one before it in table order: first inside a task's
-buffer, then, with one entry per seed and buffer, across the buffers. So a passage in a third of all documents gives each of
-them a link or two and no group grows with their number. Links of a pair of documents on one diagonal are merged to anchors, anchors
+A seed's documents are not paired with each other. Each is linked to the one before it in table order and to the first one:
+inside a task's buffer, and then, with one entry per seed and buffer, across the buffers. So a passage in a third of all
+documents gives each of them a few links and no group grows with their number. Links of a pair of documents on one diagonal are merged to anchors, anchors
 are chained in order on both sides with a cost for gaps (a Fenwick tree finds the best predecessor), and the chains are
 aligned on the words: gaps are filled by a longest common subsequence, the ends are extended while words agree. What covers
 ``min_words`` words with ``min_identity`` of its columns equal is a passage.
@@ -42,7 +42,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class Rules:
     k: int = 8
     window: int = 8
-    buffer: int = 1_000_000  # seeds that a task links among themselves at a time
+    buffer: int = 700_000  # seeds that a task links among themselves at a time
     min_words: int = 50
     min_identity: float = 0.8
     least_seeded: int = 16  # words under anchors that make a chain worth aligning
@@ -94,7 +94,7 @@ def minimizers(words: np.ndarray, doc: np.ndarray, k: int, window: int) -> tuple
 
 
 def link_runs(seed: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For entries sorted by seed, row and pos: the entries that have an earlier document with their seed, the entries they
+    """For entries sorted by seed, row and pos: entries that have an earlier document with their seed and the entries they
     are linked to, and which entries belong to the first document of their seed."""
     count = len(seed)
     new_seed = np.ones(count, bool)
@@ -105,11 +105,15 @@ def link_runs(seed: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.nd
     sizes = np.diff(np.append(starts, count))
     group = np.cumsum(new_group) - 1
     rank = np.arange(count) - starts[group]
-    first = new_seed[starts][group]
-    linked = np.flatnonzero(~first)
-    before = group[linked] - 1
+    opening = new_seed[starts]
+    first = opening[group]
+    # Each document is linked to the one before it, and to the first one where that is another.
+    origin = np.maximum.accumulate(np.where(opening, np.arange(len(starts)), 0))[group]
+    later = np.flatnonzero(group - origin > 1)
+    linked = np.concatenate((np.flatnonzero(~first), later))
+    target = np.concatenate((group[~first] - 1, origin[later]))
     # The t-th time in this document goes with the t-th in the other, or with its last.
-    partner = starts[before] + np.minimum(rank[linked], sizes[before] - 1)
+    partner = starts[target] + np.minimum(rank[linked], sizes[target] - 1)
     return linked, partner, first
 
 
