@@ -97,3 +97,14 @@ def test_odd_rows(spark, odd, none):
 def test_cut_of_words():
     assert without_words("  a b\n\nc  d e ", [(1, 3)]) == "  a d e "
     assert without_words("a b c", [(0, 3)]) == "" and without_words("a b c", [(0, 2), (1, 2)]) == "c"
+
+
+def test_chain_through_unlike_text_is_cut(spark):
+    """Two exact passages with unlike text between them stay two; sparse matches around one do not hide it."""
+    core, tail = prose(110), [prose(12) for _ in range(6)]
+    left, right = prose(40), prose(40)
+    a = core + left + [w for t in tail for w in t + prose(22)]
+    b = core + right + [w for t in tail for w in t + prose(22)]
+    rows = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    got = passages(rows).collect()
+    assert [(r.doc_id, r.partner, r.start, r.stop, r.equal, r.columns) for r in got] == [(2, 1, 0, 110, 110, 110)]

@@ -8,8 +8,8 @@ A seed's documents are not paired with each other. Each is linked to the one bef
 inside a task's buffer, and then, with one entry per seed and buffer, across the buffers. So a passage in a third of all
 documents gives each of them a few links and no group grows with their number. Links of a pair of documents on one diagonal are merged to anchors, anchors
 are chained in order on both sides with a cost for gaps (a Fenwick tree finds the best predecessor), and the chains are
-aligned on the words: gaps are filled by a longest common subsequence, the ends are extended while words agree. What covers
-``min_words`` words with ``min_identity`` of its columns equal is a passage.
+aligned on the words: gaps are filled by a longest common subsequence, the ends are extended, and a chain that leads through
+unlike text is cut. What covers ``min_words`` words with ``min_identity`` of its columns equal is a passage.
 
 Words are runs of other than ASCII white space, with A-Z in lower case. A document is named by its row number in between.
 
@@ -49,7 +49,6 @@ class Rules:
     gap_cost: float = 0.1  # for each word between two anchors, on either side
     margin: int = 64  # words on either side of a chain in which its ends are looked for
     widest_gap: int = 48  # longer gaps count as unequal throughout
-    tolerance: int = 4  # unequal words in a row that end an extension
 
 
 class _Hashes(dict):
@@ -80,6 +79,11 @@ def minimizers(words: np.ndarray, doc: np.ndarray, k: int, window: int) -> tuple
     mers = np.zeros(count, np.uint64)
     for j in range(k):
         mers = mers * np.uint64(0x9E3779B97F4A7C15) + words[j : j + count]
+    # Equal neighbours are a run of one word; they are told apart by their place in it, so that runs of any length match.
+    place = np.arange(count)
+    fresh = np.ones(count, bool)
+    fresh[1:] = (mers[1:] != mers[:-1]) | (doc[1:count] != doc[: count - 1])
+    mers += (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     mers = (mers ^ (mers >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     mers ^= mers >> np.uint64(29)
     mers = np.minimum(mers, LAST - np.uint64(1))
@@ -327,36 +331,61 @@ def _common(a: list[int], b: list[int]) -> int:
     return previous[-1]
 
 
-def _extend(a: np.ndarray, b: np.ndarray, tolerance: int) -> tuple[int, int]:
-    """How far two sequences go along before ``tolerance`` unequal words in a row, and how many agree until there."""
+def _extend(a: np.ndarray, b: np.ndarray, identity: float) -> tuple[int, int]:
+    """How far two sequences go along word by word, to where most is won, and how many words agree until there."""
     count = min(len(a), len(b))
-    same = a[:count] == b[:count]
-    hits = np.flatnonzero(same)
-    if not len(hits) or hits[0] >= tolerance:
+    if not count:
         return 0, 0
-    breaks = np.flatnonzero(np.diff(hits) > tolerance)
-    last = hits[breaks[0]] if len(breaks) else hits[-1]
-    return int(last) + 1, int(same[: last + 1].sum())
-
-
-def align(own: np.ndarray, other: np.ndarray, anchors: np.ndarray, rules: Rules) -> tuple[int, int, int, int, int, int]:
-    """Start and stop on both sides, equal words and columns of a chain of anchors (places within the two slices)."""
-    equal = columns = 0
-    end_a = end_b = None
-    for a, b, size in anchors.tolist():
-        if end_a is not None:
-            gap_a, gap_b = own[end_a:a], other[end_b:b]
+    same = a[:count] == b[:count]
+    won = np.cumsum(same - identity)
+    last = int(won.argmax())
+    return (last + 1, int(same[: last + 1].sum())) if won[last] > 0 else (0, 0)
+
+
+def _best_runs(won: list[float]) -> list[tuple[int, int]]:
+    """Disjoint runs of steps (first, last) with the largest sums, taken one after another while they are above zero."""
+    found, open_ = [], [(0, len(won))]
+    while open_:
+        low, high = open_.pop()
+        best, start, total = (0.0, 0, 0), low, 0.0
+        for i in range(low, high):
+            if total <= 0:
+                start, total = i, 0.0
+            total += won[i]
+            if total > best[0]:
+                best = (total, start, i)
+        if best[0] > 0:
+            found.append(best[1:])
+            open_ += [(low, best[1]), (best[2] + 1, high)]
+    return sorted(found)
+
+
+def align(own: np.ndarray, other: np.ndarray, anchors: np.ndarray, rules: Rules) -> list[tuple[int, ...]]:
+    """Start and stop on both sides, equal words and columns of the passages along a chain of anchors (places within the
+    two slices). A chain that leads through unlike text is cut where keeping together costs more equal words than it wins."""
+    rows = anchors.tolist()
+    # Anchors and the gaps between them, in turn: equal words and columns.
+    steps: list[tuple[int, int]] = []
+    for i, (a, b, size) in enumerate(rows):
+        if i:
+            gap_a, gap_b = own[rows[i - 1][0] + rows[i - 1][2] : a], other[rows[i - 1][1] + rows[i - 1][2] : b]
             wide = max(len(gap_a), len(gap_b))
-            if wide <= rules.widest_gap:
-                equal += _common(gap_a.tolist(), gap_b.tolist())
-            columns += wide
-        equal, columns = equal + size, columns + size
-        end_a, end_b = a + size, b + size
-    start_a, start_b = int(anchors[0][0]), int(anchors[0][1])
-    more, hits = _extend(own[:start_a][::-1], other[:start_b][::-1], rules.tolerance)
-    start_a, start_b, equal, columns = start_a - more, start_b - more, equal + hits, columns + more
-    more, hits = _extend(own[end_a:], other[end_b:], rules.tolerance)
-    return start_a, end_a + more, start_b, end_b + more, equal + hits, columns + more
+            close = wide <= rules.widest_gap
+            steps.append((_common(gap_a.tolist(), gap_b.tolist()) if close else 0, wide))
+        steps.append((size, size))
+    found = []
+    # A best run begins and ends with an anchor, as these alone win.
+    for first, last in _best_runs([equal - rules.min_identity * columns for equal, columns in steps]):
+        first, last = first + first % 2, last - last % 2
+        equal, columns = (sum(x) for x in zip(*steps[first : last + 1]))
+        start_a, start_b, _ = rows[first // 2]
+        end_a, end_b = rows[last // 2][0] + rows[last // 2][2], rows[last // 2][1] + rows[last // 2][2]
+        back, hits = _extend(own[:start_a][::-1], other[:start_b][::-1], rules.min_identity)
+        on, more = _extend(own[end_a:], other[end_b:], rules.min_identity)
+        found.append(
+            (start_a - back, end_a + on, start_b - back, end_b + on, equal + hits + more, columns + back + on)
+        )
+    return found
 
 
 def _aligned(rules: Rules):
@@ -368,10 +397,10 @@ def _aligned(rules: Rules):
             columns = [batch.column(n).to_pylist() for n in ("own_words", "other_words", "own_from", "other_from", "anchors")]
             for i, (a, b, from_a, from_b, anchors) in enumerate(zip(*columns)):
                 local = np.frombuffer(anchors, "<i4").reshape(-1, 3) - np.array([from_a, from_b, 0])
-                got = align(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"), local, rules)
-                if got[1] - got[0] >= rules.min_words and got[4] >= rules.min_identity * got[5]:
-                    taken.append(i)
-                    values.append((got[0] + from_a, got[1] + from_a, got[2] + from_b, got[3] + from_b, got[4], got[5]))
+                for got in align(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"), local, rules):
+                    if got[1] - got[0] >= rules.min_words:
+                        taken.append(i)
+                        values.append((got[0] + from_a, got[1] + from_a, got[2] + from_b, got[3] + from_b, *got[4:]))
             if taken:
                 kept = batch.take(pa.array(taken))
                 out = [kept.column(n) for n in ("row", "id", "partner_id")]
