@@ -137,10 +137,12 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int =
             "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), signatures(F.col("text")).alias("next_signatures")
         )
 
-    # A document that stands in the table more than once gives its text once.
-    once = given(asked.where("next_c = 1"))
-    repeated = given(asked.where("next_c > 1")).dropDuplicates(["for_id", "for_h", "for_n"])
-    joined = rows.join(once.unionByName(repeated), _same("id h n", "for_id for_h for_n"))
+    heads = given(asked.where("next_c = 1"))
+    if asked.where("next_c > 1").take(1):
+        # A document that stands in the table more than once gives its text once.
+        repeated = given(asked.where("next_c > 1")).dropDuplicates(["for_id", "for_h", "for_n"])
+        heads = heads.unionByName(repeated)
+    joined = rows.join(heads, _same("id h n", "for_id for_h for_n"))
     cut = F.floor(F.col("n") / part).cast("int")
     return joined.select(
         "id", "text", "n", F.concat(F.left("text", F.col("n") - cut), F.col("head")).alias("edited"), "next_signatures"
