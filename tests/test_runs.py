@@ -18,12 +18,14 @@ def test_feature_run_twice_writes_once(spark, bronze, tmp_path):
     assert spark.read.parquet(prediction_path).count() == stored.count()
 
 
-def test_quality_run_appends_dated_rows(spark, bronze, tmp_path):
+def test_a_repeated_quality_run_replaces_its_rows(spark, bronze, tmp_path):
     path = str(tmp_path / "log")
     orders = silver.orders(bronze.orders()).withColumnRenamed("source_batch_id", "batch_id")
     runs.quality_run(orders, path, RUN_TS)
     runs.quality_run(orders, path, RUN_TS)
+    runs.quality_run(orders, path, RUN_TS, run_id="other")
     log = spark.read.parquet(path)
+    assert log.select("run_id").distinct().count() == 2
     groups = orders.select("batch_id", "source_system").distinct().count()
     assert log.where(F.col("dama_dimension") == "UNIQUENESS").count() == 2 * groups
     assert log.select("run_date").distinct().count() == 1

@@ -3,7 +3,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tiermill.operators import scd
-from tiermill.sources.tables import Snapshots
+import pytest
+
+from tiermill.sources.tables import BucketedVersions
 from tiermill.streaming import flows
 
 ROWS = "k string, effective_from timestamp, hash_diff string"
@@ -12,13 +14,13 @@ EVENTS = "event_id string, event_timestamp timestamp, event_type string"
 
 def test_versions_survive_a_restart(spark, tmp_path):
     folder, state = str(tmp_path / "in"), str(tmp_path / "checkpoint")
-    table = Snapshots(spark, str(tmp_path / "silver"))
+    table = BucketedVersions(spark, str(tmp_path / "silver"), "k", buckets=16)
     first = [("a", datetime(2024, 1, 1), "x"), ("b", datetime(2024, 1, 1), "x")]
     second = [("a", datetime(2024, 1, 2), "y"), ("b", datetime(2024, 1, 2), "x"), ("c", datetime(2024, 1, 2), "z")]
 
     def run():
         stream = flows.file_stream(spark, folder, spark.createDataFrame([], ROWS).schema)
-        query = flows.refresh_versions(stream, lambda df: df, table, "k", state, every=None)
+        query = flows.refresh_versions(stream, lambda df: df, table, state, every=None)
         query.awaitTermination(120)
         return sorted(tuple(r) for r in table.read().select("k", "hash_diff", "is_current", "record_version").collect())
 
@@ -29,6 +31,16 @@ def test_versions_survive_a_restart(spark, tmp_path):
     assert run() == [("a", "x", False, 1), ("a", "y", True, 2), ("b", "x", True, 1), ("c", "z", True, 1)]
     whole = scd.build(spark.createDataFrame(first + second, ROWS), "k")
     assert whole.exceptAll(table.read().select(whole.columns)).count() == 0
+    # Only what the batches touched was written: all three keys twice at most, and another flow is refused.
+    before = table.manifest()["buckets"]
+    spark.createDataFrame([("a", datetime(2024, 1, 3), "w")], ROWS).write.mode("append").parquet(folder)
+    run()
+    after = table.manifest()["buckets"]
+    assert set(before) == set(after) and [b for b in after if after[b] != before[b]] == [str(x) for x in table.touched(spark.createDataFrame([("a",)], "k string"))]
+    with pytest.raises(ValueError):
+        table.write(table.read(), 99, "another", [])
+    table.expire(1)
+    assert len(table.versions()) == 1 and table.read().count() == 5
 
 
 def test_append_twice_with_one_checkpoint_gives_no_duplicates(spark, tmp_path):
@@ -40,18 +52,16 @@ def test_append_twice_with_one_checkpoint_gives_no_duplicates(spark, tmp_path):
     assert spark.read.parquet(out).count() == 10
 
 
-def test_event_days_close_and_duplicates_count_once(spark, tmp_path):
-    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    rows = [
-        ("1", datetime(2024, 1, 1, 5), "click"), ("1", datetime(2024, 1, 1, 5), "click"),
-        ("2", datetime(2024, 1, 1, 6), "view"), ("3", datetime(2024, 1, 2, 6), "view"),
-    ]
-    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(folder)
-    flows.use_disk_state(spark)
-    stream = flows.file_stream(spark, folder, spark.createDataFrame([], EVENTS).schema)
-    flows.append_to(flows.daily_counts(stream), out, state, every=None).awaitTermination(120)
-    got = spark.read.parquet(out).select(F.to_date("day_start").cast("string"), "event_type", "n_events").collect()
-    assert sorted(map(tuple, got)) == [("2024-01-01", "click", 1), ("2024-01-01", "view", 1)]
+def test_late_and_repeated_events_correct_their_day(spark, tmp_path):
+    folder, root, state = (str(tmp_path / n) for n in ("in", "counts", "state"))
+    days = [5, 6, 7, 2, 9, 5]
+    for i, day in enumerate(days):
+        row = ("5" if day == 5 else str(i), datetime(2024, 1, day, 5), "click")
+        spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        stream = flows.file_stream(spark, folder, spark.createDataFrame([], EVENTS).schema)
+        flows.refresh_daily_counts(stream, root, state, every=None).awaitTermination()
+    got = flows.read_daily_counts(spark, root).collect()
+    assert sorted((r.event_date.day, r.n_events) for r in got) == [(2, 1), (5, 1), (6, 1), (7, 1), (9, 1)]
 
 
 def test_payloads_that_do_not_parse_are_marked(spark):

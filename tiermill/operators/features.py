@@ -168,14 +168,20 @@ def family_affinity(purchases: DataFrame) -> DataFrame:
     Ownership is counted by matrix products inside the tasks, so each batch
     hands on at most one row per family pair however many customers share it.
     """
-    owned = purchases.groupBy("customer_hk").agg(F.collect_list("product_family").alias("owned"))
+    return _likelihoods(purchases, purchases.groupBy("customer_hk").agg(F.collect_list("product_family").alias("owned")))
+
+
+def _likelihoods(purchases: DataFrame, baskets: DataFrame) -> DataFrame:
+    """``purchases`` has one row per customer and family, so its rows per family are the owners."""
     joint = (
-        owned.select("owned")
+        baskets.select("owned")
         .mapInPandas(_joint_counter(), "family string, other string, customers bigint")
         .groupBy("family", "other")
         .agg(F.sum("customers").alias("both"))
     )
-    alone = joint.where(F.col("family") == F.col("other")).select("other", F.col("both").alias("owners"))
+    alone = purchases.where(F.col("product_family").isNotNull()).groupBy(F.col("product_family").alias("other")).agg(
+        F.count("*").alias("owners")
+    )
     return joint.join(alone, "other").select(
         "family", "other", (F.col("both") / F.col("owners")).alias("likelihood")
     )
@@ -185,14 +191,18 @@ def product_affinity(lines: DataFrame, as_of: date) -> DataFrame:
     """Per customer and family: counts, recency, revenue share, cross-sell score.
 
     The score is the best chance of owning the family among owners of another
-    family the customer has; a single-family customer scores zero.
+    family the customer has; a single-family customer scores zero. So do purchases without a family, which count in
+    the customer's total like any other.
     """
     purchases = stored(family_revenue(lines, as_of), "family-purchases")  # read three times below
-    basket = purchases.groupBy("customer_hk").agg(
-        F.sum("revenue").alias("total"), F.collect_list("product_family").alias("owned")
+    basket = stored(
+        purchases.groupBy("customer_hk").agg(
+            F.sum("revenue").alias("total"), F.collect_list("product_family").alias("owned")
+        ),
+        "family-baskets",
     )
     chances = stored(
-        family_affinity(purchases).groupBy("family").agg(
+        _likelihoods(purchases, basket).groupBy("family").agg(
             F.map_from_entries(F.collect_list(F.struct("other", "likelihood"))).alias("chance")
         ),
         "family-chances",
@@ -202,7 +212,7 @@ def product_affinity(lines: DataFrame, as_of: date) -> DataFrame:
     score = F.array_max(F.transform(others, lambda g: F.element_at("chance", g)))
     return (
         purchases.join(basket, "customer_hk")
-        .join(chances, family == F.col("family"))
+        .join(chances, family == F.col("family"), "left")
         .select(
             "customer_hk",
             "product_family",
@@ -268,7 +278,7 @@ def narratives(customers: DataFrame, features: DataFrame) -> DataFrame:
     orders = F.coalesce("order_count_l90", F.lit(0))
     known = lambda c: F.coalesce(c, F.lit("Unknown"))
     summary = F.concat(
-        F.lit("Customer: "), "customer_name",
+        F.lit("Customer: "), known("customer_name"),
         F.lit(". Industry: "), known("industry"),
         F.lit(". Region: "), known("region"),
         F.lit(". Segment: "), known("segment"),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiermill.functions.dates import date_key
-from tiermill.reference import DIM_DATE_DAYS, DIM_DATE_START, REGION_ROWS, inline_table
+from tiermill.reference import DIM_DATE_DAYS, DIM_DATE_START, OPEN_END, REGION_ROWS, inline_table
 
 # Which source wins when several know an attribute.
 SOURCE_PRIORITY = {"SAP": 1, "JDE": 2, "QAD": 3, "SALESFORCE": 4}
@@ -90,8 +90,8 @@ def dim_region(regions: DataFrame) -> DataFrame:
     )
 
 
-def dim_product(products: DataFrame) -> DataFrame:
-    """Products keyed by the hash of their code (no source prefix)."""
+def dim_product(products: DataFrame, loaded_at: datetime) -> DataFrame:
+    """Products keyed by the hash of their code (no source prefix), valid from their load on."""
     return products.select(
         F.sha2("product_code", 256).alias("product_hk"),
         "product_code",
@@ -102,15 +102,18 @@ def dim_product(products: DataFrame) -> DataFrame:
         F.col("list_price").alias("list_price_usd"),
         F.lit(False).alias("is_discontinued"),
         F.lit(True).alias("is_current"),
+        F.lit(loaded_at).alias("effective_from"),
+        F.lit(OPEN_END).alias("effective_to"),
     )
 
 
 # -- customer -----------------------------------------------------------------
 
 
-def match_key(name: Column, country: Column) -> Column:
+def match_key(name: Column, country: Column, own: Column) -> Column:
+    """What customers of one master share: name and country. Without a name nothing is known, so the row keeps its own key."""
     clean = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    return F.concat_ws("|", clean(name), clean(country))
+    return F.when(clean(name) == "", own).otherwise(F.concat_ws("|", clean(name), clean(country)))
 
 
 def identity(customers: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
@@ -142,7 +145,7 @@ def identity(customers: DataFrame, accounts: DataFrame | None = None) -> DataFra
             )
         )
     return base.withColumn(
-        "master_customer_hk", F.sha2(match_key(F.col("customer_name"), F.col("country_code")), 256)
+        "master_customer_hk", F.sha2(match_key(F.col("customer_name"), F.col("country_code"), F.col("customer_hk")), 256)
     )
 
 
@@ -212,16 +215,25 @@ def fact_sales(silver_orders: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def _per_order(rows: DataFrame, keys: list, sums: list[str]) -> DataFrame:
+    """Sums and counts of an order within a group. An order has one customer, so orders are rows from here on and only
+    customers are left to count once."""
+    parts = [f(c).alias(f"{p}_{c}") for c in sums for f, p in ((F.sum, "sum"), (F.count, "n"))]
+    return rows.groupBy(*keys, "order_hk").agg(*parts, F.max("customer_hk").alias("customer_hk"))
+
+
 def _mean(column: str) -> Column:
-    return F.sum(column).cast("double") / F.count(column)
+    return F.sum(f"sum_{column}").cast("double") / F.sum(f"n_{column}")
 
 
 def regional_sales_daily(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("source_system", "source_region", "date_key", "region_sk").agg(
-        F.countDistinct("order_hk").alias("order_count"),
-        F.sum("net_amount_usd").alias("total_revenue_usd"),
-        F.sum("tax_amount_usd").alias("total_tax_usd"),
-        F.sum("total_amount_usd").alias("total_billed_usd"),
+    keys = ["source_system", "source_region", "date_key", "region_sk"]
+    orders = _per_order(fact, keys, ["net_amount_usd", "tax_amount_usd", "total_amount_usd", "discount_pct"])
+    return orders.groupBy(*keys).agg(
+        F.count("order_hk").alias("order_count"),
+        F.sum("sum_net_amount_usd").alias("total_revenue_usd"),
+        F.sum("sum_tax_amount_usd").alias("total_tax_usd"),
+        F.sum("sum_total_amount_usd").alias("total_billed_usd"),
         _mean("net_amount_usd").alias("avg_order_value_usd"),
         _mean("discount_pct").alias("avg_discount_pct"),
         F.countDistinct("customer_hk").alias("unique_customers"),
@@ -234,9 +246,13 @@ def product_revenue(lines: DataFrame, grain: str = "day") -> DataFrame:
     period = (
         date_key(d).alias("date_key") if grain == "day" else (F.year(d) * 100 + F.month(d)).alias("month_key")
     )
-    return lines.where(~F.col("is_quarantined")).groupBy("product_code", "source_system", period).agg(
-        F.sum("line_amount_usd").alias("total_revenue_usd"),
-        F.countDistinct("order_hk").alias("order_count"),
+    orders = _per_order(
+        lines.where(~F.col("is_quarantined")), ["product_code", "source_system", period], ["line_amount_usd", "discount_pct"]
+    )
+    name = "date_key" if grain == "day" else "month_key"
+    return orders.groupBy("product_code", "source_system", name).agg(
+        F.sum("sum_line_amount_usd").alias("total_revenue_usd"),
+        F.count("order_hk").alias("order_count"),
         F.countDistinct("customer_hk").alias("unique_customers"),
         _mean("discount_pct").alias("avg_discount_pct"),
     )

@@ -2,40 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tiermill.reference import inline_table
 
 
-def layer_counts(df: DataFrame, layer: str, extra: dict | None = None) -> DataFrame:
-    """Rows per batch and source of one layer."""
-    counts = [F.count("*").alias(f"rows_{layer}"), *[v.alias(k) for k, v in (extra or {}).items()]]
-    return df.groupBy("batch_id", "source_system").agg(*counts)
-
-
 def reconcile(bronze: DataFrame, silver: DataFrame, gold: DataFrame) -> DataFrame:
     """Row counts of a batch through the layers, and the rows nobody accounts for.
 
-    Each argument carries ``batch_id`` and ``source_system``; ``silver`` also
-    ``is_quarantined``. Layers are counted first and only the counts are joined.
+    Each argument carries ``batch_id`` and ``source_system``; ``silver`` also ``is_quarantined``. The layers' counts are put
+    under each other and added up once, so a batch without a number stays one row.
     """
-    clean = silver.groupBy("batch_id", "source_system").agg(
-        F.count_if(~F.col("is_quarantined")).alias("rows_silver"),
-        F.count_if("is_quarantined").alias("quarantined"),
+    keys, names = ["batch_id", "source_system"], ["rows_bronze", "rows_silver", "quarantined", "rows_gold"]
+
+    def counted(df: DataFrame, **found) -> DataFrame:
+        return df.groupBy(*keys).agg(*[found.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    layers = counted(bronze, rows_bronze=F.count("*")).unionByName(
+        counted(silver, rows_silver=F.count_if(~F.col("is_quarantined")), quarantined=F.count_if("is_quarantined"))
+    )
+    summed = layers.unionByName(counted(gold, rows_gold=F.count("*"))).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    return summed.withColumn("lost", F.col("rows_bronze") - F.col("rows_silver") - F.col("quarantined"))
+
+
+RUN_LOG = (
+    "batch_id string; process_name string; target_layer string; status string; records_read bigint; "
+    "records_loaded bigint; records_rejected bigint; start_time timestamp; end_time timestamp; "
+    "duration_seconds double; error_message string"
+)
+
+
+def lineage_row(spark: SparkSession, batch_id: str, source: str, target: str, counts: dict, at: datetime) -> DataFrame:
+    """One row per hop of a batch: where its rows came from, where they went and how many."""
+    row = (batch_id, source, target, counts["records_read"], counts["records_loaded"], counts["records_rejected"], at)
+    return inline_table(
+        spark,
+        [row],
+        "batch_id string; source_table string; target_table string; rows_in bigint; rows_out bigint; rows_rejected bigint; "
+        "logged_at timestamp",
     )
-    keys = ["batch_id", "source_system"]
-    merged = layer_counts(bronze, "bronze").join(clean, keys, "full_outer").join(layer_counts(gold, "gold"), keys, "full_outer")
-    filled = merged.fillna(0, ["rows_bronze", "rows_silver", "quarantined", "rows_gold"])
-    return filled.withColumn("lost", F.col("rows_bronze") - F.col("rows_silver") - F.col("quarantined"))
 
 
 def logged_write(
-    judged: DataFrame, path: str, batch_id: str, name: str, started: datetime, partition_by: list[str] | None = None
+    judged: DataFrame,
+    path: str,
+    batch_id: str,
+    name: str,
+    started: datetime,
+    partition_by: list[str] | None = None,
+    now: Callable[[], datetime] = datetime.now,
 ) -> DataFrame:
-    """Write the rows that pass and return the run-log row.
+    """Write the rows that pass and return the run-log row: status, end, duration and, after a failure, the error.
 
     The counts are observed while the rows are written, so logging costs no
     second pass. ``judged`` carries ``route``.
@@ -49,11 +70,15 @@ def logged_write(
         F.count_if(rejected).alias("records_rejected"),
     )
     kept = observed.where(~rejected).drop("violations")
-    kept.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
-    counts = seen.get
-    return inline_table(
-        judged.sparkSession,
-        [(batch_id, name, "SILVER", "SUCCESS", counts["records_read"], counts["records_loaded"], counts["records_rejected"], started)],
-        "batch_id string; process_name string; target_layer string; status string; records_read bigint; "
-        "records_loaded bigint; records_rejected bigint; start_time timestamp",
-    )
+    status, error, counts = "SUCCESS", None, {"records_read": None, "records_loaded": None, "records_rejected": None}
+    try:
+        kept.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+        counts = seen.get
+    except Exception as failure:  # a run that fails is logged like any other; the caller sees it in the row
+        status, error = "FAILED", f"{type(failure).__name__}: {failure}"
+    ended = now()
+    row = (
+        batch_id, name, "SILVER", status, counts["records_read"], counts["records_loaded"], counts["records_rejected"],
+        started, ended, (ended - started).total_seconds(), error,
+    )
+    return inline_table(judged.sparkSession, [row], RUN_LOG)

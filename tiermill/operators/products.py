@@ -12,7 +12,7 @@ SALES_ORDERS_V1 = [
     "quarter_name", "month_number", "month_name", "region_name", "sub_region", "country_code", "erp_system",
 ]
 CUSTOMERS_V1 = [
-    "master_customer_hk", "customer_name", "customer_type", "industry", "country_code", "country_name",
+    "customer_sk", "master_customer_hk", "customer_name", "customer_type", "industry", "country_code", "country_name",
     "region", "is_key_account", "segment", "is_current",
 ]
 FEATURES_V1 = [
@@ -20,6 +20,12 @@ FEATURES_V1 = [
     "order_count_l90", "avg_order_value_l90", "days_since_last_order", "order_frequency_l365",
     "churn_risk_score", "upsell_propensity",
 ]
+CUSTOMER_360_V1 = {
+    "customer_hk": "string", "customer_name": "string", "industry": "string", "region": "string", "segment": "string",
+    "rev_l30d_usd": "decimal(18,2)", "rev_l90d_usd": "decimal(18,2)", "rev_l365d_usd": "decimal(18,2)",
+    "churn_risk_score": "decimal(5,4)", "upsell_propensity": "decimal(5,4)", "days_since_last_order": "int",
+    "as_of_date": "date",
+}
 PREDICTIONS_V1 = [
     "entity_hk", "entity_type", "as_of_date", "model_name", "model_version", "prediction_label",
     "prediction_score", "prediction_band", "confidence_interval",
@@ -40,22 +46,17 @@ def sales_orders(fact: DataFrame, dates: DataFrame, regions: DataFrame) -> DataF
     return fact.join(when, "date_key", "left").join(where, "region_sk", "left").select(SALES_ORDERS_V1)
 
 
-def regional_summary(daily: DataFrame) -> DataFrame:
-    return daily
-
-
-def product_revenue(by_day: DataFrame) -> DataFrame:
-    return by_day
-
-
-def monthly_revenue(by_month: DataFrame) -> DataFrame:
-    return by_month
+def customers(dim: DataFrame) -> DataFrame:
+    """Current customers with their key; no e-mail, phone or address leaves this view."""
+    return dim.where(F.col("is_current")).select(CUSTOMERS_V1)
 
 
-def customers(dim: DataFrame) -> DataFrame:
-    """Current customers; no e-mail, phone or address leaves this view."""
-    surrogate = ["customer_sk"] if "customer_sk" in dim.columns else []
-    return dim.where(F.col("is_current")).select(surrogate + CUSTOMERS_V1)
+def customer_360(dim: DataFrame, identity: DataFrame, rows: DataFrame) -> DataFrame:
+    """Feature rows of source customers with what their master customer is known by, in the promised types."""
+    owner = identity.select("customer_hk", "master_customer_hk")
+    known = dim.where(F.col("is_current")).select("master_customer_hk", "customer_name", "industry", "region", "segment")
+    joined = rows.join(owner, "customer_hk").join(known, "master_customer_hk")
+    return joined.select(*[F.col(name).cast(kind).alias(name) for name, kind in CUSTOMER_360_V1.items()])
 
 
 def features(rows: DataFrame) -> DataFrame:

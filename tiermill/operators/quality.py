@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +106,10 @@ def _with_limits(df: DataFrame, by: list[str], amount: str) -> DataFrame:
         F.count("*").alias("_rows"),
     )
     if by:
-        return df.join(stored(stats, "sigma-limits"), by)
+        # A group may have NULL in its name, and its rows are checked like any other.
+        limits = stored(stats, "sigma-limits").withColumnsRenamed({c: f"_by_{c}" for c in by})
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        return df.join(limits, same).drop(*[f"_by_{c}" for c in by])
     single = stats.select(F.struct("_mu", "_sigma", "_rows").alias("s")).scalar()
     return df.withColumn("_s", single).select("*", "_s._mu", "_s._sigma", "_s._rows").drop("_s")
 
@@ -115,14 +120,21 @@ def sigma_check(amount: str) -> Check:
     return Check("ACCURACY", "AMOUNT_3SIGMA_OUTLIER", far)
 
 
-def accuracy(df: DataFrame, by: list[str], table: str, amount: str = "net_amount_usd") -> DataFrame:
-    """Rows further than three sample deviations from the group's mean."""
+def accuracy(
+    df: DataFrame, by: list[str], table: str, amount: str = "net_amount_usd", min_rows: int = MIN_ROWS_FOR_SIGMA
+) -> DataFrame:
+    """Rows further than three sample deviations from the group's mean, for groups of more than ``min_rows`` rows."""
     limited = _with_limits(df.select(*by, amount), by, amount)
     return evaluate(limited, by, table, [sigma_check(amount)]).where(
-        F.col("records_checked") > MIN_ROWS_FOR_SIGMA
+        F.col("records_checked") > min_rows
     )
 
 
+def not_checked(df: DataFrame, by: list[str], min_rows: int = MIN_ROWS_FOR_SIGMA) -> DataFrame:
+    """Groups too small for three-sigma limits, with their rows: what ``accuracy`` gives no result for."""
+    return df.groupBy(*by).agg(F.count("*").alias("records_not_checked")).where(F.col("records_not_checked") <= min_rows)
+
+
 def uniqueness(df: DataFrame, by: list[str], table: str, key: list[str]) -> DataFrame:
     """Key values used more than once; each counts as one failure."""
     per_key = df.groupBy(*by, *key).agg(F.count("*").alias("_n"))
@@ -150,13 +162,20 @@ def run_all(
     floor: date = DATE_FLOOR,
     table: str = "SALES_ORDER",
     key: list[str] | None = None,
+    min_rows: int = MIN_ROWS_FOR_SIGMA,
 ) -> DataFrame:
-    """All six dimensions of an order frame, per group; empty groups give no rows."""
-    amount = "net_amount_usd"
+    """All six dimensions of an order frame, per group; empty groups give no rows.
+
+    The narrow columns are stored once; limits, row checks and keys are passes over these, not over the joins
+    that made them.
+    """
+    amount, key = "net_amount_usd", key or ORDER_KEY
+    needed = dict.fromkeys([*by, *ORDER_COLUMNS, *key, "currency_code", "load_timestamp", "source_region"])
+    orders = stored(orders.select(*needed), "checked-orders")
     row_level = [*completeness(ORDER_COLUMNS), *validity(run_date, floor), *timeliness(), *consistency()]
     checked = evaluate(_with_limits(orders, by, amount), by, table, [*row_level, sigma_check(amount)])
-    enough = (F.col("dama_dimension") != "ACCURACY") | (F.col("records_checked") > MIN_ROWS_FOR_SIGMA)
-    return checked.where(enough).unionByName(uniqueness(orders, by, table, key or ORDER_KEY))
+    enough = (F.col("dama_dimension") != "ACCURACY") | (F.col("records_checked") > min_rows)
+    return checked.where(enough).unionByName(uniqueness(orders, by, table, key))
 
 
 def log_rows(results: DataFrame, run_timestamp: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Scheduled runs: the transforms with their tables attached.
 
-An outside scheduler calls these; each writes append-only tables partitioned
-by date, and may be repeated for the same day.
+An outside scheduler calls these; each writes tables partitioned by date, and may
+be repeated: a run replaces its own rows and never those of another.
 """
 
 from __future__ import annotations
@@ -22,12 +22,28 @@ def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
 
 
-def quality_run(orders: DataFrame, log_path: str, run_ts: datetime, by: list[str] | None = None) -> None:
-    """All checks of all sources, appended to the batch log."""
+def _replace(rows: DataFrame, path: str) -> None:
+    """Write the rows of one run; a repeated run replaces its own partition."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "run_id").parquet(path)
+
+
+def quality_run(
+    orders: DataFrame, log_path: str, run_ts: datetime, by: list[str] | None = None, run_id: str | None = None
+) -> None:
+    """All checks of all sources, written to the batch log under their run id (the run time, if none is given)."""
     groups = by or ["batch_id", "source_system", "source_region"]
     results = quality.run_all(orders, groups, run_ts.date())
-    rows = quality.log_rows(results, F.lit(run_ts)).withColumn("run_date", F.to_date("run_timestamp"))
-    tables.append(rows, log_path, ["run_date"])
+    rows = quality.log_rows(results, F.lit(run_ts)).withColumns(
+        {"run_date": F.to_date("run_timestamp"), "run_id": F.lit(run_id or f"{run_ts:%Y%m%dT%H%M%S}")}
+    )
+    _replace(rows, log_path)
+
+
+def sli_run(measured: DataFrame, log_path: str, run_ts: datetime, run_id: str | None = None) -> None:
+    """Measured service levels of all products, written to the measurement log under their run id."""
+    rows = measured.withColumns({"run_date": F.lit(run_ts.date()), "run_id": F.lit(run_id or f"{run_ts:%Y%m%dT%H%M%S}")})
+    _replace(rows, log_path)
 
 
 def feature_run(

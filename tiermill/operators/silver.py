@@ -198,6 +198,13 @@ def order_lines(items: DataFrame, silver_orders: DataFrame, rates: DataFrame | N
     )
 
 
+def orphan_lines(items: DataFrame, silver_orders: DataFrame) -> DataFrame:
+    """Items without a current header: not lost, but waiting for it or rejected by whoever owns them."""
+    match = ["order_id"] + [c for c in ("source_system",) if c in items.columns]
+    heads = silver_orders.where(F.col("is_current")).select(F.col("original_id").alias("order_id"), "source_system")
+    return items.join(heads, match, "left_anti").withColumn("rejection_reason", F.lit("ORDER_NOT_FOUND"))
+
+
 def products(bronze: DataFrame, source: str = "SAP") -> DataFrame:
     region = SOURCE_REGION[source]
     return bronze.where(F.col("product_code").isNotNull()).select(

@@ -165,7 +165,7 @@ def product_predictions(b: Bronze) -> DataFrame:
 def narrative_sql(source: str) -> str:
     dollars = "format('{:,}', CAST(round(coalesce(rev, 0), 0) AS BIGINT))"
     return f"""SELECT master_customer_hk AS customer_hk, customer_name,
-      'Customer: ' || customer_name || '. Industry: ' || coalesce(industry, 'Unknown') || '. Region: ' || coalesce(region, 'Unknown')
+      'Customer: ' || coalesce(customer_name, 'Unknown') || '. Industry: ' || coalesce(industry, 'Unknown') || '. Region: ' || coalesce(region, 'Unknown')
       || '. Segment: ' || coalesce(segment, 'Unknown') || '. Revenue 12mo: $'
       || CASE WHEN length({dollars}) < 11 THEN lpad({dollars}, 11, ' ') ELSE {dollars} END
       || '. Orders 90d: ' || CAST(coalesce(n, 0) AS VARCHAR) || '. Churn risk: '

@@ -10,7 +10,8 @@ from tiermill.operators import gold, products as published, silver as conform
 from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import lines, orders, sql_stamp, stamp
-from tiermill.sources.bridge import Bronze
+from tiermill.reference import OPEN_END
+from tiermill.sources.bridge import CUSTOMER_LOADS, Bronze
 
 AMOUNTS = ["net_amount_orig", "net_amount_usd", "tax_amount_usd", "total_amount_usd", "discount_pct"]
 
@@ -68,12 +69,21 @@ def dim_region(b: Bronze) -> DataFrame:
 
 @plan(
     "dim_product",
-    """SELECT sha256(CAST(p_partkey AS VARCHAR)) AS product_hk, CAST(p_partkey AS VARCHAR) AS product_code, p_name AS product_name,
+    f"""SELECT row_number() OVER (ORDER BY sha256(CAST(p_partkey AS VARCHAR))) AS product_sk,
+      sha256(CAST(p_partkey AS VARCHAR)) AS product_hk, CAST(p_partkey AS VARCHAR) AS product_code, p_name AS product_name,
       p_type AS product_family, p_brand AS product_line, 'EA' AS unit_of_measure, p_retailprice AS list_price_usd,
-      FALSE AS is_discontinued, TRUE AS is_current FROM part""",
+      FALSE AS is_discontinued, TRUE AS is_current, {sql_stamp(f"TIMESTAMP '{CUSTOMER_LOADS[0]}'")} AS effective_from,
+      {sql_stamp(f"TIMESTAMP '{OPEN_END}'")} AS effective_to FROM part""",
 )
 def dim_product(b: Bronze) -> DataFrame:
-    return gold.dim_product(b.products()).withColumn("list_price_usd", F.col("list_price_usd").cast("double"))
+    numbered = gold.number_rows(gold.dim_product(b.products(), CUSTOMER_LOADS[0]), "product_hk", "product_sk")
+    return numbered.withColumns(
+        {
+            "list_price_usd": F.col("list_price_usd").cast("double"),
+            "effective_from": stamp("effective_from"),
+            "effective_to": stamp("effective_to"),
+        }
+    )
 
 
 def dim_customers(b: Bronze) -> DataFrame:
@@ -171,23 +181,23 @@ def product_sales_orders(b: Bronze) -> DataFrame:
 
 @plan("product_regional_summary", REGIONAL_SQL)
 def product_regional_summary(b: Bronze) -> DataFrame:
-    return summary_report(published.regional_summary(gold.regional_sales_daily(fact(b))))
+    return summary_report(gold.regional_sales_daily(fact(b)))
 
 
 @plan("product_product_revenue", DAY_SQL)
 def product_product_revenue(b: Bronze) -> DataFrame:
-    return summary_report(published.product_revenue(gold.product_revenue(lines(b), "day")))
+    return summary_report(gold.product_revenue(lines(b), "day"))
 
 
 @plan("product_monthly_revenue", MONTH_SQL)
 def product_monthly_revenue(b: Bronze) -> DataFrame:
-    return summary_report(published.monthly_revenue(gold.product_revenue(lines(b), "month")))
+    return summary_report(gold.product_revenue(lines(b), "month"))
 
 
 @plan(
     "product_customers",
-    """SELECT master_customer_hk, customer_name, CAST(NULL AS VARCHAR) AS customer_type, industry, country_code,
+    """SELECT row_number() OVER (ORDER BY master_customer_hk) AS customer_sk, master_customer_hk, customer_name, CAST(NULL AS VARCHAR) AS customer_type, industry, country_code,
       country_code AS country_name, region, is_key_account, segment, TRUE AS is_current FROM dim_customers""",
 )
 def product_customers(b: Bronze) -> DataFrame:
-    return published.customers(dim_customers(b))
+    return published.customers(gold.number_rows(dim_customers(b), "master_customer_hk", "customer_sk"))

@@ -16,9 +16,16 @@ from tiermill.sources.bridge import RUN_TS, Bronze
 
 @plan(
     "lineage_reconcile",
-    """SELECT source_batch_id AS batch_id, source_system, count(*) AS rows_bronze, count(*) FILTER (WHERE NOT is_quarantined) AS rows_silver,
-      count(*) FILTER (WHERE is_quarantined) AS quarantined, count(*) FILTER (WHERE NOT is_quarantined) AS rows_gold, CAST(0 AS BIGINT) AS lost
-      FROM silver_orders GROUP BY 1, 2""",
+    """SELECT batch_id, source_system, coalesce(b.n, 0) AS rows_bronze, coalesce(s.clean, 0) AS rows_silver,
+      coalesce(s.held, 0) AS quarantined, coalesce(f.n, 0) AS rows_gold, coalesce(b.n, 0) - coalesce(s.clean, 0) - coalesce(s.held, 0) AS lost
+      FROM (SELECT DISTINCT batch_id, source_system FROM bronze_orders) k
+      LEFT JOIN (SELECT batch_id AS bb, source_system AS bs, count(*) AS n FROM bronze_orders GROUP BY 1, 2) b
+        ON b.bb IS NOT DISTINCT FROM k.batch_id AND b.bs = k.source_system
+      LEFT JOIN (SELECT source_batch_id AS sb, source_system AS ss, count(*) FILTER (WHERE NOT is_quarantined) AS clean,
+          count(*) FILTER (WHERE is_quarantined) AS held FROM silver_orders GROUP BY 1, 2) s
+        ON s.sb IS NOT DISTINCT FROM k.batch_id AND s.ss = k.source_system
+      LEFT JOIN (SELECT source_batch_id AS fb, source_system AS fs, count(*) AS n FROM facts GROUP BY 1, 2) f
+        ON f.fb IS NOT DISTINCT FROM k.batch_id AND f.fs = k.source_system""",
 )
 def lineage_reconcile(b: Bronze) -> DataFrame:
     conformed = orders(b).withColumnRenamed("source_batch_id", "batch_id")
@@ -33,4 +40,4 @@ def lineage_reconcile(b: Bronze) -> DataFrame:
 def batch_run_log(b: Bronze) -> DataFrame:
     judged = rules.judge(b.orders(), RULES)
     target = shared_dir(b.spark, "silver-orders")
-    return observe.logged_write(judged, target, "ALL", "conform orders", RUN_TS).drop("start_time")
+    return observe.logged_write(judged, target, "ALL", "conform orders", RUN_TS).drop("start_time", "end_time", "duration_seconds", "error_message")

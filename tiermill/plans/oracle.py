@@ -65,7 +65,7 @@ SELECT source_system, source_region, CAST(o_orderkey AS VARCHAR) AS order_id, o_
   {br.CURRENCY_SQL} AS currency_code, {br.NET_SQL} AS net_amount,
   CASE WHEN r_name = 'EUROPE' THEN CAST({br.NET_SQL} * CAST(0.08 AS DECIMAL(3,2)) AS DECIMAL(18,4)) END AS tax_amount,
   n_name AS country_code, o_orderdate + to_hours(o_orderkey % 8) AS load_timestamp,
-  'B' || CAST(o_orderkey % 10 AS VARCHAR) AS batch_id
+  {br.BATCH_SQL} AS batch_id
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo ON c_nationkey = n_nationkey"""
 
 RELATIONS["priced_orders"] = (
@@ -83,7 +83,7 @@ SELECT {hk('source_system', 'order_id')} AS order_hk, source_system, source_regi
 FROM priced_orders"""
 
 RELATIONS["bronze_customers"] = f"""
-SELECT source_system, source_region, CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS customer_name,
+SELECT source_system, source_region, CAST(c_custkey AS VARCHAR) AS customer_id, {br.NAME_SQL} AS customer_name,
   {br.CITY_SQL} AS city, {br.POSTAL_SQL} AS postal_code, n_name AS country_code, {br.PHONE_SQL} AS phone,
   {br.EMAIL_SQL} AS email, {br.CREDIT_SQL} AS credit_limit, c_mktsegment AS industry_code, c_custkey
 FROM customer JOIN geo ON c_nationkey = n_nationkey"""
@@ -116,23 +116,24 @@ FROM customer_changes WINDOW w AS (PARTITION BY customer_hk ORDER BY effective_f
 RELATIONS["silver_lines"] = f"""
 SELECT {hk('o.source_system', "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)")} AS line_hk,
   o.source_system, CAST(l_orderkey AS VARCHAR) AS original_order_id, l_linenumber AS line_number, o.order_hk, o.customer_hk,
-  {hk('o.source_system', 'l_partkey')} AS product_hk, CAST(l_partkey AS VARCHAR) AS product_code, p_type AS product_family,
+  {hk('o.source_system', 'l_partkey')} AS product_hk, CAST(l_partkey AS VARCHAR) AS product_code, {br.FAMILY_SQL} AS product_family,
   o.order_date, CAST(l_quantity AS DECIMAL(15,3)) AS quantity,
   CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * coalesce(fx.rate, CAST(1 AS DECIMAL(10,6))) AS DECIMAL(18,4)) AS unit_price_usd,
   CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * (CAST(1 AS DECIMAL(5,2)) - CAST(l_discount AS DECIMAL(5,2))) AS DECIMAL(18,4))
     * coalesce(fx.rate, CAST(1 AS DECIMAL(10,6))) AS DECIMAL(18,4)) AS line_amount_usd,
   CAST(l_discount * 100 AS DECIMAL(5,2)) AS discount_pct, l_linestatus AS line_status, o.is_quarantined,
   o.source_batch_id, o.effective_from
-FROM lineitem JOIN silver_orders o ON o.original_id = CAST(l_orderkey AS VARCHAR)
+FROM lineitem JOIN silver_orders o ON o.original_id = {br.ITEM_ORDER_SQL}
 LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN fx ON fx.code = o.currency_code"""
 
 RELATIONS["identities"] = f"""
-SELECT *, sha256(upper(trim(coalesce(customer_name, ''))) || '|' || upper(trim(coalesce(country_code, '')))) AS master_customer_hk
+SELECT *, sha256(CASE WHEN trim(coalesce(customer_name, '')) = '' THEN customer_hk
+    ELSE upper(trim(customer_name)) || '|' || upper(trim(coalesce(country_code, ''))) END) AS master_customer_hk
 FROM (SELECT source_system, original_id, customer_hk, customer_name, country_code, source_region AS region,
         industry_code AS industry, CAST(NULL AS DECIMAL(18,2)) AS annual_revenue FROM silver_customers
       UNION ALL
       SELECT 'SALESFORCE', 'ACC-' || CAST(c_custkey AS VARCHAR), {hk("'SALESFORCE'", "'ACC-' || CAST(c_custkey AS VARCHAR)")},
-        c_name, n_name, {br.REGION_SQL}, c_mktsegment, {br.ANNUAL_REVENUE_SQL}
+        {br.NAME_SQL}, n_name, {br.REGION_SQL}, c_mktsegment, {br.ANNUAL_REVENUE_SQL}
       FROM customer JOIN geo ON c_nationkey = n_nationkey)"""
 
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tiermill.functions import policies
 from tiermill.operators import catalog
 from tiermill.plans import oracle as q
-from tiermill.plans.gold import dim_customers, fact, sales_view
+from tiermill.plans.features import features_at
+from tiermill.plans.gold import dim_customers, fact, identities, sales_view
 from tiermill.plans.quality import log
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import orders, sql_stamp, stamp
 from tiermill.operators import products as published
-from tiermill.sources.bridge import REQUEST_STATUS_SQL, RUN_TS, Bronze
+from tiermill.sources.bridge import AS_OF, REQUEST_STATUS_SQL, RUN_TS, Bronze
 
 TIMES = [RUN_TS - timedelta(hours=24), RUN_TS - timedelta(hours=12), RUN_TS]
 
@@ -179,19 +180,39 @@ def platform_metrics(b: Bronze) -> DataFrame:
         + " AS null_violations FROM sales_view_rows"
         for f in catalog.CONTRACTS["DP-001"]
     )
-    + ") UNION ALL SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('DP-002', '{f.name}', {f.name in published.CUSTOMERS_V1}, {f.name in published.CUSTOMERS_V1}, 0)"
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'DP-002', '{f.name}', TRUE, TRUE, " + (f"count(*) FILTER (WHERE {f.name} IS NULL)" if not f.nullable else "count(*) * 0")
+        + " FROM customer_360_rows"
         for f in catalog.CONTRACTS["DP-002"]
     )
-    + ") t(product_id, column_name, is_present, type_matches, null_violations)",
+    + ")",
 )
 def contract_check(b: Bronze) -> DataFrame:
     sales = catalog.check_contract(sales_view(b), "DP-001", catalog.CONTRACTS["DP-001"])
-    people = catalog.check_contract(published.customers(dim_customers(b)), "DP-002", catalog.CONTRACTS["DP-002"])
+    people = catalog.check_contract(customer_360(b), "DP-002", catalog.CONTRACTS["DP-002"])
     return sales.unionByName(people)
 
 
+def customer_360(b: Bronze) -> DataFrame:
+    return published.customer_360(dim_customers(b), identities(b), features_at(b, AS_OF))
+
+
+q.RELATIONS["customer_360_rows"] = (
+    f"SELECT p.customer_hk, d.customer_name, {q.AS_OF} AS as_of_date, d.industry, d.region, d.segment, p.churn_risk_score "
+    "FROM pit_rows p JOIN identities i USING (customer_hk) JOIN dim_customers d USING (master_customer_hk)"
+)
+
+
+@plan(
+    "product_customer_360",
+    "SELECT customer_hk, customer_name, industry, region, segment, as_of_date FROM customer_360_rows",
+)
+def product_customer_360(b: Bronze) -> DataFrame:
+    """The product's output view, by the columns that are not computed from sums."""
+    return customer_360(b).select("customer_hk", "customer_name", "industry", "region", "segment", "as_of_date")
+
+
 q.RELATIONS["sales_view_rows"] = (
     "SELECT f.*, d.year_number, d.quarter_name, r.region_name, r.country_code FROM facts f "
     "LEFT JOIN dim_dates d USING (date_key) LEFT JOIN dim_regions r USING (region_sk)"

@@ -151,6 +151,17 @@ def lines(b: Bronze) -> DataFrame:
     return silver.order_lines(b.order_items(), orders(b))
 
 
+@plan(
+    "silver_line_orphans",
+    """SELECT 'X' || CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber AS line_item, CAST(l_partkey AS VARCHAR) AS product_code,
+      'ORDER_NOT_FOUND' AS rejection_reason FROM lineitem WHERE l_orderkey % 67 = 0""",
+)
+def silver_line_orphans(b: Bronze) -> DataFrame:
+    """Items whose header never came."""
+    waiting = silver.orphan_lines(b.order_items(), orders(b))
+    return waiting.select("order_id", "line_item", "product_code", "rejection_reason")
+
+
 @plan(
     "silver_product",
     f"""SELECT {q.hk("'SAP'", 'p_partkey')} AS product_hk, CAST(p_partkey AS VARCHAR) AS product_code, p_name AS product_name,

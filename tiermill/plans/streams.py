@@ -1,4 +1,4 @@
-"""Streaming plans. Each runs its flow over the folder until nothing is left."""
+"""Streaming plans. Each runs its flow over landed files until nothing is left."""
 
 from __future__ import annotations
 
@@ -7,39 +7,57 @@ from pyspark.sql import functions as F
 
 from tiermill.functions.exact import money
 from tiermill.operators import gold, silver
+from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import sql_stamp, stamp
-from tiermill.plans import oracle as q
 from tiermill.session import shared_dir
 from tiermill.sources.bridge import Bronze
-from tiermill.sources.tables import Snapshots
+from tiermill.sources.tables import BucketedVersions
 from tiermill.streaming import flows
 
-FINISH_SECONDS = 3600
+# Orders that come once more, a day later and with another status.
+UPDATED = "o_orderkey % 20 = 0"
+UPDATED_SQL = "CAST(original_id AS BIGINT) % 20 = 0"
 
 
-def raw_stream(b: Bronze, table: str) -> DataFrame:
-    return flows.file_stream(b.spark, b.folder, b.table(table).schema, f"{table}.parquet")
+def landed_orders(b: Bronze) -> DataFrame:
+    """A stream of the raw orders in three files: the even keys, updates of some of these and then the odd, late ones."""
+    raw, folder = b.table("orders"), shared_dir(b.spark, "landing")
+    later = raw.where(UPDATED).withColumns(
+        {"o_orderstatus": F.lit("U"), "o_orderdate": F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")}
+    )
+    for part in (raw.where("o_orderkey % 2 = 0"), later, raw.where("o_orderkey % 2 = 1")):
+        part.write.mode("append").parquet(folder)
+    return flows.file_stream(b.spark, folder, raw.schema, files_per_batch=1)
 
 
-def finish(query) -> None:
-    query.awaitTermination(FINISH_SECONDS)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError("stream did not finish")
+def run_orders(b: Bronze) -> tuple[BucketedVersions, BucketedVersions]:
+    """Versioned orders and the fact that follows them."""
+    versions = BucketedVersions(b.spark, shared_dir(b.spark, "stream-silver"), "order_hk", buckets=8)
+    facts = BucketedVersions(b.spark, shared_dir(b.spark, "stream-fact"), "order_hk", buckets=8)
+    conform = lambda batch: silver.orders(b.orders(orders=batch))
+    derive = lambda rows: gold.fact_sales(rows, b.regions())
+    flows.refresh_versions(
+        landed_orders(b), conform, versions, shared_dir(b.spark, "checkpoint"), every=None, derive=(derive, facts)
+    ).awaitTermination()
+    return versions, facts
+
+
+q.RELATIONS["versioned_orders"] = f"""
+SELECT *, 1 AS record_version, NOT ({UPDATED_SQL}) AS is_current FROM silver_orders
+UNION ALL
+SELECT * REPLACE (effective_from + INTERVAL 1 DAY AS effective_from, order_date + 1 AS order_date,
+    {q.digest("'U'", 'net_amount_orig', 'customer_id')} AS hash_diff), 2, TRUE FROM silver_orders WHERE {UPDATED_SQL}"""
 
 
 @plan(
     "stream_silver",
     f"""SELECT order_hk, source_system, CAST(net_amount_usd AS DOUBLE) AS net_amount_usd, hash_diff,
-      {sql_stamp('effective_from')} AS effective_from, TRUE AS is_current, 1 AS record_version FROM silver_orders""",
+      {sql_stamp('effective_from')} AS effective_from, is_current, record_version FROM versioned_orders""",
 )
 def stream_silver(b: Bronze) -> DataFrame:
-    """Orders streamed into a versioned Silver table; its newest snapshot."""
-    table = Snapshots(b.spark, shared_dir(b.spark, "stream-silver"))
-    checkpoint = shared_dir(b.spark, "checkpoint")
-    conform = lambda batch: silver.orders(b.orders(orders=batch))
-    finish(flows.refresh_versions(raw_stream(b, "orders"), conform, table, "order_hk", checkpoint, every=None))
+    """Orders streamed into a versioned Silver table, some of them updated, some late; its newest version."""
+    table, _ = run_orders(b)
     return table.read().select(
         "order_hk", "source_system", F.col("net_amount_usd").cast("double").alias("net_amount_usd"), "hash_diff",
         stamp("effective_from").alias("effective_from"), "is_current", "record_version",
@@ -48,16 +66,14 @@ def stream_silver(b: Bronze) -> DataFrame:
 
 @plan(
     "stream_fact",
-    f"""SELECT source_system, date_key, count(*) AS orders, {q.money('sum(total_amount_usd)')} AS billed FROM facts GROUP BY ALL""",
+    f"""SELECT source_system, CAST(strftime(order_date, '%Y%m%d') AS INT) AS date_key, count(*) AS orders,
+      {q.money('sum(coalesce(net_amount_usd, 0) + coalesce(tax_amount_usd, 0))')} AS billed
+      FROM versioned_orders WHERE is_current AND NOT is_quarantined GROUP BY ALL""",
 )
 def stream_fact(b: Bronze) -> DataFrame:
-    """Two chained flows, each with its own checkpoint: Bronze to Silver, Silver to fact."""
-    rows = silver.orders(b.orders(orders=raw_stream(b, "orders")))
-    landed, facts = shared_dir(b.spark, "stream-orders"), shared_dir(b.spark, "stream-fact")
-    finish(flows.append_to(rows, landed, shared_dir(b.spark, "checkpoint"), every=None))
-    stored = flows.file_stream(b.spark, landed, rows.schema)
-    finish(flows.append_to(gold.fact_sales(stored, b.regions()), facts, shared_dir(b.spark, "checkpoint"), every=None))
-    return b.spark.read.parquet(facts).groupBy("source_system", "date_key").agg(
+    """The fact that follows the versions: an updated order is one fact, with its newest values."""
+    _, facts = run_orders(b)
+    return facts.read().groupBy("source_system", "date_key").agg(
         F.count("*").alias("orders"), money(F.sum("total_amount_usd")).alias("billed")
     )
 
@@ -65,13 +81,14 @@ def stream_fact(b: Bronze) -> DataFrame:
 @plan(
     "event_counts",
     """SELECT CAST(d AS DATE) AS event_date, event_type, count(*) AS n_events
-      FROM (SELECT DISTINCT event_id, event_type, date_trunc('day', ts) AS d FROM events)
-      WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""",
+      FROM (SELECT DISTINCT event_id, event_type, date_trunc('day', ts) AS d FROM events) GROUP BY ALL""",
 )
 def event_counts(b: Bronze) -> DataFrame:
-    """Daily counts of every day the watermark has closed."""
-    flows.use_disk_state(b.spark)
-    events = b.order_events(raw_stream(b, "events"))
-    target = shared_dir(b.spark, "event-counts")
-    finish(flows.append_to(flows.daily_counts(events), target, shared_dir(b.spark, "checkpoint"), every=None))
-    return b.spark.read.parquet(target).select(F.to_date("day_start").alias("event_date"), "event_type", "n_events")
+    """Daily counts of all days, from files out of time order, one of which comes twice."""
+    raw, folder = b.table("events"), shared_dir(b.spark, "landing")
+    for part in (raw.where("event_id % 3 = 1"), raw.where("event_id % 3 = 0"), raw.where("event_id % 3 = 1"), raw.where("event_id % 3 = 2")):
+        part.write.mode("append").parquet(folder)
+    stream = b.order_events(flows.file_stream(b.spark, folder, raw.schema, files_per_batch=1))
+    root = shared_dir(b.spark, "event-counts")
+    flows.refresh_daily_counts(stream, root, shared_dir(b.spark, "checkpoint"), every=None).awaitTermination()
+    return flows.read_daily_counts(b.spark, root).select("event_date", "event_type", "n_events")

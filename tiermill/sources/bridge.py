@@ -34,6 +34,11 @@ NET_SQL = (
     "CAST(CAST(o_totalprice AS DECIMAL(18,4)) * "
     "CASE WHEN o_orderkey % 79 = 0 THEN -1 WHEN o_orderkey % 101 = 0 THEN 20 ELSE 1 END AS DECIMAL(18,4))"
 )
+# Rows that ordinary data has: customers without a name, batches without a number, items without a family or a header.
+NAME_SQL = "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END"
+BATCH_SQL = "CASE WHEN o_orderkey % 61 = 0 THEN NULL ELSE 'B' || CAST(o_orderkey % 10 AS STRING) END"
+FAMILY_SQL = "CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE p_type END"
+ITEM_ORDER_SQL = "CASE WHEN l_orderkey % 67 = 0 THEN 'X' ELSE '' END || CAST(l_orderkey AS STRING)"
 CITY_SQL = "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'CITY ' || CAST(c_custkey % 50 AS STRING) END"
 POSTAL_SQL = "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'P' || CAST(10000 + c_custkey % 900 AS STRING) END"
 PHONE_SQL = "'+1-555-' || CAST(1000000 + c_custkey AS STRING)"
@@ -49,23 +54,22 @@ STAGE_SQL = (
 )
 
 
-# Schemas already read, by path: naming the schema spares a footer-reading job
-# each time a table is opened.
-_SCHEMAS: dict[str, StructType] = {}
-
-
 class Bronze:
-    """Landing tables over one driver folder. Every method is lazy."""
+    """Landing tables over one driver folder. Every method is lazy.
+
+    A table's schema is read once for each instance: naming it spares a footer-reading job each time the table is opened.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def _geography(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -109,7 +113,7 @@ class Bronze:
             F.lit(None).cast("decimal(5,2)").alias("discount_pct"),
             F.col("n_name").alias("country_code"),
             loaded_at.alias("load_timestamp"),
-            F.concat(F.lit("B"), (F.col("o_orderkey") % 10).cast("string")).alias("batch_id"),
+            F.expr(BATCH_SQL).alias("batch_id"),
         )
 
     def sap_orders(self) -> DataFrame:
@@ -146,11 +150,11 @@ class Bronze:
 
     def order_items(self) -> DataFrame:
         """Order lines with the product's family; header fields come by join."""
-        line, part = self.table("lineitem"), self.table("part").select("p_partkey", "p_type")
+        line, part = self.table("lineitem"), self.table("part").select("p_partkey", F.expr(FAMILY_SQL).alias("p_type"))
         gross = F.col("l_extendedprice").cast("decimal(18,4)")
         kept = F.lit(1).cast("decimal(5,2)") - F.col("l_discount").cast("decimal(5,2)")
         return line.join(part, line.l_partkey == part.p_partkey, "left").select(
-            F.col("l_orderkey").cast("string").alias("order_id"),
+            F.expr(ITEM_ORDER_SQL).alias("order_id"),
             F.col("l_linenumber").alias("line_item"),
             F.col("l_partkey").cast("string").alias("product_code"),
             F.col("p_type").alias("product_family"),
@@ -172,7 +176,7 @@ class Bronze:
             F.expr(SOURCE_SQL).alias("source_system"),
             F.expr(REGION_SQL).alias("source_region"),
             F.col("c_custkey").cast("string").alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
+            F.expr(NAME_SQL).alias("customer_name"),
             F.expr(CITY_SQL).alias("city"),
             F.expr(POSTAL_SQL).alias("postal_code"),
             F.col("n_name").alias("country_code"),
@@ -206,7 +210,7 @@ class Bronze:
             self._geography(), customer.c_nationkey == F.col("n_nationkey")
         ).select(
             F.concat(F.lit("ACC-"), F.col("c_custkey").cast("string")).alias("account_id"),
-            F.col("c_name").alias("account_name"),
+            F.expr(NAME_SQL).alias("account_name"),
             F.col("c_mktsegment").alias("industry"),
             F.expr(ANNUAL_REVENUE_SQL).alias("annual_revenue"),
             F.col("n_name").alias("billing_country"),

@@ -1,8 +1,12 @@
-"""Table sinks: clustered appends and versioned snapshots on plain files."""
+"""Table sinks: clustered appends and bucketed versions on plain files."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str] | None = None) -> None:
@@ -17,51 +21,105 @@ def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str]
     laid_out.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-class Snapshots:
-    """Numbered full versions of one table under a root folder.
+class BucketedVersions:
+    """A versioned table in hash buckets of its key; a new version rewrites the touched buckets only.
 
-    A version is complete once Spark has written its ``_SUCCESS`` marker. A
-    new version is written beside the one being read, so readers never see a
-    half-written table and a failed write leaves the last version in force.
+    ``data/version=N/bucket=B`` holds what version N wrote, ``manifests/N`` says which version each bucket is read from
+    and which flow wrote it. A version counts once its manifest exists, which is created in one step after its data; a
+    failed or repeated write leaves the last version in force. Readers follow one manifest, so they never see a mixture.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
+    BUCKET = "_bucket"
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/version={version:012d}"
+    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = 64):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
 
     def _files(self):
         """The storage behind the root, whatever it is, and its path type."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _data(self, version: int, bucket: int | None = None) -> str:
+        return f"{self.root}/data/version={version:012d}" + (f"/{self.BUCKET}={bucket}" if bucket is not None else "")
+
     def versions(self) -> list[int]:
         """Complete versions, oldest first; file names only, no data is read."""
         fs, path = self._files()
-        root = path(self.root)
-        if not fs.exists(root):
+        folder = path(f"{self.root}/manifests")
+        if not fs.exists(folder):
             return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = path(status.getPath(), "_SUCCESS")
-            if name.startswith("version=") and fs.exists(done):
-                found.append(int(name.split("=")[1]))
-        return sorted(found)
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """Newest complete version, or the newest one below ``before``."""
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def manifest(self, before: int | None = None) -> dict:
+        """The newest manifest, or the newest one below ``before``: ``owner`` and, per bucket, its version."""
         usable = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(self.path(usable[-1])) if usable else None
+        if not usable:
+            return {"version": None, "owner": None, "schema": None, "buckets": {}}
+        fs, path = self._files()
+        stream = fs.open(path(f"{self.root}/manifests/{usable[-1]:012d}"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
 
-    def write(self, df: DataFrame, version: int, partition_by: list[str] | None = None) -> None:
-        """Write a version; doing it again replaces that version only."""
-        df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(self.path(version))
+    def with_bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+
+    def touched(self, df: DataFrame) -> list[int]:
+        """Buckets of the frame's keys; at most as many as there are buckets."""
+        return sorted(r[0] for r in self.with_bucket(df.select(self.key)).select(self.BUCKET).distinct().collect())
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets, as of the newest version (below ``before``)."""
+        found = self.manifest(before)
+        wanted = [(int(b), v) for b, v in found["buckets"].items() if buckets is None or int(b) in set(buckets)]
+        if found["schema"] is None:
+            return None
+        schema = StructType.fromJson(found["schema"])
+        if not wanted:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._data(v, b) for b, v in wanted])
+
+    def write(self, df: DataFrame, version: int, owner: str, touched: list[int]) -> None:
+        """Replace the touched buckets by ``df``; ``owner`` names the flow, and another flow's table is refused."""
+        known = self.manifest(before=version)
+        if known["owner"] not in (None, owner):
+            raise ValueError(f"{self.root} belongs to {known['owner']}, not to {owner}")
+        schema = df.schema
+        self.with_bucket(df).repartition(self.BUCKET).write.mode("overwrite").partitionBy(self.BUCKET).parquet(self._data(version))
+        fs, path = self._files()
+        written = {b for b in touched if fs.exists(path(self._data(version, b)))}
+        buckets = {b: v for b, v in known["buckets"].items() if int(b) not in touched} | {str(b): version for b in written}
+        text = json.dumps({"version": version, "owner": owner, "schema": schema.jsonValue(), "buckets": buckets})
+        draft, final = path(f"{self.root}/manifests/.{version:012d}"), path(f"{self.root}/manifests/{version:012d}")
+        stream = fs.create(draft, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        fs.delete(final, False)
+        if not fs.rename(draft, final):
+            raise OSError(f"{final.toString()} could not be created")
 
     def expire(self, keep: int) -> None:
-        """Drop all but the newest ``keep`` complete versions (at least two)."""
+        """Forget all but the newest ``keep`` versions, and the data that none of these reads."""
+        if keep < 1:
+            raise ValueError("the newest version is always kept")
         fs, path = self._files()
-        for version in self.versions()[: -max(keep, 2)]:
-            fs.delete(path(self.path(version)), True)
+        found = self.versions()
+        used = set()
+        for version in found[-keep:]:
+            kept = self.manifest(before=version + 1)
+            used |= {self._data(v, int(b)) for b, v in kept["buckets"].items()}
+        for version in found[:-keep]:
+            fs.delete(path(f"{self.root}/manifests/{version:012d}"), False)
+        for version in found[:-keep]:
+            folder = path(self._data(version))
+            if not fs.exists(folder):
+                continue
+            for status in fs.listStatus(folder):
+                name = status.getPath().getName()
+                if name.startswith(f"{self.BUCKET}=") and f"{self._data(version)}/{name}" not in used:
+                    fs.delete(status.getPath(), True)

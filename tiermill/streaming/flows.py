@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tiermill.operators import scd
-from tiermill.sources.tables import Snapshots
+from tiermill.sources.tables import BucketedVersions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,18 +70,18 @@ def _trigger(every: str | None) -> dict:
 def refresh_versions(
     stream: DataFrame,
     conform: Callable[[DataFrame], DataFrame],
-    table: Snapshots,
-    key: str,
+    table: BucketedVersions,
     checkpoint: str,
     every: str | None = "5 minutes",
     keep: int = 10,
+    derive: tuple[Callable[[DataFrame], DataFrame], BucketedVersions] | None = None,
 ) -> StreamingQuery:
-    """Keep a versioned Silver table fresh.
+    """Keep a versioned Silver table fresh, and a table derived from it.
 
-    Each micro-batch is conformed, applied to the newest version below its own
-    number, and written as the version of that number. A replay rebuilds the
-    same version from the same inputs. ``table`` and ``checkpoint`` belong
-    together; start a new table when starting a new checkpoint. The last
+    Each micro-batch is conformed and applied to the buckets of its keys, read as of the newest version below its own
+    number; only these buckets are written, as the version of that number, so the cost follows the batch. ``derive`` makes
+    another table (a fact) from the new versions of the same buckets: an updated or late row replaces what it changes there.
+    A replay rebuilds the same version from the same inputs. A table is bound to the checkpoint that started it. The last
     ``keep`` versions stay readable.
     """
 
@@ -89,9 +89,14 @@ def refresh_versions(
         # The plan reads the batch several times; a lost block is computed again.
         rows = conform(batch).drop(*scd.VERSION_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            current = table.read(before=number)
-            result = scd.build(rows, key) if current is None else scd.apply(current, rows, key)
-            table.write(result, number)
+            touched = table.touched(rows)
+            current = table.read(before=number, buckets=touched)
+            result = scd.build(rows, table.key) if current is None else scd.apply(current, rows, table.key)
+            table.write(result, number, checkpoint, touched)
+            if derive:
+                make, target = derive
+                target.write(make(table.read(buckets=touched)), number, checkpoint, touched)
+                target.expire(keep)
             table.expire(keep)
         finally:
             rows.unpersist()
@@ -125,13 +130,38 @@ def parse_events(events: DataFrame, fields: dict[str, str]) -> DataFrame:
     return parsed.withColumns({**typed, "is_rejected": F.col("_payload").isNull()}).drop("_payload")
 
 
-def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events per type and day, duplicates of an event id counted once.
+def daily_counts(events: DataFrame) -> DataFrame:
+    """Events per day and type, a repeated event id of a day and type counted once."""
+    day = F.to_date("event_timestamp").alias("event_date")
+    return events.select(day, "event_type", "event_id").distinct().groupBy("event_date", "event_type").agg(
+        F.count("*").alias("n_events")
+    )
+
 
-    The watermark bounds both the ids remembered and the days held open; on a
-    stream a day is emitted once the watermark has passed its end.
+def refresh_daily_counts(stream: DataFrame, root: str, checkpoint: str, every: str | None = "5 minutes") -> StreamingQuery:
+    """Keep the daily counts of an event stream, in whatever order its rows come.
+
+    A micro-batch lands under its own number, by day; then the days it touches, and no others, are counted anew from all that
+    has landed for them. A late row corrects its day, a repeated one changes nothing, and no day waits for a watermark. A replay
+    lands and counts the same. ``root`` gets the folders ``landed`` and ``counts`` (see ``read_daily_counts``).
     """
-    unique = events.withWatermark("event_timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return unique.groupBy(F.window("event_timestamp", "1 day"), "event_type").agg(F.count("*").alias("n_events")).select(
-        F.col("window.start").alias("day_start"), F.col("window.end").alias("day_end"), "event_type", "n_events"
+
+    def apply_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = batch.select("event_id", "event_type", "event_timestamp", F.to_date("event_timestamp").alias("event_date"))
+        keyed.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/landed/batch={number:012d}")
+        landed = spark.read.schema("event_id string, event_type string, event_timestamp timestamp, batch string, event_date date").parquet(f"{root}/landed")
+        days = spark.read.schema("event_id string, event_date date").parquet(f"{root}/landed/batch={number:012d}").select("event_date").distinct()
+        counted = daily_counts(landed.join(days, "event_date", "left_semi"))
+        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{root}/counts")
+
+    return (
+        stream.writeStream.foreachBatch(apply_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
     )
+
+
+def read_daily_counts(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("event_type string, n_events bigint, event_date date").parquet(f"{root}/counts")
