@@ -28,8 +28,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
-def keep(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, lineage cut, size known to the planner."""
+def keep(df: DataFrame, purpose: str, narrow: int = 1) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, lineage cut, size known to the planner.
+
+    A narrow table is written by ``1 / narrow`` of the tasks, as its files would otherwise be many and tiny.
+    """
+    if narrow > 1:
+        df = df.coalesce(max(1, tasks(df.sparkSession) // narrow))
     return stored(df, purpose)
 
 

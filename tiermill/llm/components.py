@@ -37,11 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges change nothing; an empty table gives no rows. Vertices without an edge are not listed.
     """
     current = keep(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+        "edges",
+        16,
     )
     digest = None
     while True:
-        current = keep(_star(_star(current, larger=True), larger=False), "edges")
+        current = keep(_star(_star(current, larger=True), larger=False), "edges", 16)
         state = current.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == digest:
             break

@@ -163,7 +163,7 @@ def verdicts(
         text_facts(docs, id, text, host, limits).withColumn("row", F.monotonically_increasing_id()), "line-facts"
     )
     # Stored, so that Spark knows how large the lines above the limit are before it chooses the join.
-    frequent = keep(frequent_lines(counted, limits), "frequent-lines")
+    frequent = keep(frequent_lines(counted, limits), "frequent-lines", 16)
     lines = counted.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
         "row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
     )

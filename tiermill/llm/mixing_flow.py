@@ -155,7 +155,7 @@ def mix(
         ],
         "pattern array<string>, whole long, rest long, source_size long, target double",
     )
-    planned = keep(plan, "mix-plan")
+    planned = keep(plan, "mix-plan", 1_000_000)
     same = rows.pattern.eqNullSafe(planned.pattern)
     # Where in the hash space does each pattern's last pass end?
     summed = rows.groupBy("pattern", slice_.alias("slice")).agg(F.sum("size").alias("words"))
@@ -167,6 +167,7 @@ def mix(
         .where("before < rest and before + words >= rest")
         .select(F.col("b.pattern").alias("pattern"), "slice", "before"),
         "mix-ends",
+        1_000_000,
     )
     last = planned.join(ends, "pattern", "left").withColumnsRenamed({"pattern": "p", "slice": "last"})
     placed = rows.join(last, F.col("pattern") == F.col("p")).drop("p").withColumn("slice", slice_)

@@ -16,8 +16,7 @@ table gives no rows; strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,82 +30,111 @@ from tiermill.llm.common import keep, tasks
 
 K1, B = 1.2, 0.75
 SHARD = 1024
-QUERY_TERMS = 24
+QUERY_TERMS = 16
 CACHED = 300_000
-# A space or line feed next to other white space, or at an end: only then may a token reach over it.
-_UNSAFE = re.compile(r"[ \n]\s|\s[ \n]|\A\s|\s\Z")
+# Fixed value: how byte-level BPE cuts a text into groups before it merges bytes.
+GROUPS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class _Index(dict):
-    """Numbers for strings in the order of their first lookup."""
+    """Numbers for words in the order of their first lookup, and the token ids of every word with what stands before it."""
 
-    def __init__(self, prefix: str, pending: list[str], counter: list[int]) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.prefix, self.pending, self.counter = prefix, pending, counter
+        self.pending: list[str] = []
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = self.counter[0]
-        self.counter[0] += 1
-        self.pending.append(self.prefix + piece)
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.pending.append(word)
         return number
 
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.lengths = np.concatenate((self.flat, ids)), np.concatenate((self.lengths, sizes))
+        self.pending.clear()
+
+
+def _byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Byte sequences of a byte-level vocabulary. Its characters stand for bytes: printable ones for themselves, the others,
+    in order, for the code points from 256 on. Ids follow the order of the merges, so they are the ranks."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {
+        chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))
+    }
+    return {bytes(byte_of[c] for c in token): id for token, id in vocabulary.items()}
+
 
 class Encoder:
-    """Token ids of whole texts from a tokenizer file, each distinct word encoded once.
+    """Token ids of whole texts by a byte-level BPE tokenizer file, each distinct word encoded once.
 
-    In byte-level BPE a single space or line feed between two other characters always starts a token group, so a text is
-    encoded piece by piece. Texts with other white space are encoded whole.
+    A single space or line feed between two other characters always starts a token group, so a text without other white space
+    is encoded word by word, each with what stands before it. Other texts are encoded whole. Strings of special tokens are
+    ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        special = {t["content"] for t in known["added_tokens"]}
+        words = {t: i for t, i in known["model"]["vocab"].items() if t not in special}
+        self.encoding = tiktoken.Encoding(path, pat_str=GROUPS, mergeable_ranks=_byte_ranks(words), special_tokens={})
+        self.feed = self._ids("\n")
+        if len(self.feed) != 1:
+            raise ValueError("a line feed must be one token")
         self._clear()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+
     def _clear(self) -> None:
-        self.pending: list[str] = []
-        self.counter = [1]
-        self.first, self.other = _Index("", self.pending, self.counter), _Index(" ", self.pending, self.counter)
-        self.flat = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
-        self.lengths = np.array([len(self.flat)], np.int64)
+        self.spaced, self.fed = _Index(), _Index()
 
     def _learn(self) -> None:
-        if self.pending:
-            found = [e.ids for e in self.tokenizer.encode_batch(self.pending, add_special_tokens=False)]
-            self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, found), np.int64, len(found))))
-            self.flat = np.concatenate((self.flat, np.array([i for ids in found for i in ids], np.uint32)))
-            self.pending.clear()
+        """Ids of the words met for the first time. Many are encoded at once, a line feed between them as in a text."""
+        for index, before in ((self.spaced, " "), (self.fed, "")):
+            if index.pending:
+                ids = self._ids("\n" + "\n".join([before + w for w in index.pending]))
+                feed = ids == self.feed[0]
+                sizes = np.diff(np.append(np.flatnonzero(feed), len(ids)))
+                # After a space the line feed only keeps the words apart; else it stands in the text.
+                index.add(ids[~feed] if before else ids, sizes - 1 if before else sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.counter[0] > CACHED:
+        if len(self.spaced) > CACHED:
             self._clear()
-        out: list = [None] * len(texts)
-        first, other = self.first.__getitem__, self.other.__getitem__
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = np.zeros(0, np.uint32)
-            elif _UNSAFE.search(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                numbers: list[int] = []
-                for line in text.split("\n"):
-                    words = line.split(" ")
-                    numbers.append(0)
-                    numbers.append(first(words[0]))
-                    numbers.extend(map(other, words[1:]))
-                out[i] = numbers
+        out: list = []
+        spaced, fed = self.spaced.__getitem__, self.fed.__getitem__
+        for text in texts:
+            words = text.split()
+            feeds = text.count("\n")
+            between = text.count(" ") + feeds
+            # Is there one separator between any two words, and no other white space?
+            if between + 1 != len(words) or len("".join(words)) + between != len(text):
+                out.append(self._ids(text))
+                continue
+            numbers = np.fromiter(map(spaced, words), np.int64, len(words)) if not feeds else np.empty(len(words), np.int64)
+            heads, at = [], 0
+            for line in text.split("\n"):
+                stop = at + line.count(" ") + 1
+                if feeds:
+                    numbers[at + 1 : stop] = np.fromiter(map(spaced, words[at + 1 : stop]), np.int64, stop - at - 1)
+                heads.append(at)
+                at = stop
+            numbers[heads] = [-1 - fed(words[i]) for i in heads]
+            out.append((numbers,))
         self._learn()
-        starts = np.cumsum(self.lengths) - self.lengths
-        for i, numbers in enumerate(out):
-            if isinstance(numbers, list):
-                which = np.array(numbers[1:], np.int64)
-                sizes = self.lengths[which]
+        # Words after a line feed are numbered on from the others. The first word of a text is one of them, less the line feed.
+        flat = np.concatenate((self.spaced.flat, self.fed.flat))
+        lengths = np.concatenate((self.spaced.lengths, self.fed.lengths))
+        starts, known = np.cumsum(lengths) - lengths, len(self.spaced.lengths)
+        for i, found in enumerate(out):
+            if isinstance(found, tuple):
+                which = np.where(found[0] < 0, known - 1 - found[0], found[0])
+                sizes = lengths[which]
                 ends = np.cumsum(sizes)
-                out[i] = self.flat[np.arange(ends[-1]) + np.repeat(starts[which] - ends + sizes, sizes)]
+                out[i] = flat[np.arange(ends[-1]) + np.repeat(starts[which] - ends + sizes, sizes)][1:]
         return out
 
 
@@ -216,6 +244,18 @@ class Packer:
             if self.offset == self.window:
                 self.sequence, self.offset, self.seed = self.sequence + 1, 0, None
 
+    @staticmethod
+    def _best(found: np.ndarray, left: int) -> Iterator[int]:
+        """The rows in order of their scores: first a few of the best, which mostly fill the window, then all."""
+        few = 0
+        if left > 64:
+            few = 32
+            limit = np.partition(found, len(found) - few)[len(found) - few]
+            top = np.flatnonzero(found >= limit)
+            few = len(top)
+            yield from top[np.argsort(-found[top], kind="stable")].tolist()
+        yield from np.argsort(-found, kind="stable")[few:left].tolist()
+
     def shard(self, texts: list[np.ndarray]) -> list[tuple]:
         index = Shard(texts, self.idf, self.average)
         used, next_, left = np.zeros(len(texts), bool), 0, len(texts)
@@ -232,7 +272,7 @@ class Packer:
             found[used] = -1.0
             sequence = self.sequence
             # The best first; of equal scores the earlier row.
-            for row in np.argsort(-found, kind="stable")[:left].tolist():
+            for row in self._best(found, left):
                 used[row] = True
                 left -= 1
                 self._place(row, texts[row], pieces)

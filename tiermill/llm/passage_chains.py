@@ -495,6 +495,7 @@ def without_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", ru
         .agg(F.collect_list(F.struct("start", "stop")).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("lost"))
         .join(words.select("row", "h"), "row"),
         "passage-spans",
+        8,
     )
     rows = words.groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows"))
     losing = spans.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.min_by("spans", "lost").alias("spans"))

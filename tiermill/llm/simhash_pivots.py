@@ -209,7 +209,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
     """``fp``, ``root``, ``lowest``: each fingerprint's component, named by one of its fingerprints, and its smallest id."""
     # One row for each fingerprint: copies are collapsed before anything is compared.
-    distinct = keep(prints.groupBy("fp").agg(F.min("id").alias("lowest")), "simhash-distinct")
+    distinct = keep(prints.groupBy("fp").agg(F.min("id").alias("lowest")), "simhash-distinct", 8)
     roots = components(links(distinct, distance))
     return distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "lowest", F.coalesce("root", "fp").alias("root")
@@ -223,7 +223,7 @@ def near_duplicates(
     prints = keep(fingerprints(docs, id, text, width), "simhash")
     named = _classes(prints, distance)
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    classes = keep(named.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
+    classes = keep(named.join(lowest, "root").select("fp", "component_id"), "simhash-classes", 8)
     return prints.join(classes, "fp").select(
         F.col("id").alias(id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -237,12 +237,13 @@ def representatives(
     """The rows of ``docs`` with one of each component: the one with the smallest id (null ids last, then by text hash), and
     one row of equal ones."""
     prints = keep(fingerprints(docs, id, text, width), "simhash")
-    roots = keep(_classes(prints, distance).select("fp", "root"), "simhash-classes")
+    roots = keep(_classes(prints, distance).select("fp", "root"), "simhash-classes", 8)
     keys = prints.groupBy("id", "h", "fp").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
     chosen = keep(
         keys.join(roots, "fp").groupBy("root").agg(F.min_by(F.struct("id", "h", "n"), order).alias("x")).select("x.*"),
         "simhash-chosen",
+        8,
     ).withColumnsRenamed({"id": "_id", "h": "_h", "n": "_n"})
     same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_h"))
     single = docs.join(chosen.where("_n = 1"), same, "left_semi")

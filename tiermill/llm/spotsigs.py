@@ -88,6 +88,7 @@ def following(docs: DataFrame, id: str, text: str) -> DataFrame:
         .repartitionByRange(tasks(docs.sparkSession), *order)
         .withColumn("part", F.spark_partition_id()),
         "key-ranges",
+        8,
     )
     own = F.struct("id", "h", "n", "c")
     within = ranged.withColumn("next", F.lead(own).over(Window.partitionBy("part").orderBy(*order)))
@@ -128,7 +129,7 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int =
         F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("h"),
         F.length(F.coalesce(text, F.lit(""))).alias("n"),
     )
-    keys = keep(following(docs, id, text), "next-keys")
+    keys = keep(following(docs, id, text), "next-keys", 8)
     asked = keys.select(F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.col("n").alias("for_n"), "next_id", "next_h", "next_n", "next_c")
     taken = F.floor(F.col("for_n") / part).cast("int")
 
