@@ -2,6 +2,8 @@ import json
 from datetime import date, datetime
 from decimal import Decimal
 
+import pytest
+
 from tiermill.operators import mapping
 from tiermill.schemas import ORDER_FILE, schema
 from tiermill.sources import files, tables
@@ -73,16 +75,17 @@ def test_append_lays_out_by_date(spark, tmp_path):
     assert spark.read.parquet(path).where("load_date = '2024-01-01'").count() == 10
 
 
-def test_snapshots_ignore_unfinished_versions(spark, tmp_path):
-    table = tables.Snapshots(spark, str(tmp_path / "t"))
+def test_versions_ignore_unfinished_ones(spark, tmp_path):
+    table = tables.BucketedVersions(spark, str(tmp_path / "t"), "id", buckets=4)
     assert table.read() is None and table.versions() == []
-    table.write(spark.range(3), 0)
-    table.write(spark.range(5), 4)
-    (tmp_path / "t" / "version=000000000009").mkdir()
+    table.write(spark.range(3), 0, "flow", [0, 1, 2, 3])
+    table.write(spark.range(5), 4, "flow", [0, 1, 2, 3])
+    (tmp_path / "t" / "data" / "version=000000000009").mkdir()
     assert table.versions() == [0, 4]
     assert table.read().count() == 5 and table.read(before=4).count() == 3
-    table.write(spark.range(7), 11)
+    table.write(spark.range(0), 11, "flow", table.touched(spark.range(1)))
+    assert table.read().where("id = 0").count() == 0 and 0 < table.read().count() < 5
     table.expire(2)
-    assert table.versions() == [4, 11]
-    table.expire(0)
-    assert table.versions() == [4, 11]
+    assert table.versions() == [4, 11] and table.read(before=11).count() == 5
+    with pytest.raises(ValueError):
+        table.expire(0)

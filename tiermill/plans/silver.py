@@ -12,7 +12,7 @@ from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.session import shared_dir
 from tiermill.sources.bridge import Bronze
-from tiermill.sources.tables import Snapshots
+from tiermill.sources.tables import BucketedVersions
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -216,10 +216,14 @@ def scd2_build(b: Bronze) -> DataFrame:
 
 @plan("scd2_apply", VERSIONS_SQL)
 def scd2_apply(b: Bronze) -> DataFrame:
-    """Two loads stored as a snapshot, the third applied to it."""
-    table = Snapshots(b.spark, shared_dir(b.spark, "customer-versions"))
-    table.write(scd.build(customer_load(b, 1).unionByName(customer_load(b, 2)), "customer_hk"), 2)
-    return version_report(scd.apply(table.read(), customer_load(b, 3), "customer_hk"))
+    """Two loads stored as versions; only the rows of the third that are new or changed are applied to their buckets."""
+    table = BucketedVersions(b.spark, shared_dir(b.spark, "customer-versions"), "customer_hk", buckets=8)
+    first = scd.build(customer_load(b, 1).unionByName(customer_load(b, 2)), "customer_hk")
+    table.write(first, 2, "loads", list(range(8)))
+    third = customer_load(b, 3)
+    touched = table.touched(third)
+    table.write(scd.apply(table.read(buckets=touched), third, "customer_hk"), 3, "loads", touched)
+    return version_report(table.read())
 
 
 # -- configured mapping -----------------------------------------------------------
