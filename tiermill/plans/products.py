@@ -16,6 +16,7 @@ from tiermill.plans.quality import log
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import orders, sql_stamp, stamp
 from tiermill.operators import products as published
+from tiermill.session import stored
 from tiermill.sources.bridge import AS_OF, REQUEST_STATUS_SQL, RUN_TS, Bronze
 
 TIMES = [RUN_TS - timedelta(hours=24), RUN_TS - timedelta(hours=12), RUN_TS]
@@ -74,7 +75,8 @@ def as_double(df: DataFrame, *names: str) -> DataFrame:
 
 
 def measurements(b: Bronze) -> DataFrame:
-    return catalog.measure(catalog.table(b.spark), orders(b), log(b), TIMES)
+    """The measurement log; stored, so that its readers do not measure again."""
+    return stored(catalog.measure(catalog.table(b.spark), orders(b), log(b), TIMES), "sli-log")
 
 
 def trust(b: Bronze) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.functions.exact import mean_2dp
-from tiermill.operators import quality, rules
+from tiermill.operators import dashboards, quality, rules
 from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import lines, orders
 from tiermill.reference import DIMENSIONS, EUROPE_CURRENCIES, VALID_CURRENCIES
+from tiermill.session import stored
 from tiermill.sources.bridge import ORDER_DATE_FLOOR, RUN_TS, Bronze
 
 SOURCE = ["source_system", "source_region"]
@@ -173,7 +173,8 @@ def log(b: Bronze) -> DataFrame:
     """Batch log: every batch of every source, batch Bn run 12·n hours ago."""
     age = F.expr("make_dt_interval(0, 12 * CAST(substring(batch_id, 2) AS INT))")
     results = quality.run_all(checked_orders(b), BATCH, RUN_DATE, ORDER_DATE_FLOOR)
-    return quality.log_rows(results, F.lit(RUN_TS) - age)
+    # Stored like the log that a run appends to: whoever reads it, and however often, the checks run once.
+    return stored(quality.log_rows(results, F.lit(RUN_TS) - age), "dq-log")
 
 
 @plan(
@@ -191,10 +192,6 @@ WINDOW_SQL = f"run_timestamp >= {q.RUN_TS} - INTERVAL {DAYS} DAY"
 MEAN_SQL = q.mean_2dp("sum(pass_rate)", "count(*)")
 
 
-def mean_rate() -> Column:
-    return mean_2dp(F.sum("pass_rate"), F.count("pass_rate")).cast("double")
-
-
 def recent(b: Bronze) -> DataFrame:
     return quality.since(log(b), RUN_TS, DAYS, ["SAP", "JDE", "QAD"])
 
@@ -206,13 +203,7 @@ def recent(b: Bronze) -> DataFrame:
       {MEAN_SQL} AS avg_pass_rate FROM dq_log_rows WHERE {WINDOW_SQL}""",
 )
 def dq_kpi(b: Bronze) -> DataFrame:
-    return recent(b).agg(
-        F.countDistinct("batch_id").alias("total_batches"),
-        F.sum("records_checked").alias("total_checked"),
-        F.sum("records_failed").alias("total_failed"),
-        F.sum("records_quarantined").alias("total_quarantined"),
-        mean_rate().alias("avg_pass_rate"),
-    )
+    return dashboards.kpi(recent(b))
 
 
 def _pivot_sql() -> str:
@@ -228,8 +219,7 @@ def _pivot_sql() -> str:
 
 @plan("dq_heatmap", _pivot_sql())
 def dq_heatmap(b: Bronze) -> DataFrame:
-    wide = recent(b).groupBy("source_system").pivot("dama_dimension", DIMENSIONS).agg(mean_rate())
-    return wide.select("source_system", *[F.col(d).alias(d.lower()) for d in DIMENSIONS])
+    return dashboards.heatmap(recent(b))
 
 
 @plan(
@@ -238,8 +228,7 @@ def dq_heatmap(b: Bronze) -> DataFrame:
       FROM dq_log_rows WHERE {WINDOW_SQL} GROUP BY ALL ORDER BY run_date""",
 )
 def dq_trend(b: Bronze) -> DataFrame:
-    by_day = recent(b).groupBy(F.to_date("run_timestamp").alias("run_date"), "dama_dimension")
-    return by_day.agg(mean_rate().alias("daily_pass_rate")).orderBy("run_date")
+    return dashboards.trend(recent(b))
 
 
 @plan(
@@ -248,8 +237,7 @@ def dq_trend(b: Bronze) -> DataFrame:
       GROUP BY dama_dimension ORDER BY failures DESC""",
 )
 def dq_failures(b: Bronze) -> DataFrame:
-    counted = recent(b).groupBy("dama_dimension").agg(F.sum("records_failed").alias("failures"))
-    return counted.orderBy(F.desc("failures"))
+    return dashboards.failures(recent(b))
 
 
 q.RELATIONS["dq_last_day"] = f"SELECT * FROM dq_log_rows WHERE run_timestamp >= {q.RUN_TS} - INTERVAL 24 HOUR"
@@ -267,16 +255,7 @@ def _average_sql(dimension: str) -> str:
     + ", CAST(sum(pass_rate) AS DOUBLE) / count(*) AS overall FROM dq_last_day",
 )
 def dq_dimension_avg(b: Bronze) -> DataFrame:
-    return dimension_averages(log(b).where(F.col("run_timestamp") >= F.lit(RUN_TS - timedelta(hours=24))))
-
-
-def dimension_averages(rows: DataFrame, *by) -> DataFrame:
-    rate = F.col("pass_rate")
-    of = lambda d: F.when(F.col("dama_dimension") == d, rate)
-    return rows.groupBy(*by).agg(
-        *[(F.sum(of(d)).cast("double") / F.count(of(d))).alias(d.lower()) for d in DIMENSIONS],
-        (F.sum(rate).cast("double") / F.count(rate)).alias("overall"),
-    )
+    return dashboards.dimension_averages(log(b).where(F.col("run_timestamp") >= F.lit(RUN_TS - timedelta(hours=24))))
 
 
 @plan(
@@ -286,14 +265,7 @@ def dimension_averages(rows: DataFrame, *by) -> DataFrame:
       ORDER BY run_timestamp DESC LIMIT 1""",
 )
 def dq_latest_score(b: Bronze) -> DataFrame:
-    scored = (
-        log(b)
-        .where(F.col("source_system") == "SAP")
-        .groupBy("batch_id", "source_system", "run_timestamp")
-        .agg((F.sum("pass_rate").cast("double") / F.count("*")).alias("score"))
-    )
-    newest = scored.orderBy(F.desc("run_timestamp")).limit(1)
-    return newest.select("batch_id", "source_system", F.to_date("run_timestamp").alias("run_date"), "score")
+    return dashboards.latest_score(log(b), "SAP")
 
 
 # -- declarative rules --------------------------------------------------------------------

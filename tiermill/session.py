@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -45,6 +47,14 @@ def local(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "12
     return tune(spark)
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder for this process, removed when it ends."""
+    root = tempfile.mkdtemp(prefix="tiermill-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, for tables and checkpoints.
 
@@ -56,7 +66,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = os.path.join(tempfile.gettempdir(), "tiermill")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
