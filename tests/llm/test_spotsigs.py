@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiermill.llm.queries import op10_spot_signatures
-from tiermill.llm.spotsigs import ANCHORS, SKIP, compare, fingerprints, likeness, signatures
+from tiermill.llm.spotsigs import ANCHORS, SKIP, compare, fingerprints, likeness, matches, signatures
 
 
 def plain(text):
@@ -70,6 +70,16 @@ def test_runs_of_anchors_and_pruning(spark):
     assert tuple(got) == (0.8, None, 0.2)
 
 
+def test_matches_against_all_pairs(texts):
+    prints = fingerprints(texts)
+    asked = prints.where("doc_id % 3 = 0")
+    sets = {r.doc_id: set(r.signatures) for r in prints.collect()}
+    for threshold in (0.8, 0.5):
+        want = {(q, d) for q in sets if q % 3 == 0 for d in sets if share(sets[q], sets[d]) >= threshold}
+        got = [(r.query_id, r.doc_id) for r in matches(asked, prints, threshold).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_no_python_in_the_plan(spark, folder):
     plan = op10_spot_signatures(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

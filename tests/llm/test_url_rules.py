@@ -1,6 +1,8 @@
 import random
 
-from tiermill.llm.queries import URL_RULES, op4_url_rules
+from compare import connect, difference
+
+from tiermill.llm.queries import CHECKS, URL_RULES, op4_url_rules
 from tiermill.llm.url_rules import judge, rule_table
 
 
@@ -31,6 +33,10 @@ def test_whole_table(spark, folder):
     assert {r.page_id: tuple(r)[1:] for r in got} == {k: plain(u, URL_RULES) for k, u in pages.items()}
 
 
+def test_whole_table_against_sql(spark, folder):
+    assert difference(op4_url_rules(spark, folder), connect(folder), CHECKS["op4_url_rules"]) == ""
+
+
 def test_random_nested_rules_over_many_ranges(spark):
     draw = random.Random(3)
     labels, tops = ["a", "b", "ab", "a-b", "c"], ["com", "net", "co"]

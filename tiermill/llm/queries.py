@@ -101,4 +101,13 @@ QUERIES = {
         op10_spot_signatures,
     )
 }
-CHECKS = {"op6_license_scan": license_scan.check_sql()}
+URL_SQL = f"""
+WITH rules AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) v(rule_host, rule_path, verdict)),
+urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_rules.UPPER}', '{url_rules.UPPER.lower()}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fits AS (SELECT page_id, rule_host || rule_path AS rule, verdict FROM urls JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM urls u
+LEFT JOIN (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id) b
+ON u.page_id = b.page_id"""
+CHECKS = {"op4_url_rules": URL_SQL, "op6_license_scan": license_scan.check_sql()}

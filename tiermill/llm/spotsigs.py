@@ -74,6 +74,34 @@ def likeness(a: Column, b: Column, threshold: float | None = None) -> Column:
     return F.when((F.abs(classes) <= 1) & bound, value)
 
 
+def matches(queries: DataFrame, prints: DataFrame, threshold: float = 0.8, id: str = "doc_id") -> DataFrame:
+    """``query_id``, ``doc_id``, ``likeness`` of all pairs of a query and a row of ``prints`` at or above the threshold.
+
+    Both have ``id`` and ``signatures`` (see ``fingerprints``). Rows meet in partitions by length class and signature: of a
+    set only the smallest signatures, one more than it may lack, are keys, as two sets within the threshold share one of
+    these. Equal sets are compared once. What meets is compared with the bound on lengths first.
+    """
+    signs = F.col("signatures")
+    size = F.size(signs)
+    kept = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+
+    def keyed(rows: DataFrame, classes: Column) -> DataFrame:
+        sets = rows.groupBy("signatures").agg(F.count(F.lit(1)).alias("n")).drop("n")
+        placed = sets.select("signatures", F.explode(classes).alias("class"), F.slice(signs, 1, kept).alias("keys"))
+        return placed.select("signatures", "class", F.explode("keys").alias("key"))
+
+    own = length_class(size, threshold)
+    asked = keyed(queries, F.array(own - 1, own, own + 1)).withColumnRenamed("signatures", "a")
+    held = keyed(prints, F.array(own)).withColumnRenamed("signatures", "b")
+    value = likeness(F.col("a"), F.col("b"), threshold)
+    pairs = asked.join(held, ["class", "key"]).select("a", "b").distinct()
+    alike = pairs.withColumn("likeness", value).where(F.col("likeness") >= threshold)
+    named = alike.join(queries.select(F.col(id).alias("query_id"), F.col("signatures").alias("a")), "a")
+    return named.join(prints.select(F.col(id).alias("doc_id"), F.col("signatures").alias("b")), "b").select(
+        "query_id", "doc_id", "likeness"
+    )
+
+
 def following(docs: DataFrame, id: str, text: str) -> DataFrame:
     """For each distinct (id, text): ``id``, ``h``, ``n``, the key of the next one in ascending order of id and how many rows
     that has. After the last comes the first. Only keys are sorted; no text is moved and no row passes a single task but

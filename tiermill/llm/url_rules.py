@@ -28,6 +28,7 @@ from tiermill.llm.common import tasks
 SAMPLE_PER_RANGE = 16
 RANGES_PER_TASK = 4
 END = "\U0010ffff"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 RULE_SCHEMA = "host string, path string, verdict string"
 
@@ -35,8 +36,7 @@ RULE_SCHEMA = "host string, path string, verdict string"
 def host_of(url: Column) -> Column:
     """From the first ``://`` to the next ``/``, ``?``, ``#`` or the end, with A-Z in lower case."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.coalesce(F.translate(host, upper, upper.lower()), F.lit(""))
+    return F.coalesce(F.translate(host, UPPER, UPPER.lower()), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
