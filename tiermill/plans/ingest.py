@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiermill.functions import keys
 from tiermill.plans.registry import plan
 from tiermill.plans import oracle as q
-from tiermill.reference import INDUSTRY_CODES
+from tiermill.reference import INDUSTRY_CODES, ORDER_TYPE_CODES
 from tiermill.schemas import BRONZE, ORDER_FILE
 from tiermill.session import shared_dir
-from tiermill.sources import files
+from tiermill.sources import files, tables
 from tiermill.sources.bridge import RUN_TS, Bronze
 from tiermill.streaming import flows
 
@@ -109,6 +110,73 @@ def align_recode(b: Bronze) -> DataFrame:
     return files.align(incoming, target, {"industry_code": (INDUSTRY_CODES, 10)})
 
 
+@plan(
+    "align_cut",
+    """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, 'CUSTOMER_NAME' AS column_name, c_name AS value, left(c_name, 12) AS kept
+      FROM customer WHERE length(c_name) > 12""",
+)
+def align_cut(b: Bronze) -> DataFrame:
+    """What fitting to narrower columns cuts off is reported, not lost."""
+    incoming = b.table("customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("customer_name"))
+    return files.cut_values(incoming, "customer_id", BRONZE["sap_customers"].names, max_width=12)
+
+
+@plan(
+    "order_type_recode",
+    "SELECT order_id, CASE x "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ORDER_TYPE_CODES.items())
+    + " ELSE x END AS order_type FROM (SELECT order_id, CASE CAST(order_id AS BIGINT) % 4 "
+    + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(ORDER_TYPE_CODES))
+    + " ELSE order_type END AS x FROM bronze_orders)",
+)
+def order_type_recode(b: Bronze) -> DataFrame:
+    """Long order types of a file replaced by the codes of the order table."""
+    number = F.col("order_id").cast("bigint") % 4
+    long = F.col("order_type")
+    for i, name in enumerate(ORDER_TYPE_CODES):
+        long = F.when(number == i, F.lit(name)).otherwise(long)
+    return b.orders().select("order_id", files.recode(long, ORDER_TYPE_CODES, 200).alias("order_type"))
+
+
+@plan(
+    "ingest_json",
+    "SELECT order_id, order_date, customer_id, currency_code, CAST(net_amount AS DOUBLE) AS net_amount, order_status FROM bronze_orders",
+)
+def ingest_json(b: Bronze) -> DataFrame:
+    """Orders written as one object per line, then read back."""
+    folder = shared_dir(b.spark, "orders-json")
+    b.orders().select(ORDER_FILE.names).write.json(folder)
+    read = files.read_json(b.spark, folder, ORDER_FILE, multi_line=False)
+    return read.withColumn("net_amount", F.col("net_amount").cast("double"))
+
+
+@plan(
+    "append_layout",
+    """SELECT CAST(year(order_date) AS INT) AS order_year, count(*) AS orders, count(DISTINCT order_id) AS ids FROM bronze_orders GROUP BY 1""",
+)
+def append_layout(b: Bronze) -> DataFrame:
+    """Two appends to a table clustered by year."""
+    folder = shared_dir(b.spark, "orders-appended")
+    rows = b.orders().select("order_id", "order_status", F.year("order_date").alias("order_year"))
+    for half in (0, 1):
+        tables.append(rows.where(F.col("order_id").cast("bigint") % 2 == half), folder, ["order_year"], ["order_id"])
+    stored = b.spark.read.schema("order_id string, order_status string, order_year int").parquet(folder)
+    return stored.groupBy("order_year").agg(F.count("*").alias("orders"), F.countDistinct("order_id").alias("ids"))
+
+
+@plan(
+    "sql_functions",
+    f"""SELECT order_id, {q.hk('source_system', 'order_id')} AS order_hk, sha256(upper(trim(coalesce(customer_id, 'EMPTY')))) AS digest
+      FROM bronze_orders""",
+)
+def sql_functions(b: Bronze) -> DataFrame:
+    """The key functions as SQL users call them."""
+    keys.register_sql(b.spark)
+    return b.orders().selectExpr(
+        "order_id", "generate_hash_key(source_system, order_id) AS order_hk", "generate_hash_diff(customer_id) AS digest"
+    )
+
+
 @plan(
     "bronze_stamp",
     f"""SELECT order_id, batch_id, CAST({q.RUN_TS} AS DATE) AS load_date, FALSE AS is_deleted, 'INSERT' AS change_type,

@@ -35,13 +35,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     return blank_to_null(raw).select(*[_parse(f.name, f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """JSON scan; a file may be one array of objects.
 
     A file with an outer array cannot be split, so land such data as many
-    files; one object per line is split freely by ``multiLine=False`` readers.
+    files. Without ``multi_line`` a file holds one object per line and is split freely.
     """
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def load_lenient(
@@ -104,6 +104,27 @@ def align(
     return upper.select(*[fitted(c) for c in kept])
 
 
+def cut_values(
+    df: DataFrame,
+    key: str,
+    target: list[str],
+    recodes: dict[str, tuple[dict[str, str], int]] | None = None,
+    max_width: int = 200,
+) -> DataFrame:
+    """The values that ``align`` cuts: ``key``, ``column_name``, ``value`` as it came and ``kept`` as it was loaded."""
+    whole = align(df, target, {n: (codes, 2**31 - 1) for n, (codes, _) in (recodes or {}).items()}, 2**31 - 1)
+    widths = {n.upper(): min(w, max_width) for n, (_, w) in (recodes or {}).items()}
+    text = [n for n, kind in whole.dtypes if kind == "string"]
+    found = F.array(
+        *[
+            F.struct(F.lit(n).alias("column_name"), F.col(n).alias("value"), F.substring(n, 1, widths.get(n, max_width)).alias("kept"))
+            for n in text
+        ]
+    )
+    cut = F.filter(found, lambda x: x["value"] != x["kept"])
+    return whole.select(F.col(key.upper()).alias(key), F.inline(cut))
+
+
 def stamp(df: DataFrame, run_ts, batch_id: str | None = None, change_type: str = "INSERT") -> DataFrame:
     """Add the landing metadata; the untouched row is kept as JSON."""
     at = F.lit(run_ts)
