@@ -98,3 +98,10 @@ def test_contract_reports_missing_type_and_nulls(spark):
     contract = [catalog.Field("order_hk", "string", False), catalog.Field("net", "decimal(18,4)"), catalog.Field("gone", "date", False)]
     got = {r.column_name: (r.is_present, r.type_matches, r.null_violations) for r in catalog.check_contract(view, "P", contract).collect()}
     assert got == {"order_hk": (True, True, 1), "net": (True, False, 0), "gone": (False, False, 0)}
+
+
+def test_a_failed_write_is_logged(spark):
+    judged = spark.sql("SELECT raise_error('broken') AS x, 'PASSED' AS route, array('a') AS violations")
+    start = datetime(2024, 1, 1)
+    row = observe.logged_write(judged, "/proc/no-such-folder/out", "B1", "load", start, now=lambda: datetime(2024, 1, 1, 0, 1)).first()
+    assert (row.status, row.records_read, row.duration_seconds) == ("FAILED", None, 60.0) and row.error_message

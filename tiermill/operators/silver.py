@@ -125,6 +125,36 @@ def orders(headers: DataFrame, rates: DataFrame | None = None) -> DataFrame:
 MANDATORY_CUSTOMER = ["customer_id", "customer_name", "country_code", "city", "postal_code"]
 
 
+CUSTOMER_SHAPE = {
+    "source_system": "string", "source_region": "string", "customer_id": "string", "customer_name": "string", "city": "string",
+    "postal_code": "string", "country_code": "string", "phone": "string", "credit_limit": "decimal(18,2)",
+    "payment_terms": "string", "industry_code": "string", "load_timestamp": "timestamp", "batch_id": "string",
+}
+
+
+def _customer_shape(landed: DataFrame, source: str, **renamed: str) -> DataFrame:
+    """A source's own landing columns as the shape that ``customers`` takes; what the source has not is NULL."""
+    named = landed.withColumnsRenamed(renamed).withColumns(
+        {"source_system": F.lit(source), "source_region": F.lit(SOURCE_REGION[source])}
+    )
+    return named.select(
+        *[(F.col(c) if c in named.columns else F.lit(None)).cast(kind).alias(c) for c, kind in CUSTOMER_SHAPE.items()]
+    )
+
+
+def conform_sap_customers(landed: DataFrame) -> DataFrame:
+    return _customer_shape(landed, "SAP")
+
+
+def conform_jde_customers(landed: DataFrame) -> DataFrame:
+    return _customer_shape(landed, "JDE", zip_code="postal_code")
+
+
+def conform_qad_customers(landed: DataFrame) -> DataFrame:
+    """This source knows neither a postal code nor an industry."""
+    return _customer_shape(landed, "QAD")
+
+
 def customers(bronze: DataFrame) -> DataFrame:
     """Silver customers with a completeness score, 20 points per filled field."""
     src = F.col("source_system")

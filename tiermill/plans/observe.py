@@ -41,3 +41,15 @@ def batch_run_log(b: Bronze) -> DataFrame:
     judged = rules.judge(b.orders(), RULES)
     target = shared_dir(b.spark, "silver-orders")
     return observe.logged_write(judged, target, "ALL", "conform orders", RUN_TS).drop("start_time", "end_time", "duration_seconds", "error_message")
+
+
+@plan(
+    "lineage_log",
+    """SELECT 'ALL' AS batch_id, 'BRONZE.ORDERS' AS source_table, 'SILVER.SALES_ORDERS' AS target_table, count(*) AS rows_in,
+      count(*) FILTER (WHERE route <> 'REJECTED') AS rows_out, count(*) FILTER (WHERE route = 'REJECTED') AS rows_rejected FROM judged_orders""",
+)
+def lineage_log(b: Bronze) -> DataFrame:
+    """One hop of a batch, from the counts its write observed."""
+    judged = rules.judge(b.orders(), RULES)
+    run = observe.logged_write(judged, shared_dir(b.spark, "silver-orders"), "ALL", "conform orders", RUN_TS).first()
+    return observe.lineage_row(b.spark, "ALL", "BRONZE.ORDERS", "SILVER.SALES_ORDERS", run.asDict(), RUN_TS).drop("logged_at")

@@ -94,6 +94,31 @@ def silver_customer(b: Bronze) -> DataFrame:
     )
 
 
+q.RELATIONS["landed_customers"] = """SELECT * REPLACE (CASE WHEN source_system = 'QAD' THEN NULL ELSE postal_code END AS postal_code,
+  CASE WHEN source_system = 'SAP' THEN industry_code END AS industry_code) FROM bronze_customers"""
+
+
+@plan(
+    "silver_customer_all",
+    f"""SELECT {q.hk('source_system', 'customer_id')} AS customer_hk, source_system, source_region, customer_id AS original_id, industry_code, postal_code,
+      20 * (1 + CAST(customer_name IS NOT NULL AS INT) + CAST(country_code IS NOT NULL AS INT)
+        + CAST(city IS NOT NULL AS INT) + CAST(postal_code IS NOT NULL AS INT)) AS dq_completeness_score,
+      {q.digest('customer_name', 'country_code', 'city', 'postal_code')} AS hash_diff FROM landed_customers""",
+)
+def silver_customer_all(b: Bronze) -> DataFrame:
+    """Customers of three sources, each from its own landing columns."""
+    rows = b.customers()
+    of = lambda source, *columns: rows.where(F.col("source_system") == source).select(*columns, "load_timestamp", "batch_id")
+    common = ["customer_id", "customer_name", "city", "country_code", "phone", "credit_limit", "payment_terms"]
+    sap = silver.conform_sap_customers(of("SAP", *common, "postal_code", "email", "industry_code"))
+    jde = silver.conform_jde_customers(of("JDE", *common, F.col("postal_code").alias("zip_code")))
+    qad = silver.conform_qad_customers(of("QAD", *common))
+    return silver.customers(sap.unionByName(jde).unionByName(qad)).select(
+        "customer_hk", "source_system", "source_region", "original_id", "industry_code", "postal_code",
+        "dq_completeness_score", "hash_diff",
+    )
+
+
 ORDER_SQL = f"""SELECT order_hk, customer_hk, source_system, source_region, original_id, order_date, order_status, currency_code,
   CAST(net_amount_orig AS DOUBLE) AS net_amount_orig, CAST(net_amount_usd AS DOUBLE) AS net_amount_usd,
   CAST(tax_amount_usd AS DOUBLE) AS tax_amount_usd, CAST(discount_pct AS DOUBLE) AS discount_pct, is_quarantined, hash_diff,
