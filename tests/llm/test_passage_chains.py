@@ -108,3 +108,19 @@ def test_chain_through_unlike_text_is_cut(spark):
     rows = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
     got = passages(rows).collect()
     assert [(r.doc_id, r.partner, r.start, r.stop, r.equal, r.columns) for r in got] == [(2, 1, 0, 110, 110, 110)]
+
+
+def test_passage_whose_halves_stand_elsewhere(spark):
+    """Neither the nearer nor the first documents with its halves hide the document with the whole passage."""
+    around = lambda words: " ".join(prose(40) + words + prose(40))
+    texts, wanted = [], set()
+    for _ in range(12):
+        left, right = prose(30), prose(30)
+        parts = (left, right, left + right, left, right, left + right)
+        texts += [around(words) for words in parts]
+        wanted.add((len(texts) - 1, len(texts) - 4, 40, 100))
+    # All in one buffer, one document a buffer, several partitions, several buffers.
+    for parts, buffer in ((1, 700_000), (1, 1), (6, 700_000), (1, 120)):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).repartitionByRange(parts, "doc_id")
+        got = {(r.doc_id, r.partner, r.start, r.stop) for r in passages(rows, rules=Rules(buffer=buffer)).collect()}
+        assert got == wanted

@@ -6,7 +6,10 @@ exact match of ``k + window - 1`` words holds a seed.
 
 A seed's documents are not paired with each other. Each is linked to the one before it in table order and to the first one:
 inside a task's buffer, and then, with one entry per seed and buffer, across the buffers. So a passage in a third of all
-documents gives each of them a few links and no group grows with their number. Links of a pair of documents on one diagonal are merged to anchors, anchors
+documents gives each of them a few links and no group grows with their number. These links hide a passage where its parts
+also stand in different other documents. So wherever the links of neighbouring seeds of a document lead to more than one
+partner, that stretch is looked up again: all documents with its seeds are found, equal stretches are collapsed to the first
+document with them, and every pair of distinct stretches that shares a seed is linked. Links of a pair of documents on one diagonal are merged to anchors, anchors
 are chained in order on both sides with a cost for gaps (a Fenwick tree finds the best predecessor), and the chains are
 aligned on the words: gaps are filled by a longest common subsequence, the ends are extended, and a chain that leads through
 unlike text is cut. What covers ``min_words`` words with ``min_identity`` of its columns equal is a passage.
@@ -34,6 +37,7 @@ from pyspark.sql.types import StringType
 from tiermill.llm.common import WORD, as_bytes, keep, tasks
 
 SEED, ANCHOR, WORDS = 0, 1, 2
+CHAIN, STRETCH, HELD = 0, 1, 2
 LAST = np.uint64(2**64 - 1)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,17 +125,30 @@ def link_runs(seed: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.nd
     return linked, partner, first
 
 
-def merge(row, partner, pos, other, size, reach: int) -> tuple[np.ndarray, ...]:
+def reached(new: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Largest of ``ends`` so far within its group; ``new`` marks where groups begin."""
+    lift = np.cumsum(new).astype(np.int64) << 32
+    return np.maximum.accumulate(lift + ends) - lift
+
+
+def covered(new: np.ndarray, pos: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words under the anchors of each group; they are sorted by pos within a group."""
+    before = pos.astype(np.int64)
+    before[1:] = np.where(new[1:], before[1:], np.maximum(before[1:], reached(new, ends)[:-1]))
+    return np.add.reduceat(np.maximum(ends - before, 0), np.flatnonzero(new))
+
+
+def merge(row, partner, pos, other, size) -> tuple[np.ndarray, ...]:
     """Anchors from matches: runs of one diagonal without a hole."""
     order = np.lexsort((pos, pos - other, partner, row))
     row, partner, pos, other, size = (x[order] for x in (row, partner, pos, other, size))
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (partner[1:] != partner[:-1]) | (pos[1:] - other[1:] != pos[:-1] - other[:-1])
     ends = pos + size
-    new[1:] |= pos[1:] > ends[:-1]
-    starts = np.flatnonzero(new)
-    if not len(starts):
+    if not len(row):
         return row, partner, pos, other, size
+    new[1:] |= pos[1:] > reached(new, ends)[:-1]
+    starts = np.flatnonzero(new)
     last = np.maximum.reduceat(ends, starts)
     return row[starts], partner[starts], pos[starts], other[starts], (last - pos[starts]).astype(np.int32)
 
@@ -157,9 +174,9 @@ def _find(rules: Rules, id_type: pa.DataType):
         seed, row, pos = seed[order], row[order], pos[order]
         linked, partner, first = link_runs(seed, row, pos)
         size = np.full(len(linked), rules.k, np.int32)
-        a = merge(row[linked], row[partner], pos[linked], pos[partner], size, rules.k)
+        a = merge(row[linked], row[partner], pos[linked], pos[partner], size)
         yield rows(ANCHOR, len(a[0]), row=a[0], key=a[1], pos=a[2], other=a[3], size=a[4])
-        yield rows(SEED, int(first.sum()), key=seed[first].view(np.int64), row=row[first], pos=pos[first])
+        yield rows(SEED, len(seed), key=seed.view(np.int64), row=row, pos=pos, size=first.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, count = _Hashes(), [], 0
@@ -275,14 +292,35 @@ def chains(pos: list[int], other: list[int], size: list[int], gap_cost: float) -
     return found
 
 
-def _chain(rules: Rules):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["row", "partner", "start", "stop", "other_start", "other_stop", "anchors"]
+def stretches(row, pos, size, reach: int) -> tuple[np.ndarray, ...]:
+    """Stretches of each row under anchors with any partner, with gaps of up to ``reach`` words: for each anchor the number
+    of its stretch, and for each stretch its row, start, stop and the words under anchors."""
+    order = np.lexsort((pos, row))
+    r, p, ends = row[order], pos[order], (pos + size)[order]
+    new = np.ones(len(r), bool)
+    new[1:] = r[1:] != r[:-1]
+    new[1:] |= p[1:] > reached(new, ends)[:-1] + reach
+    number = np.empty(len(r), np.int64)
+    number[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return number, r[starts], p[starts], np.maximum.reduceat(ends, starts), covered(new, p, ends)
+
+
+CHAINS = "kind int, row long, partner long, start int, stop int, other_start int, other_stop int, anchors binary"
+
+
+def _chain(rules: Rules, again: bool):
+    """Chains of each row. Unless ``again``, a row with a stretch that no single chain accounts for has no chains yet, but
+    its stretches (``STRETCH``) and all its anchors (``HELD``)."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in CHAINS.split(", ")]
 
     def of(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        row, partner, pos, other, size = merge(*rows, rules.k)
+        row, partner, pos, other, size = merge(*rows)
         if not len(row):
             return None
+        number, owner, begin, end, under = stretches(row, pos, size, rules.widest_gap)
+        settled = under < rules.least_seeded
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (partner[1:] != partner[:-1])
         starts = np.flatnonzero(new)
@@ -293,10 +331,31 @@ def _chain(rules: Rules):
             order = np.argsort(pos[a:b], kind="stable") + a
             p, o, s = pos[order].tolist(), other[order].tolist(), size[order].tolist()
             for chain in chains(p, o, s, rules.gap_cost):
-                if sum(s[i] for i in chain) >= rules.least_seeded:
+                total = sum(s[i] for i in chain)
+                if total >= rules.least_seeded:
                     i, j = chain[0], chain[-1]
                     anchors = np.array([(p[c], o[c], s[c]) for c in chain], "<i4").tobytes()
-                    out.append((row[a], partner[a], p[i], p[j] + s[j], o[i], o[j] + s[j], anchors))
+                    out.append((CHAIN, row[a], partner[a], p[i], p[j] + s[j], o[i], o[j] + s[j], anchors))
+                    if not again:
+                        # A dense chain accounts for a stretch of which it has all words that any partner has.
+                        parts: dict[int, list[int]] = {}
+                        for c in chain:
+                            parts.setdefault(int(number[order[c]]), []).append(c)
+                        for which, part in parts.items():
+                            words = sum(s[c] for c in part)
+                            gaps = sum(
+                                max(p[d] - p[c] - s[c], o[d] - o[c] - s[c]) for c, d in zip(part, part[1:])
+                            )
+                            if words >= under[which] and words >= rules.min_identity * (words + gaps):
+                                settled[which] = True
+        if not again and not settled.all():
+            open_ = set(owner[~settled].tolist())
+            out = [x for x in out if int(x[1]) not in open_]
+            out += [(STRETCH, owner[i], -1, begin[i], end[i], 0, 0, None) for i in np.flatnonzero(~settled).tolist()]
+            for a, b in zip(starts.tolist(), stops.tolist()):
+                if int(row[a]) in open_:
+                    anchors = np.stack((pos[a:b], other[a:b], size[a:b]), axis=1).astype("<i4").tobytes()
+                    out.append((HELD, row[a], partner[a], 0, 0, 0, 0, anchors))
         if not out:
             return None
         return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -320,6 +379,117 @@ def _chain(rules: Rules):
     return run
 
 
+LINKS = "row long, key long, pos int, other int, size int"
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from the anchors that a row keeps."""
+    for batch in batches:
+        parts = [np.frombuffer(x, "<i4").reshape(-1, 3) for x in batch.column(2).to_pylist()]
+        if parts:
+            counts = list(map(len, parts))
+            ends = [np.repeat(batch.column(i).to_numpy(), counts) for i in range(2)]
+            anchors = np.concatenate(parts)
+            yield pa.record_batch(
+                [*map(pa.array, ends), *[pa.array(np.ascontiguousarray(anchors[:, i])) for i in range(3)]],
+                names=["row", "key", "pos", "other", "size"],
+            )
+
+
+def _runs(rules: Rules):
+    """Runs of asked seeds in each row (sorted by row and pos): ``row``, ``class`` (of the seeds and their distances),
+    ``start`` and the seeds with their places in the run."""
+
+    def of(row: np.ndarray, pos: np.ndarray, seed: np.ndarray) -> pa.RecordBatch:
+        _, _, start, _, under = stretches(row, pos, np.full(len(pos), rules.k, np.int32), rules.widest_gap)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + rules.k + rules.widest_gap)
+        bounds = np.append(np.flatnonzero(new), len(row)).tolist()
+        out = []
+        for i in np.flatnonzero(under >= rules.least_seeded).tolist():
+            a, b = bounds[i], bounds[i + 1]
+            places, own = (pos[a:b] - start[i]).astype("<i4").tobytes(), seed[a:b].astype("<i8").tobytes()
+            digest = xxhash.xxh128_digest(places + own)
+            out.append((row[a], digest, start[i], places, own))
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.record_batch(
+            [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "class", "start", "places", "seeds"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            other = np.flatnonzero(rows[0] != rows[0][-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield of(*[x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield of(*held)
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each seed of a run."""
+    for batch in batches:
+        if batch.num_rows:
+            places = [np.frombuffer(x, "<i4") for x in batch.column(3).to_pylist()]
+            counts = list(map(len, places))
+            seeds = np.concatenate([np.frombuffer(x, "<i8") for x in batch.column(4).to_pylist()])
+            row, first, start, first_start, asked = (
+                np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts) for i in (0, 1, 2, 5, 6)
+            )
+            place = np.concatenate(places)
+            columns = [seeds, row, first, start + place, first_start + place, asked]
+            yield pa.record_batch(
+                [pa.array(c) for c in columns], names=["seed", "row", "first", "pos", "first_pos", "asked"]
+            )
+
+
+def _hidden(seeds: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
+    """Links of the open stretches to all documents with their seeds. Equal runs of seeds count as one, that of the first
+    document: the others are linked to it, and it is linked to every earlier different run with one of its seeds."""
+    n = tasks(seeds.sparkSession)
+    rows = keep(open_.select("row").distinct(), "open-rows", 8)
+    of_row = F.col("row") == F.col("r")
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") + rules.k <= F.col("stop"))
+    asked = keep(
+        seeds.join(open_.select(F.col("row").alias("r"), "start", "stop"), of_row & inside).select("key").distinct(),
+        "asked-seeds",
+        8,
+    )
+    found = (
+        seeds.join(asked, "key", "left_semi")
+        .select("row", "pos", "key")
+        .repartition(n, "row")
+        .sortWithinPartitions("row", "pos")
+        .mapInArrow(_runs(rules), "row long, class binary, start int, places binary, seeds binary")
+    )
+    runs = keep(found.join(rows.withColumn("asked", F.lit(True)), "row", "left").fillna(False, ["asked"]), "runs")
+    firsts = runs.groupBy("class").agg(F.min(F.struct("row", "start")).alias("x"))
+    firsts = firsts.select("class", F.col("x.row").alias("first"), F.col("x.start").alias("first_start"))
+    spread = (
+        runs.join(firsts, "class")
+        .where("asked OR (row = first AND start = first_start)")
+        .select("row", "first", "start", "places", "seeds", "first_start", "asked")
+        .mapInArrow(_spread, "seed long, row long, first long, pos int, first_pos int, asked boolean")
+    )
+    spread = keep(spread, "runs-seeds")
+    size = F.lit(rules.k).alias("size")
+    copies = spread.where("row > first").select("row", F.col("first").alias("key"), "pos", F.col("first_pos").alias("other"), size)
+    own = spread.where("row = first AND pos = first_pos")
+    earlier = own.select("seed", F.col("row").alias("key"), F.col("pos").alias("other"))
+    pairs = own.where("asked").join(earlier, "seed").where("key < row").select("row", "key", "pos", "other", size)
+    return copies.unionByName(pairs)
+
+
 def _common(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence."""
     previous = [0] * (len(b) + 1)
@@ -422,25 +592,25 @@ def _passages(docs: DataFrame, id: str, text: str, rules: Rules) -> tuple[DataFr
     id_type = empty.toArrow().schema.field("id").type
     found = keep(source.mapInArrow(_find(rules, id_type), FOUND.format(id=kind)), "seeds")
     n = tasks(spark)
-    links = "row long, key long, pos int, other int, size int"
     across = (
-        found.where(F.col("kind") == SEED)
+        found.where((F.col("kind") == SEED) & (F.col("size") == 1))
         .select("key", "row", "pos")
         .repartition(n, "key")
         .sortWithinPartitions("key", "row", "pos")
-        .mapInArrow(_across(rules), links)
+        .mapInArrow(_across(rules), LINKS)
     )
     within = found.where(F.col("kind") == ANCHOR).select("row", "key", "pos", "other", "size")
-    chained = (
-        within.unionByName(across)
-        .repartition(n, "row")
-        .sortWithinPartitions("row")
-        .mapInArrow(
-            _chain(rules),
-            "row long, partner long, start int, stop int, other_start int, other_stop int, anchors binary",
-        )
-    )
-    candidates = keep(chained, "chains")
+
+    def chained(links: DataFrame, again: bool) -> DataFrame:
+        return links.repartition(n, "row").sortWithinPartitions("row").mapInArrow(_chain(rules, again), CHAINS)
+
+    candidates = keep(chained(within.unionByName(across), False), "chains")
+    seeds = found.where(F.col("kind") == SEED).select("key", "row", "pos")
+    # Stored, so that Spark knows how few they mostly are before it chooses the joins.
+    open_ = keep(candidates.where(F.col("kind") == STRETCH).select("row", "start", "stop"), "open-stretches", 8)
+    own = candidates.where(F.col("kind") == HELD).select("row", "partner", "anchors").mapInArrow(_held, LINKS)
+    again = keep(chained(own.unionByName(_hidden(seeds, open_, rules)), True), "chains-again")
+    candidates = candidates.where(F.col("kind") == CHAIN).unionByName(again).drop("kind")
     words = found.where(F.col("kind") == WORDS).select("row", "id", F.col("key").alias("h"), "words")
 
     def cut(start: str, stop: str, out: str) -> dict:
