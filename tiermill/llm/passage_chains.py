@@ -44,8 +44,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class Rules:
-    k: int = 8
-    window: int = 8
+    k: int = 7
+    window: int = 2  # with k, so that a run of 8 equal words between two edits always holds a seed
     buffer: int = 700_000  # seeds that a task links among themselves at a time
     min_words: int = 50
     min_identity: float = 0.8
