@@ -3,8 +3,7 @@
 import os
 
 import pytest
-from compare import connect, difference
-from conftest import SMALL
+from compare import SMALL, connect, difference
 
 import __spark_entry__ as contract
 from tiermill.plans import registry

@@ -1,7 +1,7 @@
 """Plans keep the properties that large data needs."""
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 
 import __spark_entry__ as contract
 from tiermill.plans import registry
