@@ -16,6 +16,7 @@ from tiermill.llm import (
     simhash_pivots,
     spotsigs,
     url_rules,
+    whitening,
 )
 from tiermill.llm.common import read
 
@@ -86,6 +87,11 @@ def op10_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.compare(read(spark, folder, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(read(spark, folder, "embeddings"), components=16)
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +105,7 @@ QUERIES = {
         op8_lexical_packing,
         op9_language_mixture,
         op10_spot_signatures,
+        op11_embedding_whitening,
     )
 }
 URL_SQL = f"""
