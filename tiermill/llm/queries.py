@@ -13,12 +13,13 @@ from tiermill.llm import (
     mixing_flow,
     packing_bm25,
     passage_chains,
+    prefix_trie,
     simhash_pivots,
     spotsigs,
     url_rules,
     whitening,
 )
-from tiermill.llm.common import read
+from tiermill.llm.common import keep, read
 
 # The rules that the URL query applies.
 URL_RULES = [
@@ -92,6 +93,12 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations rebuilt on the first turns of the one whose id is the multiple of five at or before theirs."""
+    lined = keep(prefix_trie.paths(read(spark, folder, "conversations"), family=5, shared=9), "trie-lined", 2)
+    return prefix_trie.trie(lined)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +113,7 @@ QUERIES = {
         op9_language_mixture,
         op10_spot_signatures,
         op11_embedding_whitening,
+        op12_prefix_trie,
     )
 }
 URL_SQL = f"""
@@ -117,4 +125,28 @@ fits AS (SELECT page_id, rule_host || rule_path AS rule, verdict FROM urls JOIN
 SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM urls u
 LEFT JOIN (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id) b
 ON u.page_id = b.page_id"""
-CHECKS = {"op4_url_rules": URL_SQL, "op6_license_scan": license_scan.check_sql()}
+# CRC-32 by its definition, bit by bit over the bytes of a text of ASCII characters.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+TRIE_SQL = f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+asked AS (SELECT conv_id, turns, {CRC_SQL.format("conv_id::VARCHAR")} % 9 AS h FROM own),
+paths AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS path
+  FROM asked c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+members AS (SELECT conv_id, depth, path[1:depth] AS node, len(path) = depth AS ends
+  FROM paths, (SELECT unnest(range(0, (SELECT max(len(path)) + 1 FROM paths))) AS depth) WHERE depth <= len(path)),
+nodes AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(any_value(node[depth].text)) END AS saved
+  FROM members GROUP BY depth, node),
+children AS (SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, node)),
+above AS (SELECT d.depth, c.node[1:d.depth] AS node, sum((c.n_children = 0)::INT) AS n_leaves, sum(c.saved) AS saved_tokens
+  FROM counted c JOIN (SELECT DISTINCT depth FROM nodes) d ON d.depth <= c.depth GROUP BY ALL)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children::BIGINT AS n_children,
+  a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN above a USING (depth, node) LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.node = c.node[1:c.depth - 1]"""
+CHECKS = {"op4_url_rules": URL_SQL, "op6_license_scan": license_scan.check_sql(), "op12_prefix_trie": TRIE_SQL}
