@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tiermill.llm import (
     html_blocks,
+    jaccard_partitions,
     language_mixture,
     license_scan,
     line_frequency,
@@ -99,6 +100,10 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(lined)
 
 
+def op13_jaccard_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_partitions.near_duplicates(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,6 +119,7 @@ QUERIES = {
         op10_spot_signatures,
         op11_embedding_whitening,
         op12_prefix_trie,
+        op13_jaccard_partitions,
     )
 }
 URL_SQL = f"""
