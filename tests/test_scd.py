@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tiermill.operators import scd
 
@@ -97,3 +98,25 @@ def test_changes_hold_exactly_the_altered_rows(spark):
 def test_one_key_holding_most_rows(spark):
     rows = [("hot", START + timedelta(hours=i), "ABCA"[i % 4], "") for i in range(3000)] + history(7, rows=100, hot=0)
     assert result(scd.build(spark.createDataFrame(rows, SCHEMA), "k")) == expected(rows)
+
+
+@pytest.mark.parametrize("most", [1, 20, 1000])
+def test_build_for_any_window_size(spark, most):
+    rows = history(9, hot=0.5)
+    assert result(scd.build(spark.createDataFrame(rows, SCHEMA), "k", most=most)) == expected(rows)
+
+
+def test_hot_key_is_dealt_out_evenly(spark):
+    """A key with a third of all rows, all in one month: no task holds much more than another."""
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 4000) END AS k",
+        "timestampadd(SECOND, CAST(id * 37 % 2000000 AS INT), TIMESTAMP '2024-03-01') AS effective_from",
+        "CAST(id % 7 AS STRING) AS hash_diff",
+        "'' AS note",
+    )
+    built = scd.build(rows, "k", most=1000)
+    tasks = [r["count"] for r in built.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 4 and max(tasks) < 2 * sorted(tasks)[len(tasks) // 2]
+    text = built._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+    assert built.exceptAll(scd.build(rows, "k", chunk="day").select(built.columns)).count() == 0

@@ -1,11 +1,11 @@
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tiermill.operators import scd
-import pytest
-
-from tiermill.sources.tables import BucketedVersions
+from tiermill.sources.tables import VersionedTable, refresh_derived
 from tiermill.streaming import flows
 
 ROWS = "k string, effective_from timestamp, hash_diff string"
@@ -14,7 +14,7 @@ EVENTS = "event_id string, event_timestamp timestamp, event_type string"
 
 def test_versions_survive_a_restart(spark, tmp_path):
     folder, state = str(tmp_path / "in"), str(tmp_path / "checkpoint")
-    table = BucketedVersions(spark, str(tmp_path / "silver"), "k", buckets=16)
+    table = VersionedTable(spark, str(tmp_path / "silver"), "k", rows_per_part=2)
     first = [("a", datetime(2024, 1, 1), "x"), ("b", datetime(2024, 1, 1), "x")]
     second = [("a", datetime(2024, 1, 2), "y"), ("b", datetime(2024, 1, 2), "x"), ("c", datetime(2024, 1, 2), "z")]
 
@@ -31,16 +31,79 @@ def test_versions_survive_a_restart(spark, tmp_path):
     assert run() == [("a", "x", False, 1), ("a", "y", True, 2), ("b", "x", True, 1), ("c", "z", True, 1)]
     whole = scd.build(spark.createDataFrame(first + second, ROWS), "k")
     assert whole.exceptAll(table.read().select(whole.columns)).count() == 0
-    # Only what the batches touched was written: all three keys twice at most, and another flow is refused.
-    before = table.manifest()["buckets"]
-    spark.createDataFrame([("a", datetime(2024, 1, 3), "w")], ROWS).write.mode("append").parquet(folder)
+    # Four keys do not fit one part of two rows, and another flow is refused.
+    spark.createDataFrame([("d", datetime(2024, 1, 3), "w")], ROWS).write.mode("append").parquet(folder)
+    run()
+    spark.createDataFrame([("d", datetime(2024, 1, 4), "v")], ROWS).write.mode("append").parquet(folder)
     run()
-    after = table.manifest()["buckets"]
-    assert set(before) == set(after) and [b for b in after if after[b] != before[b]] == [str(x) for x in table.touched(spark.createDataFrame([("a",)], "k string"))]
+    assert table.parts() == 2 and table.open().count() == 4
+    with pytest.raises(ValueError):
+        table.refresh(spark.createDataFrame(first, ROWS), 99, "another")
+
+
+def test_batches_in_any_order_equal_all_at_once(spark, tmp_path):
+    """Late rows supersede closed versions; a batch that comes again, or was interrupted, changes nothing more."""
+    draw = random.Random(3)
+    rows = [(f"k{draw.randrange(7)}", datetime(2024, 1 + draw.randrange(5), 1 + draw.randrange(28)), draw.choice("xyz")) for _ in range(90)]
+    table, whole = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=3), None
+    shown = lambda df: sorted(map(str, df.select("k", "effective_from", "hash_diff", *scd.VERSION_COLUMNS).collect()))
+    for number in range(6):
+        batch = spark.createDataFrame(rows[15 * number : 15 * number + 15], ROWS)
+        table.refresh(batch, number)
+        # One snapshot of everything, applied to as a whole.
+        path = str(tmp_path / f"whole{number}")
+        (scd.build(batch, "k") if whole is None else scd.apply(whole, batch, "k")).write.parquet(path)
+        whole = spark.read.parquet(path)
+        assert shown(table.read()) == shown(whole)
+        if number == 3:
+            # As if the result had been written but put in place only in part.
+            table.folder("open", f"parts={table.parts()}").delete()
+            table.refresh(batch, number)
+            assert shown(table.read()) == shown(whole)
     with pytest.raises(ValueError):
-        table.write(table.read(), 99, "another", [])
-    table.expire(1)
-    assert len(table.versions()) == 1 and table.read().count() == 5
+        table.refresh(batch, 2)
+
+
+def test_refresh_writes_what_the_batch_touches(spark, tmp_path):
+    """Closed versions are never written again; open ones only in the parts of the batch's keys."""
+    rows = spark.range(4000).selectExpr("concat('k', id) AS k", "TIMESTAMP '2024-01-01' AS effective_from", "'x' AS hash_diff")
+    table = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=250)
+    table.refresh(rows, 0)
+    assert table.parts() == 16
+
+    def files(kind):
+        found = {}
+        for path in (tmp_path / "t" / kind).rglob("*.parquet"):
+            found[str(path)] = path.stat().st_size
+        return found
+
+    largest = table.open().groupBy(table.part_of(16)).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 250
+    for number, part in ((1, 1), (2, 40), (3, 4000)):
+        before = files("open") | files("closed")
+        changed = rows.where(f"substr(k, 2) < {part}").withColumns(
+            {"effective_from": F.col("effective_from") + F.expr(f"INTERVAL {number} DAY"), "hash_diff": F.lit(f"y{number}")}
+        )
+        table.refresh(changed, number)
+        after = files("open") | files("closed")
+        gone = [f for f in before if f not in after]
+        assert all("/open/" in f for f in gone)
+        if part == 1:
+            assert len({f.split("part=")[2].split("/")[0] if f.count("part=") > 1 else f.split("/part=")[1].split("/")[0] for f in gone}) == 1
+    assert table.read().count() == 4000 + 1 + 40 + 4000
+
+
+def test_derived_parts_follow(spark, tmp_path):
+    """A part of which nothing is left in the derived table is removed there."""
+    table, path = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=1), str(tmp_path / "d")
+    make = lambda df: df.where("hash_diff <> 'gone'").select("k", "hash_diff")
+    rows = [(c, datetime(2024, 1, 1), "here") for c in "abcdefgh"]
+    refresh_derived(table.refresh(spark.createDataFrame(rows, ROWS), 0), make, path, "k")
+    assert spark.read.parquet(path).count() == 8
+    rows = [(c, datetime(2024, 1, 2), "gone" if c < "e" else "there") for c in "abcdef"]
+    refresh_derived(table.refresh(spark.createDataFrame(rows, ROWS), 1), make, path, "k")
+    got = sorted((r.k, r.hash_diff) for r in spark.read.parquet(path).collect())
+    assert got == [("e", "there"), ("f", "there"), ("g", "here"), ("h", "here")]
 
 
 def test_append_twice_with_one_checkpoint_gives_no_duplicates(spark, tmp_path):

@@ -12,7 +12,7 @@ from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.session import shared_dir
 from tiermill.sources.bridge import Bronze
-from tiermill.sources.tables import BucketedVersions
+from tiermill.sources.tables import VersionedTable
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -241,16 +241,40 @@ def scd2_build(b: Bronze) -> DataFrame:
 
 @plan("scd2_apply", VERSIONS_SQL)
 def scd2_apply(b: Bronze) -> DataFrame:
-    """Two loads stored as versions; only the rows of the third that are new or changed are applied to their buckets."""
-    table = BucketedVersions(b.spark, shared_dir(b.spark, "customer-versions"), "customer_hk", buckets=8)
-    first = scd.build(customer_load(b, 1).unionByName(customer_load(b, 2)), "customer_hk")
-    table.write(first, 2, "loads", list(range(8)))
-    third = customer_load(b, 3)
-    touched = table.touched(third)
-    table.write(scd.apply(table.read(buckets=touched), third, "customer_hk"), 3, "loads", touched)
+    """Two loads stored as versions; only the rows of the third that are new or changed are applied to their parts."""
+    table = VersionedTable(b.spark, shared_dir(b.spark, "customer-versions"), "customer_hk", rows_per_part=20_000)
+    table.refresh(customer_load(b, 1).unionByName(customer_load(b, 2)), 1)
+    table.refresh(customer_load(b, 3), 2)
     return version_report(table.read())
 
 
+# A third of all rows is one key's, all within March 1995.
+BUSY = "CASE WHEN l_orderkey % 3 = 0 THEN 'busy' ELSE concat('S', CAST(l_suppkey AS STRING)) END"
+BUSY_SECOND = "(l_orderkey * 8 + l_linenumber) % 2592000"
+
+
+@plan(
+    "scd2_hot_key",
+    f"""WITH rows AS (SELECT {BUSY} AS line_key, TIMESTAMP '1995-03-01' + to_seconds(CAST({BUSY_SECOND} AS BIGINT)) AS at,
+      max(l_returnflag || l_linestatus) AS hash_diff FROM lineitem GROUP BY ALL),
+    kept AS (SELECT *, lag(hash_diff) OVER w AS before FROM rows WINDOW w AS (PARTITION BY line_key ORDER BY at)
+      QUALIFY before IS NULL OR before <> hash_diff)
+    SELECT line_key, {sql_stamp('at')} AS effective_from, hash_diff, {sql_stamp('lead(at) OVER w')} AS effective_to,
+      lead(at) OVER w IS NULL AS is_current, CAST(row_number() OVER w AS INT) AS record_version
+    FROM kept WINDOW w AS (PARTITION BY line_key ORDER BY at)""",
+)
+def scd2_hot_key(b: Bronze) -> DataFrame:
+    """Versions of line states, one key having a third of all rows within one month."""
+    rows = b.table("lineitem").select(
+        F.expr(BUSY).alias("line_key"),
+        F.expr(f"timestampadd(SECOND, {BUSY_SECOND}, TIMESTAMP '1995-03-01')").alias("effective_from"),
+        F.concat("l_returnflag", "l_linestatus").alias("hash_diff"),
+    )
+    versions = scd.build(rows, "line_key", most=1_000)
+    ends = F.when(~F.col("is_current"), F.col("effective_to"))
+    return versions.withColumns({"effective_from": stamp("effective_from"), "effective_to": stamp(ends)})
+
+
 # -- configured mapping -----------------------------------------------------------
 
 MAPPING = [

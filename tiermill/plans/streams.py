@@ -12,7 +12,7 @@ from tiermill.plans.registry import plan
 from tiermill.plans.silver import sql_stamp, stamp
 from tiermill.session import shared_dir
 from tiermill.sources.bridge import Bronze
-from tiermill.sources.tables import BucketedVersions
+from tiermill.sources.tables import VersionedTable
 from tiermill.streaming import flows
 
 # Orders that come once more, a day later and with another status.
@@ -31,16 +31,15 @@ def landed_orders(b: Bronze) -> DataFrame:
     return flows.file_stream(b.spark, folder, raw.schema, files_per_batch=1)
 
 
-def run_orders(b: Bronze) -> tuple[BucketedVersions, BucketedVersions]:
-    """Versioned orders and the fact that follows them."""
-    versions = BucketedVersions(b.spark, shared_dir(b.spark, "stream-silver"), "order_hk", buckets=8)
-    facts = BucketedVersions(b.spark, shared_dir(b.spark, "stream-fact"), "order_hk", buckets=8)
+def run_orders(b: Bronze) -> tuple[VersionedTable, DataFrame]:
+    """Versioned orders and the fact that follows them, in parts of up to 50,000 orders."""
+    versions, facts = VersionedTable(b.spark, shared_dir(b.spark, "stream-silver"), "order_hk", 50_000), shared_dir(b.spark, "stream-fact")
     conform = lambda batch: silver.orders(b.orders(orders=batch))
     derive = lambda rows: gold.fact_sales(rows, b.regions())
     flows.refresh_versions(
         landed_orders(b), conform, versions, shared_dir(b.spark, "checkpoint"), every=None, derive=(derive, facts)
     ).awaitTermination()
-    return versions, facts
+    return versions, b.spark.read.parquet(facts)
 
 
 q.RELATIONS["versioned_orders"] = f"""
@@ -73,7 +72,7 @@ def stream_silver(b: Bronze) -> DataFrame:
 def stream_fact(b: Bronze) -> DataFrame:
     """The fact that follows the versions: an updated order is one fact, with its newest values."""
     _, facts = run_orders(b)
-    return facts.read().groupBy("source_system", "date_key").agg(
+    return facts.groupBy("source_system", "date_key").agg(
         F.count("*").alias("orders"), money(F.sum("total_amount_usd")).alias("billed")
     )
 

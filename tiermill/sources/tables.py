@@ -1,13 +1,14 @@
-"""Table sinks: clustered appends and bucketed versions on plain files."""
+"""Table sinks on plain Parquet folders: clustered appends, and versions whose refresh follows the batch."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tiermill.operators import scd
+from tiermill.session import stored
+
 
 def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str] | None = None) -> None:
     """Append rows under date folders, sorted inside each file for range pruning.
@@ -21,105 +22,196 @@ def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str]
     laid_out.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-class BucketedVersions:
-    """A versioned table in hash buckets of its key; a new version rewrites the touched buckets only.
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write ``df`` over the partitions it has rows of; the others stay."""
+    writer = df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
+class Folder:
+    """A folder of whatever storage the session knows."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self._files.exists(self._path)
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._files.listStatus(self._path)) if self.exists() else []
+
+    def values(self, key: str) -> list[int]:
+        """Numbers of the sub-folders called ``key=number``."""
+        return sorted(int(n.split("=")[1]) for n in self.names() if n.startswith(f"{key}="))
+
+    def delete(self) -> None:
+        self._files.delete(self._path, True)
+
 
-    ``data/version=N/bucket=B`` holds what version N wrote, ``manifests/N`` says which version each bucket is read from
-    and which flow wrote it. A version counts once its manifest exists, which is created in one step after its data; a
-    failed or repeated write leaves the last version in force. Readers follow one manifest, so they never see a mixture.
+class VersionedTable:
+    """Versions of every key (see ``scd``), split so that a refresh costs what its batch touches.
+
+    The last version of a key is open, the ones before are closed. Closed versions are only ever added:
+    ``closed/ended=<month>/batch=<number>``. Open ones, one a key, lie in ``open/parts=<count>/part=<hash of the key>``; a
+    refresh rewrites the parts its keys are in by a dynamic partition overwrite. There are as many parts as keep each below
+    ``rows_per_part``; where the table outgrows them, the next refresh doubles their number. A late row may change closed
+    versions: the old ones are listed in ``superseded``, and only months from the late row on are read for it.
+
+    A refresh first writes its result to ``pending`` and then puts it in place. A refresh that was interrupted, or comes again
+    with the same number, only repeats the second step, so nothing is lost or applied twice. Readers and refreshes take turns;
+    for readers at any time merge ``scd.changes`` into a table format instead. A table belongs to the flow that started it.
     """
 
-    BUCKET = "_bucket"
-
-    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = 64):
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
-
-    def _files(self):
-        """The storage behind the root, whatever it is, and its path type."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _data(self, version: int, bucket: int | None = None) -> str:
-        return f"{self.root}/data/version={version:012d}" + (f"/{self.BUCKET}={bucket}" if bucket is not None else "")
-
-    def versions(self) -> list[int]:
-        """Complete versions, oldest first; file names only, no data is read."""
-        fs, path = self._files()
-        folder = path(f"{self.root}/manifests")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def manifest(self, before: int | None = None) -> dict:
-        """The newest manifest, or the newest one below ``before``: ``owner`` and, per bucket, its version."""
-        usable = [v for v in self.versions() if before is None or v < before]
-        if not usable:
-            return {"version": None, "owner": None, "schema": None, "buckets": {}}
-        fs, path = self._files()
-        stream = fs.open(path(f"{self.root}/manifests/{usable[-1]:012d}"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
-
-    def with_bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-
-    def touched(self, df: DataFrame) -> list[int]:
-        """Buckets of the frame's keys; at most as many as there are buckets."""
-        return sorted(r[0] for r in self.with_bucket(df.select(self.key)).select(self.BUCKET).distinct().collect())
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        """The table, or some of its buckets, as of the newest version (below ``before``)."""
-        found = self.manifest(before)
-        wanted = [(int(b), v) for b, v in found["buckets"].items() if buckets is None or int(b) in set(buckets)]
-        if found["schema"] is None:
+    OPEN, CLOSED, SUPERSEDED = "open", "closed", "superseded"
+
+    def __init__(self, spark: SparkSession, root: str, key: str, rows_per_part: int = 1_000_000):
+        self.spark, self.root, self.key, self.rows_per_part = spark, root.rstrip("/"), key, rows_per_part
+
+    def folder(self, *names: str) -> Folder:
+        return Folder(self.spark, "/".join([self.root, *names]))
+
+    def parts(self) -> int:
+        """Into how many parts the open versions are split; none yet for a new table."""
+        return max(self.folder(self.OPEN).values("parts"), default=0)
+
+    def part_of(self, parts: int):
+        return F.pmod(F.xxhash64(self.key), F.lit(parts)).cast("int")
+
+    def _schema(self) -> StructType:
+        """Columns of a version, from any file there is."""
+        found = self.spark.read.parquet(self.folder(self.OPEN, f"parts={self.parts()}").path).schema
+        return StructType([f for f in found.fields if f.name != "part"])
+
+    def open(self, parts: list[int] | None = None) -> DataFrame | None:
+        """The last version of every key, of some parts only if asked."""
+        count = self.parts()
+        if not count:
+            return None
+        rows = self.spark.read.schema(self._schema().add("part", "integer")).parquet(self.folder(self.OPEN, f"parts={count}").path)
+        return (rows if parts is None else rows.where(F.col("part").isin(parts))).drop("part")
+
+    def _closed(self, since: str | None = None) -> DataFrame | None:
+        """Closed versions that hold, with their month and batch."""
+        if not self.folder(self.CLOSED).exists():
             return None
-        schema = StructType.fromJson(found["schema"])
-        if not wanted:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self._data(v, b) for b, v in wanted])
-
-    def write(self, df: DataFrame, version: int, owner: str, touched: list[int]) -> None:
-        """Replace the touched buckets by ``df``; ``owner`` names the flow, and another flow's table is refused."""
-        known = self.manifest(before=version)
-        if known["owner"] not in (None, owner):
-            raise ValueError(f"{self.root} belongs to {known['owner']}, not to {owner}")
-        schema = df.schema
-        self.with_bucket(df).repartition(self.BUCKET).write.mode("overwrite").partitionBy(self.BUCKET).parquet(self._data(version))
-        fs, path = self._files()
-        written = {b for b in touched if fs.exists(path(self._data(version, b)))}
-        buckets = {b: v for b, v in known["buckets"].items() if int(b) not in touched} | {str(b): version for b in written}
-        text = json.dumps({"version": version, "owner": owner, "schema": schema.jsonValue(), "buckets": buckets})
-        draft, final = path(f"{self.root}/manifests/.{version:012d}"), path(f"{self.root}/manifests/{version:012d}")
-        stream = fs.create(draft, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        fs.delete(final, False)
-        if not fs.rename(draft, final):
-            raise OSError(f"{final.toString()} could not be created")
-
-    def expire(self, keep: int) -> None:
-        """Forget all but the newest ``keep`` versions, and the data that none of these reads."""
-        if keep < 1:
-            raise ValueError("the newest version is always kept")
-        fs, path = self._files()
-        found = self.versions()
-        used = set()
-        for version in found[-keep:]:
-            kept = self.manifest(before=version + 1)
-            used |= {self._data(v, int(b)) for b, v in kept["buckets"].items()}
-        for version in found[:-keep]:
-            fs.delete(path(f"{self.root}/manifests/{version:012d}"), False)
-        for version in found[:-keep]:
-            folder = path(self._data(version))
-            if not fs.exists(folder):
-                continue
-            for status in fs.listStatus(folder):
-                name = status.getPath().getName()
-                if name.startswith(f"{self.BUCKET}=") and f"{self._data(version)}/{name}" not in used:
-                    fs.delete(status.getPath(), True)
+        schema = self._schema().add("ended", "string").add("batch", "long")
+        rows = self.spark.read.schema(schema).parquet(self.folder(self.CLOSED).path)
+        if since:
+            rows = rows.where(F.col("ended") >= since)
+        if not self.folder(self.SUPERSEDED).exists():
+            return rows
+        names = [self.key, "effective_from", "batch"]
+        schema = StructType([rows.schema[c] for c in names]).add("by_batch", "long")
+        gone = self.spark.read.schema(schema).parquet(self.folder(self.SUPERSEDED).path)
+        return rows.join(gone.drop("by_batch"), names, "left_anti")
+
+    def read(self) -> DataFrame | None:
+        """All versions."""
+        rows, closed = self.open(), self._closed()
+        if rows is None or closed is None:
+            return rows
+        return rows.unionByName(closed.drop("ended", "batch"))
+
+    def _pending(self, owner: str, number: int) -> Folder:
+        owners = self.folder("pending").names()
+        if owners and owners != [owner]:
+            raise ValueError(f"{self.root} belongs to {owners[0]}, not to {owner}")
+        numbers = self.folder("pending", owner).values("batch")
+        if numbers and number < numbers[-1]:
+            raise ValueError(f"batch {number} of {self.root} comes after batch {numbers[-1]}")
+        return self.folder("pending", owner, f"batch={number}")
+
+    def refresh(self, rows: DataFrame, number: int, owner: str = "refresh") -> DataFrame:
+        """Apply a batch of rows (see ``scd.apply``). Gives the open versions of all touched parts, with ``parts`` and ``part``."""
+        pending = self._pending(owner, number)
+        if "_SUCCESS" not in pending.names():
+            result = self._first(rows) if not self.parts() else self._applied(rows)
+            result.write.mode("overwrite").partitionBy("kind").parquet(pending.path)
+            schema = result.schema
+        else:
+            schema = self.spark.read.parquet(pending.path).schema
+        return self._put(self.spark.read.schema(schema).parquet(pending.path), number, owner)
+
+    def _kinds(self, versions: DataFrame, parts: int) -> DataFrame:
+        """Versions with their place: ``kind``, and the number of parts; ``gone_batch`` is that of a superseded one."""
+        kind = F.when(F.col("is_current"), self.OPEN).otherwise(self.CLOSED)
+        return versions.withColumns({"kind": kind, "parts": F.lit(parts), "gone_batch": F.lit(None).cast("long")})
+
+    def _needed(self, rows: int) -> int:
+        return 1 << max(0, -(-rows // self.rows_per_part) - 1).bit_length()
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        versions = stored(scd.build(rows, self.key), "first-versions")
+        return self._kinds(versions, self._needed(versions.where("is_current").count()))
+
+    def _applied(self, rows: DataFrame) -> DataFrame:
+        """What the batch makes of the parts it touches, and the closed versions it adds and supersedes."""
+        old = self.parts()
+        # Counted from file footers.
+        parts = max(old, self._needed(self.open().count()))
+        starts = stored(rows.groupBy(self.key).agg(F.min("effective_from").alias("_start")), "batch-starts")
+        touched = None if parts > old else [r[0] for r in starts.select(self.part_of(old)).distinct().collect()]
+        marked = self.open(touched).join(starts, self.key, "left")
+        calm, mine = marked.where(F.col("_start").isNull()).drop("_start"), marked.where(F.col("_start").isNotNull())
+        reopened = mine.drop("_start")
+        late = stored(mine.where(F.col("_start") <= F.col("effective_from")).select(self.key, "_start"), "batch-late")
+        first = late.agg(F.date_format(F.min("_start"), "yyyy-MM")).first()[0]
+        closed = self._closed(since=first) if first else None
+        gone = None
+        if closed is not None:
+            gone = closed.join(late, self.key).where(F.col("effective_to") >= F.col("_start")).drop("_start", "ended")
+            gone = stored(gone, "batch-superseded")
+            reopened = reopened.unionByName(gone.drop("batch"))
+        body = [c for c in reopened.columns if c not in scd.VERSION_COLUMNS]
+        again = reopened.select(*body, F.col("record_version").alias("_stored"))
+        fresh = rows.select(*body, F.lit(None).cast("int").alias("_stored"))
+        rebuilt = scd.build(again.unionByName(fresh), self.key, first_version="_stored").select(calm.columns)
+        result = self._kinds(calm.unionByName(rebuilt), parts)
+        if gone is None:
+            return result
+        listed = gone.select(*calm.columns, F.lit(self.SUPERSEDED).alias("kind"), F.lit(parts).alias("parts"), F.col("batch").alias("gone_batch"))
+        return result.unionByName(listed)
+
+    def _put(self, pending: DataFrame, number: int, owner: str) -> DataFrame:
+        """Put a written result in place; doing so again changes nothing."""
+        rows = pending.where(F.col("kind") == self.OPEN).drop("kind", "gone_batch")
+        parts = rows.select("parts").first()
+        if parts is None:
+            return rows.withColumn("part", F.lit(None).cast("int"))
+        placed = rows.withColumn("part", self.part_of(parts[0]))
+        replace_partitions(placed, self.folder(self.OPEN).path, ["parts", "part"])
+        ended = pending.where(F.col("kind") == self.CLOSED).drop("kind", "parts", "gone_batch")
+        if not ended.isEmpty():
+            ended = ended.withColumns({"ended": F.date_format("effective_to", "yyyy-MM"), "batch": F.lit(number).cast("long")})
+            replace_partitions(ended, self.folder(self.CLOSED).path, ["ended", "batch"])
+        gone = pending.where(F.col("kind") == self.SUPERSEDED)
+        if not gone.isEmpty():
+            gone = gone.select(self.key, "effective_from", F.col("gone_batch").alias("batch"), F.lit(number).cast("long").alias("by_batch"))
+            replace_partitions(gone, self.folder(self.SUPERSEDED).path, ["by_batch"])
+        for count in self.folder(self.OPEN).values("parts"):
+            if count < parts[0]:
+                self.folder(self.OPEN, f"parts={count}").delete()
+        for done in self.folder("pending", owner).values("batch"):
+            if done < number:
+                self.folder("pending", owner, f"batch={done}").delete()
+        return placed
+
+
+def refresh_derived(rows: DataFrame, make, path: str, key: str) -> None:
+    """Rewrite the parts of a table that ``make`` derives from open versions, for what a refresh gave. The derived rows have
+    the key; a part of which nothing is left is removed."""
+    counts = rows.select("parts").first()
+    if counts is None:
+        return
+    place = F.pmod(F.xxhash64(key), F.lit(counts[0])).cast("int")
+    made = stored(make(rows.drop("parts", "part")).withColumns({"parts": F.lit(counts[0]), "part": place}), "derived")
+    replace_partitions(made, path, ["parts", "part"])
+    spark = rows.sparkSession
+    left = {r[0] for r in made.select("part").distinct().collect()}
+    for part in {r[0] for r in rows.select("part").distinct().collect()} - left:
+        Folder(spark, f"{path}/parts={counts[0]}/part={part}").delete()
+    for count in Folder(spark, path).values("parts"):
+        if count < counts[0]:
+            Folder(spark, f"{path}/parts={count}").delete()

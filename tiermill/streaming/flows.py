@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tiermill.operators import scd
-from tiermill.sources.tables import BucketedVersions
+from tiermill.session import stored
+from tiermill.sources.tables import VersionedTable, refresh_derived
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,36 +71,25 @@ def _trigger(every: str | None) -> dict:
 def refresh_versions(
     stream: DataFrame,
     conform: Callable[[DataFrame], DataFrame],
-    table: BucketedVersions,
+    table: VersionedTable,
     checkpoint: str,
     every: str | None = "5 minutes",
-    keep: int = 10,
-    derive: tuple[Callable[[DataFrame], DataFrame], BucketedVersions] | None = None,
+    derive: tuple[Callable[[DataFrame], DataFrame], str] | None = None,
 ) -> StreamingQuery:
     """Keep a versioned Silver table fresh, and a table derived from it.
 
-    Each micro-batch is conformed and applied to the buckets of its keys, read as of the newest version below its own
-    number; only these buckets are written, as the version of that number, so the cost follows the batch. ``derive`` makes
-    another table (a fact) from the new versions of the same buckets: an updated or late row replaces what it changes there.
-    A replay rebuilds the same version from the same inputs. A table is bound to the checkpoint that started it. The last
-    ``keep`` versions stay readable.
+    Each micro-batch is conformed, written once and applied under its number (see ``VersionedTable``). ``derive`` makes
+    another table (a fact, in the given folder) from the open versions of the touched parts: an updated or late row replaces
+    what it changes there. A replayed micro-batch puts the same result in place again. A table is bound to the checkpoint
+    that started it.
     """
+    owner = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def apply_batch(batch: DataFrame, number: int) -> None:
-        # The plan reads the batch several times; a lost block is computed again.
-        rows = conform(batch).drop(*scd.VERSION_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            touched = table.touched(rows)
-            current = table.read(before=number, buckets=touched)
-            result = scd.build(rows, table.key) if current is None else scd.apply(current, rows, table.key)
-            table.write(result, number, checkpoint, touched)
-            if derive:
-                make, target = derive
-                target.write(make(table.read(buckets=touched)), number, checkpoint, touched)
-                target.expire(keep)
-            table.expire(keep)
-        finally:
-            rows.unpersist()
+        rows = stored(conform(batch).drop(*scd.VERSION_COLUMNS), "micro-batch")
+        touched = table.refresh(rows, number, owner)
+        if derive:
+            refresh_derived(touched, *derive, table.key)
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
