@@ -10,11 +10,12 @@ these links are found; a bucket whose members are all connected is done, whateve
 ``small`` sets all pairs that are not yet connected are compared. Larger open ones (an empty segment, or common boilerplate)
 are costly, so thresholds are allocated anew for the sets in them: a large bucket gets -1, that is, it is not looked at, and
 as many of the set's cheapest other segments get 1 instead of 0. These are indexed by the one-deletion neighbourhood, all
-subsets with one element less, so that a segment differing in one element is found. Where more than half of a set's segments
-are large open buckets, the rest of these are searched block by block: parity sketches of 512 bits, of which two sets cannot
-differ in more than the sets do, discard pairs by vector operations. Every candidate is verified on the whole sets.
+subsets with one element less, so that a segment differing in one element is found. Where that does not pay, or more than half
+of a set's segments are large open buckets, a bucket keeps 0 and is searched. Members of open buckets carry parity sketches of
+512 bits, in which two sets cannot differ in more cells than they differ in elements, so vector operations discard almost all
+pairs that are not linked before any set moves. Every candidate is verified on the whole sets.
 
-Elements are 64-bit hashes of n-grams; sets are named by a 128-bit hash of their elements.
+Elements are 64-bit hashes of n-grams; sets are named by a 96-bit hash of their elements.
 
 Defined cases: a null or empty text, or one without words, has the empty set, which is linked with nothing, not even its equal;
 texts of fewer words than ``width`` have one element, the whole sequence; repeated elements count once. Rows with a null id
@@ -49,6 +50,7 @@ class Rules:
     percent: int = 90
     small: int = 32  # sets in a bucket whose pairs are all compared
     remembered: int = 200_000  # sets of which a task still knows that it has indexed them
+    filter_bits: int = 26  # of the filter by which tasks skip texts that nobody asks for
 
 
 # Sets
@@ -84,11 +86,11 @@ def elements(text: bytes, width: int, words: Words) -> np.ndarray:
 
 
 def name_of(set_: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set; zeros for the empty one."""
+    """96 bits that name a set, as a long and an int; zeros for the empty one."""
     if not len(set_):
         return 0, 0
-    digest = xxhash.xxh128_digest(set_.tobytes())
-    return tuple(np.frombuffer(digest, "<i8").tolist())
+    a, b = np.frombuffer(xxhash.xxh128_digest(set_.tobytes()), "<i8").tolist()
+    return a, b & 0x7FFFFFFF
 
 
 def differing(a: int, b: int, percent: int) -> int:
@@ -144,10 +146,20 @@ def sketch(set_: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cells, minlength=8 * SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
-def _binary(a: np.ndarray, b: np.ndarray) -> pa.Array:
-    """Names of 16 bytes from their two halves."""
-    joined = np.stack((a, b), axis=1).astype("<i8").tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(a), [None, pa.py_buffer(joined)]).cast(pa.binary())
+NAME = np.dtype([("a", "<i8"), ("b", "<i4")])
+
+
+def _names(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Names as binary values from their two parts."""
+    joined = np.empty(len(a), NAME)
+    joined["a"], joined["b"] = a, b
+    kind = pa.binary(NAME.itemsize)
+    return pa.FixedSizeBinaryArray.from_buffers(kind, len(a), [None, pa.py_buffer(joined.tobytes())]).cast(pa.binary())
+
+
+def _names_of(sets: list[np.ndarray]) -> pa.Array:
+    parts = np.array([name_of(s) for s in sets], np.int64).reshape(-1, 2)
+    return _names(parts[:, 0], parts[:, 1])
 
 
 def _named(rules: Rules):
@@ -155,8 +167,7 @@ def _named(rules: Rules):
         words = Words()
         for batch in batches:
             sets = [elements(t.as_py(), rules.width, words) for t in batch.column(1)]
-            names = np.array([name_of(s) for s in sets], np.int64).reshape(-1, 2)
-            columns = [batch.column(0), batch.column(2), _binary(names[:, 0], names[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [batch.column(0), batch.column(2), _names_of(sets), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.record_batch(columns, names=["id", "h", "s", "n"])
 
     return run
@@ -165,9 +176,10 @@ def _named(rules: Rules):
 # Buckets of shared subsets
 
 
-INDEX = "deal long, sig long, a long, b long, n int, first_a long, first_b long, first_n int, met boolean, scheme int, segment int"
+#: ``b`` holds the second part of a name and, in its high half, the size of the set.
+INDEX = "sig long, a long, b long, first_a long, first_b long, met boolean"
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
-STARS = "sig long, scheme int, segment int, s binary, n int, first binary, first_n int"
+STARS = "sig long, s binary, n int, first binary, first_n int"
 STAR_NAMES = [x.split()[0] for x in STARS.split(", ")]
 #: Members that a subset has in one batch before they are combined there.
 HOT = 4
@@ -180,7 +192,7 @@ def _indexed(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), OrderedDict()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            found: list[tuple[np.ndarray, int, int]] = []
             for t in batch.column(0):
                 set_ = elements(t.as_py(), rules.width, words)
                 options = schemes(len(set_), rules.percent)
@@ -191,58 +203,56 @@ def _indexed(rules: Rules):
                 if len(seen) > rules.remembered:
                     seen.popitem(last=False)
                 for scheme, count in options:
-                    segments = np.arange(count)
                     sums = subsets(set_, scheme, count)[1]
-                    values = [signatures(sums, segments, scheme).view(np.int64), *name, len(set_), scheme, segments]
-                    for column, value in zip(out, values):
-                        column.append(value if isinstance(value, np.ndarray) else np.full(count, value, np.int64))
-            if not out[0]:
+                    found.append((signatures(sums, np.arange(count), scheme), name[0], name[1] | len(set_) << 32))
+            if not found:
                 continue
-            sig, a, b, n, scheme, segment = (np.concatenate(c) for c in out)
+            sig = np.concatenate([f[0] for f in found]).view(np.int64)
+            counts = [len(f[0]) for f in found]
+            a, b = (np.repeat(np.array([f[i] for f in found], np.int64), counts) for i in (1, 2))
             order = np.lexsort((b, a, sig))
-            sig, a, b, n, scheme, segment = (c[order] for c in (sig, a, b, n, scheme, segment))
+            sig, a, b = sig[order], a[order], b[order]
             starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             sizes = np.diff(np.append(starts, len(sig)))
             first = np.repeat(starts, sizes)
             met = (np.repeat(sizes, sizes) >= HOT) & (np.arange(len(sig)) != first)
-            deal = np.where(met, mixed((sig ^ a).view(np.uint64)).view(np.int64), sig)
-            columns = [deal, sig, a, b, n, a[first], b[first], n[first], met, scheme, segment]
-            kinds = [np.int64] * 4 + [np.int32] + [np.int64] * 2 + [np.int32, bool] + [np.int32] * 2
-            yield pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=INDEX_NAMES)
+            columns = [sig, a, b, np.where(met, a[first], 0), np.where(met, b[first], 0), met]
+            yield pa.record_batch([pa.array(c) for c in columns], names=INDEX_NAMES)
 
     return run
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every member of a bucket but the first, with the first; rows are sorted by deal, sig and name. What has met passes."""
-    last: tuple | None = None  # signature, name, first name and size of the bucket that may go on
+    """Every member of a bucket but the first, with the first; rows are sorted by sig and name. What has met passes."""
+    last: tuple | None = None  # signature, name, first name of the bucket that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, sig, a, b, n, fa, fb, fn, met, scheme, segment = (c.to_numpy(zero_copy_only=False).copy() for c in batch.columns)
+        sig, a, b, fa, fb, met = (c.to_numpy(zero_copy_only=False).copy() for c in batch.columns)
         own = np.flatnonzero(~met)
+        taken = np.flatnonzero(met)
         if len(own):
             g, x, y = sig[own], a[own], b[own]
             begins = np.concatenate(([True], g[1:] != g[:-1]))
             again = np.concatenate(([False], (g[1:] == g[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])))
             first = np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0))
-            fa[own], fb[own], fn[own] = x[first], y[first], n[own][first]
+            fa[own], fb[own] = x[first], y[first]
             member = ~again & ~begins
             if last is not None and last[0] == g[0]:
                 going = first == 0
-                fa[own[going]], fb[own[going]], fn[own[going]] = last[3:]
+                fa[own[going]], fb[own[going]] = last[3:]
                 member[0] = (x[0], y[0]) != last[1:3]
-            taken = np.concatenate((own[member], np.flatnonzero(met)))
+            taken = np.concatenate((own[member], taken))
             e = own[-1]
-            last = (sig[e], a[e], b[e], fa[e], fb[e], fn[e])
-        else:
-            taken = np.flatnonzero(met)
+            last = (sig[e], a[e], b[e], fa[e], fb[e])
         # A first name that comes again after others is not its own partner.
         taken = taken[(a[taken] != fa[taken]) | (b[taken] != fb[taken])]
         if len(taken):
+            b, fb = b[taken], fb[taken]
+            low = 0x7FFFFFFF
             columns = [
-                pa.array(sig[taken]), pa.array(scheme[taken]), pa.array(segment[taken]), _binary(a[taken], b[taken]),
-                pa.array(n[taken]), _binary(fa[taken], fb[taken]), pa.array(fn[taken]),
+                pa.array(sig[taken]), _names(a[taken], b & low), pa.array((b >> 32).astype(np.int32)),
+                _names(fa[taken], fb & low), pa.array((fb >> 32).astype(np.int32)),
             ]
             yield pa.record_batch(columns, names=STAR_NAMES)
 
@@ -250,26 +260,45 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # Verification
 
 
-def _loaded(rules: Rules):
+def _loaded(rules: Rules, places: dict[int, bytes]):
+    """Elements and sketches of the texts whose hash is in the filter, each once a task."""
+    slots = np.zeros((max(1, 1 << rules.filter_bits - 15), 4096), np.uint8)
+    for place, bits in places.items():
+        slots[place] = np.frombuffer(bits, np.uint8)
+    flat = slots.ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, seen = Words(), OrderedDict()
         for batch in batches:
-            sets = [elements(t.as_py(), rules.width, words) for t in batch.column(0)]
-            names = np.array([name_of(s) for s in sets], np.int64).reshape(-1, 2)
-            columns = [_binary(names[:, 0], names[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.record_batch(columns, names=["s", "set"])
+            h = batch.column(1).to_numpy()
+            place = h & ((1 << rules.filter_bits) - 1)
+            wanted = []
+            for i in np.flatnonzero(flat[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist():
+                if h[i] not in seen:
+                    seen[h[i]] = None
+                    wanted.append(i)
+                    if len(seen) > rules.remembered:
+                        seen.popitem(last=False)
+            texts = batch.column(0)
+            sets = [elements(texts[i].as_py(), rules.width, words) for i in wanted]
+            columns = [_names_of(sets), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.record_batch(columns, names=["s", "set", "mark"])
 
     return run
 
 
 def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
-    """``s`` and ``set`` (elements in order) of the wanted names, worked out from one text of each."""
-    order = F.struct(F.col("id").isNull(), "id", "h")
-    chosen = names.join(wanted, "s", "left_semi").groupBy("s").agg(F.min_by(F.struct("id", "h"), order).alias("x"))
-    chosen = keep(chosen.select(F.col("x.id").alias("i"), F.col("x.h").alias("g")), "jaccard-chosen", 8)
-    texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_semi")
-    # Rows of equal id and text are left.
-    return keep(texts.select("text").mapInArrow(_loaded(rules), "s binary, set binary").dropDuplicates(["s"]), "jaccard-elements", 2)
+    """``s``, ``set`` (elements in order) and ``mark`` (sketch) of the wanted names, worked out from one text of each. Tasks
+    skip most other texts by a filter of fixed size, and the rest goes by name; so texts do not move."""
+    hashes = names.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h"))
+    place = F.col("h").bitwiseAND(F.lit((1 << rules.filter_bits) - 1))
+    # 4 KB a row, and no more rows than the filter has slots.
+    slots = hashes.groupBy(F.shiftright(place, 15).cast("int").alias("slot")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")
+    )
+    places = {r.slot: bytes(r.bits) for r in slots.collect()}
+    loaded = docs.select("text", "h").mapInArrow(_loaded(rules, places), "s binary, set binary, mark binary")
+    return keep(loaded.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "jaccard-elements", 2)
 
 
 def _verified(percent: int):
@@ -284,7 +313,7 @@ def _verified(percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     """The pairs (``s``, ``t``) whose sets are within the threshold, as ``u`` and ``v``."""
-    left = pairs.join(sets.withColumnRenamed("set", "x"), "s")
+    left = pairs.join(sets.select("s", F.col("set").alias("x")), "s")
     both = left.join(sets.select(F.col("s").alias("t"), F.col("set").alias("y")), "t")
     return both.select("s", "t", "x", "y").mapInArrow(_verified(rules.percent), "u binary, v binary")
 
@@ -294,35 +323,36 @@ def _near(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-# Large open buckets
+# Open buckets
 
 
-SPARE = "kind int, key long, s binary, n int, root binary, scheme int, segment int, sketch binary"
+SPARE = "kind int, key long, s binary, segment long"
 SPARE_NAMES = [x.split()[0] for x in SPARE.split(", ")]
-SPARE_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-EXACT, LESS, WHOLE = 0, 1, 2
+EXACT, LESS = 0, 1
 
 
 def _spared(rules: Rules):
-    """Of each set in large open buckets: the subsets in all segments, their one-deletion neighbourhoods, and the buckets."""
+    """Of each set in large open buckets, for both its schemes: the subsets in all segments (the hashes of those that are
+    large open buckets are given) and their one-deletion neighbourhoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, n, root, scheme, large, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, large, data in zip(*(c.to_pylist() for c in batch.columns)):
                 set_ = np.frombuffer(data, "<u8")
-                count = dict(schemes(len(set_), rules.percent))[scheme]
-                place, sums = subsets(set_, scheme, count)
-                every, whole = np.arange(count), np.array(sorted(large))
-                less = signatures(sums[place] - mixed(set_ * B + A), place, scheme)
-                exact = signatures(sums, every, scheme)
-                key = np.concatenate((exact, less, exact[whole])).view(np.int64)
-                kind = np.repeat([EXACT, LESS, WHOLE], [count, len(set_), len(whole)])
-                marks = [None] * (count + len(set_)) + [sketch(set_)] * len(whole)
-                columns = [
-                    kind, key, [s] * len(key), np.full(len(key), n), [root] * len(key), np.full(len(key), scheme),
-                    np.concatenate((every, place, whole)), marks,
-                ]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, SPARE_KINDS)], names=SPARE_NAMES)
+                for scheme, count in schemes(len(set_), rules.percent):
+                    place, sums = subsets(set_, scheme, count)
+                    exact = signatures(sums, np.arange(count), scheme)
+                    if not np.isin(exact.view(np.int64), large).any():
+                        continue
+                    less = signatures(sums[place] - mixed(set_ * B + A), place, scheme)
+                    # A segment is named by its scheme as well.
+                    segments = np.concatenate((np.arange(count), place)) | scheme << 40
+                    columns = [
+                        pa.array(np.repeat(np.array([EXACT, LESS], np.int32), [count, len(set_)])),
+                        pa.array(np.concatenate((exact, less)).view(np.int64)),
+                        pa.array([s] * len(segments), pa.binary()), pa.array(segments),
+                    ]
+                    yield pa.record_batch(columns, names=SPARE_NAMES)
 
     return run
 
@@ -343,29 +373,37 @@ def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments with 1, and large ones that keep 0."""
     for batch in batches:
         out = []
-        for s, scheme, segments in zip(*(c.to_pylist() for c in batch.columns)):
+        for s, _, segments in zip(*(c.to_pylist() for c in batch.columns)):
             large = {x["segment"]: x["g"] for x in segments if x["g"] is not None}
+            keys = {x["segment"]: x["key"] for x in segments}
             found = allocate({x["segment"]: x["cost"] for x in segments}, large)
-            out += [(s, scheme, i, t) for i, t in found.items() if t == 1 or t == 0 and i in large]
+            out += [(s, i, keys[i], t) for i, t in found.items() if t == 1 or t == 0 and i in large]
         columns = list(zip(*out)) or [[]] * 4
-        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["s", "scheme", "segment", "t"])
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["s", "segment", "key", "t"])
+
+
+#: A member of a bucket: whether it is looked up there or only listed, and whether as the subset or one element more.
+MEMBERS = ["key", "s", "n", "root", "kind", "asks", "mark"]
 
 
 def _blocked(rules: Rules):
-    """Pairs within a bucket that one member asks for and that sizes and sketches allow; rows are sorted by bucket."""
+    """Pairs within a bucket that sizes and sketches allow; rows are sorted by key. One of a pair asks for the other, they are
+    in different components, and one at least has the whole subset."""
 
-    def of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        names, sizes, roots, asks = [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], np.array([r[3] for r in rows])
-        marks = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+    def of(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        names, sizes, roots, kinds, asks, marks = zip(*rows)
+        sizes, kinds, asks = np.array(sizes, np.int64), np.array(kinds), np.array(asks)
+        table = np.frombuffer(b"".join(marks), np.uint64).reshape(len(rows), -1)
         group = np.unique(np.array(roots, object), return_inverse=True)[1]
         for i in np.flatnonzero(asks).tolist():
             # Two that ask are compared once.
             other = (group != group[i]) & ~(asks & (np.arange(len(rows)) < i))
-            smaller, larger = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-            other &= 100 * smaller >= rules.percent * larger
+            if kinds[i] == LESS:
+                other &= kinds == EXACT
+            other &= 100 * np.minimum(sizes, sizes[i]) >= rules.percent * np.maximum(sizes, sizes[i])
             which = np.flatnonzero(other)
-            apart = np.bitwise_count(marks[which] ^ marks[i]).sum(axis=1)
+            apart = np.bitwise_count(table[which] ^ table[i]).sum(axis=1)
             which = which[apart <= (sizes[which] + sizes[i]) * (100 - rules.percent) // (100 + rules.percent)]
             if len(which):
                 pairs = [[names[i]] * len(which), [names[j] for j in which.tolist()]]
@@ -376,51 +414,47 @@ def _blocked(rules: Rules):
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key:
-                    if any(r[3] for r in rows):
+                    if len(rows) > 1:
                         yield from of(rows)
                     key, rows = k, []
                 rows.append(row)
-        if any(r[3] for r in rows):
+        if len(rows) > 1:
             yield from of(rows)
 
     return run
 
 
-def _pairs_of_large(large: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
-    """Candidate pairs of sets that meet in large open buckets only."""
-    n = tasks(large.sparkSession)
-    at = ["s", "scheme", "segment"]
-    asked = large.groupBy("s", "n", "root", "scheme").agg(F.collect_list("segment").alias("large")).join(sets, "s")
-    spared = keep(asked.select("s", "n", "root", "scheme", "large", "set").mapInArrow(_spared(rules), SPARE), "jaccard-spare")
-    index = spared.where(F.col("kind") != WHOLE).drop("sketch")
-    is_exact = F.col("kind") == EXACT
-    lists = index.groupBy("key").agg(F.sum(is_exact.cast("long")).alias("exact"), F.sum((~is_exact).cast("long")).alias("less"))
-    costs = index.join(lists, "key").groupBy(*at).agg(F.sum(F.when(is_exact, F.col("less")).otherwise(F.col("exact"))).alias("cost"))
+def _asked(large: DataFrame, members: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """Who looks up what for the sets in large open buckets, and who is listed there (``MEMBERS`` without root, size, mark)."""
+    of = large.groupBy("s").agg(F.collect_list("sig").alias("large"))
+    spared = keep(of.join(sets, "s").select("s", "large", "set").mapInArrow(_spared(rules), SPARE), "jaccard-spare")
+    exact = F.col("kind") == EXACT
+    lists = spared.groupBy("key").agg(F.sum(exact.cast("long")).alias("whole"), F.sum((~exact).cast("long")).alias("less"))
+    costs = spared.join(lists, "key").groupBy("s", "segment").agg(
+        F.sum(F.when(exact, F.col("less")).otherwise(F.col("whole"))).alias("cost"), F.max(F.when(exact, F.col("key"))).alias("key")
+    )
     plan = keep(
-        costs.join(large.select(*at, "g"), at, "left")
-        .groupBy("s", "scheme")
-        .agg(F.collect_list(F.struct("segment", "cost", "g")).alias("segments"))
-        .mapInArrow(_allocated, "s binary, scheme int, segment int, t int"),
+        costs.join(large.select("s", F.col("sig").alias("key"), "g"), ["s", "key"], "left")
+        .groupBy("s", F.shiftright("segment", 40).alias("scheme"))
+        .agg(F.collect_list(F.struct("segment", "key", "cost", "g")).alias("segments"))
+        .mapInArrow(_allocated, "s binary, segment long, key long, t int"),
         "jaccard-thresholds",
         4,
     )
-    asking = index.join(plan.where("t = 1").drop("t"), at).select("kind", "key", "s", "n", "root")
-    listed = index.select("key", (1 - F.col("kind")).alias("kind"), *[F.col(c).alias(f"{c}_2") for c in ("s", "n", "root")])
-    met = asking.join(listed, ["key", "kind"]).where((F.col("root") != F.col("root_2")) & _near("n", "n_2", rules.percent))
-    blocks = (
-        spared.where(F.col("kind") == WHOLE)
-        .join(plan.where("t = 0"), at, "left")
-        .select("key", "s", "n", "root", F.col("t").isNotNull().alias("asks"), "sketch")
-        .repartition(n, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_blocked(rules), "s binary, t binary")
-    )
-    return met.select("s", F.col("s_2").alias("t")).unionByName(blocks)
-
-
-def _open(stars: DataFrame, links: DataFrame, roots: DataFrame, rules: Rules) -> DataFrame:
-    """Members of the buckets whose members are in several components: ``sig``, ``scheme``, ``segment``, ``s``, ``n``, ``root``
-    and ``g`` (members of the bucket)."""
+    lookups = spared.join(plan.where("t = 1").select("s", "segment"), ["s", "segment"]).select("key", "s", "kind")
+    lookups = keep(lookups, "jaccard-lookups", 4)
+    # Only what somebody looks up is listed, subsets for their neighbourhoods and these for subsets.
+    sought = lookups.select("key", (1 - F.col("kind")).alias("kind")).distinct()
+    listed = spared.select("key", "s", "kind").join(sought, ["key", "kind"], "left_semi")
+    both = lookups.withColumn("asks", F.lit(True)).unionByName(listed.withColumn("asks", F.lit(False)))
+    kept = plan.where("t = 0").select("key", "s", F.lit(True).alias("a"))
+    buckets = large.select(F.col("sig").alias("key"), "s").join(kept, ["key", "s"], "left")
+    return both.unionByName(buckets.select("key", "s", F.lit(EXACT).alias("kind"), F.coalesce("a", F.lit(False)).alias("asks")))
+
+
+def _open(stars: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are in several components: ``sig``, ``s``, ``n``, ``root`` and ``g`` (members of the
+    bucket)."""
     # The stars of a bucket connect it, so it is open where one of them leads from one component to another.
     apart = stars.join(links, (F.col("s") == F.col("u")) & (F.col("first") == F.col("v")), "left_anti").select("sig", "s", "first")
     apart = apart.join(roots.select(F.col("id").alias("s"), F.col("root").alias("own")), "s", "left")
@@ -429,43 +463,45 @@ def _open(stars: DataFrame, links: DataFrame, roots: DataFrame, rules: Rules) ->
         apart.where(F.coalesce("own", "s") != F.coalesce("other", "first")).select("sig").distinct(), "jaccard-open-sigs", 8
     )
     rows = stars.join(sigs, "sig", "left_semi")
-    ends = rows.select("sig", "scheme", "segment", "s", "n").unionByName(
-        rows.select("sig", "scheme", "segment", F.col("first").alias("s"), F.col("first_n").alias("n"))
-    )
+    ends = rows.select("sig", "s", "n").unionByName(rows.select("sig", F.col("first").alias("s"), F.col("first_n").alias("n")))
     members = keep(
         ends.distinct().join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "jaccard-open"
     )
     return keep(members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("g")), "sig"), "jaccard-open-counted", 4)
 
 
+def _more_pairs(open_: DataFrame, docs: DataFrame, names: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (``s``, ``t``) of open buckets, and the sets of all members."""
+    n = tasks(docs.sparkSession)
+    members = keep(open_.select("s", "n", "root").distinct(), "jaccard-members", 4)
+    sets = _sets(docs, names, members.select("s"), rules)
+    small, large = open_.where(F.col("g") <= rules.small), keep(open_.where(F.col("g") > rules.small), "jaccard-large", 8)
+    asked = small.select(F.col("sig").alias("key"), "s", F.lit(EXACT).alias("kind"), F.lit(True).alias("asks"))
+    if not large.isEmpty():
+        asked = asked.unionByName(_asked(large, members, sets, rules))
+    rows = asked.join(members, "s").join(sets.select("s", "mark"), "s").select(*MEMBERS)
+    pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_blocked(rules), "s binary, t binary")
+    return pairs.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct(), sets
+
+
 def _all_links(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
     """``u``, ``v``: links that connect all sets within the threshold."""
     n = tasks(docs.sparkSession)
     index = docs.select("text").mapInArrow(_indexed(rules), INDEX)
-    stars = keep(
-        index.repartition(n, "deal").sortWithinPartitions("deal", "sig", "a", "b").mapInArrow(_starred, STARS), "jaccard-stars", 2
-    )
+    deal = F.when(F.col("met"), F.xxhash64("sig", "a")).otherwise(F.col("sig"))
+    stars = keep(index.repartition(n, deal).sortWithinPartitions("sig", "a", "b").mapInArrow(_starred, STARS), "jaccard-stars", 2)
     near = stars.where(_near("n", "first_n", rules.percent)).select("s", F.col("first").alias("t")).distinct()
     pairs = keep(near, "jaccard-pairs", 4)
-    wanted = pairs.select("s").unionByName(pairs.select(F.col("t").alias("s"))).distinct()
+    wanted = keep(pairs.select("s").unionByName(pairs.select(F.col("t").alias("s"))).distinct(), "jaccard-wanted", 8)
     links = keep(_links(pairs, _sets(docs, names, wanted, rules), rules), "jaccard-links", 4)
-    open_ = _open(stars, links, keep(components(links), "jaccard-roots", 8), rules)
+    open_ = _open(stars, links, keep(components(links), "jaccard-roots", 8))
     if open_.isEmpty():
         return links
-    small, large = open_.where(F.col("g") <= rules.small), keep(open_.where(F.col("g") > rules.small), "jaccard-large", 8)
-    one = small.select("sig", "s", "n", "root")
-    other = small.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("s", "n", "root")])
-    met = one.join(other, "sig").where((F.col("s") < F.col("s_2")) & (F.col("root") != F.col("root_2")) & _near("n", "n_2", rules.percent))
-    candidates = met.select("s", F.col("s_2").alias("t"))
-    if not large.isEmpty():
-        candidates = candidates.unionByName(_pairs_of_large(large, _sets(docs, names, large.select("s").distinct(), rules), rules))
-    both = candidates.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
+    candidates, sets = _more_pairs(open_, docs, names, rules)
     # What the first links refused is not verified again.
     known = pairs.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
-    more = keep(both.join(known, ["s", "t"], "left_anti"), "jaccard-more", 4)
-    wanted = more.select("s").unionByName(more.select(F.col("t").alias("s"))).distinct()
-    found = _links(more, _sets(docs, names, wanted, rules), rules)
-    return keep(links.unionByName(found), "jaccard-all-links", 8)
+    more = keep(candidates.join(known, ["s", "t"], "left_anti"), "jaccard-more", 4)
+    return keep(links.unionByName(_links(more, sets, rules)), "jaccard-all-links", 8)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
