@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,25 @@ def tasks(spark: SparkSession) -> int:
 def as_bytes(column: str) -> Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+SLOT = 15
+
+
+def bit_filter(values: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a filter of ``2**bits`` bits that knows every value of the frame's one column of longs, by its lowest bits. Its
+    size is fixed; where the values are many it knows others as well, so what it lets pass is joined afterwards."""
+    place = F.col(values.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = values.groupBy(F.shiftright(place, SLOT).cast("int").alias("slot")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << SLOT) - 1))).alias("bits")
+    )
+    slots = np.zeros((1 << max(0, bits - SLOT), 1 << SLOT - 3), np.uint8)
+    for row in rows.collect():
+        slots[row.slot] = np.frombuffer(bytes(row.bits), np.uint8)
+    return slots.ravel()
+
+
+def in_filter(flat: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the longs the filter knows."""
+    place = values & (8 * len(flat) - 1)
+    return (flat[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import as_bytes, keep, tasks
+from tiermill.llm.common import as_bytes, bit_filter, in_filter, keep, tasks
 from tiermill.llm.components import components
 
 SKETCH = 64
@@ -260,20 +260,15 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # Verification
 
 
-def _loaded(rules: Rules, places: dict[int, bytes]):
-    """Elements and sketches of the texts whose hash is in the filter, each once a task."""
-    slots = np.zeros((max(1, 1 << rules.filter_bits - 15), 4096), np.uint8)
-    for place, bits in places.items():
-        slots[place] = np.frombuffer(bits, np.uint8)
-    flat = slots.ravel()
+def _loaded(rules: Rules, bits: np.ndarray):
+    """Elements and sketches of the texts whose hash the filter knows, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), OrderedDict()
         for batch in batches:
             h = batch.column(1).to_numpy()
-            place = h & ((1 << rules.filter_bits) - 1)
             wanted = []
-            for i in np.flatnonzero(flat[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist():
+            for i in np.flatnonzero(in_filter(bits, h)).tolist():
                 if h[i] not in seen:
                     seen[h[i]] = None
                     wanted.append(i)
@@ -291,13 +286,8 @@ def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, rules: Rules) ->
     """``s``, ``set`` (elements in order) and ``mark`` (sketch) of the wanted names, worked out from one text of each. Tasks
     skip most other texts by a filter of fixed size, and the rest goes by name; so texts do not move."""
     hashes = names.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h"))
-    place = F.col("h").bitwiseAND(F.lit((1 << rules.filter_bits) - 1))
-    # 4 KB a row, and no more rows than the filter has slots.
-    slots = hashes.groupBy(F.shiftright(place, 15).cast("int").alias("slot")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")
-    )
-    places = {r.slot: bytes(r.bits) for r in slots.collect()}
-    loaded = docs.select("text", "h").mapInArrow(_loaded(rules, places), "s binary, set binary, mark binary")
+    bits = bit_filter(hashes.select("h"), rules.filter_bits)
+    loaded = docs.select("text", "h").mapInArrow(_loaded(rules, bits), "s binary, set binary, mark binary")
     return keep(loaded.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "jaccard-elements", 2)
 
 

@@ -1,23 +1,29 @@
 """Fuzzy repeated passages by collinear chaining of shared seeds.
 
 Seeds are the minimizers of all word k-mers: the smallest hash in every window of ``window`` k-mers. As the window is not
-longer than a k-mer, neighbouring seeds overlap or touch, so a run of seeds on one diagonal is an exact match, and every
-exact match of ``k + window - 1`` words holds a seed.
-
-A seed's documents are not paired with each other. Each is linked to the one before it in table order and to the first one:
-inside a task's buffer, and then, with one entry per seed and buffer, across the buffers. So a passage in a third of all
-documents gives each of them a few links and no group grows with their number. These links hide a passage where its parts
-also stand in different other documents. So wherever the links of neighbouring seeds of a document lead to more than one
-partner, that stretch is looked up again: all documents with its seeds are found, equal stretches are collapsed to the first
-document with them, and every pair of distinct stretches that shares a seed is linked. Links of a pair of documents on one diagonal are merged to anchors, anchors
-are chained in order on both sides with a cost for gaps (a Fenwick tree finds the best predecessor), and the chains are
-aligned on the words: gaps are filled by a longest common subsequence, the ends are extended, and a chain that leads through
-unlike text is cut. What covers ``min_words`` words with ``min_identity`` of its columns equal is a passage.
-
-Words are runs of other than ASCII white space, with A-Z in lower case. A document is named by its row number in between.
-
-Defined cases: null and empty texts have no passages; a repetition inside one document is none; equal rows repeat each other;
-a null id is kept as null; extra columns are ignored; an empty table gives no rows.
+longer than a k-mer, neighbouring seeds of equal text overlap or touch, and every exact match of ``k + window - 1`` words
+holds a seed.
+
+A seed's documents are not paired with each other. Each is linked to the one before it, in the order of their ids, and to the
+first one: inside a task's buffer, and then, with one entry per seed and buffer, across the buffers. So a passage in a third of
+all documents gives each of them a few links and no group grows with their number. Links of a pair of documents on one diagonal
+are merged to anchors, anchors are chained in order on both sides with a cost for gaps (a Fenwick tree finds the best
+predecessor), and the chains are aligned on the words: gaps by a longest common subsequence, ends by the best common
+subsequence of their beginnings, step by step, and a chain that leads through unlike text is cut. What covers ``min_words``
+words with ``min_identity`` of its columns equal is a passage.
+
+The links hide a passage where its parts also stand in other, nearer documents. So where a document's stretches under seeds
+that any other document has are not covered by a passage, they are looked up again: all documents with their seeds are found,
+equal runs of seeds are collapsed to the first document with them, and every pair of distinct runs that shares a seed is linked.
+
+Words are runs of other than ASCII white space, with A-Z in lower case; they are compared by 32-bit hashes. Only seeds that are
+looked up, and the words of documents that are aligned, are worked out from the texts a second time: tasks know them by a
+filter of fixed size.
+
+Defined cases: null and empty texts have no passages; a repetition inside one document is none; rows of equal id and text count
+as one; of equal ids the smaller hash of the text comes first, null ids come last; a null id is kept as null; extra columns, of
+whatever name, are carried along; an empty table gives no rows. Very long texts are seeded and aligned whole; gaps of
+more than ``reach`` words within a chain count as unequal, and an end stops where the next ``step`` words win nothing.
 """
 
 from __future__ import annotations
@@ -32,27 +38,28 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
-from tiermill.llm.common import WORD, as_bytes, keep, tasks
+from tiermill.llm.common import WORD, as_bytes, bit_filter, in_filter, keep, tasks
 
-SEED, ANCHOR, WORDS = 0, 1, 2
-CHAIN, STRETCH, HELD = 0, 1, 2
+CHAIN, STRETCH = 0, 1
 LAST = np.uint64(2**64 - 1)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @dataclass(frozen=True)
 class Rules:
-    k: int = 7
-    window: int = 2  # with k, so that a run of 8 equal words between two edits always holds a seed
+    k: int = 4
+    window: int = 4
     buffer: int = 700_000  # seeds that a task links among themselves at a time
     min_words: int = 50
     min_identity: float = 0.8
-    least_seeded: int = 16  # words under anchors that make a chain worth aligning
+    least_seeded: int = 8  # words under anchors that make a chain worth aligning
     gap_cost: float = 0.1  # for each word between two anchors, on either side
-    margin: int = 64  # words on either side of a chain in which its ends are looked for
-    widest_gap: int = 48  # longer gaps count as unequal throughout
+    reach: int = 256  # words of a gap, or beyond a chain's ends, that are aligned
+    step: int = 48  # words in which an end must win something to go on
+    stretch_gap: int = 24  # words between seeds of one stretch
+    filter_bits: int = 26  # of the filters by which tasks know seeds and documents
 
 
 class _Hashes(dict):
@@ -153,20 +160,28 @@ def merge(row, partner, pos, other, size) -> tuple[np.ndarray, ...]:
     return row[starts], partner[starts], pos[starts], other[starts], (last - pos[starts]).astype(np.int32)
 
 
-FOUND = "kind int, key long, row long, pos int, other int, size int, id {id}, words binary"
+def linked_words(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of concatenated texts, the text of each word, and where each text begins."""
+    found = [t.lower().split() for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    look = hashes.__getitem__
+    words = np.fromiter((h for ws in found for h in map(look, ws)), np.uint64, int(sizes.sum()))
+    return words, np.repeat(np.arange(len(found)), sizes), np.cumsum(sizes) - sizes
 
 
-def _find(rules: Rules, id_type: pa.DataType):
-    names = ["kind", "key", "row", "pos", "other", "size", "id", "words"]
+SEEDS = "seed long, row long, pos int, met struct<key:long, other:int, size:int>"
+LINKS = "row long, key long, pos int, other int, size int"
+_MET = pa.struct([("key", pa.int64()), ("other", pa.int32()), ("size", pa.int32())])
+
+
+def _links(columns: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
+    return pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=["row", "key", "pos", "other", "size"])
 
-    def rows(kind: int, count: int, **columns) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), id_type, pa.binary()]
-        full = {"kind": np.full(count, kind, np.int32)} | columns
-        arrays = [
-            pa.nulls(count, k) if full.get(n) is None else full[n] if isinstance(full[n], pa.Array) else pa.array(full[n], k)
-            for n, k in zip(names, kinds)
-        ]
-        return pa.record_batch(arrays, names=names)
+
+def _seeded(rules: Rules):
+    """Seeds of each document. What documents of one buffer share is linked right here (``met``); on to the bucket of a seed
+    goes only the buffer's first document with it."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         seed, row, pos = (np.concatenate(x) for x in zip(*held))
@@ -175,22 +190,18 @@ def _find(rules: Rules, id_type: pa.DataType):
         linked, partner, first = link_runs(seed, row, pos)
         size = np.full(len(linked), rules.k, np.int32)
         a = merge(row[linked], row[partner], pos[linked], pos[partner], size)
-        yield rows(ANCHOR, len(a[0]), row=a[0], key=a[1], pos=a[2], other=a[3], size=a[4])
-        yield rows(SEED, len(seed), key=seed.view(np.int64), row=row, pos=pos, size=first.astype(np.int32))
+        met = pa.StructArray.from_arrays([pa.array(a[1]), pa.array(a[3]), pa.array(a[4])], fields=list(_MET))
+        # Anchors need no bucket; their documents deal them out.
+        names = ["seed", "row", "pos", "met"]
+        yield pa.record_batch([pa.array(a[0]), pa.array(a[0]), pa.array(a[2]), met], names=names)
+        columns = [pa.array(seed[first].view(np.int64)), pa.array(row[first]), pa.array(pos[first])]
+        yield pa.record_batch([*columns, pa.nulls(int(first.sum()), _MET)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, count = _Hashes(), [], 0
         for batch in batches:
-            row = batch.column(2).to_numpy()
-            found = [t.as_py().lower().split() for t in batch.column(1)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            look = hashes.__getitem__
-            words = np.fromiter((h for ws in found for h in map(look, ws)), np.uint64, int(sizes.sum()))
-            doc = np.repeat(np.arange(len(found)), sizes)
-            begin = np.cumsum(sizes) - sizes
-            short = (words >> np.uint64(48)).astype("<u2").tobytes()
-            slices = [short[2 * b : 2 * (b + n)] for b, n in zip(begin.tolist(), sizes.tolist())]
-            yield rows(WORDS, len(found), row=row, key=batch.column(3).to_numpy(), id=batch.column(0), words=slices)
+            row = batch.column(0).to_numpy()
+            words, doc, begin = linked_words([t.as_py() for t in batch.column(1)], hashes)
             place, seed = minimizers(words, doc, rules.k, rules.window)
             held.append((seed, row[doc[place]], (place - begin[doc[place]]).astype(np.int32)))
             count += len(seed)
@@ -204,19 +215,28 @@ def _find(rules: Rules, id_type: pa.DataType):
 
 
 def _across(rules: Rules):
-    """Links between the first documents of different buffers; rows are sorted by seed, row and pos."""
+    """Links between the first documents of different buffers, and those that are known already; rows are sorted by seed."""
 
     def linked(seed, row, pos) -> pa.RecordBatch:
+        order = np.lexsort((pos, row, seed))
+        seed, row, pos = seed[order], row[order], pos[order]
         a, b, _ = link_runs(seed, row, pos)
-        columns = [row[a], row[b], pos[a], pos[b], np.full(len(a), rules.k, np.int32)]
-        return pa.record_batch([pa.array(c) for c in columns], names=["row", "key", "pos", "other", "size"])
+        return _links([row[a], row[b], pos[a], pos[b], np.full(len(a), rules.k)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy() for i in range(3)]
+            seed, row, pos = (batch.column(i).to_numpy() for i in range(3))
+            met = batch.column(3)
+            known = met.is_valid().to_numpy(zero_copy_only=False)
+            if known.any():
+                key, other, size = (c.to_numpy(zero_copy_only=False) for c in met.filter(met.is_valid()).flatten())
+                yield _links([row[known], key, pos[known], other, size])
+            rows = [x[~known] for x in (seed, row, pos)]
+            if not len(rows[0]):
+                continue
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             other = np.flatnonzero(rows[0] != rows[0][-1])
@@ -293,25 +313,22 @@ def chains(pos: list[int], other: list[int], size: list[int], gap_cost: float) -
 
 
 def stretches(row, pos, size, reach: int) -> tuple[np.ndarray, ...]:
-    """Stretches of each row under anchors with any partner, with gaps of up to ``reach`` words: for each anchor the number
-    of its stretch, and for each stretch its row, start, stop and the words under anchors."""
+    """Stretches of each row under anchors with any partner, with gaps of up to ``reach`` words: row, start, stop and the words
+    under anchors."""
     order = np.lexsort((pos, row))
     r, p, ends = row[order], pos[order], (pos + size)[order]
     new = np.ones(len(r), bool)
     new[1:] = r[1:] != r[:-1]
     new[1:] |= p[1:] > reached(new, ends)[:-1] + reach
-    number = np.empty(len(r), np.int64)
-    number[order] = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
-    return number, r[starts], p[starts], np.maximum.reduceat(ends, starts), covered(new, p, ends)
+    return r[starts], p[starts], np.maximum.reduceat(ends, starts), covered(new, p, ends)
 
 
 CHAINS = "kind int, row long, partner long, start int, stop int, other_start int, other_stop int, anchors binary"
 
 
-def _chain(rules: Rules, again: bool):
-    """Chains of each row. Unless ``again``, a row with a stretch that no single chain accounts for has no chains yet, but
-    its stretches (``STRETCH``) and all its anchors (``HELD``)."""
+def _chain(rules: Rules, last: bool):
+    """Chains of each row, and unless this is the ``last`` round its stretches that are long and dense enough for a passage."""
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in CHAINS.split(", ")]
 
@@ -319,43 +336,31 @@ def _chain(rules: Rules, again: bool):
         row, partner, pos, other, size = merge(*rows)
         if not len(row):
             return None
-        number, owner, begin, end, under = stretches(row, pos, size, rules.widest_gap)
-        settled = under < rules.least_seeded
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (partner[1:] != partner[:-1])
         starts = np.flatnonzero(new)
         stops = np.append(starts[1:], len(row))
-        seeded = np.add.reduceat(size, starts)
-        out = []
-        for a, b in zip(starts[seeded >= rules.least_seeded].tolist(), stops[seeded >= rules.least_seeded].tolist()):
+        good = np.add.reduceat(size, starts) >= rules.least_seeded
+        out, whole = [], set()
+        for a, b in zip(starts[good].tolist(), stops[good].tolist()):
             order = np.argsort(pos[a:b], kind="stable") + a
             p, o, s = pos[order].tolist(), other[order].tolist(), size[order].tolist()
             for chain in chains(p, o, s, rules.gap_cost):
-                total = sum(s[i] for i in chain)
-                if total >= rules.least_seeded:
-                    i, j = chain[0], chain[-1]
-                    anchors = np.array([(p[c], o[c], s[c]) for c in chain], "<i4").tobytes()
-                    out.append((CHAIN, row[a], partner[a], p[i], p[j] + s[j], o[i], o[j] + s[j], anchors))
-                    if not again:
-                        # A dense chain accounts for a stretch of which it has all words that any partner has.
-                        parts: dict[int, list[int]] = {}
-                        for c in chain:
-                            parts.setdefault(int(number[order[c]]), []).append(c)
-                        for which, part in parts.items():
-                            words = sum(s[c] for c in part)
-                            gaps = sum(
-                                max(p[d] - p[c] - s[c], o[d] - o[c] - s[c]) for c, d in zip(part, part[1:])
-                            )
-                            if words >= under[which] and words >= rules.min_identity * (words + gaps):
-                                settled[which] = True
-        if not again and not settled.all():
-            open_ = set(owner[~settled].tolist())
-            out = [x for x in out if int(x[1]) not in open_]
-            out += [(STRETCH, owner[i], -1, begin[i], end[i], 0, 0, None) for i in np.flatnonzero(~settled).tolist()]
-            for a, b in zip(starts.tolist(), stops.tolist()):
-                if int(row[a]) in open_:
-                    anchors = np.stack((pos[a:b], other[a:b], size[a:b]), axis=1).astype("<i4").tobytes()
-                    out.append((HELD, row[a], partner[a], 0, 0, 0, 0, anchors))
+                if sum(s[i] for i in chain) < rules.least_seeded:
+                    continue
+                i, j = chain[0], chain[-1]
+                if i == j:
+                    # An equal stretch without a gap is aligned with one partner; another one's is the same.
+                    if (mark := (int(row[a]), p[i], s[i])) in whole:
+                        continue
+                    whole.add(mark)
+                anchors = np.array([(p[c], o[c], s[c]) for c in chain], "<i4").tobytes()
+                out.append((CHAIN, row[a], partner[a], p[i], p[j] + s[j], o[i], o[j] + s[j], anchors))
+        if not last:
+            r, begin, end, under = stretches(row, pos, size, rules.stretch_gap)
+            # A passage's first and last words may have no seed.
+            near = (end - begin + 4 * rules.k >= rules.min_words) & (under >= rules.least_seeded) & (5 * under >= end - begin)
+            out += [(STRETCH, r[i], -1, begin[i], end[i], 0, 0, None) for i in np.flatnonzero(near).tolist()]
         if not out:
             return None
         return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -379,21 +384,43 @@ def _chain(rules: Rules, again: bool):
     return run
 
 
-LINKS = "row long, key long, pos int, other int, size int"
+def uncovered(stretch: tuple[int, int], spans: list[tuple[int, int]], rules: Rules) -> list[tuple[int, int]]:
+    """Parts of a stretch that no span covers and that are long enough to matter, with the words around them that a passage
+    over them may have."""
+    start, stop = stretch
+    open_, at = [], start
+    for a, b in sorted(spans):
+        if a - at >= rules.least_seeded and a > at:
+            open_.append((at, min(a, stop)))
+        at = max(at, b)
+    if stop - at >= rules.least_seeded:
+        open_.append((at, stop))
+    wide = [(max(start, a - rules.min_words), min(stop, b + rules.min_words)) for a, b in open_ if b - a >= rules.least_seeded]
+    return [(a, b) for a, b in wide if b - a + 4 * rules.k >= rules.min_words]
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the anchors that a row keeps."""
-    for batch in batches:
-        parts = [np.frombuffer(x, "<i4").reshape(-1, 3) for x in batch.column(2).to_pylist()]
-        if parts:
-            counts = list(map(len, parts))
-            ends = [np.repeat(batch.column(i).to_numpy(), counts) for i in range(2)]
-            anchors = np.concatenate(parts)
-            yield pa.record_batch(
-                [*map(pa.array, ends), *[pa.array(np.ascontiguousarray(anchors[:, i])) for i in range(3)]],
-                names=["row", "key", "pos", "other", "size"],
-            )
+def _left_open(rules: Rules):
+    """Open parts of the stretches; rows are sorted by row, spans (kind 0) before stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, spans = None, []
+        for batch in batches:
+            out = []
+            for r, kind, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != row:
+                    row, spans = r, []
+                if kind == 0:
+                    spans.append((start, stop))
+                else:
+                    out += [(r, a, b) for a, b in uncovered((start, stop), spans, rules)]
+            columns = list(zip(*out)) or [[]] * 3
+            kinds = [pa.int64(), pa.int32(), pa.int32()]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "start", "stop"])
+
+    return run
+
+
+# Stretches that are looked up again
 
 
 def _runs(rules: Rules):
@@ -401,9 +428,9 @@ def _runs(rules: Rules):
     ``start`` and the seeds with their places in the run."""
 
     def of(row: np.ndarray, pos: np.ndarray, seed: np.ndarray) -> pa.RecordBatch:
-        _, _, start, _, under = stretches(row, pos, np.full(len(pos), rules.k, np.int32), rules.widest_gap)
+        _, start, _, under = stretches(row, pos, np.full(len(pos), rules.k, np.int32), rules.stretch_gap)
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + rules.k + rules.widest_gap)
+        new[1:] = (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + rules.k + rules.stretch_gap)
         bounds = np.append(np.flatnonzero(new), len(row)).tolist()
         out = []
         for i in np.flatnonzero(under >= rules.least_seeded).tolist():
@@ -453,26 +480,58 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _hidden(seeds: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
+def _sought(rules: Rules, bits: np.ndarray):
+    """Seeds of all documents that the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            words, doc, begin = linked_words([t.as_py() for t in batch.column(1)], hashes)
+            place, seed = minimizers(words, doc, rules.k, rules.window)
+            wanted = in_filter(bits, seed.view(np.int64))
+            place, seed = place[wanted], seed[wanted]
+            columns = [batch.column(0).to_numpy()[doc[place]], (place - begin[doc[place]]).astype(np.int32), seed.view(np.int64)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["row", "pos", "seed"])
+
+    return run
+
+
+def _inside(rules: Rules):
+    """Seeds of the given stretches of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            words, doc, begin = linked_words([t.as_py() for t in batch.column(0)], hashes)
+            place, seed = minimizers(words, doc, rules.k, rules.window)
+            pos = place - begin[doc[place]]
+            bounds = np.searchsorted(doc[place], np.arange(batch.num_rows + 1))
+            found = []
+            for i, parts in enumerate(batch.column(1).to_pylist()):
+                own, at = seed[bounds[i] : bounds[i + 1]], pos[bounds[i] : bounds[i + 1]]
+                found += [own[(at >= x["start"]) & (at + rules.k <= x["stop"])] for x in parts]
+            yield pa.record_batch([pa.array(np.concatenate(found or [seed[:0]]).view(np.int64))], names=["seed"])
+
+    return run
+
+
+def _hidden(docs: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
     """Links of the open stretches to all documents with their seeds. Equal runs of seeds count as one, that of the first
     document: the others are linked to it, and it is linked to every earlier different run with one of its seeds."""
-    n = tasks(seeds.sparkSession)
-    rows = keep(open_.select("row").distinct(), "open-rows", 8)
-    of_row = F.col("row") == F.col("r")
-    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") + rules.k <= F.col("stop"))
-    asked = keep(
-        seeds.join(open_.select(F.col("row").alias("r"), "start", "stop"), of_row & inside).select("key").distinct(),
-        "asked-seeds",
-        8,
-    )
+    n = tasks(docs.sparkSession)
+    rows = keep(open_.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "open-rows", 8)
+    texts = docs.select("row", "text").mapInArrow(_of_rows(bit_filter(rows.select("row"), rules.filter_bits)), "row long, text binary")
+    asked = texts.join(rows, "row").select("text", "parts").mapInArrow(_inside(rules), "seed long").distinct()
+    asked = keep(asked, "asked-seeds", 8)
+    found = docs.select("row", "text").mapInArrow(_sought(rules, bit_filter(asked, rules.filter_bits)), "row long, pos int, seed long")
     found = (
-        seeds.join(asked, "key", "left_semi")
-        .select("row", "pos", "key")
+        found.join(asked, "seed", "left_semi")
+        .select("row", "pos", "seed")
         .repartition(n, "row")
         .sortWithinPartitions("row", "pos")
         .mapInArrow(_runs(rules), "row long, class binary, start int, places binary, seeds binary")
     )
-    runs = keep(found.join(rows.withColumn("asked", F.lit(True)), "row", "left").fillna(False, ["asked"]), "runs")
+    runs = keep(found.join(rows.select("row", F.lit(True).alias("asked")), "row", "left").fillna(False, ["asked"]), "runs")
     firsts = runs.groupBy("class").agg(F.min(F.struct("row", "start")).alias("x"))
     firsts = firsts.select("class", F.col("x.row").alias("first"), F.col("x.start").alias("first_start"))
     spread = (
@@ -490,26 +549,46 @@ def _hidden(seeds: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
     return copies.unionByName(pairs)
 
 
-def _common(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    previous = [0] * (len(b) + 1)
-    for x in a:
-        current = [0]
-        for j, y in enumerate(b):
-            current.append(previous[j] + 1 if x == y else max(previous[j + 1], current[j]))
-        previous = current
-    return previous[-1]
-
-
-def _extend(a: np.ndarray, b: np.ndarray, identity: float) -> tuple[int, int]:
-    """How far two sequences go along word by word, to where most is won, and how many words agree until there."""
-    count = min(len(a), len(b))
-    if not count:
-        return 0, 0
-    same = a[:count] == b[:count]
-    won = np.cumsum(same - identity)
-    last = int(won.argmax())
-    return (last + 1, int(same[: last + 1].sum())) if won[last] > 0 else (0, 0)
+# Alignment
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of every pair of beginnings."""
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, x in enumerate(a.tolist()):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (b == x)))
+    return table
+
+
+def _extend(a: np.ndarray, b: np.ndarray, rules: Rules) -> tuple[int, int, int, int]:
+    """How far two sequences go along, on either side, to where most is won, and the equal words and columns until there."""
+    at, bt, equal, columns = 0, 0, 0, 0
+    # After an unlike word so many equal ones win.
+    least = int(rules.min_identity / (1 - rules.min_identity) + 1e-9) + 1 if rules.min_identity < 1 else rules.step + 1
+    while at < len(a) and bt < len(b):
+        count = min(len(a) - at, len(b) - bt)
+        unlike = np.flatnonzero(a[at : at + count] != b[bt : bt + count])
+        same = int(unlike[0]) if len(unlike) else count
+        at, bt, equal, columns = at + same, bt + same, equal + same, columns + same
+        # A first look at few words is mostly enough.
+        for step in (16, rules.step):
+            x, y = a[at : at + step], b[bt : bt + step]
+            if min(len(x), len(y)) < least:
+                return at, bt, equal, columns
+            like = x[:, None] == y[None, :]
+            if like.any(axis=0).sum() < least or like.any(axis=1).sum() < least:
+                best, won = (0, 0), 0
+                continue
+            table = common_prefixes(x, y)
+            score = table - rules.min_identity * np.maximum(*np.ogrid[: len(x) + 1, : len(y) + 1])
+            best = np.unravel_index(score.argmax(), score.shape)
+            won = score[best]
+            if won > 0:
+                break
+        if won <= 0:
+            break
+        at, bt, equal, columns = at + int(best[0]), bt + int(best[1]), equal + int(table[best]), columns + int(max(best))
+    return at, bt, equal, columns
 
 
 def _best_runs(won: list[float]) -> list[tuple[int, int]]:
@@ -540,8 +619,8 @@ def align(own: np.ndarray, other: np.ndarray, anchors: np.ndarray, rules: Rules)
         if i:
             gap_a, gap_b = own[rows[i - 1][0] + rows[i - 1][2] : a], other[rows[i - 1][1] + rows[i - 1][2] : b]
             wide = max(len(gap_a), len(gap_b))
-            close = wide <= rules.widest_gap
-            steps.append((_common(gap_a.tolist(), gap_b.tolist()) if close else 0, wide))
+            close = wide <= rules.reach and min(len(gap_a), len(gap_b))
+            steps.append((int(common_prefixes(gap_a, gap_b)[-1, -1]) if close else 0, wide))
         steps.append((size, size))
     found = []
     # A best run begins and ends with an anchor, as these alone win.
@@ -550,16 +629,16 @@ def align(own: np.ndarray, other: np.ndarray, anchors: np.ndarray, rules: Rules)
         equal, columns = (sum(x) for x in zip(*steps[first : last + 1]))
         start_a, start_b, _ = rows[first // 2]
         end_a, end_b = rows[last // 2][0] + rows[last // 2][2], rows[last // 2][1] + rows[last // 2][2]
-        back, hits = _extend(own[:start_a][::-1], other[:start_b][::-1], rules.min_identity)
-        on, more = _extend(own[end_a:], other[end_b:], rules.min_identity)
+        back = _extend(own[:start_a][::-1], other[:start_b][::-1], rules)
+        on = _extend(own[end_a:], other[end_b:], rules)
         found.append(
-            (start_a - back, end_a + on, start_b - back, end_b + on, equal + hits + more, columns + back + on)
+            (start_a - back[0], end_a + on[0], start_b - back[1], end_b + on[1], equal + back[2] + on[2], columns + back[3] + on[3])
         )
     return found
 
 
 def _aligned(rules: Rules):
-    names = ["row", "id", "partner", "start", "stop", "other_start", "other_stop", "equal", "columns"]
+    names = ["row", "id", "h", "partner", "start", "stop", "other_start", "other_stop", "equal", "columns"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -567,73 +646,117 @@ def _aligned(rules: Rules):
             columns = [batch.column(n).to_pylist() for n in ("own_words", "other_words", "own_from", "other_from", "anchors")]
             for i, (a, b, from_a, from_b, anchors) in enumerate(zip(*columns)):
                 local = np.frombuffer(anchors, "<i4").reshape(-1, 3) - np.array([from_a, from_b, 0])
-                for got in align(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"), local, rules):
+                for got in align(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), local, rules):
                     if got[1] - got[0] >= rules.min_words:
                         taken.append(i)
                         values.append((got[0] + from_a, got[1] + from_a, got[2] + from_b, got[3] + from_b, *got[4:]))
             if taken:
                 kept = batch.take(pa.array(taken))
-                out = [kept.column(n) for n in ("row", "id", "partner_id")]
+                out = [kept.column(n) for n in ("row", "id", "h", "partner_id")]
                 yield pa.record_batch([*out, *[pa.array(list(c), pa.int64()) for c in zip(*values)]], names=names)
 
     return run
 
 
-def _passages(docs: DataFrame, id: str, text: str, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """Passages by row number, and the table of rows (``row``, ``id``, ``h`` - the text's hash -, ``words``)."""
-    if not 0 < rules.window <= rules.k:
-        raise ValueError("the window must not be longer than a k-mer")
-    spark = docs.sparkSession
-    source = docs.select(
-        F.col(id).alias("id"), as_bytes(text).alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text)
-    )
-    kind = source.schema["id"].dataType.simpleString()
-    empty = spark.createDataFrame([], f"id {kind}")
-    id_type = empty.toArrow().schema.field("id").type
-    found = keep(source.mapInArrow(_find(rules, id_type), FOUND.format(id=kind)), "seeds")
-    n = tasks(spark)
-    across = (
-        found.where((F.col("kind") == SEED) & (F.col("size") == 1))
-        .select("key", "row", "pos")
-        .repartition(n, "key")
-        .sortWithinPartitions("key", "row", "pos")
-        .mapInArrow(_across(rules), LINKS)
-    )
-    within = found.where(F.col("kind") == ANCHOR).select("row", "key", "pos", "other", "size")
+def _of_rows(bits: np.ndarray):
+    """Texts of the rows that the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = in_filter(bits, batch.column(0).to_numpy())
+            yield pa.record_batch(batch.columns, names=["row", "text"]).filter(pa.array(known))
+
+    return run
 
-    def chained(links: DataFrame, again: bool) -> DataFrame:
-        return links.repartition(n, "row").sortWithinPartitions("row").mapInArrow(_chain(rules, again), CHAINS)
 
-    candidates = keep(chained(within.unionByName(across), False), "chains")
-    seeds = found.where(F.col("kind") == SEED).select("key", "row", "pos")
-    # Stored, so that Spark knows how few they mostly are before it chooses the joins.
-    open_ = keep(candidates.where(F.col("kind") == STRETCH).select("row", "start", "stop"), "open-stretches", 8)
-    own = candidates.where(F.col("kind") == HELD).select("row", "partner", "anchors").mapInArrow(_held, LINKS)
-    again = keep(chained(own.unionByName(_hidden(seeds, open_, rules)), True), "chains-again")
-    candidates = candidates.where(F.col("kind") == CHAIN).unionByName(again).drop("kind")
-    words = found.where(F.col("kind") == WORDS).select("row", "id", F.col("key").alias("h"), "words")
+def _words(bits: np.ndarray):
+    """Word hashes of the documents whose rows the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy())))
+            words, _, begin = linked_words([t.as_py() for t in batch.column(3)], hashes)
+            short = (words >> np.uint64(32)).astype("<u4").tobytes()
+            cuts = [*begin.tolist(), len(words)]
+            slices = pa.array([short[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])], pa.binary())
+            yield pa.record_batch([*batch.columns[:3], slices], names=["row", "id", "h", "words"])
+
+    return run
+
+
+def _align(docs: DataFrame, candidates: DataFrame, rules: Rules) -> DataFrame:
+    """Passages along the chains, by row."""
+    kind = docs.schema["id"].dataType.simpleString()
+    ends = candidates.select("row").unionByName(candidates.select(F.col("partner").alias("row")))
+    bits = bit_filter(ends, rules.filter_bits)
+    words = docs.select("row", "id", "h", "text").mapInArrow(_words(bits), f"row long, id {kind}, h long, words binary")
+    words = keep(words, "passage-words")
 
     def cut(start: str, stop: str, out: str) -> dict:
-        first = F.greatest(F.col(start) - rules.margin, F.lit(0))
+        first = F.greatest(F.col(start) - rules.reach, F.lit(0))
         return {
             f"{out}_from": first,
-            f"{out}_words": F.substring(F.col("words"), 2 * first + 1, 2 * (F.col(stop) + rules.margin - first)),
+            f"{out}_words": F.substring(F.col("words"), 4 * first + 1, 4 * (F.col(stop) + rules.reach - first)),
         }
 
-    own = candidates.join(words.drop("h"), "row").withColumns(cut("start", "stop", "own")).drop("words")
+    own = candidates.join(words, "row").withColumns(cut("start", "stop", "own")).drop("words")
     partners = words.select(F.col("row").alias("partner"), F.col("id").alias("partner_id"), "words")
     both = own.join(partners, "partner").withColumns(cut("other_start", "other_stop", "other")).drop("words")
-    out = f"row long, id {kind}, partner {kind}, start long, stop long, other_start long, other_stop long, equal long, columns long"
-    found = both.select("row", "id", "partner_id", "own_words", "other_words", "own_from", "other_from", "anchors").mapInArrow(
-        _aligned(rules), out
+    columns = ["row", "id", "h", "partner_id", "own_words", "other_words", "own_from", "other_from", "anchors"]
+    out = f"row long, id {kind}, h long, partner {kind}, start long, stop long, other_start long, other_stop long, equal long, columns long"
+    return keep(both.select(*columns).mapInArrow(_aligned(rules), out), "passages", 8)
+
+
+# The whole
+
+
+def _in_order(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``row`` (a number in the order of the ids), ``id``, ``h`` (the text's hash) and ``text`` of every document. Whole numbers
+    that name one row each are their own order; anything else is sorted, and rows of equal id and text become one."""
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("h"), as_bytes(text).alias("text"))
+    whole = isinstance(rows.schema["id"].dataType, (ByteType, ShortType, IntegerType, LongType))
+    if whole and rows.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
+        return rows.withColumn("row", F.col("id").cast("long"))
+    once = keep(rows.dropDuplicates(["id", "h"]), "passage-documents")
+    order = [F.col("id").asc_nulls_last(), F.col("h")]
+    dealt = once.repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return keep(dealt.withColumn("row", F.monotonically_increasing_id()), "passage-rows")
+
+
+def _passages(docs: DataFrame, id: str, text: str, rules: Rules) -> DataFrame:
+    """Passages with the row number, the id and the text's hash of their document."""
+    if not 0 < rules.window <= rules.k:
+        raise ValueError("the window must not be longer than a k-mer")
+    n = tasks(docs.sparkSession)
+    rows = _in_order(docs, id, text)
+    links = (
+        rows.select("row", "text")
+        .mapInArrow(_seeded(rules), SEEDS)
+        .repartition(n, "seed")
+        .sortWithinPartitions("seed")
+        .mapInArrow(_across(rules), LINKS)
     )
-    return found, words
+
+    def chained(links: DataFrame, last: bool) -> DataFrame:
+        return links.repartition(n, "row").sortWithinPartitions("row").mapInArrow(_chain(rules, last), CHAINS)
+
+    first = keep(chained(links, False), "chains", 2)
+    found = _align(rows, first.where(F.col("kind") == CHAIN), rules)
+    spans = found.select("row", F.lit(0).alias("kind"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    both = spans.unionByName(first.where(F.col("kind") == STRETCH).select("row", "kind", "start", "stop"))
+    open_ = both.repartition(n, "row").sortWithinPartitions("row", "kind").mapInArrow(_left_open(rules), "row long, start int, stop int")
+    open_ = keep(open_, "open-stretches", 8)
+    if open_.isEmpty():
+        return found
+    again = keep(chained(_hidden(rows, open_, rules), True), "chains-again", 2)
+    return found.unionByName(_align(rows, again, rules)).distinct()
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Passages that repeat an earlier document: ``id``, ``start``, ``stop`` (in words), ``partner`` (the earlier document's
     id), ``other_start``, ``other_stop``, ``equal`` (words) and ``columns`` (of the alignment)."""
-    return _passages(docs, id, text, rules)[0].drop("row").withColumnRenamed("id", id)
+    return _passages(docs, id, text, rules).drop("row", "h").withColumnRenamed("id", id)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -658,23 +781,13 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def without_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with every passage that repeats an earlier document cut out; the first document keeps it. Documents in which
-    no word is left go. Rows of equal id and text lose the same words, those of the one among them that loses least."""
-    found, words = _passages(docs, id, text, rules)
-    spans = keep(
-        found.groupBy("row", "id")
-        .agg(F.collect_list(F.struct("start", "stop")).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("lost"))
-        .join(words.select("row", "h"), "row"),
-        "passage-spans",
-        8,
-    )
-    rows = words.groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows"))
-    losing = spans.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.min_by("spans", "lost").alias("spans"))
-    cuts = (
-        losing.join(rows.withColumnsRenamed({"id": "i", "h": "g"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
-        .where("n = rows")
-        .select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    )
-    joined = docs.join(cuts, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")
-    out = [_cut(F.col(text), "_spans").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    result = joined.select(*out, F.col("_spans").isNotNull().alias("_changed"))
-    return result.where(~F.col("_changed") | F.col(text).rlike(WORD)).drop("_changed")
+    no word is left go. Rows of equal id and text lose the same words."""
+    found = _passages(docs, id, text, rules)
+    spans = found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = keep(spans.withColumnsRenamed({"id": "i", "h": "g"}), "passage-spans", 8)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row").getField(id), F.col("row").getField(text)
+    joined = rows.join(spans, own[0].eqNullSafe(F.col("i")) & (F.xxhash64(own[1]) == F.col("g")), "left")
+    cut = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), _cut(own[1], "spans")).otherwise(own[1]))
+    left = cut.where(F.col("spans").isNull() | F.col("cut").rlike(WORD))
+    return left.select(*[F.col("cut").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
