@@ -6,7 +6,8 @@ pigeonhole principle one segment at least is equal on both sides. So each set is
 once as the smaller side of its own band's pairs and once as the larger side of the band's below; equal sets are one entry.
 
 A shared subset is a bucket. First every member of a bucket is compared with the bucket's first one and the components of
-these links are found; a bucket whose members are all connected is done, whatever its size. In open buckets of up to
+these links are found; a bucket whose members are all connected is done, whatever its size. What is left is compared with the
+member that is in most open buckets, and closed alike. In open buckets of up to
 ``small`` sets all pairs that are not yet connected are compared. Larger open ones (an empty segment, or common boilerplate)
 are costly, so thresholds are allocated anew for the sets in them: a large bucket gets -1, that is, it is not looked at, and
 as many of the set's cheapest other segments get 1 instead of 0. These are indexed by the one-deletion neighbourhood, all
@@ -414,7 +415,7 @@ def _blocked(rules: Rules):
     return run
 
 
-def _asked(large: DataFrame, members: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+def _asked(large: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     """Who looks up what for the sets in large open buckets, and who is listed there (``MEMBERS`` without root, size, mark)."""
     of = large.groupBy("s").agg(F.collect_list("sig").alias("large"))
     spared = keep(of.join(sets, "s").select("s", "large", "set").mapInArrow(_spared(rules), SPARE), "jaccard-spare")
@@ -460,18 +461,38 @@ def _open(stars: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     return keep(members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("g")), "sig"), "jaccard-open-counted", 4)
 
 
-def _more_pairs(open_: DataFrame, docs: DataFrame, names: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (``s``, ``t``) of open buckets, and the sets of all members."""
-    n = tasks(docs.sparkSession)
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
+
+
+def _to_centres(open_: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs of each member of an open bucket with the one that is in most open buckets, so most like the others."""
+    degrees = open_.groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
+    centres = open_.join(degrees, "s").groupBy("sig").agg(F.max_by(F.struct("s", "n", "root"), F.struct("degree", "s")).alias("c"))
+    centres = centres.select("sig", *[F.col(f"c.{c}").alias(f"{c}_2") for c in ("s", "n", "root")])
+    apart = open_.join(centres, "sig").where((F.col("root") != F.col("root_2")) & _near("n", "n_2", rules.percent))
+    return _ordered(apart.select("s", F.col("s_2").alias("t")))
+
+
+def _still_open(open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """What is open with more links known."""
+    members = open_.drop("root").join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    members = keep(members, "jaccard-reopened", 4)
+    sigs = members.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sig")
+    return keep(members.join(sigs, "sig", "left_semi"), "jaccard-still-open", 4)
+
+
+def _more_pairs(open_: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """Candidate pairs (``s``, ``t``) of open buckets."""
+    n = tasks(open_.sparkSession)
     members = keep(open_.select("s", "n", "root").distinct(), "jaccard-members", 4)
-    sets = _sets(docs, names, members.select("s"), rules)
     small, large = open_.where(F.col("g") <= rules.small), keep(open_.where(F.col("g") > rules.small), "jaccard-large", 8)
     asked = small.select(F.col("sig").alias("key"), "s", F.lit(EXACT).alias("kind"), F.lit(True).alias("asks"))
     if not large.isEmpty():
-        asked = asked.unionByName(_asked(large, members, sets, rules))
+        asked = asked.unionByName(_asked(large, sets, rules))
     rows = asked.join(members, "s").join(sets.select("s", "mark"), "s").select(*MEMBERS)
     pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_blocked(rules), "s binary, t binary")
-    return pairs.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct(), sets
+    return _ordered(pairs)
 
 
 def _all_links(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
@@ -487,10 +508,16 @@ def _all_links(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
     open_ = _open(stars, links, keep(components(links), "jaccard-roots", 8))
     if open_.isEmpty():
         return links
-    candidates, sets = _more_pairs(open_, docs, names, rules)
-    # What the first links refused is not verified again.
-    known = pairs.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
-    more = keep(candidates.join(known, ["s", "t"], "left_anti"), "jaccard-more", 4)
+    sets = _sets(docs, names, keep(open_.select("s").distinct(), "jaccard-open-names", 8), rules)
+    # Before pairs of all kinds, the members that are most like the others; what was refused is not verified again.
+    known = _ordered(pairs)
+    central = keep(_to_centres(open_, rules).join(known, ["s", "t"], "left_anti"), "jaccard-central", 4)
+    links = keep(links.unionByName(_links(central, sets, rules)), "jaccard-central-links", 8)
+    open_ = _still_open(open_, keep(components(links), "jaccard-central-roots", 8))
+    if open_.isEmpty():
+        return links
+    known = known.unionByName(central)
+    more = keep(_more_pairs(open_, sets, rules).join(known, ["s", "t"], "left_anti"), "jaccard-more", 4)
     return keep(links.unionByName(_links(more, sets, rules)), "jaccard-all-links", 8)
 
 

@@ -13,8 +13,10 @@ subsequence of their beginnings, step by step, and a chain that leads through un
 words with ``min_identity`` of its columns equal is a passage.
 
 The links hide a passage where its parts also stand in other, nearer documents. So where a document's stretches under seeds
-that any other document has are not covered by a passage, they are looked up again: all documents with their seeds are found,
-equal runs of seeds are collapsed to the first document with them, and every pair of distinct runs that shares a seed is linked.
+that any other document has are not covered by a passage, they are looked up again by pairs of seeds ``near`` to ``far`` words
+apart, which such parts do not share with each other: the documents with a pair are linked as those with a seed are. So the
+work stays linear, however many documents have a line in common. What stays hidden is a passage each of whose pairs is also in
+a nearer and in an earlier document that has less than ``min_words`` words of it.
 
 Words are runs of other than ASCII white space, with A-Z in lower case; they are compared by 32-bit hashes. Only seeds that are
 looked up, and the words of documents that are aligned, are worked out from the texts a second time: tasks know them by a
@@ -51,7 +53,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class Rules:
     k: int = 4
     window: int = 4
-    buffer: int = 700_000  # seeds that a task links among themselves at a time
+    buffer: int = 500_000  # seeds that a task links among themselves at a time
     min_words: int = 50
     min_identity: float = 0.8
     least_seeded: int = 8  # words under anchors that make a chain worth aligning
@@ -59,6 +61,9 @@ class Rules:
     reach: int = 256  # words of a gap, or beyond a chain's ends, that are aligned
     step: int = 48  # words in which an end must win something to go on
     stretch_gap: int = 24  # words between seeds of one stretch
+    near: int = 28  # words from one seed to the other of a pair by which stretches are looked up, at least
+    far: int = 44  # and at most; with ``near``, so that every passage holds such pairs
+    far_cost: float = 0.02  # for each word between two anchors in chains of such pairs
     filter_bits: int = 26  # of the filters by which tasks know seeds and documents
 
 
@@ -169,31 +174,66 @@ def linked_words(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.nd
     return words, np.repeat(np.arange(len(found)), sizes), np.cumsum(sizes) - sizes
 
 
-SEEDS = "seed long, row long, pos int, met struct<key:long, other:int, size:int>"
+#: ``pos`` has the place of a seed and, above ``GAP`` bits, the distance of the second one of a pair.
+SEEDS = "seed long, row long, pos long, met struct<key:long, other:int, size:int>"
 LINKS = "row long, key long, pos int, other int, size int"
 _MET = pa.struct([("key", pa.int64()), ("other", pa.int32()), ("size", pa.int32())])
+GAP = 40
 
 
-def _links(columns: list[np.ndarray]) -> pa.RecordBatch:
+def _links(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
     return pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=["row", "key", "pos", "other", "size"])
 
 
-def _seeded(rules: Rules):
-    """Seeds of each document. What documents of one buffer share is linked right here (``met``); on to the bucket of a seed
-    goes only the buffer's first document with it."""
+def _anchors(seed: np.ndarray, row: np.ndarray, pos: np.ndarray, k: int, rows: np.ndarray | None) -> tuple[tuple, np.ndarray]:
+    """Anchors between the documents of each seed (entries in order) and which entries are of its first document. Links of rows
+    that a filter does not know are left out."""
+    linked, partner, first = link_runs(seed, row, pos)
+    if rows is not None:
+        wanted = in_filter(rows, row[linked])
+        linked, partner = linked[wanted], partner[wanted]
+    places = [pos & (1 << GAP) - 1]
+    if (gap := pos >> GAP).any():
+        places.append(places[0] + gap)
+    one = [np.concatenate(x) for x in zip(*[(row[linked], row[partner], p[linked], p[partner]) for p in places])]
+    return merge(*one[:2], one[2].astype(np.int32), one[3].astype(np.int32), np.full(len(one[0]), k, np.int32)), first
+
+
+def paired(place: np.ndarray, seed: np.ndarray, doc: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each seed that has others of its document ``near`` to ``far`` words on: its number, the key of the pair with the
+    smallest of them, and the distance."""
+    low, high = np.searchsorted(place, place + rules.near), np.searchsorted(place, place + rules.far, "right")
+    high = np.minimum(high, np.searchsorted(doc, doc, "right"))
+    best, at = np.full(len(seed), LAST), np.full(len(seed), -1)
+    for step in range(int((high - low).max(initial=0))):
+        there = np.flatnonzero(low + step < high)
+        other = low[there] + step
+        less = seed[other] < best[there]
+        best[there[less]], at[there[less]] = seed[other[less]], other[less]
+    has = np.flatnonzero(at >= 0)
+    key = (seed[has] * np.uint64(0x9E3779B97F4A7C15)) ^ (best[has] * np.uint64(0xBF58476D1CE4E5B9))
+    return has, key ^ (key >> np.uint64(29)), place[at[has]] - place[has]
+
+
+def _by_seed(seed: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries in the order of seed, row and place."""
+    in_order = (row[1:] > row[:-1]) | (row[1:] == row[:-1]) & (pos[1:] >= pos[:-1])
+    order = np.argsort(seed, kind="stable") if in_order.all() else np.lexsort((pos, row, seed))
+    return seed[order], row[order], pos[order]
+
+
+def _seeded(rules: Rules, asked: np.ndarray | None = None, rows: np.ndarray | None = None):
+    """Seeds of each document, or the pairs of them that the filter ``asked`` knows. What documents of one buffer share is
+    linked right here (``met``); on to the bucket of a seed goes only the buffer's first document with it."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        seed, row, pos = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((pos, row, seed))
-        seed, row, pos = seed[order], row[order], pos[order]
-        linked, partner, first = link_runs(seed, row, pos)
-        size = np.full(len(linked), rules.k, np.int32)
-        a = merge(row[linked], row[partner], pos[linked], pos[partner], size)
+        seed, row, pos = _by_seed(*(np.concatenate(x) for x in zip(*held)))
+        a, first = _anchors(seed, row, pos, rules.k, rows)
         met = pa.StructArray.from_arrays([pa.array(a[1]), pa.array(a[3]), pa.array(a[4])], fields=list(_MET))
         # Anchors need no bucket; their documents deal them out.
         names = ["seed", "row", "pos", "met"]
-        yield pa.record_batch([pa.array(a[0]), pa.array(a[0]), pa.array(a[2]), met], names=names)
+        yield pa.record_batch([pa.array(a[0]), pa.array(a[0]), pa.array(a[2].astype(np.int64)), met], names=names)
         columns = [pa.array(seed[first].view(np.int64)), pa.array(row[first]), pa.array(pos[first])]
         yield pa.record_batch([*columns, pa.nulls(int(first.sum()), _MET)], names=names)
 
@@ -203,7 +243,14 @@ def _seeded(rules: Rules):
             row = batch.column(0).to_numpy()
             words, doc, begin = linked_words([t.as_py() for t in batch.column(1)], hashes)
             place, seed = minimizers(words, doc, rules.k, rules.window)
-            held.append((seed, row[doc[place]], (place - begin[doc[place]]).astype(np.int32)))
+            of = doc[place]
+            pos = place - begin[of]
+            if asked is not None:
+                has, seed, gap = paired(place, seed, of, rules)
+                wanted = in_filter(asked, seed.view(np.int64))
+                has, seed = has[wanted], seed[wanted]
+                pos, of = pos[has] | gap[wanted] << GAP, of[has]
+            held.append((seed, row[of], pos))
             count += len(seed)
             if count >= rules.buffer:
                 yield from flush(held)
@@ -214,14 +261,11 @@ def _seeded(rules: Rules):
     return run
 
 
-def _across(rules: Rules):
+def _across(rules: Rules, rows: np.ndarray | None = None):
     """Links between the first documents of different buffers, and those that are known already; rows are sorted by seed."""
 
-    def linked(seed, row, pos) -> pa.RecordBatch:
-        order = np.lexsort((pos, row, seed))
-        seed, row, pos = seed[order], row[order], pos[order]
-        a, b, _ = link_runs(seed, row, pos)
-        return _links([row[a], row[b], pos[a], pos[b], np.full(len(a), rules.k)])
+    def linked(*entries: np.ndarray) -> pa.RecordBatch:
+        return _links(_anchors(*_by_seed(*entries), rules.k, rows)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -233,17 +277,17 @@ def _across(rules: Rules):
             known = met.is_valid().to_numpy(zero_copy_only=False)
             if known.any():
                 key, other, size = (c.to_numpy(zero_copy_only=False) for c in met.filter(met.is_valid()).flatten())
-                yield _links([row[known], key, pos[known], other, size])
-            rows = [x[~known] for x in (seed, row, pos)]
-            if not len(rows[0]):
+                yield _links((row[known], key, pos[known], other, size))
+            entries = [x[~known] for x in (seed, row, pos)]
+            if not len(entries[0]):
                 continue
             if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            other = np.flatnonzero(rows[0] != rows[0][-1])
+                entries = [np.concatenate(x) for x in zip(held, entries)]
+            other = np.flatnonzero(entries[0] != entries[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield linked(*[x[:cut] for x in rows])
-            held = [x[cut:] for x in rows]
+                yield linked(*[x[:cut] for x in entries])
+            held = [x[cut:] for x in entries]
         if held is not None:
             yield linked(*held)
 
@@ -345,7 +389,7 @@ def _chain(rules: Rules, last: bool):
         for a, b in zip(starts[good].tolist(), stops[good].tolist()):
             order = np.argsort(pos[a:b], kind="stable") + a
             p, o, s = pos[order].tolist(), other[order].tolist(), size[order].tolist()
-            for chain in chains(p, o, s, rules.gap_cost):
+            for chain in chains(p, o, s, rules.far_cost if last else rules.gap_cost):
                 if sum(s[i] for i in chain) < rules.least_seeded:
                     continue
                 i, j = chain[0], chain[-1]
@@ -423,130 +467,38 @@ def _left_open(rules: Rules):
 # Stretches that are looked up again
 
 
-def _runs(rules: Rules):
-    """Runs of asked seeds in each row (sorted by row and pos): ``row``, ``class`` (of the seeds and their distances),
-    ``start`` and the seeds with their places in the run."""
-
-    def of(row: np.ndarray, pos: np.ndarray, seed: np.ndarray) -> pa.RecordBatch:
-        _, start, _, under = stretches(row, pos, np.full(len(pos), rules.k, np.int32), rules.stretch_gap)
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + rules.k + rules.stretch_gap)
-        bounds = np.append(np.flatnonzero(new), len(row)).tolist()
-        out = []
-        for i in np.flatnonzero(under >= rules.least_seeded).tolist():
-            a, b = bounds[i], bounds[i + 1]
-            places, own = (pos[a:b] - start[i]).astype("<i4").tobytes(), seed[a:b].astype("<i8").tobytes()
-            digest = xxhash.xxh128_digest(places + own)
-            out.append((row[a], digest, start[i], places, own))
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        columns = list(zip(*out)) or [[]] * 5
-        return pa.record_batch(
-            [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "class", "start", "places", "seeds"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            other = np.flatnonzero(rows[0] != rows[0][-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield of(*[x[:cut] for x in rows])
-            held = [x[cut:] for x in rows]
-        if held is not None:
-            yield of(*held)
-
-    return run
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each seed of a run."""
-    for batch in batches:
-        if batch.num_rows:
-            places = [np.frombuffer(x, "<i4") for x in batch.column(3).to_pylist()]
-            counts = list(map(len, places))
-            seeds = np.concatenate([np.frombuffer(x, "<i8") for x in batch.column(4).to_pylist()])
-            row, first, start, first_start, asked = (
-                np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts) for i in (0, 1, 2, 5, 6)
-            )
-            place = np.concatenate(places)
-            columns = [seeds, row, first, start + place, first_start + place, asked]
-            yield pa.record_batch(
-                [pa.array(c) for c in columns], names=["seed", "row", "first", "pos", "first_pos", "asked"]
-            )
-
-
-def _sought(rules: Rules, bits: np.ndarray):
-    """Seeds of all documents that the filter knows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            words, doc, begin = linked_words([t.as_py() for t in batch.column(1)], hashes)
-            place, seed = minimizers(words, doc, rules.k, rules.window)
-            wanted = in_filter(bits, seed.view(np.int64))
-            place, seed = place[wanted], seed[wanted]
-            columns = [batch.column(0).to_numpy()[doc[place]], (place - begin[doc[place]]).astype(np.int32), seed.view(np.int64)]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["row", "pos", "seed"])
-
-    return run
-
-
 def _inside(rules: Rules):
-    """Seeds of the given stretches of each text."""
+    """Pairs of seeds within the given stretches of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             words, doc, begin = linked_words([t.as_py() for t in batch.column(0)], hashes)
             place, seed = minimizers(words, doc, rules.k, rules.window)
-            pos = place - begin[doc[place]]
-            bounds = np.searchsorted(doc[place], np.arange(batch.num_rows + 1))
+            of = doc[place]
+            has, key, gap = paired(place, seed, of, rules)
+            start = (place - begin[of])[has]
+            stop = start + gap + rules.k
+            bounds = np.searchsorted(of[has], np.arange(batch.num_rows + 1))
             found = []
             for i, parts in enumerate(batch.column(1).to_pylist()):
-                own, at = seed[bounds[i] : bounds[i + 1]], pos[bounds[i] : bounds[i + 1]]
-                found += [own[(at >= x["start"]) & (at + rules.k <= x["stop"])] for x in parts]
-            yield pa.record_batch([pa.array(np.concatenate(found or [seed[:0]]).view(np.int64))], names=["seed"])
+                a, b = bounds[i], bounds[i + 1]
+                found += [key[a:b][(start[a:b] >= x["start"]) & (stop[a:b] <= x["stop"])] for x in parts]
+            yield pa.record_batch([pa.array(np.concatenate(found or [key[:0]]).view(np.int64))], names=["seed"])
 
     return run
 
 
 def _hidden(docs: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
-    """Links of the open stretches to all documents with their seeds. Equal runs of seeds count as one, that of the first
-    document: the others are linked to it, and it is linked to every earlier different run with one of its seeds."""
+    """Links of the open stretches by pairs of seeds."""
     n = tasks(docs.sparkSession)
-    rows = keep(open_.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "open-rows", 8)
-    texts = docs.select("row", "text").mapInArrow(_of_rows(bit_filter(rows.select("row"), rules.filter_bits)), "row long, text binary")
-    asked = texts.join(rows, "row").select("text", "parts").mapInArrow(_inside(rules), "seed long").distinct()
-    asked = keep(asked, "asked-seeds", 8)
-    found = docs.select("row", "text").mapInArrow(_sought(rules, bit_filter(asked, rules.filter_bits)), "row long, pos int, seed long")
-    found = (
-        found.join(asked, "seed", "left_semi")
-        .select("row", "pos", "seed")
-        .repartition(n, "row")
-        .sortWithinPartitions("row", "pos")
-        .mapInArrow(_runs(rules), "row long, class binary, start int, places binary, seeds binary")
-    )
-    runs = keep(found.join(rows.select("row", F.lit(True).alias("asked")), "row", "left").fillna(False, ["asked"]), "runs")
-    firsts = runs.groupBy("class").agg(F.min(F.struct("row", "start")).alias("x"))
-    firsts = firsts.select("class", F.col("x.row").alias("first"), F.col("x.start").alias("first_start"))
-    spread = (
-        runs.join(firsts, "class")
-        .where("asked OR (row = first AND start = first_start)")
-        .select("row", "first", "start", "places", "seeds", "first_start", "asked")
-        .mapInArrow(_spread, "seed long, row long, first long, pos int, first_pos int, asked boolean")
-    )
-    spread = keep(spread, "runs-seeds")
-    size = F.lit(rules.k).alias("size")
-    copies = spread.where("row > first").select("row", F.col("first").alias("key"), "pos", F.col("first_pos").alias("other"), size)
-    own = spread.where("row = first AND pos = first_pos")
-    earlier = own.select("seed", F.col("row").alias("key"), F.col("pos").alias("other"))
-    pairs = own.where("asked").join(earlier, "seed").where("key < row").select("row", "key", "pos", "other", size)
-    return copies.unionByName(pairs)
+    parts = keep(open_.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "open-rows", 8)
+    rows = bit_filter(parts.select("row"), rules.filter_bits)
+    texts = docs.select("row", "text").mapInArrow(_of_rows(rows), "row long, text binary")
+    asked = keep(texts.join(parts, "row").select("text", "parts").mapInArrow(_inside(rules), "seed long").distinct(), "asked-pairs", 8)
+    found = docs.select("row", "text").mapInArrow(_seeded(rules, bit_filter(asked, rules.filter_bits), rows), SEEDS)
+    # Pairs that nobody asked for, but the filter let pass, make links that are right as well.
+    return found.repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(_across(rules, rows), LINKS)
 
 
 # Alignment
