@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -144,3 +145,32 @@ def test_facets(spark):
     assert search.facet_filter(frame, {"domain": "a", "tier": search.ALL}).count() == 2
     got = {(r.facet, r.value): r.n for r in search.facet_counts(frame, ["domain", "tier"]).collect()}
     assert got == {("domain", "a"): 2, ("domain", "b"): 1, ("tier", "x"): 2, ("tier", "y"): 1}
+
+
+def test_changes_at_borders_equal_single_dates(spark):
+    """Dates far apart, in any order and repeated; days with several orders, unknown amounts, a customer without a key."""
+    draw = random.Random(8)
+    rows = [
+        (draw.choice(["a", "b", None]), AS_OF - timedelta(days=draw.randrange(1200)), draw.choice([None, Decimal("1.5"), Decimal("20")]),
+         draw.random() < 0.95, draw.random() < 0.05)
+        for _ in range(150)
+    ]
+    rows += [("only", AS_OF - timedelta(days=500), None, True, False), ("late", AS_OF, Decimal(1), True, False)]
+    frame = spark.createDataFrame(rows, ORDERS)
+    dates = [AS_OF - timedelta(days=d) for d in (0, 3, 3, 700, 40, 41, 365, 1100, 1300)]
+    many = features.revenue_features_for(frame, dates)
+    single = [features.revenue_features(frame, d).select(many.columns) for d in sorted(set(dates))]
+    want = sorted(str(r) for s in single for r in s.collect())
+    assert sorted(map(str, many.collect())) == want
+
+
+def test_cost_does_not_follow_the_number_of_dates(spark):
+    """At most six changes leave a customer-day, for one date or for a year of them; two exchanges hold customer-days."""
+    frame = spark.range(3000).selectExpr(
+        "concat('c', id % 50) AS customer_hk", "date_sub(DATE '2019-01-01', CAST(id % 400 AS INT)) AS order_date",
+        "CAST(1 AS decimal(18,4)) AS net_amount_usd", "true AS is_current", "false AS is_quarantined",
+    )
+    for days in (2, 365):
+        many = features.revenue_features_for(frame, [AS_OF - timedelta(days=d) for d in range(days)])
+        text = many._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 2 and many.count() == 50 * days

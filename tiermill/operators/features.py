@@ -7,7 +7,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiermill.functions.dates import days_before
@@ -77,20 +77,77 @@ def revenue_features(orders: DataFrame, as_of: date, version: int = 1) -> DataFr
     return _derive(_aggregate(seen, ["customer_hk"]), version).withColumn("as_of_date", at)
 
 
+# First and last age in days of an order in each revenue window.
+WINDOWS = {"l7d": (1, 7), "l30d": (1, 30), "l90d": (1, 90), "l365d": (1, 365), "prev_year": (366, 730)}
+
+
+def _borders(daily: DataFrame, dates: list[date]) -> DataFrame:
+    """What changes for a customer at each date (``_slot``): a day's orders enter a window at the first date on or after one
+    border and leave it at the first date after the other."""
+    ages = sorted({first for first, _ in WINDOWS.values()} | {last + 1 for _, last in WINDOWS.values()})
+    changes = {age: {n: (age == first) - (age == last + 1) for n, (first, last) in WINDOWS.items()} for age in ages}
+    rows = [F.struct(F.lit(age).alias("age"), *[F.lit(c).alias(n) for n, c in changes[age].items()]) for age in ages]
+    days = (dates[-1] - dates[0]).days + 1
+    day = F.date_add(F.lit(dates[0]), F.col("id").cast("int"))
+    earlier = F.filter(F.array(*[F.lit(d) for d in dates]), lambda d: d < day)
+    # One row for each day between the first and the last date.
+    calendar = daily.sparkSession.range(days).select(day.alias("_day"), F.size(earlier).alias("_slot"))
+    events = daily.withColumn("_e", F.explode(F.array(*rows))).select("*", "_e.*").drop("_e")
+    # What happened before the first date happens on it; what would after the last one does not.
+    events = events.withColumn("_day", F.greatest(F.date_add("order_date", F.col("age")), F.lit(dates[0])))
+    events = events.join(F.broadcast(calendar), "_day")
+    signed = lambda n, c: F.sum(F.when(F.col(n) == 1, F.col(c)).when(F.col(n) == -1, -F.col(c)))
+    entering = lambda c: F.when(F.col("age") == 1, F.col(c))
+    return events.groupBy("customer_hk", "_slot").agg(
+        *[signed(n, c).alias(f"{c}_{n}") for n in WINDOWS for c in ("_sum", "_n", "_known")],
+        F.sum(entering("_n")).alias("total_orders"),
+        F.max(entering("_max")).alias("max_order_value"),
+        F.min(entering("_min")).alias("min_order_value"),
+        F.max(entering("order_date")).alias("_last"),
+    )
+
+
 def revenue_features_for(orders: DataFrame, dates: list[date], version: int = 1) -> DataFrame:
-    """Features for several dates in one pass and one shuffle.
+    """Features for many dates in one pass.
 
-    Each order is repeated for the later dates inside its task; the map-side
-    combine folds the copies again before anything moves.
+    Orders are reduced to customers and days. Each customer-day makes one change at each border of the windows, whatever the
+    number of dates, and running sums over a customer's changes are its features; between two changes they stay.
     """
-    later = F.filter(F.array(*[F.lit(d) for d in dates]), lambda d: d > F.col("order_date"))
-    seen = (
+    dates = sorted(set(dates))
+    amount = F.col("net_amount_usd")
+    daily = (
         _usable(orders)
-        .where(F.col("order_date") < F.lit(max(dates)))
-        .select("customer_hk", "order_date", "net_amount_usd", F.explode(later).alias("as_of_date"))
-        .withColumn("_age", days_before(F.col("order_date"), F.col("as_of_date")))
+        .where(F.col("order_date") < F.lit(dates[-1]))
+        .groupBy("customer_hk", "order_date")
+        .agg(
+            F.sum(amount).alias("_sum"), F.count("*").alias("_n"), F.count(amount).alias("_known"),
+            F.max(amount).alias("_max"), F.min(amount).alias("_min"),
+        )
+    )
+    # A customer has a row a day at most; from here on everything stays with the customer.
+    changes = _borders(daily.repartition("customer_hk"), dates)
+    along = Window.partitionBy("customer_hk").orderBy("_slot")
+    until = along.rowsBetween(Window.unboundedPreceding, 0)
+    sums = [f"{c}_{n}" for n in WINDOWS for c in ("_sum", "_n", "_known")] + ["total_orders"]
+    running = {c: F.coalesce(F.sum(c).over(until), F.lit(0)) for c in sums}
+    running |= {"max_order_value": F.max("max_order_value").over(until), "min_order_value": F.min("min_order_value").over(until)}
+    running |= {"_last": F.max("_last").over(until), "_next": F.coalesce(F.lead("_slot").over(along), F.lit(len(dates)))}
+    states = changes.withColumns(running).withColumn("_at", F.explode(F.sequence(F.col("_slot"), F.col("_next") - 1)))
+    as_of = F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_at") + 1)
+    # As in the sum over single orders: unknown only where all orders are inside and none has an amount.
+    unknown = lambda n: (F.col(f"_known_{n}") == 0) & (F.col(f"_n_{n}") == F.col("total_orders"))
+    revenue = lambda n: F.when(~unknown(n), F.col(f"_sum_{n}")).cast("decimal(28,4)")
+    grouped = states.withColumn("as_of_date", as_of).select(
+        "customer_hk",
+        "as_of_date",
+        *[revenue(n).alias(f"rev_{n}_usd") for n in WINDOWS],
+        *[F.col(f"_n_l{d}d").alias(f"order_count_l{d}") for d in (30, 90, 365)],
+        "max_order_value",
+        "min_order_value",
+        days_before(F.col("_last"), F.col("as_of_date")).alias("days_since_last_order"),
+        "total_orders",
     )
-    return _derive(_aggregate(seen, ["customer_hk", "as_of_date"]), version)
+    return _derive(grouped, version)
 
 
 # -- product mix -----------------------------------------------------------------

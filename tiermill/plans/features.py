@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,33 @@ def pit_features_multi(b: Bronze) -> DataFrame:
     return report(features.revenue_features_for(orders(b, before=max(AS_OF_LIST)), AS_OF_LIST))
 
 
+YEAR = [AS_OF - timedelta(days=n) for n in range(365)]
+
+
+@plan(
+    "risk_by_day",
+    f"""SELECT as_of_date, count(*) AS customers, {q.money('sum(rev_l90d_usd)')} AS rev_l90d_usd, {q.money('sum(rev_prev_year_usd)')} AS rev_prev_year_usd,
+      CAST(sum(orders) AS BIGINT) AS orders_l365, count(*) FILTER (WHERE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE),
+        quiet / CAST(365 AS DOUBLE) * CAST(0.7 AS DOUBLE) + CASE WHEN rev_l90d_usd = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)) > 0.7) AS high_risk
+    FROM (SELECT as_of_date, customer_hk, sum(CASE WHEN age <= 90 THEN net_amount_usd ELSE 0 END) AS rev_l90d_usd, min(age) AS quiet,
+        sum(CASE WHEN age BETWEEN 366 AND 730 THEN net_amount_usd ELSE 0 END) AS rev_prev_year_usd, count(*) FILTER (WHERE age <= 365) AS orders
+      FROM (SELECT o.*, as_of_date, date_diff('day', order_date, as_of_date) AS age FROM silver_orders o
+        JOIN (SELECT CAST({q.AS_OF} - CAST(n AS INT) AS DATE) AS as_of_date FROM range(365) r(n)) ON order_date < as_of_date
+        WHERE NOT is_quarantined) GROUP BY ALL)
+    GROUP BY as_of_date""",
+)
+def risk_by_day(b: Bronze) -> DataFrame:
+    """A year of days: customers known, their revenue windows and how many are at high risk, from one pass over the orders."""
+    rows = features.revenue_features_for(orders(b, before=AS_OF), YEAR)
+    return rows.groupBy("as_of_date").agg(
+        F.count("*").alias("customers"),
+        money(F.sum("rev_l90d_usd")).alias("rev_l90d_usd"),
+        money(F.sum("rev_prev_year_usd")).alias("rev_prev_year_usd"),
+        F.sum("order_count_l365").alias("orders_l365"),
+        F.count_if(F.col("churn_risk_score") > features.HIGH_ABOVE).alias("high_risk"),
+    )
+
+
 @plan("churn_upsell", "SELECT customer_hk, as_of_date, churn_risk_score, upsell_propensity FROM pit_rows")
 def churn_upsell(b: Bronze) -> DataFrame:
     return features_at(b, AS_OF).select("customer_hk", "as_of_date", "churn_risk_score", "upsell_propensity")
