@@ -123,10 +123,39 @@ def test_late_and_repeated_events_correct_their_day(spark, tmp_path):
         spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(folder)
         stream = flows.file_stream(spark, folder, spark.createDataFrame([], EVENTS).schema)
         flows.refresh_daily_counts(stream, root, state, every=None).awaitTermination()
+    batches = [(r.rows, r.fresh, r.compared) for r in flows.read_batches(spark, root).orderBy("batch").collect()]
+    # The last row's slot holds one id; the other batches meet none.
+    assert batches == [(1, 1, 0)] * 5 + [(1, 0, 1)]
     got = flows.read_daily_counts(spark, root).collect()
     assert sorted((r.event_date.day, r.n_events) for r in got) == [(2, 1), (5, 1), (6, 1), (7, 1), (9, 1)]
 
 
+def test_counts_of_events_by_brute_force(spark, tmp_path):
+    """Rows repeated within and across batches, of any day or none, without an id or a type; ids compacted in between."""
+    draw = random.Random(4)
+    folder, root, state = (str(tmp_path / n) for n in ("in", "counts", "state"))
+    rows = []
+    for batch in range(5):
+        made = [
+            (draw.choice([None, "a", "b", "c", "d"]), draw.choice([None, datetime(2024, 1, draw.randrange(1, 4), 5)]), draw.choice(["x", "y", None]))
+            for _ in range(12)
+        ]
+        rows += made
+        spark.createDataFrame(made, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        stream = flows.file_stream(spark, folder, spark.createDataFrame([], EVENTS).schema)
+        flows.refresh_daily_counts(stream, root, state, every=None, buckets=2).awaitTermination()
+        if batch == 2:
+            flows.compact_daily_ids(spark, root, 2)
+    want = {}
+    for i, at, kind in set(rows):
+        key = (at and at.date(), kind)
+        want.setdefault(key, set()).add(i)
+    got = {(r.event_date, r.event_type): r.n_events for r in flows.read_daily_counts(spark, root).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+    whole = flows.daily_counts(spark.createDataFrame(rows, EVENTS)).collect()
+    assert {(r.event_date, r.event_type): r.n_events for r in whole} == got
+
+
 def test_payloads_that_do_not_parse_are_marked(spark):
     events = spark.createDataFrame([('{"order_id": "7", "amount_usd": 1.5}',), ("{'order_id': '7'}",), (None,), ('{"order_id": 7}',)], "event_payload string")
     got = flows.parse_events(events, {"order_id": "string $.order_id", "amount": "double $.amount_usd"}).collect()

@@ -255,13 +255,13 @@ BUSY_SECOND = "(l_orderkey * 8 + l_linenumber) % 2592000"
 
 @plan(
     "scd2_hot_key",
-    f"""SELECT line_key, {sql_stamp('at')} AS effective_from, hash_diff, {sql_stamp('lead(at) OVER w')} AS effective_to,
-      lead(at) OVER w IS NULL AS is_current, CAST(row_number() OVER w AS INT) AS record_version
+    f"""SELECT line_key, {sql_stamp('moment')} AS effective_from, hash_diff, {sql_stamp('lead(moment) OVER w')} AS effective_to,
+      lead(moment) OVER w IS NULL AS is_current, CAST(row_number() OVER w AS INT) AS record_version
     FROM (SELECT *, lag(hash_diff) OVER w AS before
-      FROM (SELECT {BUSY} AS line_key, TIMESTAMP '1995-03-01' + to_seconds(CAST({BUSY_SECOND} AS BIGINT)) AS at,
+      FROM (SELECT {BUSY} AS line_key, TIMESTAMP '1995-03-01' + to_seconds(CAST({BUSY_SECOND} AS BIGINT)) AS moment,
         max(l_returnflag || l_linestatus) AS hash_diff FROM lineitem GROUP BY ALL)
-      WINDOW w AS (PARTITION BY line_key ORDER BY at) QUALIFY before IS NULL OR before <> hash_diff)
-    WINDOW w AS (PARTITION BY line_key ORDER BY at)""",
+      WINDOW w AS (PARTITION BY line_key ORDER BY moment) QUALIFY before IS NULL OR before <> hash_diff)
+    WINDOW w AS (PARTITION BY line_key ORDER BY moment)""",
 )
 def scd2_hot_key(b: Bronze) -> DataFrame:
     """Versions of line states, one key having a third of all rows within one month."""

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from tiermill.operators import scd
 from tiermill.session import stored
-from tiermill.sources.tables import VersionedTable, refresh_derived
+from tiermill.sources.tables import Folder, VersionedTable, refresh_derived, replace_partitions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -128,22 +128,56 @@ def daily_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def refresh_daily_counts(stream: DataFrame, root: str, checkpoint: str, every: str | None = "5 minutes") -> StreamingQuery:
+IDS = "event_id string, event_type string, event_date date, slot string, batch bigint"
+#: So many slots of a batch are looked up by name; more are joined.
+NAMED_SLOTS = 2_000
+
+
+def _ids(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    """Ids that earlier batches brought."""
+    if not Folder(spark, f"{root}/ids").exists():
+        return None
+    return spark.read.schema(IDS).parquet(f"{root}/ids").where(F.col("batch") < before)
+
+
+def refresh_daily_counts(
+    stream: DataFrame, root: str, checkpoint: str, every: str | None = "5 minutes", buckets: int = 16
+) -> StreamingQuery:
     """Keep the daily counts of an event stream, in whatever order its rows come.
 
-    A micro-batch lands under its own number, by day; then the days it touches, and no others, are counted anew from all that
-    has landed for them. A late row corrects its day, a repeated one changes nothing, and no day waits for a watermark. A replay
-    lands and counts the same. ``root`` gets the folders ``landed`` and ``counts`` (see ``read_daily_counts``).
+    The ids of a day lie in ``buckets`` slots by their hash (events without a timestamp are a day of their own). A micro-batch
+    is compared with the ids of its own slots only, whether its days are long past or not, and what is new is added: the ids
+    to their slots, and their number to ``counts`` as the batch's part of each day and type. No day is counted again and
+    nothing waits for a watermark. A late row corrects its day, a repeated one changes nothing; a replay finds the same rows
+    new and writes the same parts. ``batches`` tells for each batch its rows, those that are new and the ids compared.
     """
 
     def apply_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keyed = batch.select("event_id", "event_type", "event_timestamp", F.to_date("event_timestamp").alias("event_date"))
-        keyed.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/landed/batch={number:012d}")
-        landed = spark.read.schema("event_id string, event_type string, event_timestamp timestamp, batch string, event_date date").parquet(f"{root}/landed")
-        days = spark.read.schema("event_id string, event_date date").parquet(f"{root}/landed/batch={number:012d}").select("event_date").distinct()
-        counted = daily_counts(landed.join(days, "event_date", "left_semi"))
-        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{root}/counts")
+        day = F.to_date("event_timestamp")
+        bucket = F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("string")
+        slot = F.concat_ws(".", F.coalesce(day.cast("string"), F.lit("none")), bucket)
+        rows = stored(batch.select("event_id", "event_type", day.alias("event_date"), slot.alias("slot")).distinct(), "events")
+        earlier, compared, fresh = _ids(spark, root, number), 0, rows
+        if earlier is not None:
+            slots = [r[0] for r in rows.select("slot").distinct().limit(NAMED_SLOTS + 1).collect()]
+            if len(slots) <= NAMED_SLOTS:
+                earlier = earlier.where(F.col("slot").isin(slots))
+            else:
+                earlier = earlier.join(rows.select("slot").distinct(), "slot", "left_semi")
+            compared = earlier.count()
+            old = earlier.select(F.col("slot").alias("s"), F.col("event_id").alias("i"), F.col("event_type").alias("t"))
+            same = (F.col("slot") == F.col("s")) & F.col("event_id").eqNullSafe(F.col("i")) & F.col("event_type").eqNullSafe(F.col("t"))
+            fresh = rows.join(old, same, "left_anti")
+        fresh = stored(fresh.withColumn("batch", F.lit(number).cast("long")), "events-new")
+        replace_partitions(fresh, f"{root}/ids", ["slot", "batch"])
+        counts = fresh.groupBy("event_date", "event_type", "batch").agg(F.count("*").alias("n_events"))
+        replace_partitions(counts, f"{root}/counts", ["batch"])
+        told = spark.range(1).select(
+            F.lit(rows.count()).cast("long").alias("rows"), F.lit(fresh.count()).cast("long").alias("fresh"),
+            F.lit(compared).cast("long").alias("compared"), F.lit(number).cast("long").alias("batch"),
+        )
+        replace_partitions(told, f"{root}/batches", ["batch"])
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
@@ -153,5 +187,26 @@ def refresh_daily_counts(stream: DataFrame, root: str, checkpoint: str, every: s
     )
 
 
+def compact_daily_ids(spark: SparkSession, root: str, upto: int) -> None:
+    """Put the ids of all batches up to a finished one in one file a slot, between two refreshes. If it is interrupted some ids
+    stand twice, which changes no count."""
+    found = _ids(spark, root, upto + 1)
+    if found is None:
+        return
+    rows = stored(found.withColumn("batch", F.lit(upto).cast("long")).distinct(), "events-compacted")
+    replace_partitions(rows, f"{root}/ids", ["slot", "batch"])
+    for name in Folder(spark, f"{root}/ids").names():
+        for batch in Folder(spark, f"{root}/ids/{name}").values("batch"):
+            if batch < upto:
+                Folder(spark, f"{root}/ids/{name}/batch={batch}").delete()
+
+
 def read_daily_counts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("event_type string, n_events bigint, event_date date").parquet(f"{root}/counts")
+    """Events per day and type: the sum of what the batches found new."""
+    parts = spark.read.schema("event_type string, n_events bigint, event_date date, batch bigint").parquet(f"{root}/counts")
+    return parts.groupBy("event_date", "event_type").agg(F.sum("n_events").alias("n_events"))
+
+
+def read_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of each batch, how many were new, and how many ids it was compared with."""
+    return spark.read.schema("rows bigint, fresh bigint, compared bigint, batch bigint").parquet(f"{root}/batches")
