@@ -215,11 +215,22 @@ def fact_sales(silver_orders: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def _per_order(rows: DataFrame, keys: list, sums: list[str]) -> DataFrame:
-    """Sums and counts of an order within a group. An order has one customer, so orders are rows from here on and only
-    customers are left to count once."""
+def per_customer(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Orders, sums and counts of each customer within a group.
+
+    Rows move once, to their group's customer. An order has one customer, so orders are counted there, and a customer is one
+    row from then on. The result can be stored by day and added up to longer periods, unlike counts of distinct customers.
+    """
     parts = [f(c).alias(f"{p}_{c}") for c in sums for f, p in ((F.sum, "sum"), (F.count, "n"))]
-    return rows.groupBy(*keys, "order_hk").agg(*parts, F.max("customer_hk").alias("customer_hk"))
+    dealt = rows.select(*keys, "customer_hk", "order_hk", *sums).repartition(*keys, "customer_hk")
+    orders = dealt.groupBy(*keys, "customer_hk", "order_hk").agg(*parts)
+    return added_up(orders.withColumn("order_count", F.col("order_hk").isNotNull().cast("long")), keys, sums)
+
+
+def added_up(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Rows of ``per_customer`` for coarser keys."""
+    names = ["order_count", *[f"{p}_{c}" for c in sums for p in ("sum", "n")]]
+    return parts.groupBy(*keys, "customer_hk").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _mean(column: str) -> Column:
@@ -228,36 +239,53 @@ def _mean(column: str) -> Column:
 
 def regional_sales_daily(fact: DataFrame) -> DataFrame:
     keys = ["source_system", "source_region", "date_key", "region_sk"]
-    orders = _per_order(fact, keys, ["net_amount_usd", "tax_amount_usd", "total_amount_usd", "discount_pct"])
-    return orders.groupBy(*keys).agg(
-        F.count("order_hk").alias("order_count"),
+    customers = per_customer(fact, keys, ["net_amount_usd", "tax_amount_usd", "total_amount_usd", "discount_pct"])
+    return customers.groupBy(*keys).agg(
+        F.sum("order_count").alias("order_count"),
         F.sum("sum_net_amount_usd").alias("total_revenue_usd"),
         F.sum("sum_tax_amount_usd").alias("total_tax_usd"),
         F.sum("sum_total_amount_usd").alias("total_billed_usd"),
         _mean("net_amount_usd").alias("avg_order_value_usd"),
         _mean("discount_pct").alias("avg_discount_pct"),
-        F.countDistinct("customer_hk").alias("unique_customers"),
+        F.count("customer_hk").alias("unique_customers"),
     )
 
 
-def product_revenue(lines: DataFrame, grain: str = "day") -> DataFrame:
-    """Revenue per product and source, by day or by calendar month."""
+REVENUE_SUMS = ["line_amount_usd", "discount_pct"]
+
+
+def product_customer_days(lines: DataFrame) -> DataFrame:
+    """Revenue and orders of each customer per product, source and day: the daily part that summaries are added up from."""
     d = F.col("order_date")
-    period = (
-        date_key(d).alias("date_key") if grain == "day" else (F.year(d) * 100 + F.month(d)).alias("month_key")
-    )
-    orders = _per_order(
-        lines.where(~F.col("is_quarantined")), ["product_code", "source_system", period], ["line_amount_usd", "discount_pct"]
-    )
-    name = "date_key" if grain == "day" else "month_key"
-    return orders.groupBy("product_code", "source_system", name).agg(
+    dated = lines.where(~F.col("is_quarantined")).withColumn("date_key", date_key(d))
+    return per_customer(dated, ["product_code", "source_system", "date_key"], REVENUE_SUMS)
+
+
+def product_summary(customers: DataFrame, period: str) -> DataFrame:
+    """Summary of customer rows of one period column."""
+    return customers.groupBy("product_code", "source_system", period).agg(
         F.sum("sum_line_amount_usd").alias("total_revenue_usd"),
-        F.count("order_hk").alias("order_count"),
-        F.countDistinct("customer_hk").alias("unique_customers"),
+        F.sum("order_count").alias("order_count"),
+        F.count("customer_hk").alias("unique_customers"),
         _mean("discount_pct").alias("avg_discount_pct"),
     )
 
 
+def product_revenue(lines: DataFrame, grain: str = "day") -> DataFrame:
+    """Revenue per product and source, by day or by calendar month."""
+    if grain == "day":
+        return product_summary(product_customer_days(lines), "date_key")
+    month = F.year("order_date") * 100 + F.month("order_date")
+    dated = lines.where(~F.col("is_quarantined")).withColumn("month_key", month)
+    return product_summary(per_customer(dated, ["product_code", "source_system", "month_key"], REVENUE_SUMS), "month_key")
+
+
+def product_revenue_from_days(days: DataFrame) -> DataFrame:
+    """The monthly summary from stored daily parts: a customer of several days is one customer of the month."""
+    monthly = days.withColumn("month_key", F.floor(F.col("date_key") / 100).cast("int"))
+    return product_summary(added_up(monthly, ["product_code", "source_system", "month_key"], REVENUE_SUMS), "month_key")
+
+
 def number_rows(df: DataFrame, order_by: str, name: str) -> DataFrame:
     """Surrogate keys 1..n in the order of ``order_by``, without one big sort task.
 

@@ -11,6 +11,7 @@ from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import lines, orders, sql_stamp, stamp
 from tiermill.reference import OPEN_END
+from tiermill.session import stored
 from tiermill.sources.bridge import CUSTOMER_LOADS, Bronze
 
 AMOUNTS = ["net_amount_orig", "net_amount_usd", "tax_amount_usd", "total_amount_usd", "discount_pct"]
@@ -162,6 +163,13 @@ def product_revenue_month(b: Bronze) -> DataFrame:
     return summary_report(gold.product_revenue(lines(b), "month"))
 
 
+@plan("product_revenue_rollup", MONTH_SQL)
+def product_revenue_rollup(b: Bronze) -> DataFrame:
+    """The monthly summary from a stored daily table, as a scheduled run would make it without reading the lines again."""
+    days = stored(gold.product_customer_days(lines(b)), "product-customer-days")
+    return summary_report(gold.product_revenue_from_days(days))
+
+
 # -- published views ---------------------------------------------------------------
 
 SALES_VIEW_SQL = f"""SELECT order_hk, customer_hk, order_date, order_type, order_status, currency_code,
