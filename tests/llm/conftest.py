@@ -28,7 +28,8 @@ def odd(spark):
     ]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     return spark.createDataFrame(rows, schema).selectExpr(
-        "*", "'x' AS kept", "1 AS size", "'y' AS host", "'z' AS fingerprint", "'p' AS lang_pred", "0 AS start"
+        "*", "'x' AS kept", "1 AS _id", "2 AS _hash", "3 AS _removed", "4 AS _times", "5 AS _copy", "6 AS _mixture", "7 AS row", "8 AS i",
+        "9 AS g", "10 AS `a.b`", "'q' AS id", "11 AS h", "12 AS s", "13 AS found", "14 AS _spans", "15 AS _h", "16 AS _n", "17 AS size_", "1 AS size", "'y' AS host", "'z' AS fingerprint", "'p' AS lang_pred", "0 AS start"
     )
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tiermill.llm import jaccard_partitions as jp
@@ -156,8 +157,8 @@ def test_allocation_keeps_the_sum():
 
 def test_sets_are_those_of_the_words():
     for text in ("", " \n", "A b", "a B c", "x y z x y z x", "É é İ A\x0bb\x0cC\xa0d", " ".join(prose(50, 5))):
-        assert len(jp.elements(text.encode(), 3, jp.Words())) == len(shingles(text))
-    same = [jp.name_of(jp.elements(t, 3, jp.Words())) for t in (b"a b  C", b"A B\nc ", b"a b", b"a b c d")]
+        assert len(jp.element_sets(pa.array([text.encode()]), 3)[0]) == len(shingles(text))
+    same = [jp.name_of(s) for s in jp.element_sets(pa.array([b"a b  C", b"A B\nc ", b"a b", b"a b c d"]), 3)]
     assert same[0] == same[1] and len(set(same)) == 3
 
 

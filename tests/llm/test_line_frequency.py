@@ -1,7 +1,8 @@
+import random
 import re
 from collections import Counter, defaultdict
 
-from tiermill.llm.line_frequency import Limits, assess, clean, repeated_words
+from tiermill.llm.line_frequency import Limits, assess, clean, line_hash, repeated_words
 from tiermill.llm.queries import op2_line_frequency
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +46,43 @@ def test_frequent_lines_by_brute_force(spark):
     assert cleaned[100] == "a copied text with a few words\nand its second line" and cleaned[300] == rows[-1][1]
 
 
+def letters(draw):
+    """A word; digits would not tell lines apart."""
+    return "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Pages of hosts with menus, notices of one word, copies and near copies: lines counted over told documents in plain code."""
+    draw = random.Random(6)
+    rows = []
+    for host in ("a", "b", None):
+        menu = [" ".join(f"{host}{chr(97 + i)}{chr(97 + j)}" for j in range(draw.randrange(1, 4))) for i in range(9)]
+        for i in range(60):
+            own = [" ".join(letters(draw) for _ in range(12)) for _ in range(3)]
+            rows.append((len(rows), "\n".join([*menu, *own, "Sign in"] if host != "b" else own + draw.sample(menu, 3)), host))
+        base = [" ".join(letters(draw) for _ in range(12)) for _ in range(20)]
+        for i in range(40):
+            rows.append((len(rows), "\n".join([*base[:19], f"edited {letters(draw)}" if i % 2 else base[19]]), host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    limits = Limits()
+    lines = {i: {line_hash(x.encode().split()): len(x.split()) for x in t.split("\n")} for i, t, _ in rows}
+    raw = Counter((h, x) for i, _, h in rows for x in lines[i])
+    told = defaultdict(set)
+    for i, _, h in rows:
+        rare = [x for x in lines[i] if raw[h, x] <= 20]
+        enough = sum(lines[i][x] for x in rare) >= 0.2 * sum(lines[i].values())
+        for x in lines[i]:
+            told[h, x].add(("rare", min(rare), max(rare)) if enough else ("all", min(lines[i]), max(lines[i])))
+    got = {r.doc_id: r for r in assess(docs, limits=limits).collect()}
+    for i, _, h in rows:
+        gone = [x for x in lines[i] if len(told[h, x]) > 20]
+        removed = sum(lines[i][x] for x in gone)
+        assert (got[i].removed_words, got[i].removed_lines) == (removed, len(gone))
+        assert got[i].kept == (2 * removed <= got[i].n_words)
+    # All ten shared lines of the first host are found, and its copies keep everything.
+    assert all(got[i].removed_lines == 10 for i in range(60)) and all(got[i].removed_lines == 0 for i in range(60, 100))
+
+
 def test_odd_rows(odd, none):
     rows = assess(odd, limits=Limits(line_docs=0)).collect()
     assert len(rows) == odd.count()

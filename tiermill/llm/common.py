@@ -43,6 +43,25 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one, called ``row``, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+
+
+def own(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def restored(columns: list[str], changed: dict[str, Column] | None = None) -> list[Column]:
+    """The carried columns, some of them replaced."""
+    changed = changed or {}
+    return [changed[c].alias(c) if c in changed else own(c).alias(c) for c in columns]
+
+
 def as_bytes(column: str) -> Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

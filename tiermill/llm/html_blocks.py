@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiermill.llm.common import carried, own, restored
+
 # Common function words of the languages that pages are expected in.
 STOP_WORDS = frozenset(
     """
@@ -260,5 +262,5 @@ def extract(pages: DataFrame, html: str = "html", rules: Rules = Rules()) -> Dat
         return pd.Series([main_text(x, rules) for x in source], dtype="object")
 
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    texts = pages.select(*kept, text_of(F.col(html)).alias("text"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    texts = carried(pages).withColumn("found", text_of(own(html)))
+    return texts.select(*restored(kept), F.col("found").alias("text"), F.length("found").cast("long").alias("n_chars"))

@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 
 from tiermill.llm.common import as_bytes, bit_filter, in_filter, keep, tasks
 from tiermill.llm.components import components
+from tiermill.llm.words import mixed, word_hashes
 
 SKETCH = 64
-A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+A, B, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))
 
 
 @dataclass(frozen=True)
@@ -57,33 +58,21 @@ class Rules:
 # Sets
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * C
-    x = (x ^ (x >> np.uint64(27))) * D
-    return x ^ (x >> np.uint64(31))
+def grams(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct n-grams of a text's words."""
+    if not len(words):
+        return words
+    width = min(width, len(words))
+    out = np.full(len(words) - width + 1, np.uint64(width))
+    for j in range(width):
+        out = mixed(out * A + words[j : len(words) - width + 1 + j] * B)
+    return np.unique(out)
 
 
-def elements(text: bytes, width: int, words: Words) -> np.ndarray:
-    """Sorted hashes of the distinct word n-grams of a text; A-Z are lower-cased."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    width = min(width, len(hashes))
-    grams = np.full(len(hashes) - width + 1, np.uint64(width))
-    for j in range(width):
-        grams = mixed(grams * A + hashes[j : len(hashes) - width + 1 + j] * B)
-    return np.unique(grams)
+def element_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct word n-grams of each text; A-Z are lower-cased."""
+    words, bounds = word_hashes(texts)
+    return [grams(words[a:b], width) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 def name_of(set_: np.ndarray) -> tuple[int, int]:
@@ -165,9 +154,8 @@ def _names_of(sets: list[np.ndarray]) -> pa.Array:
 
 def _named(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            sets = [elements(t.as_py(), rules.width, words) for t in batch.column(1)]
+            sets = element_sets(batch.column(1), rules.width)
             columns = [batch.column(0), batch.column(2), _names_of(sets), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.record_batch(columns, names=["id", "h", "s", "n"])
 
@@ -191,11 +179,10 @@ def _indexed(rules: Rules):
     of them right here (``met``) and dealt out evenly; only the first one goes on to the subset's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), OrderedDict()
+        seen: OrderedDict = OrderedDict()
         for batch in batches:
             found: list[tuple[np.ndarray, int, int]] = []
-            for t in batch.column(0):
-                set_ = elements(t.as_py(), rules.width, words)
+            for set_ in element_sets(batch.column(0), rules.width):
                 options = schemes(len(set_), rules.percent)
                 name = name_of(set_)
                 if not options or name in seen:
@@ -265,7 +252,7 @@ def _loaded(rules: Rules, bits: np.ndarray):
     """Elements and sketches of the texts whose hash the filter knows, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), OrderedDict()
+        seen: OrderedDict = OrderedDict()
         for batch in batches:
             h = batch.column(1).to_numpy()
             wanted = []
@@ -275,8 +262,7 @@ def _loaded(rules: Rules, bits: np.ndarray):
                     wanted.append(i)
                     if len(seen) > rules.remembered:
                         seen.popitem(last=False)
-            texts = batch.column(0)
-            sets = [elements(texts[i].as_py(), rules.width, words) for i in wanted]
+            sets = element_sets(batch.column(0).take(pa.array(wanted, pa.int64())), rules.width)
             columns = [_names_of(sets), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
             yield pa.record_batch(columns, names=["s", "set", "mark"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiermill.llm.common import carried, own, restored
+
 
 BITS = 16
 WINDOW = 6
@@ -174,6 +176,5 @@ def identify(
 
     new = [f"{prefix}_pred", "score", f"{prefix}_mix"]
     rest = [c for c in docs.columns if c not in (text, *new)]
-    return docs.select(*rest, mixture(F.col(text)).alias("_mixture")).select(
-        *rest, *[F.col("_mixture").getField(c).alias(c) for c in new]
-    )
+    found = carried(docs).withColumn("found", mixture(own(text)))
+    return found.select(*restored(rest), *[F.col("found").getField(c).alias(c) for c in new])

@@ -4,16 +4,17 @@ Every line is normalised and hashed; for each host the distinct documents with t
 the limit are removed. A document that lost too much is depleted and rejected. Before that, rules on
 the text alone reject very short and very repetitive documents.
 
-Copies must not make their own text look like boilerplate: documents of a host count as distinct by their sketch, the two
-smallest line hashes of a document, less the line in question. Exact copies share it, and so do most near copies, whereas
-documents that share nothing but a footer do not.
+Copies must not make their own text look like boilerplate. So the lines that many rows of a host have are found first. A
+document with enough other words is told by these other lines; one that has hardly anything else is a copy, or nothing but
+boilerplate, and is told by all its lines. Documents told alike count as one: exact copies always, near copies as a rule,
+whereas documents that share a menu or a footer do not.
 
-Counts are made in two steps, by (host, line, sketch) and then by (host, line); the first is combined before it moves, so a
-line that stands in a large share of all documents does not gather its documents in one task.
+Counts are combined before they move, and documents are counted by (host, line, document) first, so a line that stands in a
+large share of all documents does not gather them in one task.
 
 Defined cases: a null text is an empty one, has no words and fails; a null host is a host of its own; lines without a word
-are never removed; repeated rows count as one document; empty tables give no rows. Result columns replace
-columns of the same names.
+are never removed; repeated rows count as one document; a line at the limit stays; very long texts are read whole; empty tables
+give no rows. Extra columns of whatever name are carried along by ``clean``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tiermill.llm.common import as_bytes, keep
+from tiermill.llm.common import as_bytes, carried, keep, own, restored
 
 SYMBOLS = b"#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
@@ -39,16 +40,15 @@ _DIGITS = re.compile(rb"[0-9]+")
 @dataclass(frozen=True)
 class Limits:
     """``min_words`` and ``max_repeat`` (percent of words in repeated windows) are base rules. A line is boilerplate in a
-    host where more than ``line_docs`` distinct documents have it. A document is depleted when removal takes more than
-    ``max_lost`` of its words and leaves fewer than ``min_left``."""
+    host where more than ``line_docs`` distinct documents have it. ``own_share`` of a document's words must be in
+    other lines to tell it by these. A document is depleted when removal takes more than ``max_lost`` of its words."""
 
     min_words: int = 10
     max_repeat: int = 20
     window: int = 5
     line_docs: int = 20
-    line_words: int = 3
+    own_share: float = 0.2
     max_lost: float = 0.5
-    min_left: int = 10
 
 
 def repeated_words(words: list[bytes], window: int) -> int:
@@ -90,33 +90,30 @@ def line_hash(words: list[bytes]) -> int:
 
 
 def facts(text: bytes, limits: Limits) -> tuple:
-    """Counts of a whole text, and the hash, first-time flag and word count of each line with a word."""
+    """Counts of a whole text, and the hash of each different line with a word and the words it has in all."""
     words = text.split()
-    hashes, sizes, seen, copies = [], [], set(), 0
+    lines, seen, copies = {}, set(), 0
     for line in text.split(b"\n"):
-        own = line.split()
-        if own:
+        inside = line.split()
+        if inside:
             copies += line in seen
             seen.add(line)
-            if len(own) >= limits.line_words:
-                hashes.append(line_hash(own))
-                sizes.append(len(own))
-    # The three smallest distinct hashes, so that two are left when the line in question is one of them.
-    lowest = sorted(set(hashes))[:3]
+            key = line_hash(inside)
+            lines[key] = lines.get(key, 0) + len(inside)
     characters = len(b"".join(words).decode("utf-8", "replace"))
     symbols = sum(map(text.count, (bytes([s]) for s in SYMBOLS)))
     repeats = repeated_words(words, limits.window)
-    return len(words), characters, symbols, copies, repeats, hashes, sizes, lowest
+    return len(words), characters, symbols, copies, repeats, list(lines), list(lines.values())
 
 
 FACTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "lines array<long>, line_words array<int>, lowest array<long>"
+    "lines array<long>, line_words array<int>"
 )
 
 
 def _facts(limits: Limits):
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [x.split()[0] for x in FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +131,24 @@ def text_facts(docs: DataFrame, id: str, text: str, host: str, limits: Limits) -
     return rows.mapInArrow(_facts(limits), f"id {kinds['id']}, host {kinds['host']}, text_hash long, {FACTS}")
 
 
-def frequent_lines(counted: DataFrame, limits: Limits) -> DataFrame:
-    """``host``, ``line``, ``n_docs`` of the lines above the limit; documents are distinct by their sketch."""
-    lines = counted.select("host", "lowest", F.explode(F.array_distinct("lines")).alias("line"))
-    sketch = F.slice(F.filter("lowest", lambda h: h != F.col("line")), 1, 2)
+def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
+    """``host``, ``line``, ``n_docs`` of the lines above the limit. ``lines`` has ``row``, ``host``, ``line`` and its ``words``,
+    each line of a row once."""
+    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.line_docs)
+    # Stored, so that Spark knows how large it is before it chooses the join.
+    many = keep(many.select(F.col("host").alias("h"), F.col("line").alias("l")), "many-lines", 16)
+    same = (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))
+    marked = lines.join(many, same, "left").withColumn("many", F.col("l").isNotNull())
+    rare = F.when(~F.col("many"), F.col("line"))
+    words = F.sum(F.when(~F.col("many"), F.col("words")).otherwise(0))
+    told = F.when(
+        words >= limits.own_share * F.sum("words"), F.xxhash64(F.lit("rare"), F.min(rare), F.max(rare))
+    ).otherwise(F.xxhash64(F.lit("all"), F.min("line"), F.max("line")))
+    documents = marked.groupBy("row").agg(told.alias("document"), F.max("many").alias("any")).where("any").drop("any")
     return (
-        lines.select("host", "line", sketch.alias("sketch"))
+        marked.where("many")
+        .join(documents, "row")
+        .select("host", "line", "document")
         .distinct()
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n_docs"))
@@ -149,8 +158,7 @@ def frequent_lines(counted: DataFrame, limits: Limits) -> DataFrame:
 
 def _verdict(limits: Limits) -> dict[str, Column]:
     base = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat * F.col("n_words"))
-    left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > limits.max_lost * F.col("n_words")) & (left < limits.min_left)
+    depleted = F.col("removed_words") > limits.max_lost * F.col("n_words")
     return {"base_failed": base, "kept": ~(base | depleted)}
 
 
@@ -162,18 +170,17 @@ def verdicts(
     counted = keep(
         text_facts(docs, id, text, host, limits).withColumn("row", F.monotonically_increasing_id()), "line-facts"
     )
-    # Stored, so that Spark knows how large the lines above the limit are before it chooses the join.
-    frequent = keep(frequent_lines(counted, limits), "frequent-lines", 16)
     lines = counted.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
         "row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
     )
+    frequent = keep(frequent_lines(lines, limits), "frequent-lines", 16)
     marked = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
     hits = (
         lines.join(marked, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")), "left_semi")
         .groupBy("row")
         .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
     )
-    rows = counted.drop("lines", "line_words", "lowest").join(hits, "row", "left").fillna(0, ["removed_words"])
+    rows = counted.drop("lines", "line_words").join(hits, "row", "left").fillna(0, ["removed_words"])
     return rows.withColumns(_verdict(limits)).drop("row")
 
 
@@ -209,14 +216,8 @@ def clean(
     kept = (
         verdicts(docs, id, text, host, limits)
         .where("kept")
-        .select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
-        .dropDuplicates(["_id", "_host", "_hash"])
+        .select(F.col("id").alias("i"), F.col("host").alias("h"), F.col("text_hash").alias("g"), "removed")
+        .dropDuplicates(["i", "h", "g"])
     )
-    same = (
-        F.col(id).eqNullSafe(F.col("_id"))
-        & F.col(host).eqNullSafe(F.col("_host"))
-        & (F.xxhash64(F.col(text)) == F.col("_hash"))
-    )
-    joined = docs.join(kept, same)
-    out = [_cleaned(F.col(text), "_removed").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out)
+    same = own(id).eqNullSafe(F.col("i")) & own(host).eqNullSafe(F.col("h")) & (F.xxhash64(own(text)) == F.col("g"))
+    return carried(docs).join(kept, same).select(*restored(docs.columns, {text: _cleaned(own(text), "removed")}))

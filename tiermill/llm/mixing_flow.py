@@ -23,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import WORD, keep
+from tiermill.llm.common import carried, keep, own, restored, WORD
 
 SLICE_BITS = 16
 WEIGHTS = (3, 1, 2)
@@ -192,16 +192,13 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str
     times = (
         mix(docs, id, text, sources, **options)
         .where("times > 0")
-        .select(
-            F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.element_at("pattern", 1).alias("_source"),
-            F.col("times").alias("_times"),
-        )
-        .dropDuplicates(["_id", "_hash", "_source"])
-    )
+        .select(F.col("id").alias("i"), F.col("text_hash").alias("g"), F.element_at("pattern", 1).alias("source"), "times")
+        .dropDuplicates(["i", "g", "source"])
+    )
     same = (
-        F.col(id).eqNullSafe(F.col("_id"))
-        & F.col(sources).cast("string").eqNullSafe(F.col("_source"))
-        & (F.xxhash64(F.col(text)) == F.col("_hash"))
+        own(id).eqNullSafe(F.col("i"))
+        & own(sources).cast("string").eqNullSafe(F.col("source"))
+        & (F.xxhash64(own(text)) == F.col("g"))
     )
-    repeated = docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
+    return carried(docs).join(times, same).select("row", copies.alias("copy")).select(*restored(docs.columns))

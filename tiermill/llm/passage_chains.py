@@ -37,12 +37,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
-from tiermill.llm.common import WORD, as_bytes, bit_filter, in_filter, keep, tasks
+from tiermill.llm.common import WORD, as_bytes, bit_filter, carried, in_filter, keep, own, restored, tasks
+from tiermill.llm.words import word_hashes
 
 CHAIN, STRETCH = 0, 1
 LAST = np.uint64(2**64 - 1)
@@ -67,16 +67,6 @@ class Rules:
     filter_bits: int = 26  # of the filters by which tasks know seeds and documents
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _slide(values: np.ndarray, width: int, best, fill: np.uint64) -> np.ndarray:
     """``best`` of each value and the ``width`` - 1 after it."""
     out, done = values, 1
@@ -165,13 +155,10 @@ def merge(row, partner, pos, other, size) -> tuple[np.ndarray, ...]:
     return row[starts], partner[starts], pos[starts], other[starts], (last - pos[starts]).astype(np.int32)
 
 
-def linked_words(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of concatenated texts, the text of each word, and where each text begins."""
-    found = [t.lower().split() for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    look = hashes.__getitem__
-    words = np.fromiter((h for ws in found for h in map(look, ws)), np.uint64, int(sizes.sum()))
-    return words, np.repeat(np.arange(len(found)), sizes), np.cumsum(sizes) - sizes
+def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of texts, the text of each word, and where each text begins."""
+    words, bounds = word_hashes(texts)
+    return words, np.repeat(np.arange(len(texts)), np.diff(bounds)), bounds[:-1]
 
 
 #: ``pos`` has the place of a seed and, above ``GAP`` bits, the distance of the second one of a pair.
@@ -200,20 +187,24 @@ def _anchors(seed: np.ndarray, row: np.ndarray, pos: np.ndarray, k: int, rows: n
     return merge(*one[:2], one[2].astype(np.int32), one[3].astype(np.int32), np.full(len(one[0]), k, np.int32)), first
 
 
-def paired(place: np.ndarray, seed: np.ndarray, doc: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each seed that has others of its document ``near`` to ``far`` words on: its number, the key of the pair with the
-    smallest of them, and the distance."""
-    low, high = np.searchsorted(place, place + rules.near), np.searchsorted(place, place + rules.far, "right")
-    high = np.minimum(high, np.searchsorted(doc, doc, "right"))
-    best, at = np.full(len(seed), LAST), np.full(len(seed), -1)
+def paired(
+    place: np.ndarray, seed: np.ndarray, doc: np.ndarray, rules: Rules, firsts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each seed (of those in the filter ``firsts``) that has others of its document ``near`` to ``far`` words on: its
+    number, the key of the pair with the smallest of them, and the distance."""
+    which = np.arange(len(seed)) if firsts is None else np.flatnonzero(in_filter(firsts, seed.view(np.int64)))
+    low, high = np.searchsorted(place, place[which] + rules.near), np.searchsorted(place, place[which] + rules.far, "right")
+    high = np.minimum(high, np.searchsorted(doc, doc[which], "right"))
+    best, at = np.full(len(which), LAST), np.full(len(which), -1)
     for step in range(int((high - low).max(initial=0))):
         there = np.flatnonzero(low + step < high)
         other = low[there] + step
         less = seed[other] < best[there]
         best[there[less]], at[there[less]] = seed[other[less]], other[less]
-    has = np.flatnonzero(at >= 0)
-    key = (seed[has] * np.uint64(0x9E3779B97F4A7C15)) ^ (best[has] * np.uint64(0xBF58476D1CE4E5B9))
-    return has, key ^ (key >> np.uint64(29)), place[at[has]] - place[has]
+    found = np.flatnonzero(at >= 0)
+    has = which[found]
+    key = (seed[has] * np.uint64(0x9E3779B97F4A7C15)) ^ (best[found] * np.uint64(0xBF58476D1CE4E5B9))
+    return has, key ^ (key >> np.uint64(29)), place[at[found]] - place[has]
 
 
 def _by_seed(seed: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -223,8 +214,8 @@ def _by_seed(seed: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.nda
     return seed[order], row[order], pos[order]
 
 
-def _seeded(rules: Rules, asked: np.ndarray | None = None, rows: np.ndarray | None = None):
-    """Seeds of each document, or the pairs of them that the filter ``asked`` knows. What documents of one buffer share is
+def _seeded(rules: Rules, asked: tuple[np.ndarray, np.ndarray] | None = None, rows: np.ndarray | None = None):
+    """Seeds of each document, or the pairs of them that the filters ``asked`` (first seeds, pairs) know. What documents of one buffer share is
     linked right here (``met``); on to the bucket of a seed goes only the buffer's first document with it."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -238,16 +229,16 @@ def _seeded(rules: Rules, asked: np.ndarray | None = None, rows: np.ndarray | No
         yield pa.record_batch([*columns, pa.nulls(int(first.sum()), _MET)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, count = _Hashes(), [], 0
+        held, count = [], 0
         for batch in batches:
             row = batch.column(0).to_numpy()
-            words, doc, begin = linked_words([t.as_py() for t in batch.column(1)], hashes)
+            words, doc, begin = numbered_words(batch.column(1))
             place, seed = minimizers(words, doc, rules.k, rules.window)
             of = doc[place]
             pos = place - begin[of]
             if asked is not None:
-                has, seed, gap = paired(place, seed, of, rules)
-                wanted = in_filter(asked, seed.view(np.int64))
+                has, seed, gap = paired(place, seed, of, rules, asked[0])
+                wanted = in_filter(asked[1], seed.view(np.int64))
                 has, seed = has[wanted], seed[wanted]
                 pos, of = pos[has] | gap[wanted] << GAP, of[has]
             held.append((seed, row[of], pos))
@@ -468,23 +459,24 @@ def _left_open(rules: Rules):
 
 
 def _inside(rules: Rules):
-    """Pairs of seeds within the given stretches of each text."""
+    """Pairs of seeds within the given stretches of each text, with the first seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            words, doc, begin = linked_words([t.as_py() for t in batch.column(0)], hashes)
+            words, doc, begin = numbered_words(batch.column(0))
             place, seed = minimizers(words, doc, rules.k, rules.window)
             of = doc[place]
             has, key, gap = paired(place, seed, of, rules)
             start = (place - begin[of])[has]
             stop = start + gap + rules.k
             bounds = np.searchsorted(of[has], np.arange(batch.num_rows + 1))
-            found = []
+            found = [np.zeros(0, np.int64)]
             for i, parts in enumerate(batch.column(1).to_pylist()):
                 a, b = bounds[i], bounds[i + 1]
-                found += [key[a:b][(start[a:b] >= x["start"]) & (stop[a:b] <= x["stop"])] for x in parts]
-            yield pa.record_batch([pa.array(np.concatenate(found or [key[:0]]).view(np.int64))], names=["seed"])
+                found += [a + np.flatnonzero((start[a:b] >= x["start"]) & (stop[a:b] <= x["stop"])) for x in parts]
+            which = np.concatenate(found)
+            columns = [seed[has[which]].view(np.int64), key[which].view(np.int64)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["first", "seed"])
 
     return run
 
@@ -495,8 +487,10 @@ def _hidden(docs: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
     parts = keep(open_.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "open-rows", 8)
     rows = bit_filter(parts.select("row"), rules.filter_bits)
     texts = docs.select("row", "text").mapInArrow(_of_rows(rows), "row long, text binary")
-    asked = keep(texts.join(parts, "row").select("text", "parts").mapInArrow(_inside(rules), "seed long").distinct(), "asked-pairs", 8)
-    found = docs.select("row", "text").mapInArrow(_seeded(rules, bit_filter(asked, rules.filter_bits), rows), SEEDS)
+    pairs = texts.join(parts, "row").select("text", "parts").mapInArrow(_inside(rules), "first long, seed long")
+    pairs = keep(pairs.distinct(), "asked-pairs", 8)
+    asked = tuple(bit_filter(pairs.select(c), rules.filter_bits) for c in ("first", "seed"))
+    found = docs.select("row", "text").mapInArrow(_seeded(rules, asked, rows), SEEDS)
     # Pairs that nobody asked for, but the filter let pass, make links that are right as well.
     return found.repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(_across(rules, rows), LINKS)
 
@@ -512,6 +506,12 @@ def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table
 
 
+def _enough(met: np.ndarray, least: int, identity: float) -> bool:
+    """Whether any beginning of at least so many words has enough of them in both."""
+    counts = np.cumsum(met)[least - 1 :]
+    return bool((counts >= identity * np.arange(least, least + len(counts))).any())
+
+
 def _extend(a: np.ndarray, b: np.ndarray, rules: Rules) -> tuple[int, int, int, int]:
     """How far two sequences go along, on either side, to where most is won, and the equal words and columns until there."""
     at, bt, equal, columns = 0, 0, 0, 0
@@ -527,8 +527,9 @@ def _extend(a: np.ndarray, b: np.ndarray, rules: Rules) -> tuple[int, int, int,
             x, y = a[at : at + step], b[bt : bt + step]
             if min(len(x), len(y)) < least:
                 return at, bt, equal, columns
+            # No more words can be in order than have an equal one at all.
             like = x[:, None] == y[None, :]
-            if like.any(axis=0).sum() < least or like.any(axis=1).sum() < least:
+            if not all(_enough(like.any(axis=axis), least, rules.min_identity) for axis in (0, 1)):
                 best, won = (0, 0), 0
                 continue
             table = common_prefixes(x, y)
@@ -625,10 +626,9 @@ def _words(bits: np.ndarray):
     """Word hashes of the documents whose rows the filter knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy())))
-            words, _, begin = linked_words([t.as_py() for t in batch.column(3)], hashes)
+            words, _, begin = numbered_words(batch.column(3))
             short = (words >> np.uint64(32)).astype("<u4").tobytes()
             cuts = [*begin.tolist(), len(words)]
             slices = pa.array([short[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])], pa.binary())
@@ -657,7 +657,7 @@ def _align(docs: DataFrame, candidates: DataFrame, rules: Rules) -> DataFrame:
     both = own.join(partners, "partner").withColumns(cut("other_start", "other_stop", "other")).drop("words")
     columns = ["row", "id", "h", "partner_id", "own_words", "other_words", "own_from", "other_from", "anchors"]
     out = f"row long, id {kind}, h long, partner {kind}, start long, stop long, other_start long, other_stop long, equal long, columns long"
-    return keep(both.select(*columns).mapInArrow(_aligned(rules), out), "passages", 8)
+    return keep(both.select(*columns).mapInArrow(_aligned(rules), out), "passages", 2)
 
 
 # The whole
@@ -737,9 +737,8 @@ def without_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", ru
     found = _passages(docs, id, text, rules)
     spans = found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = keep(spans.withColumnsRenamed({"id": "i", "h": "g"}), "passage-spans", 8)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    own = F.col("row").getField(id), F.col("row").getField(text)
-    joined = rows.join(spans, own[0].eqNullSafe(F.col("i")) & (F.xxhash64(own[1]) == F.col("g")), "left")
-    cut = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), _cut(own[1], "spans")).otherwise(own[1]))
+    same = own(id).eqNullSafe(F.col("i")) & (F.xxhash64(own(text)) == F.col("g"))
+    joined = carried(docs).join(spans, same, "left")
+    cut = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), _cut(own(text), "spans")).otherwise(own(text)))
     left = cut.where(F.col("spans").isNull() | F.col("cut").rlike(WORD))
-    return left.select(*[F.col("cut").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return left.select(*restored(docs.columns, {text: F.col("cut")}))

@@ -11,7 +11,8 @@ of a batch. In a large cell (many near copies of one text) a search takes one fi
 it has reached, after a window on the first coordinate.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; rows with a null id are returned
-with a null component, yet connect the others; repeated ids keep their rows; empty tables give no rows.
+with a null component, yet connect the others; repeated ids keep their rows; extra columns of whatever name are ignored here and
+kept by ``representatives``; very long texts are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import as_bytes, keep, tasks
+from tiermill.llm.common import as_bytes, carried, keep, own, restored, tasks
 from tiermill.llm.components import components
 
 BITS = 64
@@ -244,8 +245,9 @@ def representatives(
         keys.join(roots, "fp").groupBy("root").agg(F.min_by(F.struct("id", "h", "n"), order).alias("x")).select("x.*"),
         "simhash-chosen",
         8,
-    ).withColumnsRenamed({"id": "_id", "h": "_h", "n": "_n"})
-    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_h"))
-    single = docs.join(chosen.where("_n = 1"), same, "left_semi")
-    several = docs.join(chosen.where("_n > 1"), same).dropDuplicates(["_id", "_h"]).select(*docs.columns)
-    return single.unionByName(several)
+    ).withColumnsRenamed({"id": "i", "h": "g"})
+    rows = carried(docs)
+    same = own(id).eqNullSafe(F.col("i")) & (F.xxhash64(own(text)) == F.col("g"))
+    single = rows.join(chosen.where("n = 1"), same, "left_semi")
+    several = rows.join(chosen.where("n > 1"), same).dropDuplicates(["i", "g"]).select("row")
+    return single.unionByName(several).select(*restored(docs.columns))
