@@ -105,3 +105,19 @@ def test_a_failed_write_is_logged(spark):
     start = datetime(2024, 1, 1)
     row = observe.logged_write(judged, "/proc/no-such-folder/out", "B1", "load", start, now=lambda: datetime(2024, 1, 1, 0, 1)).first()
     assert (row.status, row.records_read, row.duration_seconds) == ("FAILED", None, 60.0) and row.error_message
+
+
+def test_digest_finds_an_altered_row(spark):
+    """Counts agree, yet two rows have exchanged their amounts, or one was altered."""
+    schema = "batch_id string, source_system string, is_quarantined boolean, id string, amount decimal(18,4)"
+    rows = [("b1", "SAP", False, str(i), i * 10) for i in range(5)] + [(None, "SAP", True, "9", None)]
+    make = lambda changed: spark.createDataFrame(
+        [(*r[:4], None if (v := changed.get(r[3], r[4])) is None else Decimal(v)) for r in rows], schema
+    )
+    traced = (["id", "amount"], ["id", "amount"])
+    for changed, same in (({}, True), ({"1": 20, "2": 10}, False), ({"3": 31}, False)):
+        other = make(changed).repartition(3)
+        got = observe.reconcile(make({}), other, other.where("NOT is_quarantined"), traced, ["id", "amount"]).collect()
+        by = {r.batch_id: r for r in got}
+        assert by["b1"].digest_matches == same and by["b1"].gold_matches and by["b1"].lost == 0
+        assert by[None].digest_matches and len(got) == 2

@@ -26,7 +26,9 @@ def top_k(
     stored = F.col(column)
     length = F.sqrt(dot(stored, stored)) * F.lit(size)
     scored = vectors.withColumn("similarity", F.when(length > 0, dot(stored, wanted) / length))
-    return scored.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), id_column).limit(k)
+    # NaN would come first.
+    usable = F.col("similarity").isNotNull() & ~F.isnan("similarity")
+    return scored.where(usable).orderBy(F.desc("similarity"), id_column).limit(k)
 
 
 def unusable(vectors: DataFrame, size: int, column: str = "embedding") -> DataFrame:
@@ -36,6 +38,7 @@ def unusable(vectors: DataFrame, size: int, column: str = "embedding") -> DataFr
         F.when(stored.isNull(), F.lit("MISSING"))
         .when(F.size(stored) != size, F.lit("WRONG_SIZE"))
         .when(F.exists(stored, lambda x: x.isNull()), F.lit("MISSING_NUMBER"))
+        .when(F.exists(stored, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), F.lit("NOT_FINITE"))
         .when(dot(stored, stored) == 0, F.lit("ZERO_LENGTH"))
     )
     return vectors.withColumn("reason", reason).where(F.col("reason").isNotNull())

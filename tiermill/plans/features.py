@@ -229,24 +229,32 @@ STORED_SQL = (
 )
 
 
-@plan(
-    "upsert_vectors",
-    f"""SELECT n.customer_hk, n.customer_name, n.customer_summary, n.revenue_band, s.embedding IS NOT NULL AS has_vector,
-      CASE WHEN s.embedding IS NULL THEN 'PENDING' ELSE 'STORED' END AS vector_state
-      FROM told_now n LEFT JOIN ({STORED_SQL}) s USING (customer_hk)""",
-)
-def upsert_vectors(b: Bronze) -> DataFrame:
-    """Narratives merged into a stored table of larger customers and their vectors."""
+def stored_customers(b: Bronze) -> DataFrame:
+    """Larger customers as they were told earlier, with the vectors made then."""
     account = identities(b).where(F.col("source_system") == "SALESFORCE").select(
         F.col("master_customer_hk").alias("customer_hk"), "original_id"
     )
     known = b.embeddings().select(F.concat(F.lit("ACC-"), F.col("vec_id").cast("string")).alias("original_id"), F.col("embedding").alias("summary_vector"))
-    stored = (
+    return (
         narratives_at(b, EARLIER).where(F.col("revenue_band") != "SMB")
         .join(account, "customer_hk").join(known, "original_id", "left").drop("original_id")
         .withColumn("vector_state", F.when(F.col("summary_vector").isNotNull(), "STORED"))
     )
-    merged = vectors.upsert(stored, narratives_at(b, AS_OF), "customer_hk", ["summary_vector", "vector_state"])
+
+
+@plan(
+    "upsert_vectors",
+    f"""SELECT n.customer_hk, n.customer_name, n.customer_summary, n.revenue_band, s.embedding IS NOT NULL AS has_vector,
+      CASE WHEN s.embedding IS NULL THEN 'PENDING' ELSE 'STORED' END AS vector_state
+      FROM told_now n LEFT JOIN ({STORED_SQL}) s USING (customer_hk)""",
+)
+def upsert_vectors(b: Bronze) -> DataFrame:
+    """Narratives merged into a stored table of larger customers and their vectors; each comes twice, the older one outdated."""
+    stored = stored_customers(b)
+    told = narratives_at(b, AS_OF).withColumn("told_at", F.lit(2))
+    outdated = told.withColumns({"customer_summary": F.lit("outdated"), "told_at": F.lit(1)})
+    stored = stored.withColumn("told_at", F.lit(0))
+    merged = vectors.upsert(stored, told.unionByName(outdated), "customer_hk", ["summary_vector", "vector_state"], newest="told_at")
     filled = vectors.fill_missing(merged, "vector_state", F.lit("PENDING"), "customer_summary")
     return filled.select(
         "customer_hk", "customer_name", "customer_summary", "revenue_band",
@@ -269,6 +277,59 @@ def vector_topk(b: Bronze) -> DataFrame:
     return best.select("vec_id", "label", F.round("similarity", 4).alias("similarity"))
 
 
+SPOILED_SQL = """CASE vec_id % 50 WHEN 0 THEN NULL WHEN 1 THEN embedding[1:3] WHEN 2 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT))
+  WHEN 3 THEN list_append(embedding[2:], NULL) WHEN 4 THEN list_append(embedding[2:], 'nan'::FLOAT) ELSE embedding END"""
+
+
+def spoiled(b: Bronze) -> DataFrame:
+    """Stored vectors of which some are missing, cut, zero, or hold a NULL or NaN."""
+    v, kind = F.col("embedding"), F.col("vec_id") % 50
+    rest = F.slice(v, 2, 1000)
+    return b.embeddings().withColumn(
+        "embedding",
+        F.when(kind == 1, F.slice(v, 1, 3))
+        .when(kind == 2, F.transform(v, lambda x: F.lit(0.0).cast("float")))
+        .when(kind == 3, F.concat(rest, F.array(F.lit(None).cast("float"))))
+        .when(kind == 4, F.concat(rest, F.array(F.lit(float("nan")).cast("float"))))
+        .when(kind != 0, v),
+    )
+
+
+@plan(
+    "vector_unusable",
+    """SELECT vec_id, ['MISSING', 'WRONG_SIZE', 'ZERO_LENGTH', 'MISSING_NUMBER', 'NOT_FINITE'][vec_id % 50 + 1] AS reason
+      FROM embeddings WHERE vec_id % 50 < 5""",
+)
+def vector_unusable(b: Bronze) -> DataFrame:
+    """Stored vectors that no search can score, with the reason."""
+    size = b.embeddings().agg(F.max(F.size("embedding"))).first()[0]
+    return vectors.unusable(spoiled(b), size).select("vec_id", "reason")
+
+
+@plan(
+    "vector_topk_spoiled",
+    f"""SELECT vec_id, label, round(s, 4) AS similarity FROM (SELECT vec_id, label, list_cosine_similarity(CAST(v AS DOUBLE[]),
+        CAST((SELECT arg_max(embedding, vec_id) FROM embeddings WHERE vec_id % 50 = 9) AS DOUBLE[])) AS s
+      FROM (SELECT vec_id, label, {SPOILED_SQL} AS v FROM embeddings) WHERE vec_id % 50 > 4) ORDER BY s DESC, vec_id LIMIT 10""",
+)
+def vector_topk_spoiled(b: Bronze) -> DataFrame:
+    """Search among vectors of which some cannot be scored."""
+    query = b.embeddings().where("vec_id % 50 = 9").agg(F.max_by("embedding", "vec_id").alias("v")).first()["v"]
+    return vectors.top_k(spoiled(b), query, 10).select("vec_id", "label", F.round("similarity", 4).alias("similarity"))
+
+
+@plan(
+    "vector_stale",
+    f"""SELECT s.customer_hk, s.embedding IS NOT NULL AND n.customer_summary IS DISTINCT FROM s.customer_summary AS is_stale
+      FROM ({STORED_SQL}) s JOIN told_now n USING (customer_hk)""",
+)
+def vector_stale(b: Bronze) -> DataFrame:
+    """Stored customers with their text of today: whose vector was made from another text."""
+    made = stored_customers(b).withColumn("made_from", F.sha2("customer_summary", 256)).select("customer_hk", "summary_vector", "made_from")
+    today = narratives_at(b, AS_OF).select("customer_hk", "customer_summary").join(made, "customer_hk")
+    return vectors.stale(today, "customer_summary", "summary_vector", "made_from").select("customer_hk", "is_stale")
+
+
 def text_index(b: Bronze) -> DataFrame:
     name = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     return search.index(

@@ -150,6 +150,22 @@ def ingest_json(b: Bronze) -> DataFrame:
     return read.withColumn("net_amount", F.col("net_amount").cast("double"))
 
 
+@plan(
+    "ingest_json_array",
+    "SELECT order_id, order_date, customer_id, currency_code, CAST(net_amount AS DOUBLE) AS net_amount, order_status FROM bronze_orders",
+)
+def ingest_json_array(b: Bronze) -> DataFrame:
+    """Orders landed as files that are each one array of objects, a few hundred orders a file, then read back."""
+    folder = shared_dir(b.spark, "orders-json-arrays")
+    orders = b.orders().select(ORDER_FILE.names)
+    part = F.pmod(F.xxhash64("order_id"), F.lit(64))
+    arrays = orders.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*ORDER_FILE.names))).alias("value"))
+    # A file of an outer array is one task, so data land as many files.
+    arrays.repartition(64, "part").sortWithinPartitions("part").write.partitionBy("part").text(folder)
+    read = files.read_json(b.spark, folder, ORDER_FILE, multi_line=True).drop("part")
+    return read.withColumn("net_amount", F.col("net_amount").cast("double"))
+
+
 @plan(
     "append_layout",
     """SELECT CAST(year(order_date) AS INT) AS order_year, count(*) AS orders, count(DISTINCT order_id) AS ids FROM bronze_orders GROUP BY 1""",

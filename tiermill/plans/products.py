@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermill.functions import policies
-from tiermill.operators import catalog
+from tiermill.operators import catalog, runs
 from tiermill.plans import oracle as q
 from tiermill.plans.features import features_at
 from tiermill.plans.gold import dim_customers, fact, identities, sales_view
@@ -16,7 +16,7 @@ from tiermill.plans.quality import log
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import orders, sql_stamp, stamp
 from tiermill.operators import products as published
-from tiermill.session import stored
+from tiermill.session import stored_once
 from tiermill.sources.bridge import AS_OF, REQUEST_STATUS_SQL, RUN_TS, Bronze
 
 TIMES = [RUN_TS - timedelta(hours=24), RUN_TS - timedelta(hours=12), RUN_TS]
@@ -75,8 +75,12 @@ def as_double(df: DataFrame, *names: str) -> DataFrame:
 
 
 def measurements(b: Bronze) -> DataFrame:
-    """The measurement log; stored, so that its readers do not measure again."""
-    return stored(catalog.measure(catalog.table(b.spark), orders(b), log(b), TIMES), "sli-log")
+    """The measurement log that the scheduled run writes; its readers do not measure."""
+
+    def run(path: str) -> None:
+        runs.sli_run(catalog.measure(catalog.table(b.spark), orders(b), log(b), TIMES), path, RUN_TS)
+
+    return b.spark.read.parquet(stored_once(b.spark, f"sli-log:{b.folder}", run)).drop("run_date", "run_id")
 
 
 def trust(b: Bronze) -> DataFrame:
@@ -200,19 +204,24 @@ def customer_360(b: Bronze) -> DataFrame:
     return published.customer_360(dim_customers(b), identities(b), features_at(b, AS_OF))
 
 
+CENTS, SCORES = ["rev_l30d_usd", "rev_l90d_usd", "rev_l365d_usd"], ["churn_risk_score", "upsell_propensity"]
+CENTS_SQL = ", ".join(f"CAST(round({c}, 2) AS DOUBLE) AS {c}" for c in CENTS)
+SCORES_SQL = ", ".join(f"CAST(CAST({c} AS DECIMAL(5,4)) AS DOUBLE) AS {c}" for c in SCORES)
 q.RELATIONS["customer_360_rows"] = (
-    f"SELECT p.customer_hk, d.customer_name, {q.AS_OF} AS as_of_date, d.industry, d.region, d.segment, p.churn_risk_score "
+    f"SELECT p.customer_hk, d.customer_name, {q.AS_OF} AS as_of_date, d.industry, d.region, d.segment, p.churn_risk_score, "
+    "p.upsell_propensity, p.rev_l30d_usd, p.rev_l90d_usd, p.rev_l365d_usd, p.days_since_last_order "
     "FROM pit_rows p JOIN identities i USING (customer_hk) JOIN dim_customers d USING (master_customer_hk)"
 )
 
 
 @plan(
     "product_customer_360",
-    "SELECT customer_hk, customer_name, industry, region, segment, as_of_date FROM customer_360_rows",
+    f"""SELECT customer_hk, customer_name, industry, region, segment, {CENTS_SQL}, {SCORES_SQL}, days_since_last_order, as_of_date
+      FROM customer_360_rows""",
 )
 def product_customer_360(b: Bronze) -> DataFrame:
-    """The product's output view, by the columns that are not computed from sums."""
-    return customer_360(b).select("customer_hk", "customer_name", "industry", "region", "segment", "as_of_date")
+    """The product's output view with all its columns, in their promised types; decimals are compared as numbers."""
+    return as_double(customer_360(b), *CENTS, *SCORES)
 
 
 q.RELATIONS["sales_view_rows"] = (

@@ -7,6 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,3 +81,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_ONCE: dict[tuple[str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, key: str, write: Callable[[str], None]) -> str:
+    """Path of a table that this application writes at its first use, as a scheduled run would, and then only reads."""
+    mark = (spark.sparkContext.applicationId, key)
+    path = _ONCE.get(mark)
+    if path is not None:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return path
+    path = shared_dir(spark, key.split(":")[0])
+    write(path)
+    _ONCE[mark] = path
+    return path
