@@ -1,9 +1,10 @@
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tiermill.operators import quality, rules
+from tiermill.operators import quality, rules, states
 
 SCHEMA = (
     "source_system string, source_region string, order_hk string, original_id string, customer_hk string, "
@@ -98,3 +99,32 @@ def test_rules_route_rows(spark):
     refused = rules.rejected(judged, "T", ["amount", "owner"]).collect()
     assert [(r.rule_violated, r.record_data) for r in refused] == [("POSITIVE", '{"amount":-1}')]
     assert [r.status for r in rules.quarantined(judged, "T", ["amount"]).collect()] == ["OPEN"]
+
+
+def test_states_of_batches_equal_one_run(spark, tmp_path):
+    """Keys repeated within and across batches, outliers found by later limits, unknown groups, a batch that comes again."""
+    draw = random.Random(12)
+    rows = []
+    for i in range(400):
+        amount = draw.choice([10, 11, 12, 13, 9]) if draw.random() < 0.97 else draw.choice([-500, 40, 900, 15])
+        rows.append(
+            order(
+                draw.randrange(330), source_system=draw.choice(["SAP", "SAP", "JDE", None]), net_amount_usd=draw.choice([Decimal(amount), Decimal(amount), None]),
+                currency_code=draw.choice(["EUR", "XXX", None]), customer_hk=draw.choice(["c", None]),
+            )
+        )
+    rows += [order(1000 + i, source_system="tiny") for i in range(9)]
+    root, by = str(tmp_path / "states"), ["source_system"]
+    for number, (a, b) in enumerate([(0, 5), (5, 150), (150, 409), (150, 409)]):
+        states.add_batch(spark.createDataFrame(rows[a:b], SCHEMA).repartition(3), root, min(number, 2), by, date(2021, 1, 1), slices=4)
+    got = states.results(spark, root, by)
+    want = quality.run_all(spark.createDataFrame(rows, SCHEMA), by, date(2021, 1, 1)).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    outliers = {r.source_system: r.records_failed for r in got.where("dama_dimension = 'ACCURACY'").collect()}
+    assert "tiny" not in outliers and sum(outliers.values()) > 3
+
+
+def test_bins_keep_the_order_of_amounts(spark):
+    values = sorted([0.0, -0.5, 0.5, 1e9, -1e9, *[s * 1.07**i for i in range(120) for s in (1, -1)]])
+    bins = [r.b for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", states.amount_bin(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert bins == sorted(bins) and bins[0] < 0 < bins[-1]

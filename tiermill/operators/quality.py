@@ -34,7 +34,7 @@ class Check:
     empty_rate: int = 100
 
 
-def _outcome(counted: DataFrame, by: list[str], table: str) -> DataFrame:
+def outcome(counted: DataFrame, by: list[str], table: str) -> DataFrame:
     """Result rows from one row per check with its total and failures."""
     total, failed, policy = F.col("_total"), F.col("_failed"), F.col("_policy")
     many = (policy == "failed") | ((policy == "failed_below_99") & ((total - failed) * 100 < total * 99))
@@ -51,8 +51,8 @@ def _outcome(counted: DataFrame, by: list[str], table: str) -> DataFrame:
     )
 
 
-def evaluate(df: DataFrame, by: list[str], table: str, checks: list[Check]) -> DataFrame:
-    """Result rows of row-level checks, per group of ``by``, in one pass."""
+def counted(df: DataFrame, by: list[str], checks: list[Check]) -> DataFrame:
+    """One row per group and row-level check with its total and failures, in one pass; these add up over batches."""
     counters = [F.count_if(c.failed).alias(f"_failed_{i}") for i, c in enumerate(checks)]
     wide = df.groupBy(*by).agg(F.count("*").alias("_total"), *counters)
     rows = ", ".join(
@@ -60,7 +60,22 @@ def evaluate(df: DataFrame, by: list[str], table: str, checks: list[Check]) -> D
         f"'_empty_rate', {c.empty_rate}, '_failed', _failed_{i})"
         for i, c in enumerate(checks)
     )
-    return _outcome(wide.select(*by, "_total", F.expr(f"inline(array({rows}))")), by, table)
+    return wide.select(*by, "_total", F.expr(f"inline(array({rows}))"))
+
+
+def labels(check: Check) -> dict[str, Column]:
+    """The columns by which ``outcome`` knows a check that was counted on its own."""
+    return {
+        "dama_dimension": F.lit(check.dimension),
+        "rule_name": F.lit(check.rule),
+        "_policy": F.lit(check.quarantine),
+        "_empty_rate": F.lit(check.empty_rate),
+    }
+
+
+def evaluate(df: DataFrame, by: list[str], table: str, checks: list[Check]) -> DataFrame:
+    """Result rows of row-level checks, per group of ``by``, in one pass."""
+    return outcome(counted(df, by, checks), by, table)
 
 
 # -- the dimensions ------------------------------------------------------------
@@ -135,6 +150,11 @@ def not_checked(df: DataFrame, by: list[str], min_rows: int = MIN_ROWS_FOR_SIGMA
     return df.groupBy(*by).agg(F.count("*").alias("records_not_checked")).where(F.col("records_not_checked") <= min_rows)
 
 
+def unique_check(key: list[str]) -> Check:
+    """The check that ``uniqueness`` counts: not one of single rows."""
+    return Check("UNIQUENESS", f"PK_UNIQUE({'_'.join(k.upper() for k in key)})", F.lit(None), "failed")
+
+
 def uniqueness(df: DataFrame, by: list[str], table: str, key: list[str]) -> DataFrame:
     """Key values used more than once; each counts as one failure."""
     per_key = df.groupBy(*by, *key).agg(F.count("*").alias("_n"))
@@ -142,13 +162,7 @@ def uniqueness(df: DataFrame, by: list[str], table: str, key: list[str]) -> Data
         F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"),
         F.count_if(F.col("_n") > 1).alias("_failed"),
     )
-    labels = {
-        "dama_dimension": F.lit("UNIQUENESS"),
-        "rule_name": F.lit(f"PK_UNIQUE({'_'.join(k.upper() for k in key)})"),
-        "_policy": F.lit("failed"),
-        "_empty_rate": F.lit(100),
-    }
-    return _outcome(wide.withColumns(labels), by, table)
+    return outcome(wide.withColumns(labels(unique_check(key))), by, table)
 
 
 ORDER_COLUMNS = ["order_hk", "original_id", "customer_hk", "order_date", "net_amount_usd"]

@@ -7,12 +7,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.operators import dashboards, quality, rules
+from tiermill.operators import dashboards, quality, rules, states
 from tiermill.plans import oracle as q
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import lines, orders
 from tiermill.reference import DIMENSIONS, EUROPE_CURRENCIES, VALID_CURRENCIES
-from tiermill.session import stored_once
+from tiermill.session import shared_dir, stored, stored_once
 from tiermill.sources.bridge import ORDER_DATE_FLOOR, RUN_TS, Bronze
 
 SOURCE = ["source_system", "source_region"]
@@ -171,6 +171,16 @@ def dq_run_all(b: Bronze) -> DataFrame:
     return report(quality.run_all(checked_orders(b), SOURCE, RUN_DATE, ORDER_DATE_FLOOR))
 
 
+@plan("dq_states", widened(run_all_sql(BY_SOURCE)))
+def dq_states(b: Bronze) -> DataFrame:
+    """All checks from the states of three batches, each read once when it came."""
+    root, orders_ = shared_dir(b.spark, "dq-states"), stored(checked_orders(b), "dq-orders")
+    for number in range(3):
+        batch = orders_.where(F.coalesce(F.pmod(F.xxhash64("batch_id"), F.lit(3)), F.lit(0)) == number)
+        states.add_batch(batch, root, number, SOURCE, RUN_DATE, ORDER_DATE_FLOOR)
+    return report(states.results(b.spark, root, SOURCE))
+
+
 # -- the log and what reads it ---------------------------------------------------------
 
 q.RELATIONS["dq_log_rows"] = (
