@@ -174,3 +174,21 @@ def test_cost_does_not_follow_the_number_of_dates(spark):
         many = features.revenue_features_for(frame, [AS_OF - timedelta(days=d) for d in range(days)])
         text = many._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange hashpartitioning") == 2 and many.count() == 50 * days
+
+
+def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
+    """Texts of all kinds, appended in batches, one of which comes again; queries with wildcards, of other scripts, and short ones."""
+    draw = random.Random(7)
+    alphabet = ["a", "B", "b", "c", "%", "_", "é", "É", "漢", " ", "\\", "\n"]
+    rows = [
+        (i, None if i % 17 == 0 else "".join(draw.choice(alphabet) for _ in range(draw.randrange(40))), draw.choice([None, "", "ab", "Bca"]))
+        for i in range(300)
+    ]
+    frame, root = spark.createDataFrame(rows, "id int, text string, source string"), str(tmp_path / "index")
+    for batch, part in enumerate([frame.where("id < 100"), frame.where("id >= 200"), frame.where("id BETWEEN 100 AND 199")]):
+        search.append_texts(part.repartition(3), root, ["text", "source"], batch)
+    search.append_texts(frame.where("id >= 200"), root, ["text", "source"], 1)
+    for query in ["abc", "BCA", "a%b", "b_", "éÉ漢", "a b\n", "ab", "", "c\\a", "bcab", "漢"]:
+        want = sorted(r.id for r in search.keyword(frame, query, ["text", "source"]).collect())
+        assert sorted(r.id for r in search.indexed_keyword(spark, root, query, ["text", "source"]).collect()) == want, query
+    assert search.candidates(spark, root, "abca").count() < 100

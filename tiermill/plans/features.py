@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tiermill.plans import oracle as q
 from tiermill.plans.gold import dim_customers, identities
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import lines, orders
+from tiermill.session import stored_once
 from tiermill.sources.bridge import AS_OF, AS_OF_LIST, Bronze
 
 EARLIER = date(1999, 7, 1)
@@ -380,3 +382,62 @@ def search_facets(b: Bronze) -> DataFrame:
     found = search.keyword(judged_texts(b), QUERY, ["text", "source"])
     chosen = search.facet_filter(found, {"source": search.ALL, "lang": "en"})
     return search.facet_counts(chosen, ["source", "lang", "trust"])
+
+
+def text_root(b: Bronze) -> str:
+    """Searchable texts, appended in two batches at the first use."""
+
+    def build(path: str) -> None:
+        texts = judged_texts(b)
+        for batch in (0, 1):
+            search.append_texts(texts.where(F.col("doc_id") % 2 == batch), path, ["text", "source"], batch)
+
+    return stored_once(b.spark, f"texts:{b.folder}", build)
+
+
+@plan("keyword_indexed", "SELECT doc_id, source, lang, n_chars, trust FROM found_texts ORDER BY trust DESC, doc_id")
+def keyword_indexed(b: Bronze) -> DataFrame:
+    """The keyword search by way of the trigram index."""
+    found = search.indexed_keyword(b.spark, text_root(b), QUERY, ["text", "source"])
+    return found.select("doc_id", "source", "lang", "n_chars", "trust").orderBy(F.desc("trust"), "doc_id")
+
+
+@plan(
+    "facets_indexed",
+    """SELECT 'source' AS facet, source AS value, count(*) AS n FROM found_texts WHERE lang = 'en' GROUP BY source
+      UNION ALL SELECT 'lang', lang, count(*) FROM found_texts WHERE lang = 'en' GROUP BY lang""",
+)
+def facets_indexed(b: Bronze) -> DataFrame:
+    found = search.indexed_keyword(b.spark, text_root(b), QUERY, ["text", "source"])
+    return search.facet_counts(search.facet_filter(found, {"source": search.ALL, "lang": "en"}), ["source", "lang"])
+
+
+RARE = ["nation", "license", "src1", "the e", "zzzz"]
+q.RELATIONS["open_texts"] = "SELECT d.* FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0"
+
+
+def _has_sql(text: str) -> str:
+    return f"(coalesce(contains(lower(text), '{text}'), FALSE) OR coalesce(contains(lower(source), '{text}'), FALSE))"
+
+
+@plan(
+    "keyword_lookups",
+    " UNION ALL ".join(
+        f"SELECT '{w}' AS query, count(*) AS texts, count(*) FILTER (WHERE {' AND '.join(_has_sql(w[i : i + 3]) for i in range(len(w) - 2))}) AS verified, "
+        f"count(*) FILTER (WHERE {_has_sql(w)}) AS found FROM open_texts"
+        for w in RARE
+    ),
+)
+def keyword_lookups(b: Bronze) -> DataFrame:
+    """For several queries: the texts there are, those that the index lets through to be verified, and those found."""
+    root = text_root(b)
+    texts = b.spark.read.parquet(f"{root}/texts").agg(F.count("*").alias("texts"))
+    rows = []
+    for word in RARE:
+        verified = search.candidates(b.spark, root, word).agg(F.count("*").alias("verified"))
+        found = search.indexed_keyword(b.spark, root, word, ["text", "source"]).agg(F.count("*").alias("found"))
+        one = texts.select(
+            F.lit(word).alias("query"), "texts", verified.scalar().alias("verified"), found.scalar().alias("found")
+        )
+        rows.append(one)
+    return reduce(DataFrame.unionByName, rows)
