@@ -2,10 +2,11 @@ import random
 from datetime import date, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tiermill.operators import features, search, vectors
+from tiermill.operators import features, neighbours, search, vectors
 
 AS_OF = date(2020, 6, 1)
 ORDERS = "customer_hk string, order_date date, net_amount_usd decimal(18,4), is_current boolean, is_quarantined boolean"
@@ -192,3 +193,35 @@ def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
         want = sorted(r.id for r in search.keyword(frame, query, ["text", "source"]).collect())
         assert sorted(r.id for r in search.indexed_keyword(spark, root, query, ["text", "source"]).collect()) == want, query
     assert search.candidates(spark, root, "abca").count() < 100
+
+
+def test_cells_find_the_nearest(spark, tmp_path):
+    """Exactly, whatever the number of cells, parts and blocks, with copies, vectors without a direction and few vectors."""
+    draw = np.random.default_rng(3)
+    points = np.round(draw.normal(size=(400, 6)) + 3 * draw.normal(size=(8, 6))[draw.integers(0, 8, 400)], 2)
+    points[50:60] = points[40:50]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    rows += [(900, None), (901, [0.0] * 6), (902, [1.0]), (903, [float("nan")] * 6), (904, [None] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    units = points.astype(np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    asked = frame.where("vec_id % 10 = 0 OR vec_id > 899")
+    want = {}
+    for q in range(0, 400, 10):
+        scores = np.round(units @ units[q], 9)
+        want[q] = sorted(range(400), key=lambda i: (-scores[i], i))[:5]
+    for cells, first, parts, blocks in ((16, 1, 100_000, 10_000), (5, 2, 20, 7), (1, 1, 50, 10_000)):
+        index = neighbours.build(frame, str(tmp_path / f"{cells}"), 6, cells=cells, sample=100)
+        got = neighbours.top_k_many(index, asked, 5, first=first, part_rows=parts, block_rows=blocks).collect()
+        found = {}
+        for r in sorted(got, key=lambda r: r.rank):
+            found.setdefault(r.query, []).append(r.id)
+        assert found == want
+        if cells == 16:
+            near = neighbours.top_k_many(index, asked, 5, first=3, exact=False).collect()
+            recall = sum(r.id in want[r.query] for r in near) / sum(map(len, want.values()))
+            assert recall >= 0.9
+    few = neighbours.build(frame.where("vec_id < 3"), str(tmp_path / "few"), 6)
+    assert len(neighbours.top_k_many(few, frame.where("vec_id = 1"), 5).collect()) == 3
+    none = neighbours.build(frame.where("vec_id > 899"), str(tmp_path / "none"), 6)
+    assert neighbours.top_k_many(none, asked).collect() == []

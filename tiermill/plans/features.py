@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermill.functions.exact import money
-from tiermill.operators import features, products as published, search, vectors
+from tiermill.operators import features, neighbours, products as published, search, vectors
 from tiermill.plans import oracle as q
 from tiermill.plans.gold import dim_customers, identities
 from tiermill.plans.registry import plan
 from tiermill.plans.silver import lines, orders
-from tiermill.session import stored_once
+from tiermill.session import shared_dir, stored_once
 from tiermill.sources.bridge import AS_OF, AS_OF_LIST, Bronze
 
 EARLIER = date(1999, 7, 1)
@@ -279,6 +279,23 @@ def vector_topk(b: Bronze) -> DataFrame:
     return best.select("vec_id", "label", F.round("similarity", 4).alias("similarity"))
 
 
+NEAREST_SQL = """SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INT) AS rank, id, round(s, 6) AS similarity
+  FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS s
+    FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) QUALIFY rank <= 10"""
+
+
+def vector_cells(b: Bronze) -> neighbours.Cells:
+    size = b.embeddings().agg(F.max(F.size("embedding"))).first()[0]
+    return neighbours.build(b.embeddings(), shared_dir(b.spark, "vector-cells"), size, cells=32)
+
+
+@plan("vector_topk_many", NEAREST_SQL)
+def vector_topk_many(b: Bronze) -> DataFrame:
+    """The ten nearest vectors of every hundredth one among all, exactly, through cells."""
+    found = neighbours.top_k_many(vector_cells(b), b.embeddings().where("vec_id % 100 = 0"), 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 SPOILED_SQL = """CASE vec_id % 50 WHEN 0 THEN NULL WHEN 1 THEN embedding[1:3] WHEN 2 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT))
   WHEN 3 THEN list_append(embedding[2:], NULL) WHEN 4 THEN list_append(embedding[2:], 'nan'::FLOAT) ELSE embedding END"""
 
