@@ -78,6 +78,9 @@ def test_index_scores_against_the_formula():
         tf = Counter(doc.tolist())
         norm = K1 * (1 - B + B * len(doc) / average)
         assert math.isclose(got, sum(idf[t] * tf[t] * (K1 + 1) / (tf[t] + norm) for t in {3, 5, 9}), abs_tol=1e-9)
+    table = index.table()
+    for row, doc in enumerate(docs):
+        assert np.allclose(table[row], index.scores(doc), rtol=1e-5)
 
 
 def test_neighbours_share_a_sequence(spark):

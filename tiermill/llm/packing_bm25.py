@@ -3,7 +3,7 @@
 A document is its token ids and one end id. Whole windows of it are sequences of their own; what is left over is packed with
 related left-overs. These are sorted by a sketch of their token pairs and cut into shards of bounded size. A shard has a
 BM25 inverted index over token ids, with document frequencies and the average length taken from all documents. The first
-unused left-over seeds a sequence, its heaviest terms query the index, and its unused neighbours fill the window in the
+unused left-over seeds a sequence, all its terms query the index, and its unused neighbours fill the window in the
 order of their scores. The one that reaches the end is cut there and its rest seeds the next sequence, also across shards,
 so only the last sequence of a task is padded.
 
@@ -30,7 +30,7 @@ from tiermill.llm.common import keep, tasks
 
 K1, B = 1.2, 0.75
 SHARD = 1024
-QUERY_TERMS = 16
+TERMS_AT_ONCE = 2048
 CACHED = 300_000
 # Fixed value: how byte-level BPE cuts a text into groups before it merges bytes.
 GROUPS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -208,20 +208,31 @@ class Shard:
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm)
         self.terms, self.begin = np.unique(self.term, return_index=True)
         self.end = np.append(self.begin[1:], len(self.term))
-        self.idf = idf
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """Scores of all sequences for the heaviest terms of a query."""
-        terms, tf = np.unique(query, return_counts=True)
+        """Scores of all sequences for all terms of a query."""
+        terms = np.unique(query)
         places = np.searchsorted(self.terms, terms)
         places[places == len(self.terms)] = 0
-        known = self.terms[places] == terms
-        places, heavy = places[known], (self.idf[terms] * tf)[known]
-        if len(places) > QUERY_TERMS:
-            places = places[np.argpartition(-heavy, QUERY_TERMS)[:QUERY_TERMS]]
-        found = np.zeros(len(self.texts))
-        for a, b in zip(self.begin[places].tolist(), self.end[places].tolist()):
-            found[self.doc[a:b]] += self.weight[a:b]
+        places = places[self.terms[places] == terms]
+        begin, sizes = self.begin[places], (self.end - self.begin)[places]
+        ends = np.cumsum(sizes)
+        postings = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
+        return np.bincount(self.doc[postings], self.weight[postings], len(self.texts))
+
+    def table(self) -> np.ndarray:
+        """Scores of all sequences (columns) for each of them as the query (rows): the postings of some terms at a time, as one
+        matrix product."""
+        count = len(self.texts)
+        found = np.zeros((count, count), np.float32)
+        for first in range(0, len(self.terms), TERMS_AT_ONCE):
+            last = min(first + TERMS_AT_ONCE, len(self.terms))
+            a, b = self.begin[first], self.end[last - 1]
+            place = np.repeat(np.arange(last - first), (self.end - self.begin)[first:last])
+            has, weights = np.zeros((count, last - first), np.float32), np.zeros((last - first, count), np.float32)
+            has[self.doc[a:b], place] = 1
+            weights[place, self.doc[a:b]] = self.weight[a:b]
+            found += has @ weights
         return found
 
 
@@ -232,6 +243,7 @@ class Packer:
         self.window, self.idf, self.average = window, idf, average
         self.sequence, self.offset = 0, 0
         self.seed: np.ndarray | None = None
+        self.seed_row: int | None = None  # of the present shard
 
     def _place(self, row: int, ids: np.ndarray, pieces: list[tuple]) -> None:
         start = 0
@@ -239,10 +251,10 @@ class Packer:
             length = min(len(ids) - start, self.window - self.offset)
             pieces.append((row, start, length, self.sequence, self.offset))
             if self.offset == 0:
-                self.seed = ids[start:]
+                self.seed, self.seed_row = ids, row
             start, self.offset = start + length, self.offset + length
             if self.offset == self.window:
-                self.sequence, self.offset, self.seed = self.sequence + 1, 0, None
+                self.sequence, self.offset, self.seed, self.seed_row = self.sequence + 1, 0, None, None
 
     @staticmethod
     def _best(found: np.ndarray, left: int) -> Iterator[int]:
@@ -258,6 +270,7 @@ class Packer:
 
     def shard(self, texts: list[np.ndarray]) -> list[tuple]:
         index = Shard(texts, self.idf, self.average)
+        table, self.seed_row = index.table(), None
         used, next_, left = np.zeros(len(texts), bool), 0, len(texts)
         pieces: list[tuple] = []
         while left:
@@ -268,7 +281,8 @@ class Packer:
                 left -= 1
                 self._place(next_, texts[next_], pieces)
                 continue
-            found = index.scores(self.seed)
+            # A seed from the shard before is looked up here, one of this shard has its scores.
+            found = index.scores(self.seed) if self.seed_row is None else table[self.seed_row].copy()
             found[used] = -1.0
             sequence = self.sequence
             # The best first; of equal scores the earlier row.
