@@ -51,3 +51,60 @@ def test_defined_cases(spark):
         map(repr, [(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1), (2, "", "", 0)])
     )
     assert extract(pages.where("false")).collect() == []
+
+
+LONG = " ".join((PROSE * 2).split())
+
+
+def test_layout_classes_do_not_empty_the_page():
+    inner = f"<h1>Title</h1><p>{PROSE * 2}</p><div class='sidebar'><p>{PROSE}</p></div>"
+    for page in (
+        f'<body><div class="layout with-sidebar"><div id="content">{inner}</div></div></body>',
+        f'<body><article class="post comments-open">{inner}</article></body>',
+        f'<div class="page has-banner"><main>{inner}</main><div class="comments"><p>{PROSE * 3}</p></div></div>',
+    ):
+        assert main_text(page) == f"Title\n{LONG}"
+    # A notice that is longer than the text beside it is still a notice.
+    assert main_text(f'<div class="cookie">{PROSE * 6}</div><p>{PROSE * 2}</p>') == LONG
+
+
+def test_languages_without_known_stop_words():
+    chinese = "這是第一句話，說明今天的天氣。這是第二句話，說明明天的計劃。" * 8
+    german = "Forscher entdeckten jüngst seltene Arten. Kollegen bestätigten frühere Messungen, weitere Proben folgten. " * 3
+    menu = '<ul class="menu"><li><a href=a>首頁</a><li><a href=b>新聞</a></ul>'
+    assert main_text(f"<body>{menu}<div><p>{chinese}</p><p>{chinese}</p></div></body>") == f"{chinese}\n{chinese}"
+    assert main_text(f"<body>{menu}<div id=content><p>{german}</p></div></body>") == german.strip()
+
+
+def test_a_teaser_is_not_the_article():
+    page = f'<article><h2>Other story</h2><p>More on it.</p></article><div id=content><h1>T</h1><p>{PROSE * 4}</p><p>{PROSE * 4}</p></div>'
+    long = " ".join((PROSE * 4).split())
+    assert main_text(page).endswith(f"T\n{long}\n{long}")
+
+
+def test_marked_paragraphs_items_and_inline_tags():
+    page = f"""<article><p>{PROSE * 2}</p><p class="advert">Buy now, the best of all</p><p class="cookie notice">We use cookies.</p>
+    <ul><li>One <span class="ad">Ad</span>two<li class="comment"><p>Nice text, thank you for it</p><li>three</ul>
+    <h3 class="share">Share this</h3><p>End <b>of <i>it</i></b>.</p></article>"""
+    assert main_text(page) == f"{LONG}\nOne two\nthree\nEnd of it."
+
+
+def test_hidden_parts():
+    page = f"""<article><p hidden>a</p><div hidden="">{PROSE}</div><div style="color:red; display: none">{PROSE}</div><p>{PROSE * 2}</p>
+    <span hidden>x</span><p class="not hidden at all" title="hidden">shown</p><div style='visibility:hidden'><p>b</p></div></article>"""
+    assert main_text(page) == f"{LONG}\nshown"
+
+
+def test_odd_comments():
+    assert main_text(f"<article><!--><p>{PROSE * 2}</p><!---><p>b</p><!-- c --!><p>d</p><!-- e") == f"{LONG}\nb\nd"
+
+
+def test_tables_and_lists_left_open():
+    page = f"<article><p>{PROSE * 2}</p><table><tr><td>a<td class=ad>b<td>c<tr><td>d</table><dl><dt>e<dd class=promo>f<dt>g</dl>h</article>"
+    assert main_text(page) == f"{LONG}\na\nc\nd\ne\ng\nh"
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "<article>x</article>", 2, 3, 4)], "page_id long, html string, `a.b` int, row int, found int")
+    got = extract(rows)
+    assert got.columns == ["page_id", "a.b", "row", "found", "text", "n_chars"] and tuple(got.first()) == (1, 2, 3, 4, "x", 1)

@@ -2,14 +2,20 @@
 
 A page is cut into blocks at block-level tags. Pass one labels a block from its stop-word density, its length and its link
 density, and from the containers around it. Pass two gives every undecided block the label of its nearest decided
-neighbours. Defined cases: null, empty or text-free html gives an empty text; a page may be cut off anywhere; comments,
-scripts, styles, form fields and embedded objects carry no text; repeated pages give repeated rows.
+neighbours. Containers are known by their tags or by words in their class, id and role; such a word does not count where the
+container holds most of the page, and a marked article does not where it is a teaser beside the text. In a language without
+known stop words a long block with sentences is undecided, not bad.
+
+Defined cases: null, empty or text-free html gives an empty text; a page may be cut off anywhere; comments, scripts, styles,
+form fields, embedded objects and hidden parts carry no text; very long pages are read whole; repeated pages give repeated
+rows; of two neighbours at one distance the good one decides; extra columns of whatever name are kept.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -54,13 +60,19 @@ MARKERS = frozenset(
 PAGE_MARKERS = frozenset("header masthead topbar".split())
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDES = re.compile(r"\bstyle\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_BARE = re.compile(r"(?:^|\s)hidden(?=[\s/=]|\Z)", re.I)
+_SENTENCE = re.compile(r"[.,;:!?](?=\s|\Z)|[\u3001\u3002\uff01\uff0c\uff1b\uff1f\u0964\u061f\u060c]")
+# Tags that may stay open, and the tags that end one of the same kind.
+ITEMS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table", "option": "select"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CLOSING = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in SKIPPED}
 
@@ -74,6 +86,9 @@ class Rules:
     stop_low: float = 0.15
     stop_high: float = 0.25
     link_density: float = 0.5
+    sentence_marks: int = 2  # that make a long block without stop words undecided
+    teaser: int = 300  # an article of less text without a title, and of less than ``teaser_share`` of all, marks nothing
+    teaser_share: float = 0.25
 
 
 @dataclass
@@ -83,6 +98,8 @@ class Block:
     boilerplate: bool
     article: int
     heading: bool
+    title: bool = False  # a heading of the first level
+    suspects: tuple[int, ...] = ()  # containers around it that class, id or role speak against
     label: str = field(default="")
 
 
@@ -94,13 +111,20 @@ def _marked(attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    return bool(_HIDES.search(attributes) or _BARE.search(_QUOTED.sub('""', attributes)))
+
+
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order, each with what its containers say about it."""
     found: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # container, boilerplate, number of the article around it
-    boilerplate, article, articles = False, 0, 0
-    linked, in_link, heading, breaks = 0, False, False, 0
+    # Container, boilerplate, number of the article around it, containers that their names speak against.
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    boilerplate, article, articles, suspects, suspected = False, 0, 0, (), 0
+    linked, in_link, heading, title, breaks = 0, False, False, False, 0
+    paragraph_out = False  # the paragraph or heading itself is marked or hidden
+    mute, muted = "", 0  # an inline tag that is, and how many of its name are open
     at, size = 0, len(html)
 
     def end_block() -> None:
@@ -108,13 +132,13 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, min(linked, len(text)), boilerplate, article, heading))
+                found.append(Block(text, min(linked, len(text)), boilerplate or paragraph_out, article, heading, title, suspects))
             parts.clear()
         linked, breaks = 0, 0
 
     def add(text: str) -> None:
         nonlocal linked, breaks
-        if text:
+        if text and not mute:
             parts.append(text)
             if not text.isspace():
                 breaks = 0
@@ -140,7 +164,13 @@ def blocks(html: str) -> list[Block]:
                 end = _CLOSING[name].search(html, at)
                 at = end.end() if end else size
             continue
+        attributes = tag[3] or tag[6] or ""
         if name in INLINE:
+            if name == mute:
+                muted += -1 if closing else 1
+                mute = mute if muted > 0 else ""
+            elif not mute and not closing and attributes and name not in VOID and (_hidden(attributes) or _marked(attributes, True)):
+                mute, muted = name, 1
             if name == "a":
                 in_link = not closing
             elif name == "br":
@@ -150,38 +180,79 @@ def blocks(html: str) -> list[Block]:
                     end_block()
             continue
         end_block()
+        mute, paragraph_out = "", False
         if name in HEADINGS:
-            heading = not closing
-        if name in VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADINGS:
+            heading, title = not closing, name == "h1" and not closing
+        if name in VOID or name == "p" or name in HEADINGS:
             if not closing:
                 in_link = False
+                paragraph_out = bool(attributes) and (_hidden(attributes) or _marked(attributes, True))
             continue
+        if name in ITEMS and not closing:
+            in_link = False
+            # An item before it that is still open ends here.
+            ends, kin = set(ITEMS[name].split()), {n for n, e in ITEMS.items() if e == ITEMS[name]}
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in ends:
+                    break
+                if stack[depth][0] in kin:
+                    _, boilerplate, article, suspects = stack[depth - 1] if depth else ("", False, 0, ())
+                    del stack[depth:]
+                    break
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     del stack[depth:]
-                    _, boilerplate, article = stack[-1] if stack else ("", False, 0)
+                    _, boilerplate, article, suspects = stack[-1] if stack else ("", False, 0, ())
                     break
             continue
-        attributes = tag[3] or tag[6] or ""
         if name in ARTICLE and not boilerplate:
             articles += 1
             article = articles
         if name in BOILERPLATE or (name == "header" and not article):
             boilerplate = True
-        elif not boilerplate and attributes and name not in ("html", "body", "main"):
-            boilerplate = _marked(attributes, article > 0)
-        stack.append((name, boilerplate, article))
+        elif not boilerplate and attributes and name not in ("html", "body"):
+            if _hidden(attributes):
+                boilerplate = True
+            elif name != "main" and _marked(attributes, article > 0):
+                suspected += 1
+                suspects += (suspected,)
+        stack.append((name, boilerplate, article, suspects))
     end_block()
     return found
 
 
+def _judge_suspects(found: list[Block], rules: Rules) -> None:
+    """Blocks in a container that its name speaks against are boilerplate, unless it holds most of the page: then the name is
+    that of a layout, if the article or main part is in it, or next to nothing is left without it."""
+    total, mass, marks = 0, Counter(), set()
+    for block in found:
+        if not block.boilerplate:
+            own = len(block.text) - block.linked
+            total += own
+            for suspect in block.suspects:
+                mass[suspect] += own
+                if block.article:
+                    marks.add(suspect)
+    layout = {s for s, own in mass.items() if 2 * own > total and (s in marks or total - own < rules.long)}
+    for block in found:
+        if any(s not in layout for s in block.suspects):
+            block.boilerplate = True
+
+
 def first_pass(found: list[Block], rules: Rules) -> None:
     """Label blocks good, bad, near (undecided, of some length) or short (undecided).
 
     Where the page marks its article or main part, what stands outside is bad.
     """
-    marked = any(block.article and not block.boilerplate for block in found)
+    _judge_suspects(found, rules)
+    mass = [(len(b.text) - b.linked) * (not b.boilerplate) for b in found]
+    inside = sum(m for m, b in zip(mass, found) if b.article)
+    titled = any(b.article and b.title and not b.boilerplate for b in found)
+    marked = inside > 0 and (titled or inside >= rules.teaser or inside >= rules.teaser_share * sum(mass))
+    if not marked:
+        for block in found:
+            block.article = 0
     for block in found:
         size = len(block.text)
         if block.boilerplate or (marked and not block.article) or block.linked > rules.link_density * size:
@@ -195,8 +266,15 @@ def first_pass(found: list[Block], rules: Rules) -> None:
             block.label = "bad" if block.linked and not block.article else "short"
         elif density >= rules.stop_low or block.article:
             block.label = "near"
+        elif size >= rules.long and len(_SENTENCE.findall(block.text)) >= rules.sentence_marks:
+            block.label = "near"
         else:
             block.label = "bad"
+    # Where nothing is surely text, what reads like it is.
+    if not any(block.label == "good" for block in found):
+        for block in found:
+            if block.label == "near":
+                block.label = "good"
 
 
 def second_pass(found: list[Block]) -> list[Block]:
