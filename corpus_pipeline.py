@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences: five stages, each an operator on all that the one before it kept.
 
 Every stage's rows are written to the shared folder and read again, so a lost executor costs a stage's tasks and no more.
+
+Odd rows: a null or empty text fails the quality rules and goes; a null source or language is a value like any other; a null id
+is kept and comes after all others; equal rows are one document for the near-duplicates, which keep one of them; of near copies
+and repeated passages the smallest id stays (ties by the text's hash); very long texts pass whole; extra columns, of whatever
+name, are carried to the last stage; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations

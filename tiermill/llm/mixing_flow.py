@@ -175,11 +175,29 @@ def mix(
     edge = F.coalesce(F.col("slice") == F.col("last"), F.lit(False))
     inside = Window.partitionBy("pattern").orderBy("draw", "id", "text_hash")
     until = F.col("before") + F.sum("size").over(inside)
-    ordered = placed.where(edge).withColumn("extra", (until - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    others = placed.where(~edge).withColumn(
-        "extra", F.coalesce(F.col("slice") < F.col("last"), F.lit(False)).cast("long")
-    )
-    return chosen_columns(ordered.unionByName(others))
+    ordered = placed.where(edge).withColumn("extra", until <= F.col("rest"))
+    others = placed.where(~edge).withColumn("extra", F.coalesce(F.col("slice") < F.col("last"), F.lit(False)))
+    marked = keep(ordered.unionByName(others), "mix-marked")
+    return chosen_columns(_filled(marked, planned))
+
+
+def _filled(marked: DataFrame, planned: DataFrame) -> DataFrame:
+    """Rows with what each pattern still lacks after its last whole document filled by the one document, or set of equal rows,
+    that comes nearest to it, if that is nearer than none."""
+    name = ["draw", "id", "text_hash"]
+    had = marked.where("extra").groupBy("pattern").agg(F.sum("size").alias("had"))
+    lacks = planned.select("pattern", "rest").where("rest > 0").join(had, "pattern", "left")
+    lacks = keep(lacks.select(F.col("pattern").alias("p"), (F.col("rest") - F.coalesce("had", F.lit(0))).alias("lack")), "mix-lack", 1_000_000)
+    spare = marked.where(~F.col("extra") & (F.col("size") > 0)).join(lacks, F.col("pattern") == F.col("p"))
+    # Equal rows are taken together; a row that has its equals is as large as all of them.
+    groups = spare.groupBy("pattern", "lack", *name).agg(F.sum("size").alias("words"))
+    off = F.abs(F.col("words") - F.col("lack"))
+    best = groups.where(off < F.col("lack")).groupBy("pattern").agg(F.min_by(F.struct(*name), F.struct(off, *name)).alias("x"))
+    best = keep(best.select(F.col("pattern").alias("p"), *[F.col(f"x.{c}").alias(f"best_{c}") for c in name]), "mix-best", 1_000_000)
+    joined = marked.join(best, F.col("pattern") == F.col("p"), "left")
+    same = [F.col(c).eqNullSafe(F.col(f"best_{c}")) for c in name]
+    chosen = F.col("p").isNotNull() & same[0] & same[1] & same[2]
+    return joined.withColumn("extra", (F.col("extra") | chosen).cast("long"))
 
 
 def chosen_columns(rows: DataFrame) -> DataFrame:
