@@ -1,13 +1,15 @@
 """Document fingerprints by spot signatures, in built-in column functions only.
 
-A signature is a common word (the anchor) with the next content words after it; anchors between them are skipped. A
-document's fingerprint is the set of its signatures, as hashes. Layout, numbers of menus and teasers hold few anchors, so the
+A signature is a common word (the anchor) with the next content words after it; up to four anchors before each of them are
+skipped, and where more follow each other there is no signature. A document's fingerprint is the set of its signatures, as
+64-bit hashes. Layout, numbers of menus and teasers hold few anchors, so the
 set follows the prose. Two sets are compared by Jaccard similarity with pruning: their lengths alone bound it, so sets whose
 length classes are too far apart for a threshold are never intersected.
 
 Defined cases: a text without any signature has its word triples instead, or itself if it has fewer than three words, so
 equal texts always have equal fingerprints; a null text is an empty one; rows of equal id and text are one document and have
-the same next document; null ids come last; a table with one document has itself as the next one.
+the same next document; null ids come last; a table with one document has itself as the next one; very long texts are signed
+whole; extra columns of whatever name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,13 +44,13 @@ def signatures(text: Column, chain: int = CHAIN, anchors: list[str] = ANCHORS) -
     # An anchor and its chain; up to SKIP anchors may stand before each content word.
     link = f"(?: {MARK}[^ ]+){{0,{SKIP}}} [^{MARK} ]+"
     spots = F.regexp_extract_all(marked, F.lit(f"(?={MARK}([^ ]+{link * chain}) )"), F.lit(1))
-    hashes = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, f" {MARK}[^ ]+", "")))
+    hashes = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, f" {MARK}[^ ]+", "")))
     words = F.split(F.trim(plain), " ")
     triples = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.hash(F.array_join(F.slice(words, i, 3), " "))
+        F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " "))
     )
     found = (
-        F.when(F.size(spots) > 0, hashes).when(F.size(words) > 2, triples).otherwise(F.array(F.hash(plain)))
+        F.when(F.size(spots) > 0, hashes).when(F.size(words) > 2, triples).otherwise(F.array(F.xxhash64(plain)))
     )
     return F.array_sort(F.array_distinct(found))
 
@@ -74,12 +76,12 @@ def likeness(a: Column, b: Column, threshold: float | None = None) -> Column:
     return F.when((F.abs(classes) <= 1) & bound, value)
 
 
-def matches(queries: DataFrame, prints: DataFrame, threshold: float = 0.8, id: str = "doc_id") -> DataFrame:
-    """``query_id``, ``doc_id``, ``likeness`` of all pairs of a query and a row of ``prints`` at or above the threshold.
+def alike_sets(queries: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """``a``, ``b``, ``likeness`` of all pairs of a set of ``queries`` and one of ``prints`` at or above the threshold.
 
-    Both have ``id`` and ``signatures`` (see ``fingerprints``). Rows meet in partitions by length class and signature: of a
-    set only the smallest signatures, one more than it may lack, are keys, as two sets within the threshold share one of
-    these. Equal sets are compared once. What meets is compared with the bound on lengths first.
+    Both have ``signatures`` (see ``fingerprints``). Sets meet in partitions by length class and signature: of a set only the
+    smallest signatures, one more than it may lack, are keys, as two sets within the threshold share one of these. Equal
+    sets are compared once. What meets is compared with the bound on lengths first.
     """
     signs = F.col("signatures")
     size = F.size(signs)
@@ -95,13 +97,26 @@ def matches(queries: DataFrame, prints: DataFrame, threshold: float = 0.8, id: s
     held = keyed(prints, F.array(own)).withColumnRenamed("signatures", "b")
     value = likeness(F.col("a"), F.col("b"), threshold)
     pairs = asked.join(held, ["class", "key"]).select("a", "b").distinct()
-    alike = pairs.withColumn("likeness", value).where(F.col("likeness") >= threshold)
+    return pairs.withColumn("likeness", value).where(F.col("likeness") >= threshold)
+
+
+def matches(queries: DataFrame, prints: DataFrame, threshold: float = 0.8, id: str = "doc_id") -> DataFrame:
+    """``query_id``, ``doc_id``, ``likeness`` of all pairs of a query and a row of ``prints`` at or above the threshold."""
+    alike = alike_sets(queries, prints, threshold)
     named = alike.join(queries.select(F.col(id).alias("query_id"), F.col("signatures").alias("a")), "a")
     return named.join(prints.select(F.col(id).alias("doc_id"), F.col("signatures").alias("b")), "b").select(
         "query_id", "doc_id", "likeness"
     )
 
 
+def match_counts(queries: DataFrame, prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``signatures`` of each set of ``queries`` and ``n_alike``, the rows of ``prints`` at or above the threshold. Rows with
+    one set are counted, not listed."""
+    rows = prints.groupBy(F.col("signatures").alias("b")).agg(F.count(F.lit(1)).alias("rows"))
+    found = alike_sets(queries, prints, threshold).join(rows, "b")
+    return found.groupBy(F.col("a").alias("signatures")).agg(F.sum("rows").alias("n_alike"))
+
+
 def following(docs: DataFrame, id: str, text: str) -> DataFrame:
     """For each distinct (id, text): ``id``, ``h``, ``n``, the key of the next one in ascending order of id and how many rows
     that has. After the last comes the first. Only keys are sorted; no text is moved and no row passes a single task but
@@ -147,48 +162,55 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     ).withColumn("fingerprint", digest(F.col("signatures")))
 
 
-def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = 4) -> DataFrame:
-    """``id``, ``text``, ``edited`` (the last 1/``part`` of its code points replaced by as many first ones of the next
-    document, or all it has) and ``next_signatures`` of every row.
-
-    Of the next document only those code points and its signatures are moved, keyed by the document before it.
-    """
-    rows = docs.select(
-        F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("h"),
-        F.length(F.coalesce(text, F.lit(""))).alias("n"),
-    )
+def signed_heads(docs: DataFrame, id: str, text: str, part: int) -> DataFrame:
+    """Every distinct document (``id``, ``h``, ``n``) with its ``signatures``, and for the document before it (``for_id``,
+    ``for_h``, ``for_n``) the ``head`` that replaces a ``part`` of that one. Each text is signed here, once."""
+    rows = _rows(docs, id, text)
     keys = keep(following(docs, id, text), "next-keys", 8)
     asked = keys.select(F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.col("n").alias("for_n"), "next_id", "next_h", "next_n", "next_c")
     taken = F.floor(F.col("for_n") / part).cast("int")
 
     def given(wanted: DataFrame) -> DataFrame:
-        return rows.join(wanted, _same("id h n", "next_id next_h next_n")).select(
-            "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), signatures(F.col("text")).alias("next_signatures")
-        )
+        return rows.join(wanted, _same("id h n", "next_id next_h next_n"))
 
-    heads = given(asked.where("next_c = 1"))
+    found = given(asked.where("next_c = 1"))
     if asked.where("next_c > 1").take(1):
         # A document that stands in the table more than once gives its text once.
-        repeated = given(asked.where("next_c > 1")).dropDuplicates(["for_id", "for_h", "for_n"])
-        heads = heads.unionByName(repeated)
-    joined = rows.join(heads, _same("id h n", "for_id for_h for_n"))
-    cut = F.floor(F.col("n") / part).cast("int")
-    return joined.select(
-        "id", "text", "n", F.concat(F.left("text", F.col("n") - cut), F.col("head")).alias("edited"), "next_signatures"
-    )
+        found = found.unionByName(given(asked.where("next_c > 1")).dropDuplicates(["for_id", "for_h", "for_n"]))
+    signed = found.select("id", "h", "n", "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), signatures(F.col("text")).alias("signatures"))
+    return keep(signed, "signed-heads")
+
+
+def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(
+        F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("h"),
+        F.length(F.coalesce(text, F.lit(""))).alias("n"),
+    )
 
 
-def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's fingerprint, that of its edited text, and its likeness to that one and to the next document's."""
-    rows = edited(docs, id, text).select(
-        "id",
-        "n",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("own"),
-        signatures(F.col("edited")).alias("changed"),
-        "next_signatures",
+def compare(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = 4, asks: Column | None = None, threshold: float = 0.8
+) -> DataFrame:
+    """Every row's fingerprint, that of its edited text (the last 1/``part`` of its code points replaced by as many first ones
+    of the next document, or all it has), and its likeness to that one and to the next document's.
+
+    Texts are signed once and their edited forms once; of the next document only the replacing part moves, and its set. With
+    ``asks`` (of ``id``) the rows for which it is true also have ``n_alike``: how many rows of the table are at or above the
+    threshold, themselves included.
+    """
+    signed = signed_heads(docs, id, text, part)
+    heads = signed.select("for_id", "for_h", "for_n", "head", F.col("signatures").alias("next_signatures"))
+    cut = F.floor(F.col("n") / part).cast("int")
+    edited = F.concat(F.left("text", F.col("n") - cut), F.col("head"))
+    changed = (
+        _rows(docs, id, text)
+        .join(heads, _same("id h n", "for_id for_h for_n"))
+        .select("id", "h", "n", edited.alias("edited"), "next_signatures")
+        .select("id", "h", "n", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("changed"), "next_signatures")
     )
-    return rows.select(
+    own = signed.select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), F.col("n").alias("own_n"), F.col("signatures").alias("own"))
+    rows = changed.join(own, _same("id h n", "own_id own_h own_n"))
+    columns = [
         F.col("id").alias(id),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
@@ -196,4 +218,22 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         digest(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_signatures")).alias("near_next"),
+    ]
+    if asks is None:
+        return rows.select(*columns)
+    every = _counted_rows(docs, signed, id, text)
+    queries = signed.where(asks)
+    counts = keep(match_counts(queries, every, threshold), "alike-counts", 8)
+    answers = queries.join(counts, "signatures").select(
+        F.col("id").alias("a_id"), F.col("h").alias("a_h"), F.col("n").alias("a_n"), "n_alike"
     )
+    return rows.join(keep(answers, "alike-answers", 8), _same("id h n", "a_id a_h a_n"), "left").select(*columns, "n_alike")
+
+
+def _counted_rows(docs: DataFrame, signed: DataFrame, id: str, text: str) -> DataFrame:
+    """``signatures`` of every row: a distinct document as often as it stands in the table."""
+    repeated = _rows(docs, id, text).groupBy("id", "h", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    more = repeated.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), F.col("n").alias("r_n"), (F.col("c") - 1).cast("int").alias("c"))
+    more = keep(more, "repeated-rows", 8)
+    again = signed.join(more, _same("id h n", "r_id r_h r_n")).select("signatures", F.explode(F.sequence(F.lit(1), "c")).alias("k"))
+    return signed.select("signatures").unionByName(again.select("signatures"))
