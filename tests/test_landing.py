@@ -76,16 +76,21 @@ def test_append_lays_out_by_date(spark, tmp_path):
 
 
 def test_versions_ignore_unfinished_ones(spark, tmp_path):
-    table = tables.BucketedVersions(spark, str(tmp_path / "t"), "id", buckets=4)
-    assert table.read() is None and table.versions() == []
-    table.write(spark.range(3), 0, "flow", [0, 1, 2, 3])
-    table.write(spark.range(5), 4, "flow", [0, 1, 2, 3])
-    (tmp_path / "t" / "data" / "version=000000000009").mkdir()
-    assert table.versions() == [0, 4]
-    assert table.read().count() == 5 and table.read(before=4).count() == 3
-    table.write(spark.range(0), 11, "flow", table.touched(spark.range(1)))
-    assert table.read().where("id = 0").count() == 0 and 0 < table.read().count() < 5
-    table.expire(2)
-    assert table.versions() == [4, 11] and table.read(before=11).count() == 5
+    """A result that was not written to its end is written anew; readers never see what is pending."""
+    schema = "id string, effective_from timestamp, hash_diff string"
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), "id", rows_per_part=1)
+    assert table.read() is None and table.open() is None and table.parts() == 0
+    day = lambda n: datetime(2024, 1, n)
+    table.refresh(spark.createDataFrame([("a", day(1), "x"), ("b", day(1), "x")], schema), 1)
+    second = spark.createDataFrame([("a", day(2), "y")], schema)
+    unfinished = tmp_path / "t" / "pending" / "refresh" / "batch=2"
+    (unfinished / "kind=open").mkdir(parents=True)
+    (unfinished / "kind=open" / "part-0.parquet").write_bytes(b"cut off")
+    assert sorted(r.id for r in table.read().collect()) == ["a", "b"]
+    table.refresh(second, 2)
+    got = sorted((r.id, r.hash_diff, r.is_current, r.record_version) for r in table.read().collect())
+    assert got == [("a", "x", False, 1), ("a", "y", True, 2), ("b", "x", True, 1)]
+    # Only the last result is kept beside the table.
+    assert table.folder("pending", "refresh").values("batch") == [2]
     with pytest.raises(ValueError):
-        table.expire(0)
+        table.refresh(second, 3, "another")
