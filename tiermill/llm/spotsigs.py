@@ -76,45 +76,56 @@ def likeness(a: Column, b: Column, threshold: float | None = None) -> Column:
     return F.when((F.abs(classes) <= 1) & bound, value)
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with ``set``, 128 bits that name their signatures."""
+    return rows.withColumn("set", F.unhex(F.md5(F.array_join(F.col("signatures").cast("array<string>"), " ").cast("binary"))))
+
+
 def alike_sets(queries: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
     """``a``, ``b``, ``likeness`` of all pairs of a set of ``queries`` and one of ``prints`` at or above the threshold.
 
-    Both have ``signatures`` (see ``fingerprints``). Sets meet in partitions by length class and signature: of a set only the
-    smallest signatures, one more than it may lack, are keys, as two sets within the threshold share one of these. Equal
-    sets are compared once. What meets is compared with the bound on lengths first.
+    Both have ``set`` and ``signatures``. Sets meet in partitions by length class and signature: of a set only the smallest
+    signatures, one more than it may lack, are keys, as two sets within the threshold share one of these. Only names meet;
+    equal sets are compared once, and of what meets the lengths are compared before the signatures.
     """
     signs = F.col("signatures")
     size = F.size(signs)
     kept = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+    own = length_class(size, threshold)
 
-    def keyed(rows: DataFrame, classes: Column) -> DataFrame:
-        sets = rows.groupBy("signatures").agg(F.count(F.lit(1)).alias("n")).drop("n")
-        placed = sets.select("signatures", F.explode(classes).alias("class"), F.slice(signs, 1, kept).alias("keys"))
-        return placed.select("signatures", "class", F.explode("keys").alias("key"))
+    def keyed(rows: DataFrame, classes: Column, name: str) -> DataFrame:
+        placed = rows.select(F.col("set").alias(name), F.explode(classes).alias("class"), F.slice(signs, 1, kept).alias("keys"))
+        return placed.select(name, "class", F.explode("keys").alias("key"))
 
-    own = length_class(size, threshold)
-    asked = keyed(queries, F.array(own - 1, own, own + 1)).withColumnRenamed("signatures", "a")
-    held = keyed(prints, F.array(own)).withColumnRenamed("signatures", "b")
-    value = likeness(F.col("a"), F.col("b"), threshold)
-    pairs = asked.join(held, ["class", "key"]).select("a", "b").distinct()
-    return pairs.withColumn("likeness", value).where(F.col("likeness") >= threshold)
+    # Stored, so that Spark knows whether the queries' keys are few enough to be sent to all others.
+    asked = keep(keyed(queries, F.array(own - 1, own, own + 1), "a").distinct(), "asked-keys", 8)
+    pairs = keep(keyed(prints, F.array(own), "b").join(asked, ["class", "key"]).select("a", "b").distinct(), "met-sets", 8)
+
+    def sets(rows: DataFrame, name: str, signatures: str) -> DataFrame:
+        needed = rows.join(pairs.select(F.col(name).alias("set")).distinct(), "set", "left_semi").dropDuplicates(["set"])
+        return needed.select(F.col("set").alias(name), F.col("signatures").alias(signatures))
+
+    both = pairs.join(sets(queries, "a", "x"), "a").join(sets(prints, "b", "y"), "b")
+    value = likeness(F.col("x"), F.col("y"), threshold)
+    return both.select("a", "b", value.alias("likeness")).where(F.col("likeness") >= threshold)
 
 
 def matches(queries: DataFrame, prints: DataFrame, threshold: float = 0.8, id: str = "doc_id") -> DataFrame:
-    """``query_id``, ``doc_id``, ``likeness`` of all pairs of a query and a row of ``prints`` at or above the threshold."""
-    alike = alike_sets(queries, prints, threshold)
-    named = alike.join(queries.select(F.col(id).alias("query_id"), F.col("signatures").alias("a")), "a")
-    return named.join(prints.select(F.col(id).alias("doc_id"), F.col("signatures").alias("b")), "b").select(
+    """``query_id``, ``doc_id``, ``likeness`` of all pairs of a query and a row of ``prints`` at or above the threshold. Both have
+    ``id`` and ``signatures`` (see ``fingerprints``)."""
+    queries, prints = _named(queries), _named(prints)
+    named = alike_sets(queries, prints, threshold).join(queries.select(F.col(id).alias("query_id"), F.col("set").alias("a")), "a")
+    return named.join(prints.select(F.col(id).alias("doc_id"), F.col("set").alias("b")), "b").select(
         "query_id", "doc_id", "likeness"
     )
 
 
 def match_counts(queries: DataFrame, prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``signatures`` of each set of ``queries`` and ``n_alike``, the rows of ``prints`` at or above the threshold. Rows with
-    one set are counted, not listed."""
-    rows = prints.groupBy(F.col("signatures").alias("b")).agg(F.count(F.lit(1)).alias("rows"))
+    """``set`` of the ``queries`` and ``n_alike``, the rows of ``prints`` (each with its number ``c``) at or above the threshold.
+    Rows with one set are counted, not listed."""
+    rows = prints.groupBy(F.col("set").alias("b")).agg(F.sum("c").alias("rows"))
     found = alike_sets(queries, prints, threshold).join(rows, "b")
-    return found.groupBy(F.col("a").alias("signatures")).agg(F.sum("rows").alias("n_alike"))
+    return found.groupBy(F.col("a").alias("set")).agg(F.sum("rows").alias("n_alike"))
 
 
 def following(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -163,7 +174,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 
 def signed_heads(docs: DataFrame, id: str, text: str, part: int) -> DataFrame:
-    """Every distinct document (``id``, ``h``, ``n``) with its ``signatures``, and for the document before it (``for_id``,
+    """Every distinct document (``id``, ``h``, ``n``; ``c`` rows) with its ``signatures``, and for the document before it (``for_id``,
     ``for_h``, ``for_n``) the ``head`` that replaces a ``part`` of that one. Each text is signed here, once."""
     rows = _rows(docs, id, text)
     keys = keep(following(docs, id, text), "next-keys", 8)
@@ -177,7 +188,7 @@ def signed_heads(docs: DataFrame, id: str, text: str, part: int) -> DataFrame:
     if asked.where("next_c > 1").take(1):
         # A document that stands in the table more than once gives its text once.
         found = found.unionByName(given(asked.where("next_c > 1")).dropDuplicates(["for_id", "for_h", "for_n"]))
-    signed = found.select("id", "h", "n", "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), signatures(F.col("text")).alias("signatures"))
+    signed = found.select("id", "h", "n", F.col("next_c").alias("c"), "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), signatures(F.col("text")).alias("signatures"))
     return keep(signed, "signed-heads")
 
 
@@ -221,19 +232,9 @@ def compare(
     ]
     if asks is None:
         return rows.select(*columns)
-    every = _counted_rows(docs, signed, id, text)
-    queries = signed.where(asks)
-    counts = keep(match_counts(queries, every, threshold), "alike-counts", 8)
-    answers = queries.join(counts, "signatures").select(
+    counted = _named(signed)
+    counts = keep(match_counts(counted.where(asks), counted, threshold), "alike-counts", 8)
+    answers = counted.where(asks).join(counts, "set").select(
         F.col("id").alias("a_id"), F.col("h").alias("a_h"), F.col("n").alias("a_n"), "n_alike"
     )
     return rows.join(keep(answers, "alike-answers", 8), _same("id h n", "a_id a_h a_n"), "left").select(*columns, "n_alike")
-
-
-def _counted_rows(docs: DataFrame, signed: DataFrame, id: str, text: str) -> DataFrame:
-    """``signatures`` of every row: a distinct document as often as it stands in the table."""
-    repeated = _rows(docs, id, text).groupBy("id", "h", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    more = repeated.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), F.col("n").alias("r_n"), (F.col("c") - 1).cast("int").alias("c"))
-    more = keep(more, "repeated-rows", 8)
-    again = signed.join(more, _same("id h n", "r_id r_h r_n")).select("signatures", F.explode(F.sequence(F.lit(1), "c")).alias("k"))
-    return signed.select("signatures").unionByName(again.select("signatures"))
