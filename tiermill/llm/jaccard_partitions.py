@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import as_bytes, bit_filter, in_filter, keep, tasks
+from tiermill.llm.common import as_bytes, bit_filter, in_filter, keep, lean, tasks
 from tiermill.llm.components import components
 from tiermill.llm.words import mixed, word_hashes
 
@@ -274,7 +274,7 @@ def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, rules: Rules) ->
     skip most other texts by a filter of fixed size, and the rest goes by name; so texts do not move."""
     hashes = names.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h"))
     bits = bit_filter(hashes.select("h"), rules.filter_bits)
-    loaded = docs.select("text", "h").mapInArrow(_loaded(rules, bits), "s binary, set binary, mark binary")
+    loaded = docs.select("text", "h").mapInArrow(lean(_loaded(rules, bits)), "s binary, set binary, mark binary")
     return keep(loaded.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "jaccard-elements", 2)
 
 
@@ -292,7 +292,7 @@ def _links(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     """The pairs (``s``, ``t``) whose sets are within the threshold, as ``u`` and ``v``."""
     left = pairs.join(sets.select("s", F.col("set").alias("x")), "s")
     both = left.join(sets.select(F.col("s").alias("t"), F.col("set").alias("y")), "t")
-    return both.select("s", "t", "x", "y").mapInArrow(_verified(rules.percent), "u binary, v binary")
+    return both.select("s", "t", "x", "y").mapInArrow(lean(_verified(rules.percent)), "u binary, v binary")
 
 
 def _near(n: str, m: str, percent: int):
@@ -404,7 +404,7 @@ def _blocked(rules: Rules):
 def _asked(large: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     """Who looks up what for the sets in large open buckets, and who is listed there (``MEMBERS`` without root, size, mark)."""
     of = large.groupBy("s").agg(F.collect_list("sig").alias("large"))
-    spared = keep(of.join(sets, "s").select("s", "large", "set").mapInArrow(_spared(rules), SPARE), "jaccard-spare")
+    spared = keep(of.join(sets, "s").select("s", "large", "set").mapInArrow(lean(_spared(rules)), SPARE), "jaccard-spare")
     exact = F.col("kind") == EXACT
     lists = spared.groupBy("key").agg(F.sum(exact.cast("long")).alias("whole"), F.sum((~exact).cast("long")).alias("less"))
     costs = spared.join(lists, "key").groupBy("s", "segment").agg(
@@ -477,16 +477,16 @@ def _more_pairs(open_: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     if not large.isEmpty():
         asked = asked.unionByName(_asked(large, sets, rules))
     rows = asked.join(members, "s").join(sets.select("s", "mark"), "s").select(*MEMBERS)
-    pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_blocked(rules), "s binary, t binary")
+    pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(_blocked(rules)), "s binary, t binary")
     return _ordered(pairs)
 
 
 def _all_links(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
     """``u``, ``v``: links that connect all sets within the threshold."""
     n = tasks(docs.sparkSession)
-    index = docs.select("text").mapInArrow(_indexed(rules), INDEX)
+    index = docs.select("text").mapInArrow(lean(_indexed(rules)), INDEX)
     deal = F.when(F.col("met"), F.xxhash64("sig", "a")).otherwise(F.col("sig"))
-    stars = keep(index.repartition(n, deal).sortWithinPartitions("sig", "a", "b").mapInArrow(_starred, STARS), "jaccard-stars", 2)
+    stars = keep(index.repartition(n, deal).sortWithinPartitions("sig", "a", "b").mapInArrow(lean(_starred), STARS), "jaccard-stars", 2)
     near = stars.where(_near("n", "first_n", rules.percent)).select("s", F.col("first").alias("t")).distinct()
     pairs = keep(near, "jaccard-pairs", 4)
     wanted = keep(pairs.select("s").unionByName(pairs.select(F.col("t").alias("s"))).distinct(), "jaccard-wanted", 8)
@@ -511,7 +511,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rul
     """``id``, ``n_shingles`` (size of the set) and ``component_id`` (the smallest id reachable over links) of every row."""
     rows = docs.select(F.col(id).alias("id"), as_bytes(text).alias("text"), F.xxhash64(text).alias("h"))
     kind = rows.schema["id"].dataType.simpleString()
-    names = keep(rows.mapInArrow(_named(rules), f"id {kind}, h long, s binary, n long"), "jaccard-names", 2)
+    names = keep(rows.mapInArrow(lean(_named(rules)), f"id {kind}, h long, s binary, n long"), "jaccard-names", 2)
     roots = components(_all_links(rows, names, rules)).withColumnRenamed("id", "s")
     full = names.where("n > 0")
     distinct = keep(full.groupBy("s").agg(F.min("id").alias("low")).join(roots, "s", "left"), "jaccard-distinct", 4)

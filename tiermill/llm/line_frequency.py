@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tiermill.llm.common import as_bytes, carried, keep, own, restored
+from tiermill.llm.common import as_bytes, carried, keep, lean, own, restored
 
 SYMBOLS = b"#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
@@ -128,7 +128,7 @@ def _facts(limits: Limits):
 def text_facts(docs: DataFrame, id: str, text: str, host: str, limits: Limits) -> DataFrame:
     rows = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), as_bytes(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(_facts(limits), f"id {kinds['id']}, host {kinds['host']}, text_hash long, {FACTS}")
+    return rows.mapInArrow(lean(_facts(limits)), f"id {kinds['id']}, host {kinds['host']}, text_hash long, {FACTS}")
 
 
 def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import keep, tasks
+from tiermill.llm.common import keep, lean, tasks
 
 K1, B = 1.2, 0.75
 SHARD = 1024
@@ -174,7 +174,7 @@ def tokenised(docs: DataFrame, path: str, window: int, id: str, text: str, end_i
             )
 
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {TOKENISED}")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, {TOKENISED}")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +361,7 @@ def pack(
         .sortWithinPartitions("sketch", "row")
         .select("id", "doc_tokens", "rest")
         .mapInArrow(
-            _pack(window, shared),
+            lean(_pack(window, shared)),
             f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long",
         )
     )

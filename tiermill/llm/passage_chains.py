@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
-from tiermill.llm.common import WORD, as_bytes, bit_filter, carried, in_filter, keep, own, restored, tasks
+from tiermill.llm.common import as_bytes, bit_filter, carried, in_filter, keep, lean, own, restored, tasks, WORD
 from tiermill.llm.words import word_hashes
 
 CHAIN, STRETCH = 0, 1
@@ -487,12 +487,12 @@ def _hidden(docs: DataFrame, open_: DataFrame, rules: Rules) -> DataFrame:
     parts = keep(open_.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "open-rows", 8)
     rows = bit_filter(parts.select("row"), rules.filter_bits)
     texts = docs.select("row", "text").mapInArrow(_of_rows(rows), "row long, text binary")
-    pairs = texts.join(parts, "row").select("text", "parts").mapInArrow(_inside(rules), "first long, seed long")
+    pairs = texts.join(parts, "row").select("text", "parts").mapInArrow(lean(_inside(rules)), "first long, seed long")
     pairs = keep(pairs.distinct(), "asked-pairs", 8)
     asked = tuple(bit_filter(pairs.select(c), rules.filter_bits) for c in ("first", "seed"))
-    found = docs.select("row", "text").mapInArrow(_seeded(rules, asked, rows), SEEDS)
+    found = docs.select("row", "text").mapInArrow(lean(_seeded(rules, asked, rows)), SEEDS)
     # Pairs that nobody asked for, but the filter let pass, make links that are right as well.
-    return found.repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(_across(rules, rows), LINKS)
+    return found.repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(lean(_across(rules, rows)), LINKS)
 
 
 # Alignment
@@ -642,7 +642,7 @@ def _align(docs: DataFrame, candidates: DataFrame, rules: Rules) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     ends = candidates.select("row").unionByName(candidates.select(F.col("partner").alias("row")))
     bits = bit_filter(ends, rules.filter_bits)
-    words = docs.select("row", "id", "h", "text").mapInArrow(_words(bits), f"row long, id {kind}, h long, words binary")
+    words = docs.select("row", "id", "h", "text").mapInArrow(lean(_words(bits)), f"row long, id {kind}, h long, words binary")
     words = keep(words, "passage-words")
 
     def cut(start: str, stop: str, out: str) -> dict:
@@ -657,7 +657,7 @@ def _align(docs: DataFrame, candidates: DataFrame, rules: Rules) -> DataFrame:
     both = own.join(partners, "partner").withColumns(cut("other_start", "other_stop", "other")).drop("words")
     columns = ["row", "id", "h", "partner_id", "own_words", "other_words", "own_from", "other_from", "anchors"]
     out = f"row long, id {kind}, h long, partner {kind}, start long, stop long, other_start long, other_stop long, equal long, columns long"
-    return keep(both.select(*columns).mapInArrow(_aligned(rules), out), "passages", 2)
+    return keep(both.select(*columns).mapInArrow(lean(_aligned(rules)), out), "passages", 2)
 
 
 # The whole
@@ -684,14 +684,14 @@ def _passages(docs: DataFrame, id: str, text: str, rules: Rules) -> DataFrame:
     rows = _in_order(docs, id, text)
     links = (
         rows.select("row", "text")
-        .mapInArrow(_seeded(rules), SEEDS)
+        .mapInArrow(lean(_seeded(rules)), SEEDS)
         .repartition(n, "seed")
         .sortWithinPartitions("seed")
-        .mapInArrow(_across(rules), LINKS)
+        .mapInArrow(lean(_across(rules)), LINKS)
     )
 
     def chained(links: DataFrame, last: bool) -> DataFrame:
-        return links.repartition(n, "row").sortWithinPartitions("row").mapInArrow(_chain(rules, last), CHAINS)
+        return links.repartition(n, "row").sortWithinPartitions("row").mapInArrow(lean(_chain(rules, last)), CHAINS)
 
     first = keep(chained(links, False), "chains", 2)
     found = _align(rows, first.where(F.col("kind") == CHAIN), rules)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import as_bytes, carried, keep, own, restored, tasks
+from tiermill.llm.common import as_bytes, carried, keep, lean, own, restored, tasks
 from tiermill.llm.components import components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
             yield pa.record_batch([batch.column(0), _signed(values), batch.column(2)], names=["id", "fp", "h"])
 
     rows = docs.select(F.col(id).alias("id"), as_bytes(text).alias("text"), F.xxhash64(text).alias("h"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, h long")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long, h long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -203,7 +203,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return (
         cells.repartition(tasks(spark), "i", "cell")
         .sortWithinPartitions("i", "cell", "fp")
-        .mapInArrow(_links(distance), "u long, v long")
+        .mapInArrow(lean(_links(distance)), "u long, v long")
     )
 
 
