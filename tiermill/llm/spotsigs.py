@@ -29,6 +29,8 @@ ANCHORS = (
 CHAIN = 2
 SKIP = 4
 MARK = "\u0001"
+#: Keys that two sets must share to be compared.
+SHARED = 3
 
 
 def normalised(text: Column) -> Column:
@@ -85,21 +87,30 @@ def alike_sets(queries: DataFrame, prints: DataFrame, threshold: float) -> DataF
     """``a``, ``b``, ``likeness`` of all pairs of a set of ``queries`` and one of ``prints`` at or above the threshold.
 
     Both have ``set`` and ``signatures``. Sets meet in partitions by length class and signature: of a set only the smallest
-    signatures, one more than it may lack, are keys, as two sets within the threshold share one of these. Only names meet;
-    equal sets are compared once, and of what meets the lengths are compared before the signatures.
+    signatures are keys, ``SHARED`` more than it may lack, as two sets within the threshold share so many of these (or all that
+    they must share, if fewer). Only names meet; equal sets are compared once, and of what meets often enough the lengths
+    are compared before the signatures.
     """
     signs = F.col("signatures")
     size = F.size(signs)
-    kept = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+    least = F.ceil(size * threshold - 1e-9).cast("int")
+    kept = F.least(size, size - least + SHARED)
     own = length_class(size, threshold)
 
     def keyed(rows: DataFrame, classes: Column, name: str) -> DataFrame:
-        placed = rows.select(F.col("set").alias(name), F.explode(classes).alias("class"), F.slice(signs, 1, kept).alias("keys"))
-        return placed.select(name, "class", F.explode("keys").alias("key"))
+        placed = rows.select(
+            F.col("set").alias(name), F.explode(classes).alias("class"), size.alias(f"size_{name}"), F.slice(signs, 1, kept).alias("keys")
+        )
+        return placed.select(name, f"size_{name}", "class", F.explode("keys").alias("key"))
 
     # Stored, so that Spark knows whether the queries' keys are few enough to be sent to all others.
     asked = keep(keyed(queries, F.array(own - 1, own, own + 1), "a").distinct(), "asked-keys", 8)
-    pairs = keep(keyed(prints, F.array(own), "b").join(asked, ["class", "key"]).select("a", "b").distinct(), "met-sets", 8)
+    held = keyed(prints, F.array(own), "b")
+    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    met = held.join(asked, ["class", "key"]).where(smaller >= threshold * larger - 1e-9)
+    counted = met.groupBy("a", "b").agg(F.countDistinct("key").alias("n"), F.min(smaller).alias("size"))
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("size") * threshold - 1e-9))
+    pairs = keep(counted.where(F.col("n") >= enough).select("a", "b"), "met-sets", 8)
 
     def sets(rows: DataFrame, name: str, signatures: str) -> DataFrame:
         needed = rows.join(pairs.select(F.col(name).alias("set")).distinct(), "set", "left_semi").dropDuplicates(["set"])
