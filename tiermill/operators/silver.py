@@ -47,15 +47,20 @@ def conform_sap_orders(bronze: DataFrame) -> DataFrame:
     return _sourced(bronze, "SAP").select(HEADER)
 
 
-def conform_jde_orders(lines: DataFrame) -> DataFrame:
-    """Line-level source to headers: amounts add up, first date, last status."""
-    head = lines.groupBy("order_id").agg(
+def conform_jde_orders(lines: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """Line-level source to headers: amounts add up, first date, last status.
+
+    Amounts of several currencies cannot be added, so the lines of such an order are converted one by one and its header is
+    in USD; ``mixed_currency_orders`` lists them.
+    """
+    one = F.min("currency_code").eqNullSafe(F.max("currency_code"))
+    head = with_fx(lines, rates).withColumn("_usd", _usd("extended_price")).groupBy("order_id").agg(
         F.max("order_type").alias("order_type"),
         F.min("order_date").alias("order_date"),
         F.max("customer_id").alias("customer_id"),
         F.max("status_code").alias("order_status"),
-        F.max("currency_code").alias("currency_code"),
-        F.sum("extended_price").cast("decimal(18,4)").alias("net_amount"),
+        F.when(one, F.max("currency_code")).otherwise(F.lit("USD")).alias("currency_code"),
+        F.when(one, F.sum("extended_price")).otherwise(F.sum("_usd")).cast("decimal(18,4)").alias("net_amount"),
         F.max("country_code").alias("country_code"),
         F.max("load_timestamp").alias("load_timestamp"),
         F.max("batch_id").alias("batch_id"),
@@ -68,6 +73,12 @@ def conform_jde_orders(lines: DataFrame) -> DataFrame:
     return _sourced(head.withColumns(blank), "JDE").select(HEADER)
 
 
+def mixed_currency_orders(lines: DataFrame) -> DataFrame:
+    """Orders whose lines name several currencies, with these."""
+    named = lines.groupBy("order_id").agg(F.array_sort(F.collect_set("currency_code")).alias("currencies"))
+    return named.where(F.size("currencies") > 1)
+
+
 def conform_qad_orders(bronze: DataFrame) -> DataFrame:
     blank = {
         "delivery_date": F.lit(None).cast("date"),

@@ -139,6 +139,29 @@ def silver_order(b: Bronze) -> DataFrame:
     return order_report(silver.orders(silver.conform_sap_orders(b.sap_orders())))
 
 
+MIXED_SQL = """(SELECT order_id, net_amount, CAST(round(net_amount * 0.25, 4) AS DECIMAL(18,4)) AS quarter, currency_code AS first,
+  CASE WHEN CAST(order_id AS BIGINT) % 7 = 0 THEN 'GBP' ELSE currency_code END AS second FROM bronze_orders WHERE source_system = 'JDE')"""
+
+
+@plan(
+    "silver_jde_mixed",
+    f"""SELECT order_id, first <> second AND first IS NOT NULL AND second IS NOT NULL AS is_mixed,
+      CASE WHEN first <> second THEN 'USD' ELSE coalesce(first, second) END AS currency_code,
+      CAST(CASE WHEN first <> second THEN round(quarter * coalesce(a.rate, 1), 4) + round((net_amount - quarter) * coalesce(z.rate, 1), 4)
+        ELSE net_amount END AS DOUBLE) AS net_amount
+      FROM {MIXED_SQL} LEFT JOIN fx a ON a.code = first LEFT JOIN fx z ON z.code = second""",
+)
+def silver_jde_mixed(b: Bronze) -> DataFrame:
+    """Line-level orders of which some have a second line in another currency: those are added up in USD, and listed."""
+    other = (F.col("line_number") == 2) & (F.col("order_id").cast("bigint") % 7 == 0)
+    lines_ = b.jde_order_lines().withColumn("currency_code", F.when(other, "GBP").otherwise(F.col("currency_code")))
+    mixed = silver.mixed_currency_orders(lines_).select(F.col("order_id").alias("mixed_id"))
+    heads = silver.conform_jde_orders(lines_).join(mixed, F.col("order_id") == F.col("mixed_id"), "left")
+    return heads.select(
+        "order_id", F.col("mixed_id").isNotNull().alias("is_mixed"), "currency_code", F.col("net_amount").cast("double").alias("net_amount")
+    )
+
+
 def all_sources(b: Bronze) -> DataFrame:
     """Headers of the three source feeds, each in its own landing shape."""
     return silver.union_orders(
