@@ -111,3 +111,20 @@ def test_surrogate_keys_are_dense_and_ordered(spark):
     keys_ = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
     got = gold.number_rows(keys_, "k", "sk").orderBy("k").collect()
     assert [r.sk for r in got] == list(range(1, 501))
+
+
+def test_readers_of_a_row_are_those_the_filter_lets_see_it(spark):
+    frame = spark.createDataFrame([("EUROPE",), ("AMERICAS",), ("EMEA",), (None,)], "source_region string")
+    readers = {"all": {"GLOBAL_ANALYST"}, "one": {"SAP_EUROPE_READER"}, "two": {"JDE_AMERICAS_READER", "QAD_EMEA_READER"}, "none": set()}
+    got = {(r.reader, r.source_region) for r in frame.select("source_region", F.explode(policies.readable_by(readers)).alias("reader")).collect()}
+    assert got == {(n, r.source_region) for n, roles in readers.items() for r in policies.row_access(frame, roles).collect()}
+
+
+def test_masks_of_sources_in_one_pass(spark):
+    frame = spark.createDataFrame([(s, "p", "a@b", 1.0) for s in ("SAP", "JDE", "QAD", None)], "source_system string, phone string, email string, credit_limit double")
+    for roles in ({policies.ML_ENGINEER}, {policies.EXEC}, set()):
+        got = policies.mask_sources(frame, policies.BINDINGS, roles)
+        for source, bound in policies.BINDINGS.items():
+            own = frame.where(F.col("source_system") == source)
+            assert got.where(F.col("source_system") == source).collect() == policies.mask_table(own, bound, roles).collect()
+        assert got.where("source_system IS NULL").collect() == frame.where("source_system IS NULL").collect()

@@ -313,12 +313,7 @@ def mask_number(b: Bronze) -> DataFrame:
 def masked_customers(b: Bronze) -> DataFrame:
     """Each source's customers under its own bindings, as an ML engineer sees them."""
     people = b.customers().select("source_system", "customer_id", "phone", "email", "credit_limit")
-    parts = [
-        policies.mask_table(people.where(F.col("source_system") == source), bound, {policies.ML_ENGINEER})
-        for source, bound in policies.BINDINGS.items()
-    ]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return as_double(merged, "credit_limit")
+    return as_double(policies.mask_sources(people, policies.BINDINGS, {policies.ML_ENGINEER}), "credit_limit")
 
 
 @plan(
@@ -334,11 +329,5 @@ def row_access(b: Bronze) -> DataFrame:
         "SAP+JDE": {"SAP_EUROPE_READER", "JDE_AMERICAS_READER"},
         "NOBODY": set(),
     }
-    seen = [
-        policies.row_access(orders(b), roles).groupBy("source_region").agg(F.count("*").alias("n")).withColumn("reader", F.lit(name))
-        for name, roles in readers.items()
-    ]
-    merged = seen[0]
-    for part in seen[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    seen = orders(b).select("source_region", F.explode(policies.readable_by(readers)).alias("reader"))
+    return seen.groupBy("reader", "source_region").agg(F.count("*").alias("n"))
