@@ -47,17 +47,6 @@ def test_whole_table_against_plain_code(spark, folder, texts):
         assert r.near_next == pytest.approx(share(plain(text), plain(after.text)))
         assert names.setdefault(frozenset(plain(text)), r.fingerprint) == r.fingerprint
     assert len(set(names.values())) == len(names)
-    sets = {d.doc_id: plain(d.text) for d in docs}
-    for d in docs:
-        want = sum(share(sets[d.doc_id], x) >= 0.8 for x in sets.values()) if d.doc_id % 100 == 0 else None
-        assert got[d.doc_id].n_alike == want
-
-
-def test_alike_rows_are_counted_with_their_repeats(spark):
-    text = "the cat sat in the warm sun and it was the best of all the long days for the old cat"
-    rows = [(0, text), (1, text), (1, text), (2, "the dog ran to the far hill and it was the end of the short day"), (3, None), (0, None)]
-    got = compare(spark.createDataFrame(rows, "doc_id long, text string"), asks=F.col("id") % 2 == 0).collect()
-    assert sorted((r.doc_id, r.n_chars > 0, r.n_alike) for r in got if r.n_alike) == [(0, False, 2), (0, True, 3), (2, True, 1)]
 
 
 def test_odd_rows(odd, none):

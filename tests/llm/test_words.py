@@ -3,7 +3,7 @@ import re
 
 import pyarrow as pa
 
-from tiermill.llm.words import word_hashes
+from tiermill.llm.words import portions, word_hashes
 
 DRAW = random.Random(2)
 
@@ -23,3 +23,12 @@ def test_words_are_those_of_the_pattern():
             for h, w in zip(found, split(t)):
                 assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
+
+
+def test_portions_are_all_rows_in_order():
+    texts = [b"x" * DRAW.randrange(0, 50) for _ in range(200)] + [b"y" * 500]
+    batch = pa.record_batch([pa.array(range(201)), pa.array(texts, pa.binary())], names=["i", "t"])
+    for own in (batch, batch.slice(13, 100), batch.slice(200), batch.slice(0, 0)):
+        parts = list(portions(iter([own]), 1, 120))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == own.column(0).to_pylist()
+        assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= 120 for p in parts)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 from tiermill.llm.common import as_bytes, bit_filter, carried, in_filter, keep, lean, own, restored, tasks, WORD
-from tiermill.llm.words import word_hashes
+from tiermill.llm.words import portions, word_hashes
 
 CHAIN, STRETCH = 0, 1
 LAST = np.uint64(2**64 - 1)
@@ -53,7 +53,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class Rules:
     k: int = 4
     window: int = 4
-    buffer: int = 500_000  # seeds that a task links among themselves at a time
+    buffer: int = 250_000  # seeds that a task links among themselves at a time
     min_words: int = 50
     min_identity: float = 0.8
     least_seeded: int = 8  # words under anchors that make a chain worth aligning
@@ -230,7 +230,7 @@ def _seeded(rules: Rules, asked: tuple[np.ndarray, np.ndarray] | None = None, ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in batches:
+        for batch in portions(batches, 1):
             row = batch.column(0).to_numpy()
             words, doc, begin = numbered_words(batch.column(1))
             place, seed = minimizers(words, doc, rules.k, rules.window)
@@ -462,7 +462,7 @@ def _inside(rules: Rules):
     """Pairs of seeds within the given stretches of each text, with the first seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             words, doc, begin = numbered_words(batch.column(0))
             place, seed = minimizers(words, doc, rules.k, rules.window)
             of = doc[place]
@@ -626,7 +626,7 @@ def _words(bits: np.ndarray):
     """Word hashes of the documents whose rows the filter knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 3):
             batch = batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy())))
             words, _, begin = numbered_words(batch.column(3))
             short = (words >> np.uint64(32)).astype("<u4").tobytes()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +22,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many bytes in a binary column, a row at least, so that what is worked out for their words
+    stays small."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(column)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        start = 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of binary texts (not null), one after another, and where each text's words begin (with the
     number of all words at the end). Words are runs of other than ASCII white space, with A-Z in lower case."""
