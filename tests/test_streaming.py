@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiermill.operators import scd
+from tiermill.plans import streams
 from tiermill.sources.tables import VersionedTable, refresh_derived
 from tiermill.streaming import flows
 
@@ -130,6 +131,16 @@ def test_late_and_repeated_events_correct_their_day(spark, tmp_path):
     assert sorted((r.event_date.day, r.n_events) for r in got) == [(2, 1), (5, 1), (6, 1), (7, 1), (9, 1)]
 
 
+def test_a_landing_of_many_files_is_one_batch(spark, tmp_path):
+    """The number of micro-batches, each of which meets all that is stored, is that of the landings and not of their files."""
+    events = spark.range(40).selectExpr("CAST(id AS STRING) AS event_id", "TIMESTAMP '2024-01-01' AS event_timestamp", "'x' AS event_type")
+    root, state = (str(tmp_path / n) for n in ("counts", "state"))
+    for stream in streams.landed(spark, [events.where(f"event_id % 2 = {part}").repartition(5) for part in (0, 1, 0)]):
+        flows.refresh_daily_counts(stream, root, state, every=None).awaitTermination()
+    batches = [(r.rows, r.fresh) for r in flows.read_batches(spark, root).orderBy("batch").collect()]
+    assert batches == [(20, 20), (20, 20), (20, 0)]
+
+
 def test_counts_of_events_by_brute_force(spark, tmp_path):
     """Rows repeated within and across batches, of any day or none, without an id or a type; ids compacted in between."""
     draw = random.Random(4)

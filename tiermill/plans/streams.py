@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermill.functions.exact import money
@@ -20,25 +22,32 @@ UPDATED = "o_orderkey % 20 = 0"
 UPDATED_SQL = "CAST(original_id AS BIGINT) % 20 = 0"
 
 
-def landed_orders(b: Bronze) -> DataFrame:
-    """A stream of the raw orders in three files: the even keys, updates of some of these and then the odd, late ones."""
-    raw, folder = b.table("orders"), shared_dir(b.spark, "landing")
+def landed(spark: SparkSession, parts: list[DataFrame]) -> Iterator[DataFrame]:
+    """A stream over a folder, once after each landing of a part. A landing has as many files as Spark writes; a run of the flow
+    takes all that are new, so the number of runs, each of which reads what is stored, is that of the landings."""
+    folder = shared_dir(spark, "landing")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        yield flows.file_stream(spark, folder, part.schema)
+
+
+def landed_orders(b: Bronze) -> Iterator[DataFrame]:
+    """The raw orders in three landings: the even keys, updates of some of these and then the odd, late ones."""
+    raw = b.table("orders")
     later = raw.where(UPDATED).withColumns(
         {"o_orderstatus": F.lit("U"), "o_orderdate": F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")}
     )
-    for part in (raw.where("o_orderkey % 2 = 0"), later, raw.where("o_orderkey % 2 = 1")):
-        part.write.mode("append").parquet(folder)
-    return flows.file_stream(b.spark, folder, raw.schema, files_per_batch=1)
+    return landed(b.spark, [raw.where("o_orderkey % 2 = 0"), later, raw.where("o_orderkey % 2 = 1")])
 
 
 def run_orders(b: Bronze) -> tuple[VersionedTable, DataFrame]:
-    """Versioned orders and the fact that follows them, in parts of up to 50,000 orders."""
+    """Versioned orders and the fact that follows them, in parts of up to 50,000 orders; a run of the flow after each landing."""
     versions, facts = VersionedTable(b.spark, shared_dir(b.spark, "stream-silver"), "order_hk", 50_000), shared_dir(b.spark, "stream-fact")
     conform = lambda batch: silver.orders(b.orders(orders=batch))
     derive = lambda rows: gold.fact_sales(rows, b.regions())
-    flows.refresh_versions(
-        landed_orders(b), conform, versions, shared_dir(b.spark, "checkpoint"), every=None, derive=(derive, facts)
-    ).awaitTermination()
+    checkpoint = shared_dir(b.spark, "checkpoint")
+    for stream in landed_orders(b):
+        flows.refresh_versions(stream, conform, versions, checkpoint, every=None, derive=(derive, facts)).awaitTermination()
     return versions, b.spark.read.parquet(facts)
 
 
@@ -84,12 +93,10 @@ def stream_fact(b: Bronze) -> DataFrame:
       GROUP BY ALL""",
 )
 def event_counts(b: Bronze) -> DataFrame:
-    """Daily counts of all days, from files out of time order, one of which comes twice; some rows have no timestamp."""
-    raw, folder = b.table("events"), shared_dir(b.spark, "landing")
+    """Daily counts of all days, from landings out of time order, one of which comes twice; some rows have no timestamp."""
+    raw = b.table("events")
     raw = raw.withColumn("ts", F.when(F.col("event_id") % 50 != 7, F.col("ts")))
-    for part in (raw.where("event_id % 3 = 1"), raw.where("event_id % 3 = 0"), raw.where("event_id % 3 = 1"), raw.where("event_id % 3 = 2")):
-        part.write.mode("append").parquet(folder)
-    stream = b.order_events(flows.file_stream(b.spark, folder, raw.schema, files_per_batch=1))
-    root = shared_dir(b.spark, "event-counts")
-    flows.refresh_daily_counts(stream, root, shared_dir(b.spark, "checkpoint"), every=None).awaitTermination()
+    root, checkpoint = shared_dir(b.spark, "event-counts"), shared_dir(b.spark, "checkpoint")
+    for stream in landed(b.spark, [raw.where(f"event_id % 3 = {part}") for part in (1, 0, 1, 2)]):
+        flows.refresh_daily_counts(b.order_events(stream), root, checkpoint, every=None).awaitTermination()
     return flows.read_daily_counts(b.spark, root).select("event_date", "event_type", "n_events")

@@ -143,8 +143,8 @@ class VersionedTable:
         return 1 << max(0, -(-rows // self.rows_per_part) - 1).bit_length()
 
     def _first(self, rows: DataFrame) -> DataFrame:
-        versions = stored(scd.build(rows, self.key), "first-versions")
-        return self._kinds(versions, self._needed(versions.where("is_current").count()))
+        # One version of each key is open.
+        return self._kinds(scd.build(rows, self.key), self._needed(rows.select(self.key).distinct().count()))
 
     def _applied(self, rows: DataFrame) -> DataFrame:
         """What the batch makes of the parts it touches, and the closed versions it adds and supersedes."""
@@ -206,9 +206,10 @@ def refresh_derived(rows: DataFrame, make, path: str, key: str) -> None:
     if counts is None:
         return
     place = F.pmod(F.xxhash64(key), F.lit(counts[0])).cast("int")
-    made = stored(make(rows.drop("parts", "part")).withColumns({"parts": F.lit(counts[0]), "part": place}), "derived")
+    made = make(rows.drop("parts", "part")).withColumns({"parts": F.lit(counts[0]), "part": place})
     replace_partitions(made, path, ["parts", "part"])
     spark = rows.sparkSession
+    # Asked of the versions again, of which only the key and what rows are chosen by is read.
     left = {r[0] for r in made.select("part").distinct().collect()}
     for part in {r[0] for r in rows.select("part").distinct().collect()} - left:
         Folder(spark, f"{path}/parts={counts[0]}/part={part}").delete()
