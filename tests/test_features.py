@@ -195,6 +195,21 @@ def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
     assert search.candidates(spark, root, "abca").count() < 100
 
 
+def test_the_index_and_its_candidates_have_a_row_for_64_texts(spark, tmp_path, monkeypatch):
+    """Frequent trigrams are bits, in the postings and in what is sent to the texts; characters beyond the first plane are one each."""
+    root, kept = str(tmp_path / "index"), []
+    monkeypatch.setattr(search, "stored", lambda df, purpose: kept.append(df.count()) or df)
+    frame = spark.range(20_000).selectExpr("id", "IF(id % 10 = 0, 'x\U0001F600yz', 'abcde') AS text").coalesce(1)
+    search.append_texts(frame, root, ["text"], 0)
+    words = -(-20_000 // 64)
+    assert spark.read.parquet(f"{root}/postings").groupBy("gram").count().where(f"count <> {words}").isEmpty()
+    grams = {r.gram for r in spark.read.parquet(f"{root}/postings").select("gram").distinct().collect()}
+    assert grams == {"abc", "bcd", "cde", "x\U0001F600y", "\U0001F600yz"}
+    assert search.candidates(spark, root, "bcde").count() == search.indexed_keyword(spark, root, "BCDE", ["text"]).count() == 18_000
+    assert search.indexed_keyword(spark, root, "\U0001F600yz", ["text"]).count() == 2_000
+    assert kept == [words, words]
+
+
 def test_cells_find_the_nearest(spark, tmp_path):
     """Exactly, whatever the number of cells, parts and blocks, with copies, vectors without a direction and few vectors."""
     draw = np.random.default_rng(3)

@@ -44,40 +44,40 @@ def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:
 # -- an index of trigrams ------------------------------------------------------------
 
 GRAM = 3
-#: Rows are numbered within their batch; a posting list holds the numbers of so many rows at most, less their bucket.
-BUCKET_BITS = 15
+#: Rows are numbered within their batch; a posting has one bit for each of the 64 rows whose numbers share all but these bits.
+WORD_BITS = 6
 NUMBER = "_row"
 
 
 def _grams(text: Column) -> Column:
     """Distinct character trigrams of a text in lower case."""
-
-    def of(letters: Column) -> Column:
-        last = F.size(letters) - GRAM
-        grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(letters, i + j) for j in range(GRAM)]))
-        return F.when(last >= 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
-
-    # Bound to a name, so that the text is not split again for each place.
-    return F.transform(F.array(F.split(F.lower(text), "")), of)[0]
+    # Every character in turn, with those that follow it.
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
 
 
 def append_texts(df: DataFrame, root: str, columns: list[str], batch: int) -> None:
-    """Add rows to a searchable table: the rows under numbers of their own, and for each trigram of ``columns`` the numbers of
-    the rows that have it. The postings lie in the order of their trigrams, so a lookup reads few row groups. A batch that
-    comes again replaces itself; earlier ones are not touched."""
+    """Add rows to a searchable table: the rows under numbers of their own, and for each trigram of ``columns`` and 64 rows the
+    bits of those that have it. Neighbouring rows are in one task, so most bits meet before anything moves. The postings of a
+    file lie in the order of their trigrams, so a lookup reads few pages. A batch that comes again replaces itself; earlier
+    ones are not touched."""
     spark = df.sparkSession
     placed = df.withColumns({NUMBER: F.monotonically_increasing_id(), "batch": F.lit(batch)})
     _write(placed, f"{root}/texts", "batch")
     rows = spark.read.parquet(f"{root}/texts").where(F.col("batch") == batch)
-    grams = F.array_distinct(F.flatten(F.array(*[F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in columns])))
+    grams = F.flatten(F.array(*[F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in columns]))
     postings = (
-        rows.select(NUMBER, F.explode(grams).alias("gram"))
-        .groupBy("gram", F.shiftright(NUMBER, BUCKET_BITS).alias("bucket"))
-        .agg(F.array_sort(F.collect_set(F.col(NUMBER).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))).alias("rows"))
+        rows.select(F.explode(grams).alias("gram"), _word().alias("word"), F.expr(f"shiftleft(1L, {_PLACE})").alias("bit"))
+        .groupBy("gram", "word")
+        .agg(F.bit_or("bit").alias("rows"))
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = stored(postings, "postings").repartitionByRange(parts, "gram", "bucket").sortWithinPartitions("gram", "bucket")
-    _write(postings.withColumn("batch", F.lit(batch)), f"{root}/postings", "batch")
+    _write(postings.withColumn("batch", F.lit(batch)).sortWithinPartitions("batch", "gram", "word"), f"{root}/postings", "batch")
+
+
+_PLACE = f"CAST({NUMBER} & {(1 << WORD_BITS) - 1} AS INT)"
+
+
+def _word() -> Column:
+    return F.shiftright(NUMBER, WORD_BITS)
 
 
 def _write(df: DataFrame, path: str, partition: str) -> None:
@@ -85,24 +85,36 @@ def _write(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def candidates(spark: SparkSession, root: str, query: str) -> DataFrame | None:
-    """``batch`` and number of the rows that have every trigram of the query; none where it is too short to have one."""
+def _words(spark: SparkSession, root: str, query: str) -> DataFrame | None:
+    """``batch``, ``word`` and the bits of the rows that have every trigram of the query; none where it is too short to have one."""
     text = query.lower()
     wanted = sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
     if not wanted:
         return None
     lists = spark.read.parquet(f"{root}/postings").where(F.col("gram").isin(wanted))
-    both = lists.groupBy("batch", "bucket").agg(F.collect_list("rows").alias("lists")).where(F.size("lists") == len(wanted))
-    common = F.aggregate(F.slice("lists", 2, len(wanted)), F.col("lists")[0], F.array_intersect)
-    number = F.shiftleft("bucket", BUCKET_BITS).bitwiseOR(F.col("row").cast("long"))
-    return both.select("batch", "bucket", F.explode(common).alias("row")).select("batch", number.alias(NUMBER))
+    both = lists.groupBy("batch", "word").agg(F.count("*").alias("n"), F.bit_and("rows").alias("rows"))
+    return both.where((F.col("n") == len(wanted)) & (F.col("rows") != 0)).drop("n")
+
+
+def candidates(spark: SparkSession, root: str, query: str) -> DataFrame | None:
+    """``batch`` and number of the rows that have every trigram of the query; none where it is too short to have one."""
+    words = _words(spark, root, query)
+    if words is None:
+        return None
+    places = F.filter(F.sequence(F.lit(0), F.lit((1 << WORD_BITS) - 1)), lambda i: F.getbit("rows", i) == 1)
+    number = F.shiftleft("word", WORD_BITS).bitwiseOR(F.col("place").cast("long"))
+    return words.select("batch", "word", F.explode(places).alias("place")).select("batch", number.alias(NUMBER))
 
 
 def indexed_keyword(spark: SparkSession, root: str, query: str, columns: list[str]) -> DataFrame:
     """Rows that contain the query in any of the columns, as ``keyword`` finds them, by way of the index: only rows with all its
     trigrams are read for it. A query of fewer than three characters reads all rows."""
-    texts, found = spark.read.parquet(f"{root}/texts"), candidates(spark, root, query)
-    if found is not None:
-        # Stored, so that Spark knows whether they are few enough to be sent to the texts.
-        texts = texts.join(stored(found, "candidates"), ["batch", NUMBER], "left_semi")
-    return keyword(texts, query, columns).drop("batch", NUMBER)
+    texts, found = spark.read.parquet(f"{root}/texts"), _words(spark, root, query)
+    if found is None:
+        return keyword(texts, query, columns).drop("batch", NUMBER)
+    # Stored, so that Spark knows whether they are few enough to be sent to the texts.
+    found = stored(found.withColumnsRenamed({"batch": "_batch", "word": "_word", "rows": "_rows"}), "candidates")
+    texts = texts.join(found, (F.col("batch") == F.col("_batch")) & (_word() == F.col("_word")))
+    # One condition on both sides, so that the texts of other rows are not looked at before the join.
+    has = F.when(F.expr(f"getbit(_rows, {_PLACE})") == 1, contains_any(query, *[F.col(c) for c in columns]))
+    return texts.where(has).drop("batch", NUMBER, "_batch", "_word", "_rows")
