@@ -128,3 +128,14 @@ def test_masks_of_sources_in_one_pass(spark):
             own = frame.where(F.col("source_system") == source)
             assert got.where(F.col("source_system") == source).collect() == policies.mask_table(own, bound, roles).collect()
         assert got.where("source_system IS NULL").collect() == frame.where("source_system IS NULL").collect()
+
+
+def test_packed_keys_are_short_and_stay_different(spark):
+    """64 hex digits in lower case become 32 bytes; whatever else a key is, it comes back and meets no other."""
+    digits = "0123456789abcdef" * 4
+    texts = [digits, digits.upper(), "g" * 64, "", "a", "é漢", "0" * 63, "0" * 65, bytes.fromhex(digits[:62]).decode("latin1"), "x" * 32, None]
+    rows = spark.createDataFrame([(k,) for k in texts], "k string").select("k", keys.packed(F.col("k")).alias("p"))
+    got = rows.select("k", "p", keys.unpacked(F.col("p")).alias("u")).collect()
+    assert [r.u for r in got] == texts and got[0].p == bytearray.fromhex(digits) and got[-1].p is None
+    assert len({bytes(r.p) for r in got if r.p is not None}) == len(texts) - 1
+    assert [len(r.p) == 32 for r in got[:-1]] == [True] + [False] * (len(texts) - 2)

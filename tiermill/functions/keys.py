@@ -16,6 +16,21 @@ def hash_key(source: Column, original_id: Column) -> Column:
     return F.sha2(F.concat(_norm(source), F.lit("|"), _norm(pk)), 256)
 
 
+def packed(key: Column) -> Column:
+    """A key as the 32 bytes that its 64 digits stand for; any other text as longer bytes, so different keys stay different."""
+    digits = F.unhex(key)
+    return F.when((F.length(key) == 64) & (F.lower(F.hex(digits)) == key), digits).otherwise(
+        F.concat(F.encode(key, "UTF-8"), F.lit(bytes(33)))
+    )
+
+
+def unpacked(key: Column) -> Column:
+    """The text of a packed key."""
+    return F.when(F.length(key) == 32, F.lower(F.hex(key))).otherwise(
+        F.decode(F.substring(key, F.lit(1), F.length(key) - 33), "UTF-8")
+    )
+
+
 def attributes_text(*parts: Column) -> Column:
     """Attributes joined by ``|``, a missing one counting as empty."""
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiermill.functions.dates import date_key
+from tiermill.functions.keys import packed, unpacked
 from tiermill.reference import DIM_DATE_DAYS, DIM_DATE_START, OPEN_END, REGION_ROWS, inline_table
 
 # Which source wins when several know an attribute.
@@ -220,11 +221,14 @@ def per_customer(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame
 
     Rows move once, to their group's customer. An order has one customer, so orders are counted there, and a customer is one
     row from then on. The result can be stored by day and added up to longer periods, unlike counts of distinct customers.
+    Hash keys, the most of a row, move as bytes.
     """
     parts = [f(c).alias(f"{p}_{c}") for c in sums for f, p in ((F.sum, "sum"), (F.count, "n"))]
-    dealt = rows.select(*keys, "customer_hk", "order_hk", *sums).repartition(*keys, "customer_hk")
+    short = [packed(F.col(c)).alias(c) for c in ("customer_hk", "order_hk")]
+    dealt = rows.select(*keys, *short, *sums).repartition(*keys, "customer_hk")
     orders = dealt.groupBy(*keys, "customer_hk", "order_hk").agg(*parts)
-    return added_up(orders.withColumn("order_count", F.col("order_hk").isNotNull().cast("long")), keys, sums)
+    counted = added_up(orders.withColumn("order_count", F.col("order_hk").isNotNull().cast("long")), keys, sums)
+    return counted.withColumn("customer_hk", unpacked(F.col("customer_hk")))
 
 
 def added_up(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
@@ -282,7 +286,8 @@ def product_revenue(lines: DataFrame, grain: str = "day") -> DataFrame:
 
 def product_revenue_from_days(days: DataFrame) -> DataFrame:
     """The monthly summary from stored daily parts: a customer of several days is one customer of the month."""
-    monthly = days.withColumn("month_key", F.floor(F.col("date_key") / 100).cast("int"))
+    month = F.floor(F.col("date_key") / 100).cast("int")
+    monthly = days.withColumns({"month_key": month, "customer_hk": packed(F.col("customer_hk"))})
     return product_summary(added_up(monthly, ["product_code", "source_system", "month_key"], REVENUE_SUMS), "month_key")
 
 

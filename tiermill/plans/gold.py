@@ -166,7 +166,7 @@ def product_revenue_month(b: Bronze) -> DataFrame:
 @plan("product_revenue_rollup", MONTH_SQL)
 def product_revenue_rollup(b: Bronze) -> DataFrame:
     """The monthly summary from a stored daily table, as a scheduled run would make it without reading the lines again."""
-    days = stored(gold.product_customer_days(lines(b)), "product-customer-days")
+    days = stored(gold.product_customer_days(lines(b)), "product-customer-days", compression="zstd")
     return summary_report(gold.product_revenue_from_days(days))
 
 

@@ -71,15 +71,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     The size of the files is known when the reading plan is made, so Spark
     broadcasts a small table and shuffles a large one, without a hint and
     without moving the other side first. The lineage ends at the files.
+    ``options`` go to the writer.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
