@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tiermill.llm import spotsigs
 from tiermill.llm.queries import op10_spot_signatures
 from tiermill.llm.spotsigs import ANCHORS, SKIP, compare, fingerprints, likeness, matches, signatures
 
@@ -60,6 +61,14 @@ def test_odd_rows(odd, none):
     assert one.near_next == 1.0 and one.near_edited == 1.0
 
 
+def test_a_text_is_signed_once(texts, monkeypatch):
+    """For itself and for the document before it; the edited text is the other one."""
+    calls = []
+    monkeypatch.setattr(spotsigs, "signatures", lambda text, *more: calls.append(text) or signatures(text, *more))
+    compare(texts)
+    assert len(calls) == 2
+
+
 def test_runs_of_anchors_and_pruning(spark):
     rows = spark.createDataFrame([("the " * 20000 + "end of it",), ("the a cat and dog " * 50,)], "t string")
     assert [len(r[0]) for r in rows.select(signatures(F.col("t"))).collect()] == [4, 3]

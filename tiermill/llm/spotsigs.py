@@ -149,13 +149,14 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = 4) -> DataFrame:
     """``id``, ``text``, ``edited`` (the last 1/``part`` of its code points replaced by as many first ones of the next
-    document, or all it has) and ``next_signatures`` of every row.
+    document, or all it has), ``signatures`` and ``next_signatures`` of every row.
 
-    Of the next document only those code points and its signatures are moved, keyed by the document before it.
+    A text is signed once, before it moves. Of the next document only those code points and its signatures are moved, keyed by
+    the document before it.
     """
     rows = docs.select(
         F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("h"),
-        F.length(F.coalesce(text, F.lit(""))).alias("n"),
+        F.length(F.coalesce(text, F.lit(""))).alias("n"), signatures(F.coalesce(F.col(text), F.lit(""))).alias("signatures"),
     )
     keys = keep(following(docs, id, text), "next-keys", 8)
     asked = keys.select(F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.col("n").alias("for_n"), "next_id", "next_h", "next_n", "next_c")
@@ -163,7 +164,7 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int =
 
     def given(wanted: DataFrame) -> DataFrame:
         return rows.join(wanted, _same("id h n", "next_id next_h next_n")).select(
-            "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), signatures(F.col("text")).alias("next_signatures")
+            "for_id", "for_h", "for_n", F.left("text", taken).alias("head"), F.col("signatures").alias("next_signatures")
         )
 
     heads = given(asked.where("next_c = 1"))
@@ -174,7 +175,7 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int =
     joined = rows.join(heads, _same("id h n", "for_id for_h for_n"))
     cut = F.floor(F.col("n") / part).cast("int")
     return joined.select(
-        "id", "text", "n", F.concat(F.left("text", F.col("n") - cut), F.col("head")).alias("edited"), "next_signatures"
+        "id", "text", "n", F.concat(F.left("text", F.col("n") - cut), F.col("head")).alias("edited"), "signatures", "next_signatures"
     )
 
 
@@ -184,7 +185,7 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         "id",
         "n",
         F.sha2("edited", 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("own"),
+        F.col("signatures").alias("own"),
         signatures(F.col("edited")).alias("changed"),
         "next_signatures",
     )
