@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tiermill import session
 from tiermill.operators import scd
 from tiermill.plans import streams
 from tiermill.sources.tables import VersionedTable, refresh_derived
@@ -94,6 +95,50 @@ def test_refresh_writes_what_the_batch_touches(spark, tmp_path):
     assert table.read().count() == 4000 + 1 + 40 + 4000
 
 
+def shown(df):
+    return sorted(map(str, df.select("k", "effective_from", "hash_diff", *scd.VERSION_COLUMNS).collect()))
+
+
+@pytest.mark.parametrize("most, rows_per_task", [(100_000, 250_000), (8, 4)])
+def test_refresh_moves_rows_without_computed_columns(spark, tmp_path, most, rows_per_task):
+    """Key and digest are made again from a row's other columns; keys of many rows, and parts dealt to several tasks, give the same."""
+    draw = random.Random(5)
+    at = lambda: datetime(2024, 1 + draw.randrange(5), 1 + draw.randrange(28))
+    # One key has a third of all rows, one has no id.
+    rows = [(draw.choice(["a", "a", "a", None, "b", "c", "d", "e", "f"]), at(), draw.choice("xyz")) for _ in range(90)]
+    bare = "id string, effective_from timestamp, text string"
+    computed = {"k": F.coalesce(F.concat(F.lit("key "), F.col("id")), F.lit("none")), "hash_diff": F.md5("text")}
+    table = VersionedTable(spark, str(tmp_path / "t"), "k", 3, computed)
+    table.MOST, table.ROWS_PER_TASK = most, rows_per_task
+    whole = None
+    for number in range(3):
+        batch = spark.createDataFrame(rows[30 * number : 30 * number + 30], bare).withColumns(computed)
+        table.refresh(table.staged(batch, str(tmp_path / f"batch{number}")), number)
+        path = str(tmp_path / f"whole{number}")
+        (scd.build(batch, "k") if whole is None else scd.apply(whole, batch, "k")).write.parquet(path)
+        whole = spark.read.parquet(path)
+    assert shown(table.read()) == shown(whole)
+    assert table.read().where(~F.col("k").eqNullSafe(computed["k"]) | (F.col("hash_diff") != computed["hash_diff"])).isEmpty()
+    pending = spark.read.parquet(table.folder("pending", "refresh", "batch=2").path)
+    assert "id" in pending.columns and not {"k", "hash_diff"} & set(pending.columns)
+    # Laid out by parts, it is put in place without being moved.
+    assert all(n.startswith("part=") for n in table.folder("pending", "refresh", "batch=2", "kind=open").names())
+
+
+def test_a_flow_leaves_no_copies(spark, tmp_path, monkeypatch):
+    """Copies of micro-batches and notes of a refresh are gone when it is over, and the session's settings are as before."""
+    folder, shared = str(tmp_path / "in"), tmp_path / "shared"
+    monkeypatch.setattr(session, "_local_root", lambda: str(shared))
+    table = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=2)
+    derive = (lambda df: df.select("k", "hash_diff"), str(tmp_path / "d"))
+    for day in (1, 3, 2):
+        spark.createDataFrame([(c, datetime(2024, 1, day), f"{day}") for c in "abc"], ROWS).write.mode("append").parquet(folder)
+        stream = flows.file_stream(spark, folder, spark.createDataFrame([], ROWS).schema)
+        flows.refresh_versions(stream, lambda df: df, table, str(tmp_path / "state"), every=None, derive=derive).awaitTermination()
+    assert table.read().count() == 9
+    assert [p for p in shared.rglob("*.parquet")] == [] and spark.conf.get(session.SHUFFLES_GO, None) is None
+
+
 def test_derived_parts_follow(spark, tmp_path):
     """A part of which nothing is left in the derived table is removed there."""
     table, path = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=1), str(tmp_path / "d")

@@ -20,13 +20,14 @@ VERSION_COLUMNS = ["effective_to", "is_current", "record_version"]
 
 
 def _one_row_per_instant(
-    rows: DataFrame, key: str, at: str, digest: str, first_version: str | None
+    rows: DataFrame, key: str, at: str, digest: str, first_version: str | None, place: str | None = None
 ) -> DataFrame:
     """Rows sharing key and instant collapse to the one with the largest digest."""
-    rest = [digest] + [c for c in rows.columns if c not in (key, at, digest, first_version)]
+    keys = [c for c in (place, key, at) if c]
+    rest = [digest] + [c for c in rows.columns if c not in (*keys, digest, first_version)]
     seed = F.min(first_version) if first_version else F.lit(1)
-    best = rows.groupBy(key, at).agg(F.max(F.struct(*rest)).alias("_best"), seed.alias("_seed"))
-    return best.select(key, at, "_seed", *[F.col(f"_best.{c}").alias(c) for c in rest])
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_best"), seed.alias("_seed"))
+    return best.select(*keys, "_seed", *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
 def _numbered(kept: DataFrame, end: Column, position: Column) -> DataFrame:
@@ -42,11 +43,12 @@ def _numbered(kept: DataFrame, end: Column, position: Column) -> DataFrame:
     ).drop(*dropped)
 
 
-def _whole_keys(single: DataFrame, key: str, at: str, digest: str) -> DataFrame:
-    """Versions of keys whose rows are in one window; ``single`` is clustered by key."""
-    inside = Window.partitionBy(key).orderBy(at)
+def _whole_keys(single: DataFrame, key: str, at: str, digest: str, place: str | None = None) -> DataFrame:
+    """Versions of keys whose rows are in one window; ``single`` is clustered by key, or by the ``place`` of the key."""
+    whole = Window.partitionBy(*[c for c in (place, key) if c])
+    inside = whole.orderBy(at)
     before = {"_first": F.row_number().over(inside) == 1, "_same": F.lag(digest).over(inside).eqNullSafe(F.col(digest))}
-    marked = single.withColumns(before | {"_base": F.coalesce(F.min("_seed").over(Window.partitionBy(key)), F.lit(1))})
+    marked = single.withColumns(before | {"_base": F.coalesce(F.min("_seed").over(whole), F.lit(1))})
     kept = marked.where(F.col("_first") | ~F.col("_same"))
     return _numbered(kept, F.lead(at).over(inside), F.row_number().over(inside))
 
@@ -128,6 +130,15 @@ def build(
     return whole.unionByName(cut.select(whole.columns))
 
 
+def build_in_place(
+    rows: DataFrame, key: str, place: str, at: str = "effective_from", digest: str = "hash_diff", first_version: str | None = None
+) -> DataFrame:
+    """``build`` for rows that were dealt out by ``place``, a number that depends on their key only: they do not move again. Every
+    key is one window; rows of a key that has too many for that belong to ``build``. ``place`` starts with ``_`` and is dropped."""
+    single = _one_row_per_instant(rows, key, at, digest, first_version, place)
+    return _whole_keys(single, key, at, digest, place)
+
+
 def _split(
     versions: DataFrame, batch: DataFrame, key: str, at: str, digest: str, chunk: str | None
 ) -> tuple[DataFrame, DataFrame]:

@@ -95,16 +95,28 @@ def union_orders(*headers: DataFrame) -> DataFrame:
     return merged
 
 
+def order_hashes(order_id: str = "original_id", net_amount: str = "net_amount_orig") -> dict[str, Column]:
+    """Hash columns of an order, from the columns they are made of."""
+    src = F.col("source_system")
+    return {
+        "order_hk": hash_key(src, F.col(order_id)),
+        "customer_hk": hash_key(src, F.col("customer_id")),
+        "hash_diff": hash_diff(
+            attributes_text(F.col("order_status"), F.col(net_amount).cast("decimal(18,4)"), F.col("customer_id"))
+        ),
+    }
+
+
 def orders(headers: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """Silver orders from conformed headers of any number of sources."""
-    src = F.col("source_system")
+    hashes = order_hashes("order_id", "net_amount")
     return with_fx(headers.where(F.col("order_id").isNotNull()), rates).select(
-        hash_key(src, F.col("order_id")).alias("order_hk"),
+        hashes["order_hk"].alias("order_hk"),
         "source_system",
         "source_region",
         F.col("order_id").alias("original_id"),
         "customer_id",
-        hash_key(src, F.col("customer_id")).alias("customer_hk"),
+        hashes["customer_hk"].alias("customer_hk"),
         F.lit(None).cast("string").alias("salesperson_hk"),
         "order_date",
         "delivery_date",
@@ -118,11 +130,7 @@ def orders(headers: DataFrame, rates: DataFrame | None = None) -> DataFrame:
         "country_code",
         F.array().cast("array<string>").alias("dq_flags"),
         (F.col("order_id").isNull() | F.col("customer_id").isNull()).alias("is_quarantined"),
-        hash_diff(
-            attributes_text(
-                F.col("order_status"), F.col("net_amount").cast("decimal(18,4)"), F.col("customer_id")
-            )
-        ).alias("hash_diff"),
+        hashes["hash_diff"].alias("hash_diff"),
         F.col("load_timestamp").alias("effective_from"),
         F.lit(OPEN_END).alias("effective_to"),
         F.lit(True).alias("is_current"),

@@ -42,12 +42,14 @@ def landed_orders(b: Bronze) -> Iterator[DataFrame]:
 
 def run_orders(b: Bronze) -> tuple[VersionedTable, DataFrame]:
     """Versioned orders and the fact that follows them, in parts of up to 50,000 orders; a run of the flow after each landing."""
-    versions, facts = VersionedTable(b.spark, shared_dir(b.spark, "stream-silver"), "order_hk", 50_000), shared_dir(b.spark, "stream-fact")
+    b, root, facts = b.with_stored_geography(), shared_dir(b.spark, "stream-silver"), shared_dir(b.spark, "stream-fact")
+    versions = VersionedTable(b.spark, root, "order_hk", 50_000, silver.order_hashes())
     conform = lambda batch: silver.orders(b.orders(orders=batch))
     derive = lambda rows: gold.fact_sales(rows, b.regions())
     checkpoint = shared_dir(b.spark, "checkpoint")
     for stream in landed_orders(b):
-        flows.refresh_versions(stream, conform, versions, checkpoint, every=None, derive=(derive, facts)).awaitTermination()
+        flow = flows.refresh_versions(stream, conform, versions, checkpoint, every=None, derive=(derive, facts))
+        flow.awaitTermination()
     return versions, b.spark.read.parquet(facts)
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +85,25 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def brief_shuffles(*sessions: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends, and not when the driver happens to collect its garbage."""
+    before = [spark.conf.get(SHUFFLES_GO, None) for spark in sessions]
+    for spark in sessions:
+        spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        for spark, value in reversed(list(zip(sessions, before, strict=True))):
+            if value is None:
+                spark.conf.unset(SHUFFLES_GO)
+            else:
+                spark.conf.set(SHUFFLES_GO, value)
+
+
 _ONCE: dict[tuple[str, str], str] = {}
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tiermill.operators import scd
-from tiermill.session import stored
+from tiermill.session import brief_shuffles, shared_dir
+
+AT, DIGEST = "effective_from", "hash_diff"
+#: Hash keys are digits: this writes them as half the bytes that Spark's default does.
+SMALL = {"compression": "zstd"}
 
 
 def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str] | None = None) -> None:
@@ -22,9 +26,11 @@ def append(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str]
     laid_out.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Write ``df`` over the partitions it has rows of; the others stay."""
-    writer = df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str], together: bool = False, **options: str) -> None:
+    """Write ``df`` over the partitions it has rows of; the others stay. ``together`` says that rows of a partition lie in few
+    tasks already and need not move. ``options`` go to the writer."""
+    laid_out = df if together else df.hint("rebalance", *partition_by)
+    writer = laid_out.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options)
     writer.partitionBy(*partition_by).parquet(path)
 
 
@@ -62,12 +68,29 @@ class VersionedTable:
     A refresh first writes its result to ``pending`` and then puts it in place. A refresh that was interrupted, or comes again
     with the same number, only repeats the second step, so nothing is lost or applied twice. Readers and refreshes take turns;
     for readers at any time merge ``scd.changes`` into a table format instead. A table belongs to the flow that started it.
+
+    Rows move once in a refresh, to the part of their key; ``pending`` is laid out by parts, so what is put in place from it does
+    not move again. ``computed`` has columns made from other columns of the row, such as hash keys. They are stored with the
+    versions, but made again where they are needed instead of moved or written on the way.
     """
 
     OPEN, CLOSED, SUPERSEDED = "open", "closed", "superseded"
-
-    def __init__(self, spark: SparkSession, root: str, key: str, rows_per_part: int = 1_000_000):
+    #: Rows of a refresh that one task should work on; a part with more is dealt to several.
+    ROWS_PER_TASK = 250_000
+    #: Rows of a key up to which they are one window.
+    MOST = 100_000
+
+    def __init__(
+        self, spark: SparkSession, root: str, key: str, rows_per_part: int = 1_000_000, computed: dict[str, Column] | None = None
+    ):
         self.spark, self.root, self.key, self.rows_per_part = spark, root.rstrip("/"), key, rows_per_part
+        self.computed = computed or {}
+
+    def staged(self, rows: DataFrame, path: str) -> DataFrame:
+        """Rows of a batch written to a folder and read back, computed columns made again."""
+        bare = rows.drop(*self.computed)
+        bare.write.options(**SMALL).parquet(path)
+        return rows.sparkSession.read.schema(bare.schema).parquet(path).withColumns(self.computed).select(rows.columns)
 
     def folder(self, *names: str) -> Folder:
         return Folder(self.spark, "/".join([self.root, *names]))
@@ -126,76 +149,122 @@ class VersionedTable:
     def refresh(self, rows: DataFrame, number: int, owner: str = "refresh") -> DataFrame:
         """Apply a batch of rows (see ``scd.apply``). Gives the open versions of all touched parts, with ``parts`` and ``part``."""
         pending = self._pending(owner, number)
-        if "_SUCCESS" not in pending.names():
-            result = self._first(rows) if not self.parts() else self._applied(rows)
-            result.write.mode("overwrite").partitionBy("kind").parquet(pending.path)
-            schema = result.schema
-        else:
-            schema = self.spark.read.parquet(pending.path).schema
-        return self._put(self.spark.read.schema(schema).parquet(pending.path), number, owner)
-
-    def _kinds(self, versions: DataFrame, parts: int) -> DataFrame:
-        """Versions with their place: ``kind``, and the number of parts; ``gone_batch`` is that of a superseded one."""
-        kind = F.when(F.col("is_current"), self.OPEN).otherwise(self.CLOSED)
-        return versions.withColumns({"kind": kind, "parts": F.lit(parts), "gone_batch": F.lit(None).cast("long")})
+        with brief_shuffles(self.spark, rows.sparkSession):
+            if "_SUCCESS" not in pending.names():
+                work = shared_dir(self.spark, "refresh")
+                try:
+                    result = self._result(rows, work)
+                    result.write.mode("overwrite").options(**SMALL).partitionBy("kind", "part").parquet(pending.path)
+                finally:
+                    Folder(self.spark, work).delete()
+                schema = result.schema
+            else:
+                schema = self.spark.read.parquet(pending.path).schema
+            return self._put(self.spark.read.schema(schema).parquet(pending.path), number, owner)
 
     def _needed(self, rows: int) -> int:
         return 1 << max(0, -(-rows // self.rows_per_part) - 1).bit_length()
 
-    def _first(self, rows: DataFrame) -> DataFrame:
-        # One version of each key is open.
-        return self._kinds(scd.build(rows, self.key), self._needed(rows.select(self.key).distinct().count()))
-
-    def _applied(self, rows: DataFrame) -> DataFrame:
-        """What the batch makes of the parts it touches, and the closed versions it adds and supersedes."""
-        old = self.parts()
-        # Counted from file footers.
-        parts = max(old, self._needed(self.open().count()))
-        starts = stored(rows.groupBy(self.key).agg(F.min("effective_from").alias("_start")), "batch-starts")
-        touched = None if parts > old else [r[0] for r in starts.select(self.part_of(old)).distinct().collect()]
-        marked = self.open(touched).join(starts, self.key, "left")
-        calm, mine = marked.where(F.col("_start").isNull()).drop("_start"), marked.where(F.col("_start").isNotNull())
-        reopened = mine.drop("_start")
-        late = stored(mine.where(F.col("_start") <= F.col("effective_from")).select(self.key, "_start"), "batch-late")
-        first = late.agg(F.date_format(F.min("_start"), "yyyy-MM")).first()[0]
-        closed = self._closed(since=first) if first else None
-        gone = None
-        if closed is not None:
-            gone = closed.join(late, self.key).where(F.col("effective_to") >= F.col("_start")).drop("_start", "ended")
-            gone = stored(gone, "batch-superseded")
-            reopened = reopened.unionByName(gone.drop("batch"))
-        body = [c for c in reopened.columns if c not in scd.VERSION_COLUMNS]
-        again = reopened.select(*body, F.col("record_version").alias("_stored"))
-        fresh = rows.select(*body, F.lit(None).cast("int").alias("_stored"))
-        rebuilt = scd.build(again.unionByName(fresh), self.key, first_version="_stored").select(calm.columns)
-        result = self._kinds(calm.unionByName(rebuilt), parts)
-        if gone is None:
-            return result
-        listed = gone.select(*calm.columns, F.lit(self.SUPERSEDED).alias("kind"), F.lit(parts).alias("parts"), F.col("batch").alias("gone_batch"))
-        return result.unionByName(listed)
+    def _result(self, rows: DataFrame, work: str) -> DataFrame:
+        """What the batch makes of the parts it touches, and the closed versions it adds and supersedes, without computed columns:
+        ``kind``, ``part`` of an open version, the number of parts, and ``gone_batch`` of a superseded one.
+
+        Which keys the batch has is noted by their 64-bit hash. Another key with the same hash lies in the same part and is
+        only built once more from its own versions, which changes nothing.
+        """
+
+        def noted(df: DataFrame, name: str) -> DataFrame:
+            df.write.options(**SMALL).parquet(f"{work}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+        hashed = F.xxhash64(self.key).alias("_h")
+        starts = noted(rows.groupBy(hashed).agg(F.min(AT).alias("_start"), F.count("*").alias("_n")), "starts")
+        keys, many, most = starts.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+        gone, old, opened = None, self.parts(), self.open()
+        if opened is None:
+            # One version of each key is open.
+            parts = places = self._needed(keys)
+        else:
+            # Counted from file footers.
+            count = opened.count()
+            parts = max(old, self._needed(count))
+            touched = None if parts > old else [r[0] for r in starts.select(F.pmod("_h", F.lit(old)).cast("int")).distinct().collect()]
+            places = parts if touched is None else max(1, len(touched))
+            many += count if touched is None else count * places // old
+            opened = self.open(touched)
+            if self.folder(self.CLOSED).exists():
+                late = opened.select(hashed, AT).join(starts.drop("_n"), "_h").where(F.col("_start") <= F.col(AT))
+                late = noted(late.select("_h", "_start").distinct(), "late")
+                first = late.agg(F.date_format(F.min("_start"), "yyyy-MM")).first()[0]
+                closed = self._closed(since=first) if first else None
+                if closed is not None:
+                    gone = closed.withColumn("_h", hashed).join(late, "_h").where(F.col("effective_to") >= F.col("_start"))
+                    gone = noted(gone.drop("_start", "ended"), "superseded")
+                    many += gone.count()
+                    most = max(most, gone.groupBy("_h").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+
+        names = [c for c in (rows if opened is None else opened).columns if c not in scd.VERSION_COLUMNS]
+        first = [self.key, AT, DIGEST]
+        bare = [c for c in names if c not in self.computed]
+        place = self.part_of(parts * (1 << max(0, -(-many // (places * self.ROWS_PER_TASK)) - 1).bit_length())).alias("_place")
+        known = [] if opened is None else [opened] if gone is None else [opened, gone]
+        sides = [df.select(*bare, place, F.col("record_version").alias("_stored")) for df in known]
+        sides.append(rows.select(*bare, place, F.lit(None).cast("int").alias("_stored")))
+        met = sides[0]
+        for side in sides[1:]:
+            met = met.unionByName(side)
+        # Half of it may be stored versions, half new rows; and there is one open version.
+        busy = 2 * most + 1 > self.MOST
+        dealt = met if busy else met.repartition("_place")
+        dealt = dealt.withColumns({c: made for c, made in self.computed.items() if c in first})
+        dealt = dealt.select(*[c for c in names if c in dealt.columns], "_place", "_stored")
+        if busy:
+            versions = scd.build(dealt.drop("_place"), self.key, first_version="_stored", most=self.MOST)
+        else:
+            versions = scd.build_in_place(dealt, self.key, "_place", first_version="_stored")
+        body = [*[c for c in versions.columns if c in bare], *scd.VERSION_COLUMNS]
+        current, no_part = F.col("is_current"), F.lit(-1)
+        open_or_closed = {
+            "kind": F.when(current, self.OPEN).otherwise(self.CLOSED), "part": F.when(current, self.part_of(parts)).otherwise(no_part),
+            "parts": F.lit(parts), "gone_batch": F.lit(None).cast("long"),
+        }
+        result = versions.withColumns(open_or_closed).select(*body, *open_or_closed)
+        if gone is not None:
+            listed = {"kind": F.lit(self.SUPERSEDED), "part": no_part, "parts": F.lit(parts), "gone_batch": F.col("batch")}
+            result = result.unionByName(gone.withColumns(listed).select(*body, *listed))
+        return result.hint("rebalance", "kind", "part") if busy else result
+
+    def _whole(self, bare: DataFrame, *more: str) -> DataFrame:
+        """Versions with their computed columns."""
+        first, last = [self.key, AT, DIGEST], [*scd.VERSION_COLUMNS, *more]
+        middle = [c for c in [*bare.columns, *self.computed] if c not in (*first, *last)]
+        return bare.withColumns(self.computed).select(*first, *middle, *last)
 
     def _put(self, pending: DataFrame, number: int, owner: str) -> DataFrame:
         """Put a written result in place; doing so again changes nothing."""
+        for done in self.folder("pending", owner).values("batch"):
+            if done < number:
+                self.folder("pending", owner, f"batch={done}").delete()
         rows = pending.where(F.col("kind") == self.OPEN).drop("kind", "gone_batch")
+        placed = self._whole(rows, "parts", "part")
         parts = rows.select("parts").first()
         if parts is None:
-            return rows.withColumn("part", F.lit(None).cast("int"))
-        placed = rows.withColumn("part", self.part_of(parts[0]))
-        replace_partitions(placed, self.folder(self.OPEN).path, ["parts", "part"])
-        ended = pending.where(F.col("kind") == self.CLOSED).drop("kind", "parts", "gone_batch")
+            return placed
+        replace_partitions(placed, self.folder(self.OPEN).path, ["parts", "part"], together=True, **SMALL)
+        ended = pending.where(F.col("kind") == self.CLOSED).drop("kind", "parts", "part", "gone_batch")
         if not ended.isEmpty():
             ended = ended.withColumns({"ended": F.date_format("effective_to", "yyyy-MM"), "batch": F.lit(number).cast("long")})
-            replace_partitions(ended, self.folder(self.CLOSED).path, ["ended", "batch"])
+            ended = self._whole(ended.hint("rebalance", "ended", "batch"), "ended", "batch")
+            replace_partitions(ended, self.folder(self.CLOSED).path, ["ended", "batch"], together=True, **SMALL)
         gone = pending.where(F.col("kind") == self.SUPERSEDED)
         if not gone.isEmpty():
-            gone = gone.select(self.key, "effective_from", F.col("gone_batch").alias("batch"), F.lit(number).cast("long").alias("by_batch"))
-            replace_partitions(gone, self.folder(self.SUPERSEDED).path, ["by_batch"])
+            gone = self._whole(gone, "gone_batch").select(
+                self.key, AT, F.col("gone_batch").alias("batch"), F.lit(number).cast("long").alias("by_batch")
+            )
+            replace_partitions(gone, self.folder(self.SUPERSEDED).path, ["by_batch"], **SMALL)
         for count in self.folder(self.OPEN).values("parts"):
             if count < parts[0]:
                 self.folder(self.OPEN, f"parts={count}").delete()
-        for done in self.folder("pending", owner).values("batch"):
-            if done < number:
-                self.folder("pending", owner, f"batch={done}").delete()
         return placed
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tiermill.operators import scd
-from tiermill.session import stored
+from tiermill.session import brief_shuffles, shared_dir, stored
 from tiermill.sources.tables import Folder, VersionedTable, refresh_derived, replace_partitions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,16 +80,21 @@ def refresh_versions(
 
     Each micro-batch is conformed, written once and applied under its number (see ``VersionedTable``). ``derive`` makes
     another table (a fact, in the given folder) from the open versions of the touched parts: an updated or late row replaces
-    what it changes there. A replayed micro-batch puts the same result in place again. A table is bound to the checkpoint
-    that started it.
+    what it changes there. A replayed micro-batch puts
+    the same result in place again. A table is bound to the checkpoint that started it. The micro-batch's copy and the shuffle
+    files go when they have been read, so a flow's disk does not add up over its micro-batches.
     """
     owner = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def apply_batch(batch: DataFrame, number: int) -> None:
-        rows = stored(conform(batch).drop(*scd.VERSION_COLUMNS), "micro-batch")
-        touched = table.refresh(rows, number, owner)
-        if derive:
-            refresh_derived(touched, *derive, table.key)
+        copy = shared_dir(table.spark, "micro-batch")
+        with brief_shuffles(table.spark, batch.sparkSession):
+            try:
+                touched = table.refresh(table.staged(conform(batch).drop(*scd.VERSION_COLUMNS), copy), number, owner)
+            finally:
+                Folder(table.spark, copy).delete()
+            if derive:
+                refresh_derived(touched, *derive, table.key)
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
