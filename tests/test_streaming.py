@@ -152,6 +152,23 @@ def test_derived_parts_follow(spark, tmp_path):
     assert got == [("e", "there"), ("f", "there"), ("g", "here"), ("h", "here")]
 
 
+def test_a_derived_row_stays_where_its_version_is(spark, tmp_path):
+    """Rows that are derived one by one are written from the parts they lie in: a file a part, the same rows as when moved."""
+    table = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=50)
+    rows = spark.range(700).selectExpr("concat('k', id) AS k", "TIMESTAMP '2024-01-01' AS effective_from", "'x' AS hash_diff")
+    make = lambda df: df.where("k <> 'k7'").select("k", F.upper("hash_diff").alias("up"))
+    for number, share in enumerate((1, 3)):
+        later = F.col("effective_from") + F.expr(f"INTERVAL {number} DAY")
+        batch = rows.where(f"substr(k, 2) % {share} = 0").withColumns({"effective_from": later, "hash_diff": F.lit(f"x{number}")})
+        touched = table.refresh(batch, number)
+        for name, row_by_row in (("stays", True), ("moves", False)):
+            refresh_derived(touched, make, str(tmp_path / name), "k", row_by_row)
+    got, want = (sorted(map(tuple, spark.read.parquet(str(tmp_path / n)).select("k", "up", "part").collect())) for n in ("stays", "moves"))
+    assert got == want and len(got) == 699
+    for part in range(table.parts()):
+        assert len(list((tmp_path / "stays" / f"parts={table.parts()}" / f"part={part}").glob("*.parquet"))) == 1
+
+
 def test_append_twice_with_one_checkpoint_gives_no_duplicates(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     spark.range(10).write.parquet(folder)

@@ -48,7 +48,7 @@ def run_orders(b: Bronze) -> tuple[VersionedTable, DataFrame]:
     derive = lambda rows: gold.fact_sales(rows, b.regions())
     checkpoint = shared_dir(b.spark, "checkpoint")
     for stream in landed_orders(b):
-        flow = flows.refresh_versions(stream, conform, versions, checkpoint, every=None, derive=(derive, facts))
+        flow = flows.refresh_versions(stream, conform, versions, checkpoint, every=None, derive=(derive, facts), row_by_row=True)
         flow.awaitTermination()
     return versions, b.spark.read.parquet(facts)
 

@@ -268,15 +268,16 @@ class VersionedTable:
         return placed
 
 
-def refresh_derived(rows: DataFrame, make, path: str, key: str) -> None:
+def refresh_derived(rows: DataFrame, make, path: str, key: str, row_by_row: bool = False) -> None:
     """Rewrite the parts of a table that ``make`` derives from open versions, for what a refresh gave. The derived rows have
-    the key; a part of which nothing is left is removed."""
+    the key; a part of which nothing is left is removed. ``row_by_row`` says that ``make`` shuffles nothing, so that rows are
+    still where the refresh laid them and are written without being moved."""
     counts = rows.select("parts").first()
     if counts is None:
         return
     place = F.pmod(F.xxhash64(key), F.lit(counts[0])).cast("int")
     made = make(rows.drop("parts", "part")).withColumns({"parts": F.lit(counts[0]), "part": place})
-    replace_partitions(made, path, ["parts", "part"])
+    replace_partitions(made, path, ["parts", "part"], together=row_by_row, **SMALL)
     spark = rows.sparkSession
     # Asked of the versions again, of which only the key and what rows are chosen by is read.
     left = {r[0] for r in made.select("part").distinct().collect()}

@@ -75,12 +75,13 @@ def refresh_versions(
     checkpoint: str,
     every: str | None = "5 minutes",
     derive: tuple[Callable[[DataFrame], DataFrame], str] | None = None,
+    row_by_row: bool = False,
 ) -> StreamingQuery:
     """Keep a versioned Silver table fresh, and a table derived from it.
 
     Each micro-batch is conformed, written once and applied under its number (see ``VersionedTable``). ``derive`` makes
     another table (a fact, in the given folder) from the open versions of the touched parts: an updated or late row replaces
-    what it changes there. A replayed micro-batch puts
+    what it changes there (``row_by_row``: without a shuffle of its own, see ``refresh_derived``). A replayed micro-batch puts
     the same result in place again. A table is bound to the checkpoint that started it. The micro-batch's copy and the shuffle
     files go when they have been read, so a flow's disk does not add up over its micro-batches.
     """
@@ -94,7 +95,7 @@ def refresh_versions(
             finally:
                 Folder(table.spark, copy).delete()
             if derive:
-                refresh_derived(touched, *derive, table.key)
+                refresh_derived(touched, *derive, table.key, row_by_row)
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
