@@ -125,6 +125,25 @@ def test_refresh_moves_rows_without_computed_columns(spark, tmp_path, most, rows
     assert all(n.startswith("part=") for n in table.folder("pending", "refresh", "batch=2", "kind=open").names())
 
 
+@pytest.mark.parametrize("most", [100_000, 4])
+def test_rows_without_a_time_or_key_stand_beside_the_stored(spark, tmp_path, most):
+    """An open version is kept as it is when its key's new rows have no time, or when it has no key; later batches keep both."""
+    table, day = VersionedTable(spark, str(tmp_path / "t"), "k", rows_per_part=2), lambda n: datetime(2024, 1, n)
+    table.MOST = most
+    batches = [
+        [("a", None, "x"), ("b", day(1), "x"), (None, day(1), "x"), ("c", day(1), "x")],
+        [("a", None, "y"), ("b", None, "y"), (None, day(2), "y"), ("c", day(2), "y")],
+        [("d", day(3), "z"), ("a", day(3), "z")],
+    ]
+    for number, rows in enumerate(batches):
+        table.refresh(spark.createDataFrame(rows, ROWS), number)
+    got = sorted((r.k or "", r.effective_from and r.effective_from.day or 0, r.hash_diff, r.is_current, r.record_version) for r in table.read().collect())
+    assert got == [
+        ("", 1, "x", True, 1), ("", 2, "y", True, 1), ("a", 0, "y", False, 1), ("a", 3, "z", True, 2), ("b", 0, "y", True, 1),
+        ("b", 1, "x", True, 1), ("c", 1, "x", False, 1), ("c", 2, "y", True, 2), ("d", 3, "z", True, 1),
+    ]
+
+
 def test_a_flow_leaves_no_copies(spark, tmp_path, monkeypatch):
     """Copies of micro-batches and notes of a refresh are gone when it is over, and the session's settings are as before."""
     folder, shared = str(tmp_path / "in"), tmp_path / "shared"

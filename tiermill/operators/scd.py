@@ -20,10 +20,10 @@ VERSION_COLUMNS = ["effective_to", "is_current", "record_version"]
 
 
 def _one_row_per_instant(
-    rows: DataFrame, key: str, at: str, digest: str, first_version: str | None, place: str | None = None
+    rows: DataFrame, key: str, at: str, digest: str, first_version: str | None, places: tuple[str, ...] = ()
 ) -> DataFrame:
     """Rows sharing key and instant collapse to the one with the largest digest."""
-    keys = [c for c in (place, key, at) if c]
+    keys = [*places, key, at]
     rest = [digest] + [c for c in rows.columns if c not in (*keys, digest, first_version)]
     seed = F.min(first_version) if first_version else F.lit(1)
     best = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_best"), seed.alias("_seed"))
@@ -43,9 +43,9 @@ def _numbered(kept: DataFrame, end: Column, position: Column) -> DataFrame:
     ).drop(*dropped)
 
 
-def _whole_keys(single: DataFrame, key: str, at: str, digest: str, place: str | None = None) -> DataFrame:
-    """Versions of keys whose rows are in one window; ``single`` is clustered by key, or by the ``place`` of the key."""
-    whole = Window.partitionBy(*[c for c in (place, key) if c])
+def _whole_keys(single: DataFrame, key: str, at: str, digest: str, places: tuple[str, ...] = ()) -> DataFrame:
+    """Versions of keys whose rows are in one window; ``single`` is clustered by key, or by the ``places`` of the key."""
+    whole = Window.partitionBy(*places, key)
     inside = whole.orderBy(at)
     before = {"_first": F.row_number().over(inside) == 1, "_same": F.lag(digest).over(inside).eqNullSafe(F.col(digest))}
     marked = single.withColumns(before | {"_base": F.coalesce(F.min("_seed").over(whole), F.lit(1))})
@@ -131,12 +131,18 @@ def build(
 
 
 def build_in_place(
-    rows: DataFrame, key: str, place: str, at: str = "effective_from", digest: str = "hash_diff", first_version: str | None = None
+    rows: DataFrame,
+    key: str,
+    places: tuple[str, ...],
+    at: str = "effective_from",
+    digest: str = "hash_diff",
+    first_version: str | None = None,
 ) -> DataFrame:
-    """``build`` for rows that were dealt out by ``place``, a number that depends on their key only: they do not move again. Every
-    key is one window; rows of a key that has too many for that belong to ``build``. ``place`` starts with ``_`` and is dropped."""
-    single = _one_row_per_instant(rows, key, at, digest, first_version, place)
-    return _whole_keys(single, key, at, digest, place)
+    """``build`` for rows that were dealt out by the first of ``places``, a number that depends on their key only: they do not
+    move again. Every key of a place is one window; a key of too many rows for that belongs to ``build``. More places keep rows of
+    a key apart. Their names start with ``_``, and they are dropped."""
+    single = _one_row_per_instant(rows, key, at, digest, first_version, places)
+    return _whole_keys(single, key, at, digest, places)
 
 
 def _split(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -170,16 +170,20 @@ class VersionedTable:
         ``kind``, ``part`` of an open version, the number of parts, and ``gone_batch`` of a superseded one.
 
         Which keys the batch has is noted by their 64-bit hash. Another key with the same hash lies in the same part and is
-        only built once more from its own versions, which changes nothing.
+        only built once more from its own versions, which changes nothing. Open versions without a key, or of a key all of whose
+        rows in the batch have no time, are kept as they are beside what the batch gives.
         """
 
         def noted(df: DataFrame, name: str) -> DataFrame:
             df.write.options(**SMALL).parquet(f"{work}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-        hashed = F.xxhash64(self.key).alias("_h")
-        starts = noted(rows.groupBy(hashed).agg(F.min(AT).alias("_start"), F.count("*").alias("_n")), "starts")
-        keys, many, most = starts.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+        hashed, no_key = F.xxhash64(self.key).alias("_h"), F.col(self.key).isNull()
+        no_time = F.max(no_key | F.col(AT).isNull()).alias("_odd")
+        starts = noted(rows.groupBy(hashed).agg(F.min(AT).alias("_start"), F.count("*").alias("_n"), no_time), "starts")
+        keys, many, most, odd = starts.agg(
+            F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0)), F.max("_odd")
+        ).first()
         gone, old, opened = None, self.parts(), self.open()
         if opened is None:
             # One version of each key is open.
@@ -192,13 +196,14 @@ class VersionedTable:
             places = parts if touched is None else max(1, len(touched))
             many += count if touched is None else count * places // old
             opened = self.open(touched)
+            odd = odd or not opened.where(no_key | F.col(AT).isNull()).isEmpty()
             if self.folder(self.CLOSED).exists():
-                late = opened.select(hashed, AT).join(starts.drop("_n"), "_h").where(F.col("_start") <= F.col(AT))
+                late = opened.where(~no_key).select(hashed, AT).join(starts.select("_h", "_start"), "_h").where(F.col("_start") <= F.col(AT))
                 late = noted(late.select("_h", "_start").distinct(), "late")
                 first = late.agg(F.date_format(F.min("_start"), "yyyy-MM")).first()[0]
                 closed = self._closed(since=first) if first else None
                 if closed is not None:
-                    gone = closed.withColumn("_h", hashed).join(late, "_h").where(F.col("effective_to") >= F.col("_start"))
+                    gone = closed.where(~no_key).withColumn("_h", hashed).join(late, "_h").where(F.col("effective_to") >= F.col("_start"))
                     gone = noted(gone.drop("_start", "ended"), "superseded")
                     many += gone.count()
                     most = max(most, gone.groupBy("_h").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
@@ -207,21 +212,37 @@ class VersionedTable:
         first = [self.key, AT, DIGEST]
         bare = [c for c in names if c not in self.computed]
         place = self.part_of(parts * (1 << max(0, -(-many // (places * self.ROWS_PER_TASK)) - 1).bit_length())).alias("_place")
-        known = [] if opened is None else [opened] if gone is None else [opened, gone]
-        sides = [df.select(*bare, place, F.col("record_version").alias("_stored")) for df in known]
-        sides.append(rows.select(*bare, place, F.lit(None).cast("int").alias("_stored")))
+        # Half of it may be stored versions, half new rows; and there is one open version.
+        busy, odd = 2 * most + 1 > self.MOST, bool(odd) and opened is not None
+        calm = None
+        if busy and odd:
+            begun = noted(rows.groupBy(self.key).agg(F.min(AT).alias("_start")), "begun")
+            marked = opened.join(begun, self.key, "left")
+            calm, opened = marked.where(F.col("_start").isNull()).drop("_start"), marked.where(F.col("_start").isNotNull())
+        version, new = F.col("record_version").alias("_stored"), F.lit(None).cast("int").alias("_stored")
+        sides = [(df, number, at) for number, (df, at) in enumerate([(opened, version), (gone, version), (rows, new)]) if df is not None]
+        sides = [df.select(*bare, place, at, F.lit(number).alias("_side")) for df, number, at in sides]
         met = sides[0]
         for side in sides[1:]:
             met = met.unionByName(side)
-        # Half of it may be stored versions, half new rows; and there is one open version.
-        busy = 2 * most + 1 > self.MOST
         dealt = met if busy else met.repartition("_place")
         dealt = dealt.withColumns({c: made for c, made in self.computed.items() if c in first})
-        dealt = dealt.select(*[c for c in names if c in dealt.columns], "_place", "_stored")
+        dealt = dealt.select(*[c for c in names if c in dealt.columns], "_place", "_stored", "_side")
         if busy:
-            versions = scd.build(dealt.drop("_place"), self.key, first_version="_stored", most=self.MOST)
+            versions = scd.build(dealt.drop("_place", "_side"), self.key, first_version="_stored", most=self.MOST)
+            if calm is not None:
+                versions = versions.unionByName(calm.select(versions.columns))
         else:
-            versions = scd.build_in_place(dealt, self.key, "_place", first_version="_stored")
+            places = ("_place",)
+            if odd:
+                met_here = Window.partitionBy("_place", self.key)
+                start = F.min(F.when(F.col("_side") == 2, F.col(AT))).over(met_here)
+                alone = (F.col("_side") == 0) & (no_key | start.isNull()) & ~F.max(F.col("_side") == 1).over(met_here)
+                dealt = dealt.withColumn("_alone", alone).withColumn(
+                    "_unit", F.when(F.col("_alone"), F.monotonically_increasing_id() + 1).otherwise(0)
+                )
+                places = ("_place", "_unit")
+            versions = scd.build_in_place(dealt.drop("_alone", "_side"), self.key, places, first_version="_stored")
         body = [*[c for c in versions.columns if c in bare], *scd.VERSION_COLUMNS]
         current, no_part = F.col("is_current"), F.lit(-1)
         open_or_closed = {
